@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, sharding, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -26,5 +26,10 @@ def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards)}
+def op5_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip)}
 ORACLE_SQL: dict[str, str] = {}

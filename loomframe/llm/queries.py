@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, warc
+from . import bpe, secrets, sharding, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -31,5 +31,12 @@ def op5_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip)}
+def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    digest = F.sha2(secrets.joined(F.col("base_spans")), 256)
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip, op8_randomness_secrets)}
 ORACLE_SQL: dict[str, str] = {}

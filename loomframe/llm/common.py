@@ -131,7 +131,7 @@ def shingle_hashes(texts: list[str | None], words: int = SHINGLE_WORDS) -> tuple
         out[_rows(bounds, full, counts)] = mix64(every[take])
     for i in np.flatnonzero((n > 0) & (n < words)):
         part = w[b[i] : b[i + 1]]
-        out[bounds[i]] = mix64((part * keys[: len(part)]).sum(dtype=_U) + _U(len(part)))
+        out[bounds[i]] = mix64((part * keys[: len(part)]).sum(keepdims=True) + _U(len(part)))[0]
     return out, bounds
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, warc
+from . import bpe, decontaminate, near_dup, secrets, sharding, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,5 +38,25 @@ def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip, op8_randomness_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH item_words AS (SELECT item_id, row_number() OVER () AS item_row, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+doc_words AS (SELECT doc_id, row_number() OVER () AS doc_row, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+item_sets AS (SELECT DISTINCT item_id, item_row, array_to_string(w[i:i + 4], ' ') AS s FROM item_words, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+doc_sets AS (SELECT DISTINCT doc_id, doc_row, array_to_string(w[i:i + 4], ' ') AS s FROM doc_words, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT item_row, count(*) AS n_item FROM item_sets GROUP BY item_row),
+shared AS (SELECT doc_id, doc_row, item_id, item_row, count(*) AS n_shared FROM doc_sets JOIN item_sets USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_row) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
+"""
+
+
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dup.jaccard_join(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "group_id", "n_links", (F.col("uid") == F.col("group_uid")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op8_randomness_secrets, op10_chosen_path_join)}
+ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL}

@@ -31,7 +31,7 @@ FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_L
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Merged slices kept by a Python worker; a full cache is emptied. This bounds memory only.
-CACHE_SLICES = 300_000
+CACHE_SLICES = 100_000
 BLOCK = 256
 
 
@@ -279,6 +279,24 @@ def decode(encoded: DataFrame, vocab_path: str, prefix: str = "", out: str = "de
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
+    """Replace the text column by n_tokens, token_ids and the bytes that the ids decode to, in one pass."""
+    kept = [f for f in docs.schema.fields if f.name != text]
+    names = ["n_tokens", "token_ids", "decoded"]
+    _no_clash(kept, names)
+    schema = T.StructType([*kept, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.BinaryType()), T.StructField(names[2], T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(vocab_path)
+        for batch in batches:
+            for part in bounded(batch):
+                ids = list(v.encode(part.column(text).to_pylist()))
+                new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([v.decode(x, v.starts(x)) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *new], [*(f.name for f in kept), *names])
+
+    return docs.mapInArrow(run, schema)
+
+
 def bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Slices that keep what is in flight small."""
     for k in range(0, batch.num_rows, rows):

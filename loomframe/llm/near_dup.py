@@ -23,7 +23,7 @@ from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, mix64, seeds, shingle_hashes
@@ -345,3 +345,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     every = materialize(base.union(alone), "grouped")
     least = every.groupBy("component").agg(F.min("id").alias("group_id"), F.min("uid").alias("group_uid"))
     return every.join(least, "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies")
+
+
+def first_of_repeats(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """n rows of each key. Rows of a key are equal in id and text; which of them stay makes no difference."""
+    many = Window.partitionBy(*keys).orderBy(*keys)
+    return rows.withColumn("__k", F.row_number().over(many)).where(F.col("__k") <= F.col(n)).drop("__k")

@@ -1,5 +1,57 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of documents, but for the last.
+
+Cases: what each operator does with nulls, empty texts, ties, repeated rows and empty tables holds here. Columns that
+documents don't have pass through too; names that begin with two underscores are reserved.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, near_dup, secrets, toxicity
+from .queries import BPE_RANKS, learnable_labels, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under the cut; the classifier learns from labels of documents in the input."""
+    model = toxicity.fit(docs, learnable_labels(spark, sf_dir))
+    scored = toxicity.score(docs, model, docs.columns, out="__toxicity")
+    return scored.where(F.col("__toxicity") < toxicity.CUT).drop("__toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near copies link; documents without a word are all kept."""
+    kept = near_dup.jaccard_join(docs).where("uid = group_uid").select(F.col("id").alias("__id"), F.col("text_md5").alias("__kept_md5"))
+    marked = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
+    joined = marked.join(kept.groupBy("__id", "__kept_md5").agg(F.count("*").alias("__n")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__kept_md5")))
+    # rows that repeat in id and text are copies of each other: as many stay as were kept
+    return near_dup.first_of_repeats(joined, ["doc_id", "__md5"], "__n").drop("__id", "__kept_md5", "__md5", "__n")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"), docs.columns, out="__leaks")
+    return found.where(F.size("__leaks") == 0).drop("__leaks")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    found = secrets.scan(docs, docs.columns)
+    clean = secrets.redacted(F.col("text"), F.col("spans"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and a digest of what they decode to."""
+    encoded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), BPE_RANKS)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark_leaks),
+    ("secrets", redact_secrets),
+    ("tokens", encode_tokens),
+]

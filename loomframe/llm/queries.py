@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, secrets, sharding, warc
+from . import bpe, decontaminate, near_dup, secrets, sharding, toxicity, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -20,6 +20,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, BPE_RANKS).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _remainder(parts: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def learnable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that a toxicity model may learn from."""
+    return table(spark, sf_dir, "labels").where(_remainder(4) != 2)
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, learnable_labels(spark, sf_dir))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,5 +73,5 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "group_id", "n_links", (F.col("uid") == F.col("group_uid")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op8_randomness_secrets, op10_chosen_path_join)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op8_randomness_secrets, op10_chosen_path_join)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, secrets, sharding, toxicity, warc
+from . import bpe, decontaminate, near_dup, pii, secrets, sharding, toxicity, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -46,6 +46,15 @@ def op5_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs), ["doc_id"])
+    n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [n(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
@@ -73,5 +82,5 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "group_id", "n_links", (F.col("uid") == F.col("group_uid")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op8_randomness_secrets, op10_chosen_path_join)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op7_skip_chain_pii, op8_randomness_secrets, op10_chosen_path_join)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, pii, secrets, sharding, toxicity, warc
+from . import bpe, decontaminate, langid, near_dup, pii, secrets, sharding, toxicity, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -36,6 +36,16 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_marginal_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = langid.fit(docs.where(~held_out), PIECES)
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -82,5 +92,5 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "group_id", "n_links", (F.col("uid") == F.col("group_uid")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op7_skip_chain_pii, op8_randomness_secrets, op10_chosen_path_join)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op3_marginal_langid, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op7_skip_chain_pii, op8_randomness_secrets, op10_chosen_path_join)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL}

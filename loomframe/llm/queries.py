@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, pii, secrets, sharding, toxicity, warc
+from . import bpe, decontaminate, langid, near_dup, pii, secrets, sharding, toxicity, vectors, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -87,10 +87,28 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM
 """
 
 
+def op9_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.range_join(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP9_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM component LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dup.jaccard_join(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "group_id", "n_links", (F.col("uid") == F.col("group_uid")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op3_marginal_langid, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op7_skip_chain_pii, op8_randomness_secrets, op10_chosen_path_join)}
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_counterfactual_toxicity, op3_marginal_langid, op4_best_fit_shards, op5_warc_in_zip, op6_benchmark_containment, op7_skip_chain_pii, op8_randomness_secrets, op9_metric_range_join, op10_chosen_path_join)}
+ORACLE_SQL: dict[str, str] = {"op6_benchmark_containment": OP6_SQL, "op9_metric_range_join": OP9_SQL}

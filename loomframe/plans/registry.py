@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import shaping_queries
+from . import chart_queries, shaping_queries
 
-_GROUPS = [shaping_queries]
+_GROUPS = [shaping_queries, chart_queries]
 
 QUERIES = {name: q for g in _GROUPS for name, q in g.QUERIES.items()}
 ORACLE_SQL = {name: s for g in _GROUPS for name, s in g.ORACLE_SQL.items()}

@@ -83,7 +83,7 @@ def expand_limit(sql: Column, n: int = 20) -> Column:
 
 def unfenced(c: Column) -> Column:
     """Text without code fences."""
-    return F.trim(F.regexp_replace(c, r"```[A-Za-z]*\n?", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"```[A-Za-z]*\n?", ""), r"^\s+|\s+$", "")
 
 
 def clean_sql(c: Column) -> Column:
@@ -125,7 +125,7 @@ def extract_json(c: Column) -> Column:
 def feedback_score(c: Column) -> Column:
     """A score out of feedback text, kept between 1 and 10."""
     n = F.nullif(F.regexp_extract(c, r"(?i)score\D{0,5}([0-9]+)", 1), F.lit("")).try_cast("int")
-    return F.greatest(F.least(n, F.lit(10)), F.lit(1))
+    return F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(10)), F.lit(1)))
 
 
 _ABSOLUTE = r"[^\s\"']*dev_databases/([A-Za-z0-9_]+)/\1\.sqlite"

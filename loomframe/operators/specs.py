@@ -57,20 +57,20 @@ def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, l
     """
     flat = flatten_spec(specs, key, spec)
     joined = features.join(flat, [key, "path"], "left")
-    v, want, op = F.col("flat_value"), F.col("want"), F.col("op")
-    joined = joined.select(*[features[c] for c in features.columns if c != "value"], features["value"].alias("want"), flat["value"].alias("flat_value"), flat["kind"], flat["length"])
+    v, want, op = F.col("__flat"), F.col("__want"), F.col("op")
+    joined = joined.select(*[features[c] for c in features.columns if c != "value"], features["value"].alias("__want"), flat["value"].alias("__flat"), flat["kind"].alias("__kind"), flat["length"].alias("__length"))
     present = v.isNotNull() & (v != "null")
     options = F.from_json(want, "array<string>")
-    sized = F.col("kind").isin("array", "scalar") & v.try_cast("double").isNull()
-    holds = F.when(F.col("kind") == "array", F.array_contains(F.from_json(v, "array<string>"), F.regexp_replace(want, '^"(.*)"$', "$1"))).when(sized, v.contains(F.regexp_replace(want, '^"(.*)"$', "$1")))
+    sized = F.col("__kind").isin("array", "scalar") & v.try_cast("double").isNull()
+    holds = F.when(F.col("__kind") == "array", F.array_contains(F.from_json(v, "array<string>"), F.regexp_replace(want, '^"(.*)"$', "$1"))).when(sized, v.contains(F.regexp_replace(want, '^"(.*)"$', "$1")))
     n = want.try_cast("long")
     strict = (
         F.when(op == "exists", present)
         .when(op == "eq", present & _same(v, want))
         .when(op == "in", present & F.exists(F.coalesce(options, F.array().cast("array<string>")), lambda o: _same(v, o)))
         .when(op == "contains", holds)
-        .when(op == "len_ge", F.when(sized, F.col("length") >= n))
-        .when(op == "len_le", F.when(sized, F.col("length") <= n))
+        .when(op == "len_ge", F.when(sized, F.col("__length") >= n))
+        .when(op == "len_le", F.when(sized, F.col("__length") <= n))
         .otherwise(F.lit(lenient))
     )
     answer = F.coalesce(strict, F.lit(False))

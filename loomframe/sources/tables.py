@@ -103,7 +103,9 @@ def read_declared_schema(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON array; rows that don't fit are dropped."""
     schema = "question_id long, question string, db_id string, evidence string, SQL string, difficulty string"
-    rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path)
+    # by element: one that doesn't fit must not take the whole array with it
+    items = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("item"))
+    rows = items.select(F.from_json("item", schema).alias("q")).select("q.*")
     return rows.where("question_id is not null").withColumnRenamed("SQL", "gold_sql")
 
 

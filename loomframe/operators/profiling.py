@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize_upper
+from ..sources.scratch import ensure_checkpoint_dir
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 # What in a column's name makes it a time.
@@ -153,6 +154,7 @@ def table_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Labels shrink to the least label of a node's neighbours until none changes; each round is written to the shared
     folder's lineage cut (checkpoint), so that the plan stays small."""
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.toDF("a", "b")
     both = both.union(both.select("b", "a")).where("a <> b").distinct()
     labels = nodes.toDF("node").distinct().withColumn("label", F.col("node"))

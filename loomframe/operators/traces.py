@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.scratch import ensure_checkpoint_dir
 
 KEY = ["sample_id"]
 
@@ -15,6 +16,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
     Doubling: each round joins what is known to itself, so that a tree of depth d takes log2(d) rounds; a round is cut
     off by a checkpoint. Nodes whose parent is missing end there."""
+    ensure_checkpoint_dir(nodes.sparkSession)
     links = nodes.where("parent_id is not null").select(*KEY, "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
     parents = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"))
     known = links.join(parents, [*KEY, "ancestor_id"], "left_semi").select(*KEY, "node_id", "ancestor_id", "distance").checkpoint()

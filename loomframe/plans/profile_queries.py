@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import profiling as p
 from ..sources import tables as src
+from ..sources.scratch import state_path
 from ..sources.tables import read_table as t
 from ..streaming import streams
 from .fixtures import fx, with_fx
@@ -131,7 +132,6 @@ def profile_potential(spark, d):
 r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT label AS group_id, count(*) AS size FROM (SELECT node, min(other) AS label FROM r GROUP BY 1) GROUP BY 1""")
 def profile_groups(spark, d):
     edges = t(spark, d, "lineitem").where("l_orderkey < 30").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
-    _checkpoints(spark)
     return p.table_groups(edges, edges.select("a").union(edges.select("b"))).select("group_id", "size")
 
 
@@ -252,26 +252,13 @@ def text_truncated(spark, d):
 # --- streams
 
 
-def _checkpoints(spark) -> str:
-    """The shared folder for state, set where none is."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomframe-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d):
     schema = t(spark, d, "events").schema
     return streams.as_timestamp(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"))  # a pattern: the table may be a file or a folder
 
 
 def _ended(spark, df, mode):
-    path = _checkpoints(spark)
+    path = state_path(spark, "stream")
     return streams.run_to_end(df, "s_" + path[-32:], path, mode)
 
 
@@ -300,7 +287,7 @@ def stream_dedup(spark, d):
 
 @query("stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark, d):
-    path = _checkpoints(spark)
+    path = state_path(spark, "stream")
     q = streams.stream_upsert(_stream(spark, d).select("user_id", "event_id"), f"{path}/table", f"{path}/state", "user_id", "event_id")
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else 0

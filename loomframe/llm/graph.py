@@ -18,19 +18,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     now = materialize(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
-    mark = _mark(now)
     for _ in range(rounds):
-        if mark[0] == 0:
-            break
+        if _are_stars(now):
+            ends = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
         now = materialize(_small_star(_large_star(now)), "edges")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -38,15 +31,17 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, and no such smaller node has one itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return roles.where("down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("c", "m").alias("m"))
-    turned = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return turned.where("u <> v").distinct()
+    return both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 1. Every text becomes a set of shingle fingerprints; texts with the same set form a class, and one sketch of TOKENS
    MinHash values stands for the class. A class is the unit from here on, so copies cost nothing more.
 2. A run hands each class to the buckets of those of its sketch tokens that a hash of run, path and token picks, 1/0.8
-   tokens in expectation. Buckets of up to LEAF classes are compared by brute force. Larger ones are split again on
+   tokens in expectation, and at once splits these on DEPTH - 1 further tokens. Buckets of up to LEAF classes are compared by brute force. Larger ones are split again on
    further tokens; there every class is also compared with one pivot: those much like it are linked to it as candidates
    and, by the triangle inequality of Jaccard distance, need go no deeper. Runs are repeated until a pair at the
    threshold is found with probability RECALL.
@@ -19,6 +19,7 @@ named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, exp, log
 
 import numpy as np
@@ -31,11 +32,11 @@ from .graph import components
 
 THRESHOLD = 0.8
 TOKENS = 64
-#: Probability that a pair at the threshold is found, at the depth of DEPTH splits.
+#: Probability that a pair at the threshold is found, at the depth of DEPTH splits, which every path has.
 RECALL = 0.9999
 DEPTH = 2
 #: Classes of a bucket that are compared by brute force.
-LEAF = 48
+LEAF = 64
 #: Sketch similarity from which a pair becomes a candidate: the threshold less 3.6 standard deviations.
 CANDIDATE = 0.62
 #: Sketch similarity with a pivot from which a class joins its family, and from which it goes no deeper.
@@ -128,22 +129,27 @@ def first_paths(classes: DataFrame, runs: int) -> DataFrame:
                 part = batch.slice(k, 2000)
                 cid, sketch = part.column("cid").to_numpy(), _matrix(part.column("sketch"))
                 for s in start:
-                    row, path = _choose(np.full(len(cid), s), sketch)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[row])], ["path", "cid"])
+                    at, path = np.arange(len(cid)), np.full(len(cid), s)
+                    for _ in range(DEPTH):
+                        row, path = _choose(path, sketch[at])
+                        at = at[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[at])], ["path", "cid"])
 
     return classes.select("cid", "sketch").mapInArrow(run, "path long, cid long")
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
+    """One split more: path, cid and sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 20_000):
                 part = batch.slice(k, 20_000)
-                cid = part.column("cid").to_numpy()
                 row, path = _choose(part.column("path").to_numpy().view(_U), _matrix(part.column("sketch")))
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[row])], ["path", "cid"])
+                kept = part.select(["cid", "sketch"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *kept.columns], ["path", "cid", "sketch"])
 
-    return rows.select("path", "cid", "sketch").mapInArrow(run, "path long, cid long")
+    return rows.select("path", "cid", "sketch").mapInArrow(run, "path long, cid long, sketch binary")
 
 
 def _lowest(similar: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -203,25 +209,31 @@ def _pivot_likeness(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, kinds)
 
 
-def candidate_links(classes: DataFrame, runs: int) -> list[DataFrame]:
-    """Candidate links (a, b) between classes with cid and sketch; one table for each depth that is needed."""
-    paths = materialize(first_paths(classes, runs), "paths")
-    links = []
+def candidate_links(classes: DataFrame, runs: int) -> DataFrame:
+    """Candidate links (a, b) between classes with cid and sketch."""
+    sketch_of = classes.select("cid", "sketch")
+    paths, links = materialize(first_paths(classes, runs), "paths"), []
     while True:
         # the pivot is drawn by a hash, so that it differs between the buckets of a family
         buckets = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("path", "cid").alias("h"), "cid")).alias("p")).where("n > 1")
-        buckets = materialize(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "buckets")
-        members = paths.join(buckets, "path").join(classes.select("cid", "sketch"), "cid")
+        members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
+        # rows that are alone in their bucket are gone before sketches are fetched
+        members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
+        members = materialize(members.select("path", "cid", "n", "pivot", "sketch"), "members")
         leaves = members.where(F.col("n") <= LEAF).groupBy("path").agg(F.collect_list(F.struct("cid", "sketch")).alias("members"))
-        links.append(materialize(leaf_links(leaves).distinct(), "links"))
-        if buckets.where(F.col("n") > LEAF).isEmpty():
-            return links
-        pivots = classes.select(F.col("cid").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        deep = members.where(F.col("n") > LEAF).join(pivots, "pivot").select("path", "cid", "sketch", "pivot", "pivot_sketch")
-        deep = materialize(_pivot_likeness(deep), "deep")
+        links.append(leaf_links(leaves))
+        large = members.where(F.col("n") > LEAF)
+        if large.isEmpty():
+            break
+        pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
+        deep = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "deep")
         absorbed = deep.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
-        links.append(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct())
-        paths = materialize(next_paths(deep.where(F.col("likeness") < SETTLED)), "paths")
+        links.append(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")))
+        unsettled = deep.where(F.col("likeness") < SETTLED)
+        if unsettled.isEmpty():
+            break
+        paths = materialize(next_paths(unsettled), "paths")
+    return reduce(DataFrame.union, links)
 
 
 # --- exact comparison within families
@@ -270,8 +282,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compared(blocks: DataFrame, threshold: float) -> DataFrame:
-    """cid, n_links and low (the smallest cid of its component within the group) of rows with family, i, j, side, cid, copies
-    and the set; side is 0 for the rows of block i."""
+    """cid, n_links, low (the smallest cid of its component within the group) and whether the family has more blocks, of
+    rows with family, size, i, j, side, cid, copies and the set; side is 0 for the rows of block i."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_group(batches, ["family", "i", "j"]):
@@ -284,9 +296,11 @@ def compared(blocks: DataFrame, threshold: float) -> DataFrame:
             if group.column("i")[0].as_py() != group.column("j")[0].as_py():
                 side = group.column("side").to_numpy()
                 near &= side[:, None] != side[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(_lowest(near, cid))], ["cid", "n_links", "low"])
+            many = group.column("size")[0].as_py() > BLOCK
+            columns = [pa.array(cid), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(_lowest(near, cid)), pa.array([many] * len(cid))]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "n_links", "low", "many"])
 
-    return blocks.mapInArrow(run, "cid long, n_links long, low long")
+    return blocks.mapInArrow(run, "cid long, n_links long, low long, many boolean")
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
@@ -294,7 +308,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("side")))
-    return members.withColumn("b", F.explode(pairs)).select("family", "b.i", "b.j", "b.side", "cid", "copies", "shingles")
+    return members.withColumn("b", F.explode(pairs)).select("family", "size", "b.i", "b.j", "b.side", "cid", "copies", "shingles")
 
 
 def _with_shingles(members: DataFrame) -> DataFrame:
@@ -319,26 +333,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     n_links how many other rows a row is linked to directly, copies the rows with its very set."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"), F.col(text).alias("text"))
     rows = materialize(with_sketches(rows), "sketches")
-    sets = rows.where("n > 0").groupBy("one", "two").agg(F.min("uid").alias("cid"), F.count("*").alias("copies"))
-    sets = materialize(sets, "sets")
-    classes = materialize(rows.join(sets, rows.uid == sets.cid).select("cid", "copies", "id", "text_md5", "sketch"), "classes")
-
-    links = None
-    for part in candidate_links(classes, runs_for(recall, DEPTH)):
-        links = part if links is None else links.union(part)
-    families = components(links.select("a", "b"))
-    families = materialize(families.withColumnRenamed("node", "cid").withColumnRenamed("component", "family"), "families")
+    sets = rows.where("n > 0").groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "id", "text_md5", "sketch")).alias("first"))
+    classes = materialize(sets.select("one", "two", "copies", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), "classes")
+
+    families = components(candidate_links(classes, runs_for(recall, DEPTH)))
+    families = materialize(families.select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    members = materialize(families.join(sizes, "family").join(classes.drop("sketch"), "cid"), "members")
+    members = families.join(sizes, "family").join(classes.select("cid", "copies", "id", "text_md5"), "cid")
 
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
     found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "size", "cid", "copies", "text")
     blocks = _in_blocks(_with_shingles(found.dropDuplicates(["cid"]))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     results = materialize(compared(blocks, threshold), "compared")
-    linked = results.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
-    groups = components(results.where("low < cid").select(F.col("cid").alias("a"), F.col("low").alias("b")))
-
-    per_class = sets.join(linked, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    # a family in one block is settled there; the others' blocks are put together
+    split = results.where("many and low < cid").select("cid", F.col("low").alias("b"))
+    joined = results.groupBy("cid").agg(F.sum("n_links").alias("n_links"), F.min("low").alias("component"))
+    if not split.isEmpty():
+        together = components(split)
+        joined = joined.join(together, F.col("cid") == F.col("node"), "left").select("cid", "n_links", F.coalesce(together.component, joined.component).alias("component"))
+    per_class = classes.select("one", "two", "copies", "cid").join(joined, "cid", "left")
     per_class = per_class.select("one", "two", "copies", F.coalesce("component", "cid").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
     base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(per_class, ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies")
     alone = rows.where("n = 0").select("uid", "id", "text_md5", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))

@@ -184,7 +184,8 @@ class Model:
         self.learn({w for words in split for w in words})
         get, table = self.cache.__getitem__, self.table
         for words in split:
-            if not words:
+            # superscripts and the like count as word characters, but are no letters
+            if not any(c.isalpha() for w in words for c in w):
                 yield UNKNOWN, 0.0
                 continue
             score = table[np.fromiter(map(get, words), np.int64, len(words))].sum(0)

@@ -90,3 +90,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def pending_runs(samples: DataFrame, cached: DataFrame, forced: DataFrame | None = None, key: str = "sample_id") -> DataFrame:
     skip = cached if forced is None else cached.join(forced, key, "left_anti")
     return samples.join(skip.select(key), key, "left_anti")
+
+
+def build_statistics(outcomes: DataFrame, samples: DataFrame, columns: list[str], report: DataFrame) -> DataFrame:
+    """The bundle that a run writes: section, key and value rows of the summary, the distribution and the balance report."""
+    pair = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value"))
+    summary = pipeline_summary(outcomes)
+    cells = F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in summary.columns))
+    first = pair(summary.select(F.explode(cells).alias("c")), "summary", F.col("c.k"), F.col("c.v"))
+    spread = pair(pipeline_distribution(samples, columns), "distribution", F.concat_ws("=", "dimension", "value"), F.col("n"))
+    return first.union(spread).union(pair(report, "diversity", F.col("dimension"), F.round("score", 10)))

@@ -557,3 +557,71 @@ def trace_last_code(spark, d):
     nodes = fx(spark, d, "trace").withColumns({"code": F.when(F.col("node_id") % 2 == 0, F.col("node_id")), "internal_status": F.lit("ok")})
     found = traces.last_valid_code(nodes).select("sample_id", "node_id", F.col("code").alias("code_node"))
     return found.where("node_id % 2 = 0 or cast(floor((node_id - 1) / 2) as bigint) % 2 = 0")
+
+
+# --- catalogues, guidance and bundles
+
+
+def _catalog(spark, d):
+    return src.read_table(spark, d, "part").select(F.col("p_brand").alias("category"), F.col("p_type").alias("chart_type")).distinct()
+
+
+@query("candidate_catalog", sql="SELECT p_brand AS category, count(DISTINCT p_type) AS n, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS chart_types FROM part GROUP BY 1")
+def candidate_catalog(spark, d):
+    return candidates.list_charts(_catalog(spark, d))
+
+
+@query("candidate_sampled")
+def candidate_sampled(spark, d):
+    return candidates.sample_chart_types(_catalog(spark, d), ["PROMO"], ["Brand#11"], 5, seed=7)
+
+
+@query("candidate_mapping", "candidates", "SELECT question_id, pos, CASE WHEN dim1 = dim2 THEN dim1 ELSE concat(dim1, ',', dim2) END AS dimensions, measure AS measures, 4 + 2::INT AS complexity, true AS advanced FROM fx")
+def candidate_mapping(spark, d):
+    inner = F.struct(F.col("dim1").alias("x"), F.col("measure").alias("y"), F.concat("dim2", F.lit(" (nominal)")).alias("color"), F.col("measure").alias("size"))
+    m = F.to_json(F.struct(inner.alias("primary_encodings"), F.struct(F.col("dim2").alias("field")).alias("facet")))
+    none = F.array().cast("array<string>")
+    return fx(spark, d, "candidates").select("question_id", "pos", F.array_join(candidates.mapping_dimensions(m), ",").alias("dimensions"), F.array_join(candidates.mapping_measures(m), ",").alias("measures"), candidates.mapping_complexity(m).alias("complexity"), candidates.has_advanced_effects(none, m).alias("advanced"))
+
+
+@query("candidate_required", "candidates", "SELECT question_id, pos, concat('kf_', pos) AS id, 'mark' AS type, chart_type AS text, true AS must FROM fx")
+def candidate_required(spark, d):
+    one = F.struct(F.lit("unknown kind").alias("type"), F.col("chart_type").alias("text"))
+    answers = fx(spark, d, "candidates").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("f")))).alias("fs"))
+    answers = answers.select("question_id", F.to_json(F.struct(F.transform("fs", lambda x: x["f"]).alias("required_key_features"))).alias("answer"))
+    return candidates.parse_required_features(answers, "question_id", "answer").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("ambiguity_guidance", "specs", "SELECT spec_id, CASE WHEN p_size % 2 = 0 THEN 'aggregation_missing' ELSE 'chart_type_missing' END AS templates FROM fx")
+def ambiguity_guidance(spark, d):
+    even = F.col("p_size") % 2 == 0
+    profiles = fx(spark, d, "specs").select("spec_id", F.array(F.when(even, "DATA").otherwise("VISUALIZATION")).alias("ambiguity_types"), F.array(F.when(even, "encoding.y.aggregate").otherwise("mark.type")).alias("target_paths"))
+    return ambiguity.injection_guidance(profiles, "spec_id").select("spec_id", F.array_join("templates", ",").alias("templates"))
+
+
+@query("balance_ambiguity")
+def balance_ambiguity(spark, d):
+    valid = ambiguity.valid_templates(fx(spark, d, "specs"), "spec_id", "spec")
+    counts = valid.groupBy(F.lit("ambiguity_templates").alias("dimension"), F.col("template").alias("value")).agg(F.count("*").alias("n"))
+    return balance.ambiguity_constraints(counts, spark)
+
+
+@query("eval_skip", "judgments", f"SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE code_pass END AS code_pass, sample_id % 3 <> 0 AND merge_strict AS merge_strict FROM {_SCORED}")
+def eval_skip(spark, d):
+    scored = evaluation.score_samples(fx(spark, d, "judgments")).withColumns({"code_renderable": F.col("sample_id") % 3 != 0, "has_prediction": F.lit(True), "has_truth": F.lit(True)})
+    return evaluation.skip_rule(scored).select("sample_id", "code_pass", "merge_strict")
+
+
+@query("collection_statistics", "samples", "SELECT 'distribution' AS section, concat('db_id=', db_id) AS key, count(*)::VARCHAR AS value FROM fx GROUP BY db_id")
+def collection_statistics(spark, d):
+    samples = fx(spark, d, "samples")
+    outcomes = collection.question_outcomes(samples.select(F.col("source_question_id").alias("question_id"), F.col("validation_passed").alias("success"), F.lit("rejected").alias("error")))
+    bundle = collection.build_statistics(outcomes, samples, ["db_id"], balance.diversity_report(_counts(spark, d)))
+    return bundle.where("section = 'distribution'")
+
+
+@query("collection_fill", "runs", "SELECT sample_id, best_score, prompt_tokens % 7 AS ground_truth FROM fx")
+def collection_fill(spark, d):
+    runs = fx(spark, d, "runs")
+    dataset = runs.select("sample_id", (F.col("prompt_tokens") % 7).alias("ground_truth"), F.lit(-1).alias("best_score"))
+    return collection.fill_from_dataset(runs.select("sample_id", "best_score"), dataset, "sample_id", ["ground_truth", "best_score"])

@@ -46,6 +46,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges go from larger to smaller ends, so a node's smaller neighbours are where its edges go."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-    joined = edges.join(least, edges.u == least.c)
-    return joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("v"))
+    best = least.select(F.col("u").alias("c"), F.col("v").alias("m"))
+    turned = edges.join(best, edges.u == best.c).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return turned.union(least).distinct()

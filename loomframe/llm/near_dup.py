@@ -36,11 +36,12 @@ TOKENS = 64
 RECALL = 0.9999
 DEPTH = 2
 #: Classes of a bucket that are compared by brute force.
-LEAF = 64
+LEAF = 128
 #: Sketch similarity from which a pair becomes a candidate: the threshold less 3.6 standard deviations.
 CANDIDATE = 0.62
-#: Sketch similarity with a pivot from which a class joins its family, and from which it goes no deeper.
-ABSORB, SETTLED = 0.5, 0.8
+#: Sketch similarity with a pivot from which a class joins its family, and from which it goes no deeper: what a settled
+#: class links to has at least SETTLED - 0.2 in common with the pivot, 0.1 (over 1.5 standard deviations) above ABSORB.
+ABSORB, SETTLED = 0.35, 0.65
 #: Classes of a family in one block of the exact comparison.
 BLOCK = 256
 
@@ -214,8 +215,8 @@ def candidate_links(classes: DataFrame, runs: int) -> DataFrame:
     sketch_of = classes.select("cid", "sketch")
     paths, links = materialize(first_paths(classes, runs), "paths"), []
     while True:
-        # the pivot is drawn by a hash, so that it differs between the buckets of a family
-        buckets = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("path", "cid").alias("h"), "cid")).alias("p")).where("n > 1")
+        # the pivot is drawn by a hash of the class alone: buckets of a family tend to have the same, and so the same links
+        buckets = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p")).where("n > 1")
         members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")

@@ -16,6 +16,7 @@ base spans are found. Positions are code points, end exclusive. Columns that are
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,11 +103,14 @@ def mentions(text: str) -> list[tuple[int, int, str, bool]]:
             key = re.sub(r"\x20?[\[(]at[\])]\x20?", "@", m[0])
             out.append((*m.span(), re.sub(r"\x20?[\[(]dot[\])]\x20?", ".", key).lower(), True))
     if _DIGIT.search(text):
-        taken = [(a, z) for a, z, *_ in out]
+        # addresses are in order and apart, so only the first that ends after a number's start can overlap it
+        starts, ends = [a for a, *_ in out], [z for _, z, *_ in out]
         for m in NUMBER.finditer(text):
             key = re.sub("[^0-9]", "", m[0])
-            if len(key) >= LEAST_DIGITS and not any(a < m.end() and m.start() < z for a, z in taken[:200]):
-                out.append((*m.span(), key, False))
+            if len(key) >= LEAST_DIGITS:
+                at = bisect_right(ends, m.start())
+                if at == len(starts) or starts[at] >= m.end():
+                    out.append((*m.span(), key, False))
     return sorted(out)
 
 

@@ -267,6 +267,15 @@ def test_pii_base_spans(text):
     assert pii.base_spans(text) == brute_pii(text)
 
 
+def test_pii_mentions_past_many_addresses():
+    many = [f"user{1_000_000 + i}@x{i}.org" for i in range(450)]
+    text = " ".join(many) + " call 2000000 or 1000449"
+    assert [(text[a:z], address) for a, z, _, address in pii.mentions(text)] == [*((m, True) for m in many), ("2000000", False), ("1000449", False)]
+    # digits inside an address are no node, so a number elsewhere with the same digits has none to link to
+    field = pii.Field(np.zeros((5, pii.FEATURES)), np.zeros((5, 5)), 6.0)
+    assert field.added(text, pii.base_spans(text)) == []
+
+
 def test_pii_field(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     field = pii.fit(docs)

@@ -1,8 +1,10 @@
 """A toxicity classifier with counterfactual regularisation.
 
 Logistic regression on words and on how often word beginnings occur. For every labelled text that mentions an identity
-term, copies with the term swapped for another of its group are made, and changes of the logit between a text and its
-copies are penalised, so that a neutral mention of a group does not raise the score.
+term, copies with all its mentions swapped for another term of its group are made, and changes of the logit between a
+text and its copies are penalised, over all features that differ, so that neutral mentions of a group, however many, do
+not raise the score. Groups go by the text's language; a text whose language has none is swapped by the groups of all.
+Without such texts the fit is plain logistic regression: Model.swap_pairs says how many pairs there were.
 
 The fit uses a bounded sample of labelled rows (SAMPLE_ROWS, drawn by a hash of the id); of their features those that
 are most associated with the label, at most FEATURES, come to the driver. Scoring is one pass over all texts.
@@ -38,19 +40,59 @@ RIDGE = 0.1
 #: Weight of the counterfactual penalty.
 SWAP_WEIGHT = 5.0
 CUT = 0.3
-#: Identity terms by group; a term is swapped for the others of its group.
-IDENTITY_GROUPS = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "indigenous"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrant", "refugee", "native"),
-    ("immigrants", "refugees", "natives"),
-    ("disabled", "blind", "deaf"),
-    ("old", "young"),
-)
+#: Identity terms by language and group, as single lower-case words; a term is swapped for the others of its group.
+IDENTITY_GROUPS = {
+    "en": (
+        ("women", "men"),
+        ("woman", "man"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "indigenous"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender"),
+        ("immigrant", "refugee", "native"),
+        ("immigrants", "refugees", "natives"),
+        ("disabled", "blind", "deaf"),
+        ("old", "young"),
+    ),
+    "de": (
+        ("frauen", "männer"),
+        ("frau", "mann"),
+        ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+        ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("schwarze", "weiße", "asiatische", "indigene"),
+        ("schwul", "heterosexuell", "lesbisch", "bisexuell", "transgender"),
+        ("einwanderer", "flüchtlinge", "einheimische"),
+        ("behindert", "blind", "taub"),
+        ("alte", "junge"),
+    ),
+    "fr": (
+        ("femmes", "hommes"),
+        ("femme", "homme"),
+        ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("noirs", "blancs", "asiatiques", "indigènes"),
+        ("gay", "hétérosexuel", "lesbienne", "bisexuel", "transgenre"),
+        ("immigré", "réfugié", "natif"),
+        ("immigrés", "réfugiés", "natifs"),
+        ("handicapé", "aveugle", "sourd"),
+        ("vieux", "jeune"),
+    ),
+    "es": (
+        ("mujeres", "hombres"),
+        ("mujer", "hombre"),
+        ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("negros", "blancos", "asiáticos", "indígenas"),
+        ("gay", "heterosexual", "lesbiana", "bisexual", "transgénero"),
+        ("inmigrante", "refugiado", "nativo"),
+        ("inmigrantes", "refugiados", "nativos"),
+        ("discapacitado", "ciego", "sordo"),
+        ("viejo", "joven"),
+    ),
+}
+_TIERS = ((1, ""), (2, "#2"), (3, "#3"))
+
+Groups = tuple[tuple[str, ...], ...]
 
 _WORD = re.compile(r"\w+")
 
@@ -60,25 +102,66 @@ def features(text: str | None) -> set[str]:
     words = _WORD.findall((text or "").lower())
     starts = Counter(w[:PREFIX] for w in words)
     out = {w for w in words if len(w) > PREFIX}
-    for tier, mark in ((1, ""), (2, "#2"), (3, "#3")):
-        out.update(f"^{p}{mark}" for p, n in starts.items() if n >= tier)
+    for p, n in starts.items():
+        out |= _beginnings(p, n)
     return out
 
 
-def swaps(names: set[str], groups=IDENTITY_GROUPS) -> Iterator[tuple[set[str], set[str]]]:
-    """(features that a swap takes away, features that it adds) for each identity term and each other of its group."""
+def _beginnings(prefix: str, n: int) -> set[str]:
+    """The features of a beginning that occurs n times."""
+    return {f"^{prefix}{mark}" for tier, mark in _TIERS if n >= tier}
+
+
+def groups_of(language: str | None, groups: dict[str, Groups] = IDENTITY_GROUPS) -> Groups:
+    """The groups of a language (en and en-US alike), those of all languages where it has none."""
+    own = groups.get(re.split("[-_]", (language or "").lower())[0])
+    return tuple(dict.fromkeys(g for of in groups.values() for g in of)) if own is None else own
+
+
+def text_swaps(text: str | None, groups: Groups) -> Iterator[tuple[set[str], set[str]]]:
+    """(features that a copy loses, features that it gains) for each identity term of the text and each other of its
+    group, which takes the place of all mentions of the term in the copy."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    if words.keys().isdisjoint(t for g in groups for t in g):
+        return
+    starts = Counter()
+    for w, n in words.items():
+        starts[w[:PREFIX]] += n
     for group in groups:
         for term in group:
-            if "^" + term[:PREFIX] in names and (len(term) <= PREFIX or term in names):
+            n = words[term]
+            for other in group if n else ():
+                if other != term:
+                    # only the two words and their beginnings can differ between a text and its copy
+                    after = Counter({p: starts[p] for p in (term[:PREFIX], other[:PREFIX])})
+                    after[term[:PREFIX]] -= n
+                    after[other[:PREFIX]] += n
+                    had = {w for w in (term, other) if words[w] and len(w) > PREFIX}.union(*(_beginnings(p, starts[p]) for p in after))
+                    has = {w for w in (other,) if len(w) > PREFIX}.union(*(_beginnings(p, k) for p, k in after.items()))
+                    if had != has:
+                        yield had - has, has - had
+
+
+def swaps(names: set[str], groups: Groups) -> Iterator[tuple[set[str], set[str]]]:
+    """The same where only a text's features are known: every beginning like the term's counts as a mention of it."""
+    for group in groups:
+        for term in group:
+            start = "^" + term[:PREFIX]
+            if start in names and (len(term) <= PREFIX or term in names):
+                marks = [mark for _, mark in _TIERS if start + mark in names]
                 for other in group:
                     if other != term:
-                        yield features(term), features(other)
+                        had, has = ({w for w in (t,) if len(t) > PREFIX} | {f"^{t[:PREFIX]}{m}" for m in marks} for t in (term, other))
+                        yield had - has, has - had
 
 
 @dataclass
 class Model:
     bias: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
+    #: Pairs of a text and a swapped copy in the fit, and those of them that differ in features of the model.
+    swap_pairs: int = 0
+    penalised_pairs: int = 0
     _prefixes: set[str] | None = None
 
     def prefixes(self) -> set[str]:
@@ -96,30 +179,40 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -700, 700))))
 
 
-def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swap_weight: float = SWAP_WEIGHT, groups=IDENTITY_GROUPS, steps: int = 2_000) -> Model:
-    """Fit on (label, features) rows over the given features by accelerated gradient steps."""
+def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swap_weight: float = SWAP_WEIGHT, groups: dict[str, Groups] = IDENTITY_GROUPS, steps: int = 2_000, swapped: list[tuple[list[str], list[str], int]] | None = None) -> Model:
+    """Fit on (label, features) rows over the given features by accelerated gradient steps.
+
+    swapped: what text_swaps gives for the rows' texts, and how often; without it, it is taken from the features."""
     y = np.array([label for label, _ in rows], np.float64)
+    if swapped is None:
+        every = groups_of(None, groups)
+        swapped = [(sorted(less), sorted(more), 1) for _, names in rows for less, more in swaps(set(names), every)]
+    made = sum(n for *_, n in swapped)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(float(np.log(share / (1 - share))))
+        return Model(float(np.log(share / (1 - share))), swap_pairs=made)
     at = {t: k for k, t in enumerate(terms)}
-    row, col, pairs = [], [], []
+    row, col, pairs, times = [], [], [], []
     for k, (_, names) in enumerate(rows):
         found = [at[n] for n in names if n in at]
         row += [k] * len(found)
         col += found
-        for less, more in swaps(set(names), groups):
-            change = {at[n]: -1.0 for n in less if n in at} | {at[n]: 1.0 for n in more if n in at}
-            if change:
-                pairs.append(change)
+    for less, more, k in swapped:
+        change = {at[n]: -1.0 for n in less if n in at} | {at[n]: 1.0 for n in more if n in at}
+        if change:
+            pairs.append(change)
+            times.append(k)
     row, col = np.array(row, np.int64), np.array(col, np.int64)
     prow = np.array([k for k, p in enumerate(pairs) for _ in p], np.int64)
     pcol = np.array([c for p in pairs for c in p], np.int64)
     pval = np.array([v for p in pairs for v in p.values()], np.float64)
+    # twice the penalty's weight of each pair, by entry of the pair
+    weigh = np.repeat(2 * swap_weight * np.array(times, np.float64), [len(p) for p in pairs]) if pairs else np.empty(0)
+    width = np.array([len(p) for p in pairs for _ in p], np.float64)
     n, m = len(y), len(terms)
     widest = max(np.bincount(row, minlength=n).max(initial=0), 1)
-    # a bound of the curvature for each feature: its rows, times the most features that a row has
-    bound = 0.25 * (widest + 1) * np.bincount(col, minlength=m) + RIDGE + 8 * swap_weight * np.bincount(pcol, minlength=m)
+    # a bound of the curvature for each feature: its rows, times the most features that a row has; its pairs, times theirs
+    bound = 0.25 * (widest + 1) * np.bincount(col, minlength=m) + RIDGE + np.bincount(pcol, weigh * width, minlength=m)
     bias_bound = 0.25 * (widest + 1) * n
     w, z, t = np.zeros(m), np.zeros(m), 1.0
     b = zb = float(np.log(y.mean() / (1 - y.mean())))
@@ -129,43 +222,52 @@ def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swap_weight: f
         grad = np.bincount(col, miss[row], minlength=m) + RIDGE * z
         if len(prow):
             change = np.bincount(prow, pval * z[pcol], minlength=len(pairs))
-            grad += 2 * swap_weight * np.bincount(pcol, pval * change[prow], minlength=m)
+            grad += np.bincount(pcol, weigh * pval * change[prow], minlength=m)
         new, newb = z - grad / bound, zb - miss.sum() / bias_bound
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t2 * (new - w), newb + (t - 1) / t2 * (newb - b)
         if (new - w) @ grad > 0:
             t2 = 1.0
         w, b, t = new, newb, t2
-    return Model(float(b), {name: float(x) for name, x in zip(terms, w.tolist(), strict=True)})
+    return Model(float(b), {name: float(x) for name, x in zip(terms, w.tolist(), strict=True)}, made, sum(times))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a sample of the labelled rows; labels holds what may be learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, groups: dict[str, Groups] = IDENTITY_GROUPS, lang: str = "lang") -> Model:
+    """Fit on a sample of the labelled rows; labels holds what may be learnt from. groups: identity terms by language,
+    which is read from the column lang where docs has it."""
+    if odd := sorted(t for of in groups.values() for g in of for t in g if not _WORD.fullmatch(t) or t != t.lower()):
+        raise ValueError(f"not a single lower-case word: {odd}")
+    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     total = known.count()
     parts = 1 << 24
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < int(parts * min(1.0, rows / max(total, 1))))
     # about `rows` rows of two numbers, whatever the corpus
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), language.alias("lang")).join(F.broadcast(sample), "id")
+
+    listed = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                names = [sorted(features(t)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(names, pa.list_(pa.string()))], ["y", "names"])
+                texts = part.column("text").to_pylist()
+                names = [sorted(features(t)) for t in texts]
+                pairs = [[{"less": sorted(a), "more": sorted(b)} for a, b in text_swaps(t, groups_of(x, groups))] for t, x in zip(texts, part.column("lang").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(names, listed), pa.array(pairs, pa.list_(pa.struct([("less", listed), ("more", listed)])))], ["y", "names", "swaps"])
 
-    rows_ = materialize(chosen.mapInArrow(run, "y int, names array<string>"), "labelled")
+    rows_ = materialize(chosen.mapInArrow(run, "y int, names array<string>, swaps array<struct<less: array<string>, more: array<string>>>"), "labelled")
     n, ones = rows_.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = rows_.select("y", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
     a, c = F.col("pos") + 0.5, F.col("df") - F.col("pos") + 0.5
     b, d = F.lit(ones) - F.col("pos") + 0.5, F.lit(n - ones) - (F.col("df") - F.col("pos")) + 0.5
     z = F.abs(F.log(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     terms = [r["name"] for r in counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "name").limit(FEATURES).collect()]
-    identity = {f for g in IDENTITY_GROUPS for t in g for f in features(t)}
-    wanted = F.array(*map(F.lit, sorted(set(terms) | identity)))
-    sampled = rows_.select("y", F.array_intersect("names", wanted).alias("names")).orderBy("y", "names").collect()
-    return fit_rows([(r["y"], r["names"]) for r in sampled], terms)
+    sampled = rows_.select("y", F.array_intersect("names", F.array(*map(F.lit, sorted(terms))).cast("array<string>")).alias("names")).orderBy("y", "names").collect()
+    # a few kinds of differences for each two terms, whatever the number of texts
+    kinds = rows_.select(F.explode("swaps").alias("s")).groupBy("s.less", "s.more").count().collect()
+    swapped = sorted((list(r["less"]), list(r["more"]), r["count"]) for r in kinds)
+    return fit_rows([(r["y"], r["names"]) for r in sampled], terms, groups=groups, swapped=swapped)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:

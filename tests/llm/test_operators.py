@@ -87,6 +87,44 @@ def test_toxicity_learns_and_swaps():
     assert regular.score("you idiot") > 0.5 > regular.score(" ".join(words[:5]))
 
 
+def swapped_by_hand(text, groups):
+    words = text.lower().split()
+    for group in groups:
+        for term in group:
+            for other in group:
+                if term in words and other != term:
+                    copy = toxicity.features(" ".join(other if w == term else w for w in words))
+                    yield toxicity.features(text) - copy, copy - toxicity.features(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["muslims", "Muslims", "muslim", "christians", "black", "blackbird", "white", "men", "women", "frauen", "männer", "other"]), max_size=9).map(" ".join), st.sampled_from(["en", "de", "xx"]))
+def test_toxicity_swaps_are_the_features_of_a_copy(text, lang):
+    groups = toxicity.groups_of(lang)
+    assert list(toxicity.text_swaps(text, groups)) == [p for p in swapped_by_hand(text, groups) if p[0] or p[1]]
+
+
+def test_toxicity_swaps_reach_every_mention(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    rows, labels = [], []
+    for i in range(1200):
+        y = int(rng.random() < 0.3)
+        # three mentions are what toxic texts have more often, in each language
+        three = rng.random() < (0.6 if y else 0.05)
+        lang, term = (("en", "muslims"), ("de", "frauen"))[i % 2]
+        rows.append((i, " ".join(rng.sample(words, 8)) + f" {term}" * (3 if three else 1) + (" idiot" if y else ""), lang))
+        labels.append((i, y))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    regular, plain = toxicity.fit(docs, labels), toxicity.fit(docs, labels, groups={})
+    for term in ("muslims", "frauen"):
+        names = [f"^{term[:5]}{mark}" for mark in ("#2", "#3")]
+        assert sum(plain.weights[f] for f in names) > 1 > 10 * abs(sum(regular.weights[f] for f in names))
+    assert plain.swap_pairs == 0 and regular.swap_pairs == 600 * 5 + 600 and regular.penalised_pairs > 0
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels, groups={"en": (("two words", "one"),)})
+
+
 def test_toxicity_frames(spark):
     docs = odd(spark).unionByName(spark.createDataFrame([(100 + k, "fine words" if k % 2 else "vile scum", "en", "") for k in range(60)], odd(spark).schema))
     labels = docs.where("doc_id >= 100").select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")).union(spark.createDataFrame([(None, 1), (5, None), (999, 1)], "doc_id long, toxic int"))

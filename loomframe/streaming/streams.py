@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +64,29 @@ def stream_upsert(df: DataFrame, path: str, checkpoint: str, key: str, order: st
     return df.writeStream.foreachBatch(last_wins_sink(path, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def versions_sink(path: str):
+    """For foreachBatch: each batch is a version of a table; a batch that is run again writes the same version again."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/__version={version}")
+
+    return write
+
+
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run over all that is there, then give the result table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run over all that is there, then give the result table, which executors write below the checkpoint folder:
+    in complete mode that of the last batch, else the rows of all batches."""
+    spark, table = df.sparkSession, f"{checkpoint.rstrip('/')}/table"
+    out = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint.rstrip('/')}/state").trigger(availableNow=True)
+    out = out.format("parquet").option("path", table) if mode == "append" else out.foreachBatch(versions_sink(table))
+    out.start().awaitTermination()
+    try:
+        rows = spark.read.schema(df.schema).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], df.schema)  # there was no batch
+    if mode == "complete":
+        last = max(int(re.search("/__version=([0-9]+)/[^/]*$", f)[1]) for f in rows.inputFiles())
+        rows = spark.read.schema(df.schema).parquet(f"{table}/__version={last}")
+    return rows.select(df.columns)

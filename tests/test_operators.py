@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import fixed, text
 from loomframe.operators import ambiguity, balance, candidates, chartops, collection, evaluation, profiling, quality, recipes, shaping, specs, traces
 from loomframe.sources import tables as src
+from loomframe.streaming import streams
 
 
 def values(df, *cols):
@@ -221,6 +222,25 @@ def test_text(spark):
     assert one(text.feedback_score, "Score: 99") == 10 and one(text.feedback_score, "none") is None
 
 
+@pytest.mark.parametrize(("mode", "batches"), [("append", 0), ("append", 3), ("complete", 0), ("complete", 3), ("update", 3)])
+def test_streams_end_in_files(spark, tmp_path, mode, batches):
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/out"
+    (tmp_path / "in").mkdir()
+    for k in range(batches):
+        spark.createDataFrame([(i, 0.5) for i in range(4 + k)], "k long, x double").coalesce(1).write.mode("append").parquet(folder)
+    df = streams.read_stream(spark, folder, "k long, x double", 1)
+    out = streams.run_to_end(df if mode == "append" else df.groupBy("k").agg(F.sum("x").alias("x")), f"ends_{mode}_{batches}", state, mode)
+    assert out.columns == ["k", "x"]
+    got = sorted((r.k, r.x) for r in out.collect())
+    if mode == "append":
+        assert got == sorted((i, 0.5) for k in range(batches) for i in range(4 + k))
+    else:
+        last = {i: 0.5 * sum(i < 4 + k for k in range(batches)) for i in range(4 + batches - 1 if batches else 0)}
+        assert dict(got) == last and (mode == "update" or len(got) == len(last))
+    # executors wrote the table: nothing was held in the driver
+    assert all(f"{state}/table/" in f for f in out.inputFiles()) and bool(out.inputFiles()) == bool(batches)
+
+
 def test_fixed_values():
     assert len(fixed.AMBIGUITY_TEMPLATES) == 14 and len(fixed.FAILURE_CODES) == 8 and len(fixed.DATA_REQUIREMENTS) == 11
     assert sum(fixed.REWARD_WEIGHTS.values()) == pytest.approx(1)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.scratch import state_path
 
-#: Levels of nesting that are flattened.
+#: Levels of nesting that are flattened in one job; deeper ones take further jobs.
 DEPTH = 7
 CHANNELS = ("x", "y", "color", "size")
 
@@ -23,10 +24,17 @@ def json_path(spec: Column, path: str) -> Column:
 
 
 def flatten_spec(specs: DataFrame, key: str, spec: str, depth: int = DEPTH) -> DataFrame:
-    """key, path, value (JSON text), kind and length of every node below the root, a level at a time."""
+    """key, path, value (JSON text), kind and length of every node below the root, a level at a time, however deep.
+
+    After each depth levels, what is left to open is written below the checkpoint folder, and the next go on from there."""
     level = specs.select(key, F.lit("").alias("path"), F.col(spec).alias("value"))
-    found = None
-    for _ in range(depth):
+    found, done = None, 0
+    while True:
+        if done and done % depth == 0:
+            level = _written(level)
+            if level.isEmpty():
+                break
+        done += 1
         head = F.substring(F.ltrim("value"), 1, 1)
         as_map = F.from_json(F.when(head == "{", F.col("value")), "map<string,string>")
         as_list = F.from_json(F.when(head == "[", F.col("value")), "array<string>")
@@ -43,6 +51,12 @@ def flatten_spec(specs: DataFrame, key: str, spec: str, depth: int = DEPTH) -> D
     return found.select(key, "path", "value", kind.alias("kind"), size.cast("long").alias("length"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = state_path(df.sparkSession, "nodes")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _same(a: Column, b: Column) -> Column:
     """Equal as JSON values: as numbers where both are, else as text without quotes."""
     x, y = (F.regexp_replace(c, '^"(.*)"$', "$1") for c in (a, b))

@@ -222,6 +222,17 @@ def test_text(spark):
     assert one(text.feedback_score, "Score: 99") == 10 and one(text.feedback_score, "none") is None
 
 
+def test_flatten_spec_at_any_depth(spark):
+    steps = ["layer", "0"] * 9
+    deep = '{"layer":[' * 9 + '"bar"' + "]}" * 9
+    df = spark.createDataFrame([("deep", deep), ("flat", '{"mark":"bar"}'), ("none", None)], "k string, s string")
+    got = {(r.k, r.path): r.value for r in specs.flatten_spec(df, "k", "s").collect()}
+    assert got.keys() == {("flat", "mark"), *(("deep", ".".join(steps[: n + 1])) for n in range(len(steps)))}
+    assert got["deep", ".".join(steps)].strip('"') == "bar"
+    wanted = spark.createDataFrame([("deep", ".".join(steps), "exists", None), ("deep", ".".join([*steps, "0"]), "exists", None)], "k string, path string, op string, value string")
+    assert {r.path.count("."): r.satisfied for r in specs.check_features(df, wanted, "k", "s").collect()} == {17: True, 18: False}
+
+
 @pytest.mark.parametrize(("mode", "batches"), [("append", 0), ("append", 3), ("complete", 0), ("complete", 3), ("update", 3)])
 def test_streams_end_in_files(spark, tmp_path, mode, batches):
     folder, state = f"{tmp_path}/in", f"{tmp_path}/out"

@@ -3,7 +3,8 @@
 Pre-tokenisation without regular expressions: every code point has a class, every class is a function on the eight
 states of the splitter, and the functions compose. The compositions form a small monoid, built once with its
 multiplication table; a blocked prefix scan over monoid elements gives the state before each character, and with it the
-places where a pre-token begins. The byte slices between those places are merged by rank; merged slices are cached.
+places where a pre-token begins. The byte slices between those places are merged by rank, many slices a round over a
+table of pairs of ids; merged slices are cached.
 
 Cases: a null text is the empty text, with no token. Any length is handled: texts are scanned in runs of bounded
 size, and a slice is merged with a heap once it is long. Repeated rows give repeated results; an empty table gives an
@@ -30,9 +31,15 @@ FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_L
 #: The white space of the split pattern, and the endings that follow an apostrophe.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Merged slices kept by a Python worker; a full cache is emptied. This bounds memory only.
-CACHE_SLICES = 100_000
+#: Merged slices kept by a Python worker in each of two generations: a full one becomes the old one, and what is used of
+#: the old one becomes young again. This bounds memory only.
+CACHE_SLICES = 150_000
+#: Slices merged together, and bytes of a slice from which it is merged alone.
+ROUND_SLICES, LONGEST_ROW = 8_192, 64
+#: No token.
+NEVER = (1 << 31) - 1
 BLOCK = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
@@ -147,29 +154,94 @@ class Vocabulary:
         self.lengths = np.array([len(by_id.get(i, b"")) for i in range(size)], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
-        self.cache: dict[bytes, bytes] = {}
-
-    def merge(self, piece: bytes) -> bytes:
-        """The ids of a pre-token as little-endian 32-bit integers."""
-        whole = self.ranks.get(piece)
-        ids = [whole] if whole is not None else self._pairs(piece) if len(piece) <= 48 else self._heap(piece)
-        return np.array(ids, "<u4").tobytes()
-
-    def _pairs(self, piece: bytes) -> list[int]:
-        get = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            known = [r for r in rank if r is not None]
-            if not known:
-                return [self.ranks[p] for p in parts]
-            i = rank.index(min(known))
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del rank[i]
-            if i:
-                rank[i - 1] = get(parts[i - 1] + parts[i])
-            if i < len(rank):
-                rank[i] = get(parts[i] + parts[i + 1])
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ranks.items()}
+        self.singles = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self._index_pairs()
+        #: Slices seen lately and before that, with their ids.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _index_pairs(self) -> None:
+        """A table of all (left id, right id) that make a token, with open addressing."""
+        get, pairs = self.ranks.get, {}
+        for token, i in self.ranks.items():
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    pairs[(a << 32) | b] = i
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ids = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        key, value = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        at = ((key.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.ids[at[put]] = key[put], value[put]
+            rest = np.ones(len(key), bool)
+            rest[put] = False
+            key, value, at = key[rest], value[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit integers. Slices of like length are merged together, one
+        merge of each a round; long ones with a heap."""
+        out = [self.packed.get(p) for p in pieces]
+        todo = sorted((len(p), k) for k, p in enumerate(pieces) if out[k] is None)
+        for at in range(0, len(todo), ROUND_SLICES):
+            rows = [k for n, k in todo[at : at + ROUND_SLICES] if n <= LONGEST_ROW]
+            for k, ids in zip(rows, self._rounds([pieces[k] for k in rows]) if rows else (), strict=True):
+                out[k] = ids
+            for n, k in todo[at : at + ROUND_SLICES]:
+                if n > LONGEST_ROW:
+                    out[k] = np.array(self._heap(pieces[k]), "<u4").tobytes()
+        return out
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of the token that two ids make, NEVER where there is none."""
+        key = (left.astype(np.int64) << 32) | right
+        at = ((key.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+        out = np.full(key.shape, NEVER, np.int64)
+        open_ = np.flatnonzero(self.keys[at.ravel()] != -1)
+        key, at, flat = key.ravel()[open_], at.ravel()[open_], out.ravel()
+        while len(open_):
+            found = self.keys[at] == key
+            flat[open_[found]] = self.ids[at[found]]
+            at = (at + 1) & (len(self.keys) - 1)
+            more = ~found & (self.keys[at] != -1)
+            open_, key, at = open_[more], key[more], at[more]
+        return flat.reshape(out.shape)
+
+    def _rounds(self, pieces: list[bytes]) -> list[bytes]:
+        length = np.array([len(p) for p in pieces], np.int64)
+        wide = int(length.max())
+        raw = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(len(pieces), wide)
+        ids = np.where(np.arange(wide) < length[:, None], self.singles[raw], NEVER)
+        final, live = np.full(ids.shape, NEVER, np.int64), np.arange(len(pieces))
+        rank = self.joined(ids[:, :-1], ids[:, 1:])
+        while len(live):
+            at = rank.argmin(1) if rank.shape[1] else np.zeros(len(live), np.int64)
+            best = rank[np.arange(len(live)), at] if rank.shape[1] else np.full(len(live), NEVER)
+            ended = best == NEVER
+            if ended.any():
+                final[live[ended], : ids.shape[1]] = ids[ended]
+                live, ids, rank, at, best = (x[~ended] for x in (live, ids, rank, at, best))
+                if not len(live):
+                    break
+            # each row loses its place at + 1, so all rows get narrower by one
+            row, place = np.arange(len(live)), np.arange(ids.shape[1] - 1)
+            after = (place[None, :] > at[:, None]).astype(np.int64)
+            ids = np.take_along_axis(ids, place + after, 1)
+            ids[row, at] = best
+            place = place[:-1]
+            rank = np.take_along_axis(rank, place + (place >= at[:, None]), 1)
+            some = np.flatnonzero(at > 0)
+            rank[some, at[some] - 1] = self.joined(ids[some, at[some] - 1], best[some])
+            some = np.flatnonzero(at < rank.shape[1])
+            rank[some, at[some]] = self.joined(best[some], ids[some, at[some] + 1])
+        kept = final != NEVER
+        data, cut = final[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [data[p:q] for p, q in zip([0, *cut], cut, strict=False)]
 
     def _heap(self, piece: bytes) -> list[int]:
         n, get = len(piece), self.ranks.get
@@ -191,9 +263,25 @@ class Vocabulary:
                 heapq.heappush(heap, (r, p, i, end))
         return [self.ranks[piece[i : stop[i]]] for i in range(n) if live[i]]
 
+    def lookup(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each slice; slices that neither generation of the cache holds are merged, each once."""
+        found = list(map(self.young.get, pieces))
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        if fresh:
+            missing = list(dict.fromkeys(pieces[k] for k in fresh))
+            known = dict(zip(missing, map(self.old.get, missing), strict=True))
+            unknown = [p for p, ids in known.items() if ids is None]
+            known.update(zip(unknown, self.merge(unknown), strict=True))
+            for k in fresh:
+                found[k] = known[pieces[k]]
+            if len(self.young) + len(known) > CACHE_SLICES:
+                self.old, self.young = self.young, {}
+            if len(known) <= CACHE_SLICES:
+                self.young.update((p, ids) for p, ids in known.items() if len(p) <= LONGEST_ROW)
+        return found
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        cache = self.cache
         for a, z in chunks(texts):
             run = [t or "" for t in texts[a:z]]
             sizes = np.array([len(t) for t in run], np.int64)
@@ -210,17 +298,7 @@ class Vocabulary:
             byte = np.concatenate([[0], np.cumsum(width)])
             cut = np.append(byte[at], byte[-1]).tolist()
             data = joined.encode()
-            packed = []
-            for p, q in zip(cut, cut[1:], strict=False):
-                piece = data[p:q]
-                ids = cache.get(piece)
-                if ids is None:
-                    if len(cache) >= CACHE_SLICES:
-                        cache.clear()
-                    ids = self.merge(piece)
-                    if len(piece) <= 64:
-                        cache[piece] = ids
-                packed.append(ids)
+            packed = self.lookup([data[p:q] for p, q in zip(cut, cut[1:], strict=False)])
             owner = np.concatenate([[0], np.searchsorted(at, np.cumsum(sizes))]).tolist()
             for p, q in zip(owner, owner[1:], strict=False):
                 yield b"".join(packed[p:q])

@@ -45,6 +45,22 @@ def test_bpe_long_slices(text):
     assert np.frombuffer(next(VOCAB.encode([text])), "<u4").tolist() == REFERENCE.encode_ordinary(text)
 
 
+def test_bpe_every_code_point():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(c) for c in points[k : k + 4096]) for k in range(0, len(points), 4096)] + ["a".join(chr(c) for c in points[k : k + 4096]) for k in range(0, 65536, 4096)]
+    for text, ids in zip(texts, VOCAB.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == REFERENCE.encode_ordinary(text)
+
+
+def test_bpe_cache_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_SLICES", 50)
+    vocab, rng = bpe.Vocabulary(RANKS), random.Random(9)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcxyzé") for _ in range(rng.randint(1, 80))) for _ in range(rng.randint(0, 30))) for _ in range(4)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in vocab.encode(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
+        assert len(vocab.young) <= 50 + 120
+
+
 def test_bpe_scan_is_associative():
     element, product, _, _ = bpe.monoid()
     e = element[np.random.default_rng(1).integers(0, 16, 1000)]

@@ -1,13 +1,16 @@
 """The pipeline and the registered queries of the subpackage, on small tables and by brute force."""
 
 import hashlib
+import struct
 import zlib
 
 import corpus_pipeline
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 
-from loomframe.llm import decontaminate, near_dup, queries, toxicity
+from loomframe.llm import bpe, decontaminate, near_dup, queries, toxicity
 from loomframe.llm.common import scratch_path
 
 
@@ -104,6 +107,17 @@ def test_held_out_toxicity(spark, sf):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_token_query_as_the_library(spark, sf):
+    ranks = bpe.Vocabulary(queries.BPE_RANKS).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = library.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), digest(struct.pack(f"<{len(ids)}I", *ids)), digest((r.text or "").encode())))
+    assert sorted(map(tuple, queries.op1_byte_bpe(spark, sf).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

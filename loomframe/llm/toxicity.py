@@ -7,7 +7,8 @@ not raise the score. Groups go by the text's language; a text whose language has
 Without such texts the fit is plain logistic regression: Model.swap_pairs says how many pairs there were.
 
 The fit uses a bounded sample of labelled rows (SAMPLE_ROWS, drawn by a hash of the id); of their features those that
-are most associated with the label, at most FEATURES, come to the driver. Scoring is one pass over all texts.
+are associated with the label, and those that a swap takes from a text, come to the driver. Scoring is one pass over all
+texts.
 
 Cases: null and empty texts have no feature and get the score of the intercept. Several labels of an id count as toxic
 if one is; null labels and labels of unknown ids are not used. Without labels, or with one class only, every score is
@@ -32,8 +33,7 @@ from .common import materialize
 
 #: Labelled rows that the fit uses at most, in expectation.
 SAMPLE_ROWS = 12_000
-#: Features of the model at most, and the z-score of association that one needs.
-FEATURES = 4_000
+#: The z-score of association with the label that a feature of the model needs, if no swap changes it.
 LEAST_Z = 3.5
 PREFIX = 5
 RIDGE = 0.1
@@ -99,17 +99,12 @@ _WORD = re.compile(r"\w+")
 
 def features(text: str | None) -> set[str]:
     """Words longer than PREFIX, and beginnings of words (short words whole) that occur, occur twice, and thrice."""
-    words = _WORD.findall((text or "").lower())
-    starts = Counter(w[:PREFIX] for w in words)
-    out = {w for w in words if len(w) > PREFIX}
-    for p, n in starts.items():
-        out |= _beginnings(p, n)
-    return out
+    return features_of(_WORD.findall((text or "").lower()))
 
 
-def _beginnings(prefix: str, n: int) -> set[str]:
-    """The features of a beginning that occurs n times."""
-    return {f"^{prefix}{mark}" for tier, mark in _TIERS if n >= tier}
+def features_of(words: list[str]) -> set[str]:
+    starts = Counter(w[:PREFIX] for w in words)
+    return {w for w in words if len(w) > PREFIX} | {f"^{p}{mark}" for p, n in starts.items() for tier, mark in _TIERS if n >= tier}
 
 
 def groups_of(language: str | None, groups: dict[str, Groups] = IDENTITY_GROUPS) -> Groups:
@@ -121,40 +116,19 @@ def groups_of(language: str | None, groups: dict[str, Groups] = IDENTITY_GROUPS)
 def text_swaps(text: str | None, groups: Groups) -> Iterator[tuple[set[str], set[str]]]:
     """(features that a copy loses, features that it gains) for each identity term of the text and each other of its
     group, which takes the place of all mentions of the term in the copy."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    if words.keys().isdisjoint(t for g in groups for t in g):
-        return
-    starts = Counter()
-    for w, n in words.items():
-        starts[w[:PREFIX]] += n
+    words = _WORD.findall((text or "").lower())
+    present = set(words)
+    had = None
     for group in groups:
-        for term in group:
-            n = words[term]
-            for other in group if n else ():
+        for term in present.intersection(group) and [t for t in group if t in present]:
+            had = features_of(words) if had is None else had
+            for other in group:
                 if other != term:
-                    # only the two words and their beginnings can differ between a text and its copy
-                    after = Counter({p: starts[p] for p in (term[:PREFIX], other[:PREFIX])})
-                    after[term[:PREFIX]] -= n
-                    after[other[:PREFIX]] += n
-                    had = {w for w in (term, other) if words[w] and len(w) > PREFIX}.union(*(_beginnings(p, starts[p]) for p in after))
-                    has = {w for w in (other,) if len(w) > PREFIX}.union(*(_beginnings(p, k) for p, k in after.items()))
+                    has = features_of([other if w == term else w for w in words])
                     if had != has:
                         yield had - has, has - had
 
 
-def swaps(names: set[str], groups: Groups) -> Iterator[tuple[set[str], set[str]]]:
-    """The same where only a text's features are known: every beginning like the term's counts as a mention of it."""
-    for group in groups:
-        for term in group:
-            start = "^" + term[:PREFIX]
-            if start in names and (len(term) <= PREFIX or term in names):
-                marks = [mark for _, mark in _TIERS if start + mark in names]
-                for other in group:
-                    if other != term:
-                        had, has = ({w for w in (t,) if len(t) > PREFIX} | {f"^{t[:PREFIX]}{m}" for m in marks} for t in (term, other))
-                        yield had - has, has - had
-
-
 @dataclass
 class Model:
     bias: float = 0.0
@@ -179,14 +153,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -700, 700))))
 
 
-def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swap_weight: float = SWAP_WEIGHT, groups: dict[str, Groups] = IDENTITY_GROUPS, steps: int = 2_000, swapped: list[tuple[list[str], list[str], int]] | None = None) -> Model:
+def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swapped: list[tuple[list[str], list[str], int]], swap_weight: float = SWAP_WEIGHT, steps: int = 2_000) -> Model:
     """Fit on (label, features) rows over the given features by accelerated gradient steps.
 
-    swapped: what text_swaps gives for the rows' texts, and how often; without it, it is taken from the features."""
+    swapped: what text_swaps gives for the rows' texts, and how often."""
     y = np.array([label for label, _ in rows], np.float64)
-    if swapped is None:
-        every = groups_of(None, groups)
-        swapped = [(sorted(less), sorted(more), 1) for _, names in rows for less, more in swaps(set(names), every)]
     made = sum(n for *_, n in swapped)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
@@ -262,12 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     a, c = F.col("pos") + 0.5, F.col("df") - F.col("pos") + 0.5
     b, d = F.lit(ones) - F.col("pos") + 0.5, F.lit(n - ones) - (F.col("df") - F.col("pos")) + 0.5
     z = F.abs(F.log(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    terms = [r["name"] for r in counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "name").limit(FEATURES).collect()]
-    sampled = rows_.select("y", F.array_intersect("names", F.array(*map(F.lit, sorted(terms))).cast("array<string>")).alias("names")).orderBy("y", "names").collect()
     # a few kinds of differences for each two terms, whatever the number of texts
     kinds = rows_.select(F.explode("swaps").alias("s")).groupBy("s.less", "s.more").count().collect()
     swapped = sorted((list(r["less"]), list(r["more"]), r["count"]) for r in kinds)
-    return fit_rows([(r["y"], r["names"]) for r in sampled], terms, groups=groups, swapped=swapped)
+    # of what swaps change, features that no sampled text has stay out: they would only share a mention's weight
+    changed = sorted({n for less, more, _ in swapped for n in (*less, *more)})
+    wanted = (F.col("z") >= LEAST_Z) | F.col("name").isin(changed)
+    terms = sorted(r["name"] for r in counts.withColumn("z", z).where(wanted).select("name").collect())
+    known = F.array(*map(F.lit, terms)).cast("array<string>")
+    sampled = sorted((r["y"], r["names"]) for r in rows_.select("y", F.array_sort(F.array_intersect("names", known)).alias("names")).collect())
+    return fit_rows(sampled, terms, swapped)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:

@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces of the product of their probabilities, got by the forward algorithm; a text's is the
 product over its words. The probabilities come from expectation maximisation over the words of a bounded sample of
-labelled texts. Words are runs of letters of the lower-cased text, cut every CUT letters.
+labelled texts; expected uses of pieces are summed by Spark, so that the driver sees a number for each piece and
+language only. Words are runs of letters of the lower-cased text, of any length.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; without any language to learn every text is
 ``und``. Texts are read whole. Equal likelihoods go to the language that sorts first; repeated rows get equal results; an
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 UNKNOWN = "und"
-#: Labelled texts of each language that the fit uses at most, in expectation; languages that are fitted at most.
+#: The fit's sample: labelled texts of each language at most, in expectation, and letters of a word at most.
 SAMPLE_PER_LANGUAGE = 400
-CUT = 24
-LONGEST_PIECE = 12
+LONGEST_LEARNT = 64
+#: Words of more letters are scored one by one, with a band of the forward pass.
+LONGEST_TOGETHER = 64
 ROUNDS = 4
 SMOOTHING = 0.05
 #: The probability of a letter that no piece covers.
@@ -40,19 +44,16 @@ _MARK = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    found = _WORD.findall((text or "").lower())
-    if all(len(w) <= CUT for w in found):
-        return found
-    return [w[i : i + CUT] for w in found for i in range(0, len(w), CUT)]
+    return _WORD.findall((text or "").lower())
 
 
 def vocabulary(model_path: str) -> list[str]:
-    """The pieces of letters of a sentencepiece model, lower-cased, in order of their ids."""
+    """The pieces of a sentencepiece model, lower-cased, in order of their ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return list(dict.fromkeys(p for p in pieces if p.removeprefix(_MARK).isalpha() and len(p) <= LONGEST_PIECE))
+    return list(dict.fromkeys(p for p in pieces if p))
 
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -69,9 +70,11 @@ class PieceIndex:
     def __init__(self, pieces: list[str]):
         self.stray, self.none = len(pieces), len(pieces) + 1
         h = np.zeros(len(pieces), np.uint64)
-        codes = _codes(pieces, LONGEST_PIECE) if pieces else np.zeros((0, LONGEST_PIECE), np.uint64)
         length = np.array([len(x) for x in pieces], np.int64)
-        for k in range(LONGEST_PIECE):
+        codes = _codes(pieces, int(length.max(initial=0)))
+        #: Pieces of other characters than letters can't be part of a word, however long they are.
+        self.longest = max((len(x) for x in pieces if x.removeprefix(_MARK).isalpha()), default=1)
+        for k in range(codes.shape[1]):
             h = np.where(length > k, (h + codes[:, k]) * _K, h)
         self.order = np.argsort(h)
         self.hashes = np.append(h[self.order], np.uint64(2**64 - 1))
@@ -96,14 +99,14 @@ class Lattice:
         self.order = np.array(sorted(range(len(words)), key=lambda k: -len(marked[k])), np.int64)
         marked = [marked[k] for k in self.order]
         length = np.array([len(w) for w in marked], np.int64)
-        self.width, self.last = int(length.max(initial=0)), length
+        self.width, self.last, self.longest = int(length.max(initial=0)), length, index.longest
         codes = _codes(marked, self.width) if words else np.zeros((0, 0), np.uint64)
         #: how many words have at least so many letters
         self.alive = [int(np.searchsorted(-length, -n, "right")) for n in range(self.width + 1)]
         self.piece: dict[tuple[int, int], np.ndarray] = {}  # by (start, end)
         for a in range(self.width):
             h = np.zeros(len(words), np.uint64)
-            for z in range(a + 1, min(self.width, a + LONGEST_PIECE) + 1):
+            for z in range(a + 1, min(self.width, a + self.longest) + 1):
                 n = self.alive[z]
                 if not n:
                     break
@@ -121,7 +124,7 @@ class Lattice:
         alpha[0] = 1
         for z in range(1, self.width + 1):
             n = self.alive[z]
-            for a in range(max(0, z - LONGEST_PIECE), z):
+            for a in range(max(0, z - self.longest), z):
                 if (a, z) in self.piece:
                     alpha[z, :n] += alpha[a, :n] * p[self.piece[a, z]]
         return alpha
@@ -139,7 +142,7 @@ class Lattice:
         out = np.zeros_like(p)
         for z in range(self.width, 0, -1):
             n = self.alive[z]
-            for a in range(max(0, z - LONGEST_PIECE), z):
+            for a in range(max(0, z - self.longest), z):
                 if (a, z) in self.piece:
                     part = beta[z, :n] * p[self.piece[a, z]]
                     beta[a, :n] += part
@@ -149,6 +152,34 @@ class Lattice:
         return out
 
 
+def long_log_likelihood(word: str, index: PieceIndex, p: np.ndarray, step: int = 4096) -> np.ndarray:
+    """The same for one long word by language: only the last places of the forward pass are held, scaled as it goes."""
+    marked = _MARK + word
+    size, wide = len(marked), index.longest
+    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    band = np.zeros((wide, p.shape[1]))  # the places before, the last one first
+    band[0] = 1
+    scale = np.zeros(p.shape[1])
+    for begin in range(0, size, step):
+        ends = np.arange(begin + 1, min(size, begin + step) + 1)
+        pieces = np.full((len(ends), wide), index.none, np.int32)
+        for n in range(1, wide + 1):
+            at = ends >= n
+            h = np.zeros(int(at.sum()), np.uint64)
+            for k in range(n):
+                h = (h + codes[ends[at] - n + k]) * _K
+            found = index.find(h)
+            stray = (ends[at] > n) if n == 1 else (ends[at] == n) & (n == 2)
+            found[stray & (found == index.none)] = index.stray
+            pieces[at, n - 1] = found
+        for row in pieces:
+            alpha = (band * p[row]).sum(0) + 1e-300
+            scale += np.log(alpha)
+            band[1:] = band[:-1] / alpha
+            band[0] = 1
+    return scale
+
+
 class Model:
     """Languages, pieces, and the probabilities of pieces (and of a stray letter) by language."""
 
@@ -176,34 +207,65 @@ class Model:
                 self.cache[w] = len(self.cache)
         self.table = np.concatenate(tables)
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The log-likelihood of some words by language."""
+        short = np.fromiter((self.cache[w] for w in words if len(w) <= LONGEST_TOGETHER), np.int64)
+        total = self.table[short].sum(0)
+        for w in words:
+            if len(w) > LONGEST_TOGETHER:
+                total = total + long_log_likelihood(w, self.index, self.p)
+        return total
+
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         if not self.languages:
             yield from ((UNKNOWN, 0.0) for _ in texts)
             return
         split = [words_of(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        get, table = self.cache.__getitem__, self.table
+        self.learn({w for words in split for w in words if len(w) <= LONGEST_TOGETHER})
         for words in split:
             # superscripts and the like count as word characters, but are no letters
             if not any(c.isalpha() for w in words for c in w):
                 yield UNKNOWN, 0.0
                 continue
-            score = table[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
+            score = self.scores(words)
             best = int(score.argmax())
             yield self.languages[best], float(1 / np.exp(score - score[best]).sum())
 
 
-def fit_counts(counts: dict[str, Counter], pieces: list[str]) -> Model:
-    """Fit on word counts by language."""
-    languages = sorted(k for k, c in counts.items() if c)
-    words = sorted(set().union(*(counts[k] for k in languages))) if languages else []
-    times = np.array([[counts[k][w] for k in languages] for w in words], np.float64).reshape(len(words), len(languages))
-    index = PieceIndex(pieces)
+def expected_uses(words: DataFrame, languages: list[str], pieces: list[str], p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece by language over all rows (lang, word, n)."""
+    sent = words.sparkSession.sparkContext.broadcast((languages, pieces, p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, pieces, p = sent.value
+        index, place = PieceIndex(pieces), {k: i for i, k in enumerate(languages)}
+        use = np.zeros_like(p)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4000):
+                part = batch.slice(k, 4000)
+                times: dict[str, np.ndarray] = {}
+                for lang, w, n in zip(part.column("lang").to_pylist(), part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
+                    times.setdefault(w, np.zeros(len(languages)))[place[lang]] += n
+                names = sorted(times)
+                use += Lattice(names, index).expected(p, np.array([times[w] for w in names]))
+        piece, lang = np.nonzero(use[:-2])
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(use[piece, lang], pa.float64())], ["piece", "lang", "uses"])
+
+    out = np.zeros_like(p)
+    # sums in whole millionths, so that the order in which tasks end makes no difference; a row for each piece and language at most
+    sums = words.mapInArrow(run, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum(F.round(F.col("uses") * 1e6).cast("decimal(38,0)")).alias("uses"))
+    for r in sums.collect():
+        out[r["piece"], r["lang"]] = float(r["uses"]) / 1e6
+    sent.destroy()
+    return out
+
+
+def fit_words(words: DataFrame, languages: list[str], pieces: list[str]) -> Model:
+    """Fit on rows (lang, word, n)."""
     p = np.full((len(pieces) + 2, len(languages)), 1.0 / max(1, len(pieces)))
-    parts = [(Lattice(words[k : k + 4000], index), times[k : k + 4000]) for k in range(0, len(words), 4000)]
     p[-2:] = [[STRAY], [0.0]]
-    for _ in range(ROUNDS):
-        use = sum((lattice.expected(p, t) for lattice, t in parts), np.zeros_like(p))[:-2] + SMOOTHING
+    for _ in range(ROUNDS if languages else 0):
+        use = expected_uses(words, languages, pieces, p)[:-2] + SMOOTHING
         p[:-2] = use / use.sum(0)
     return Model(languages, pieces, p)
 
@@ -221,15 +283,13 @@ def fit(docs: DataFrame, model_path: str, lang: str = "lang", text: str = "text"
         for batch in batches:
             counts: Counter = Counter()
             for k, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.update((k, w) for w in words_of(t))
+                counts.update((k, w) for w in words_of(t) if len(w) <= LONGEST_LEARNT)
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array([counts[x] for x in keys], pa.int64())], ["lang", "word", "n"])
 
-    rows = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for r in rows:
-        counts[r["lang"]][r["word"]] = r["n"]
-    return fit_counts(counts, vocabulary(model_path))
+    words = materialize(chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    return fit_words(words, languages, vocabulary(model_path))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -1,13 +1,18 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (rows of equal text).
 
-Groups with at least 1/ITEMS of all bytes are packed one by one; smaller ones go by a hash of their text into parcels,
-which are packed whole. So the packer sees a bounded number of items at any input size, and never a row. The items,
-largest first, each enter the bin with the least remaining capacity that still holds them, found in a balanced tree
-keyed by remaining capacity. For a given number of shards the least capacity that suffices is searched by bisection.
-
-A group larger than an even share of all bytes cannot be kept whole without making shards uneven; only such groups
-are split, into chunks by row. Cases: a null text has no bytes and is equal to other null texts; repeated rows each
-get a slot; ties of size are packed in the order of the item's key; an empty table gives an empty result. The result
+Groups, largest first, each enter the bin with the least remaining capacity that still holds them, found in a balanced
+tree keyed by remaining capacity. Groups of one size are interchangeable, so the packer works on size classes: after a
+group has entered the tightest bin, that bin stays the tightest for the next group of the size until it is full, and a
+whole stretch of groups enters at once. The result is what packing group by group gives. What comes to the driver is a
+count for each different size; n bytes hold at most sqrt(2 n) groups of different sizes. Groups take their bins by
+their number within the size, ordered by a hash of the text.
+
+``shard_by_capacity`` opens as few bins of a given capacity as the rule needs; ``shard_by_bytes`` searches the least
+capacity that a number of bins needs, by bisection.
+
+A group larger than a shard (the given capacity, or an even share of all bytes) can't be kept whole; of such groups each
+row is an item of its own. Cases: a null text has no bytes and is equal to other null texts; repeated rows each get a
+slot; ties of size are packed alike, in the order of the text's hash; an empty table gives an empty result. The result
 has the columns named below only, so that columns of the input can't clash.
 """
 
@@ -15,21 +20,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize
 
-#: Groups of at least total / ITEMS bytes are items of their own; there are so many parcels at most.
-ITEMS = 4096
-#: An oversized group is dealt into so many chunks, each an item.
-CHUNKS = 256
 #: Bytes that each row costs besides its text.
 ROW_BYTES = 16
 #: Rows numbered by one window.
 SLOT_ROWS = 20_000
-#: Parcels in three tiers, of 15/16, 15/256 and 1/256 of the hash range: small ones level out what large ones leave.
-TIERS = (2048, 1024, 1024)
+#: Groups with more than this part of all rows are joined by broadcast; there are fewer than so many.
+HOT = 1_000
+STEPS = 20
+
+#: Of a size class: (bin, how many of its items enter it), in order.
+Runs = list[tuple[int, int]]
 
 
 @dataclass
@@ -65,9 +70,8 @@ class BinTree:
         return b
 
     def add(self, remaining: int, number: int) -> None:
-        import numpy as np
-
-        priority = int(mix64(np.array([number * 1_000_003 + remaining], np.uint64))[0])
+        priority = (number * 1_000_003 + remaining) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        priority = (priority ^ priority >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
         less, more = self._split(self.root, (remaining, number))
         self.root = self._join(self._join(less, _Node((remaining, number), priority)), more)
 
@@ -87,53 +91,48 @@ class BinTree:
         return found.key
 
 
-def best_fit_decreasing(items: dict[str, int], capacity: int, at_most: int | None = None) -> dict[str, int] | None:
-    """Bin of each item in as few bins of this capacity as the rule opens; None if that is more than at_most. An item
-    over the capacity gets a bin of its own."""
+def best_fit_decreasing(classes: dict[int, int], capacity: int, at_most: int | None = None) -> dict[int, Runs] | None:
+    """The bins that the items of each size enter, in as few bins of this capacity as the rule opens; None if that is
+    more than at_most. classes: the number of items of each size. An item over the capacity gets a bin of its own."""
     tree, opened, placed = BinTree(), 0, {}
-    for key, size in sorted(items.items(), key=lambda x: (-x[1], x[0])):
-        bin_ = tree.take(size)
-        if bin_ is None:
-            if at_most is not None and opened == at_most:
-                return None
-            bin_, opened = (max(capacity, size), opened), opened + 1
-        placed[key] = bin_[1]
-        tree.add(bin_[0] - size, bin_[1])
+    for size in sorted(classes, reverse=True):
+        left, runs = classes[size], []
+        while left:
+            bin_ = tree.take(size)
+            if bin_ is None:
+                if at_most is not None and opened == at_most:
+                    return None
+                bin_, opened = (max(capacity, size), opened), opened + 1
+            n = min(left, bin_[0] // size) if size else left
+            runs.append((bin_[1], n))
+            tree.add(bin_[0] - n * size, bin_[1])
+            left -= n
+        placed[size] = runs
     return placed
 
 
-def pack_into(items: dict[str, int], bins: int) -> dict[str, int]:
+def pack_into(classes: dict[int, int], bins: int) -> dict[int, Runs]:
     """Bins for items under the least capacity that bisection finds for this number of bins."""
-    if not items:
+    if not classes:
         return {}
-    low = max(-(-sum(items.values()) // bins), max(items.values()))
-    high, best = 2 * low, None
-    while (best := best_fit_decreasing(items, high, bins)) is None:
-        high *= 2
-    for _ in range(14):
+    low = max(-(-sum(s * n for s, n in classes.items()) // bins), max(classes))
+    high, best = low, None
+    while (best := best_fit_decreasing(classes, high, bins)) is None:
+        low, high = high + 1, high + max(1, high // 64)
+    for _ in range(STEPS):
         if low >= high:
             break
         mid = (low + high) // 2
-        if (found := best_fit_decreasing(items, mid, bins)) is None:
+        if (found := best_fit_decreasing(classes, mid, bins)) is None:
             low = mid + 1
         else:
             high, best = mid, found
     return best
 
 
-def _parcel(group: Column) -> Column:
-    h = F.pmod(F.xxhash64(group), F.lit(1 << 20))
-    tier = F.when(h < 15 << 16, 0).when(h < 255 << 12, 1).otherwise(2)
-    base = F.when(tier == 0, 0).when(tier == 1, TIERS[0]).otherwise(TIERS[0] + TIERS[1])
-    wide = F.when(tier == 0, TIERS[0]).otherwise(TIERS[1])
-    return F.concat(F.lit("p"), (base + h % wide).cast("string"))
-
-
-def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc id, size, text_crc32, shard and slot (0, 1, ... within a shard) of every row."""
-    spark: SparkSession = docs.sparkSession
+def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     t = F.col(text)
-    base = materialize(
+    return materialize(
         docs.select(
             F.col(id_col).alias("id"),
             (F.coalesce(F.octet_length(t), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
@@ -143,36 +142,82 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: s
         ),
         "shard-rows",
     )
+
+
+def _numbered(items: DataFrame, by: str, order: str, rows: int) -> DataFrame:
+    """Number the rows of each value of a column from 0 without a gap, as ``k``, in parts: the rows of a part by a window
+    of its own, after an offset summed from the parts' counts, so that no value lands in one task."""
+    parts = max(1, -(-rows // SLOT_ROWS))
+    items = items.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
+    counts = items.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    in_part = items.withColumn("k", F.row_number().over(Window.partitionBy(by, "part").orderBy(order)))
+    return in_part.join(offsets, [by, "part"]).withColumn("k", (F.col("offset") + F.col("k") - 1).cast("long")).drop("part", "offset")
+
+
+def _taking(items: DataFrame, placed: dict[int, Runs]) -> DataFrame:
+    """The shard of numbered items: ``k`` counts through the runs of the item's size."""
+    rows = []
+    for size, runs in placed.items():
+        upto = 0
+        ends = []
+        for shard, n in runs:
+            upto += n
+            ends.append((upto, shard))
+        rows.append((size, ends))
+    # a row for each different size; Spark broadcasts it if it is small
+    classes = items.sparkSession.createDataFrame(rows, "item long, runs array<struct<upto: long, shard: int>>")
+    run = F.filter("runs", lambda r: r["upto"] > F.col("k"))[0]
+    return items.join(classes, "item").withColumn("shard", run["shard"]).drop("runs")
+
+
+def _place(base: DataFrame, pack, limit: int, rows: int) -> DataFrame:
+    """The rows with their shard. pack: runs from classes; groups over the limit go row by row."""
+    groups = materialize(base.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.first("size").alias("one")), "shard-groups")
+    whole = groups.where(F.col("bytes") <= limit)
+    over = groups.where(F.col("bytes") > limit)
+    classes = {r["item"]: r["n"] for r in whole.groupBy(F.col("bytes").alias("item")).agg(F.count("*").alias("n")).collect()}
+    # the groups over the limit are fewer than the shards
+    single = over.groupBy(F.col("one").alias("item")).agg(F.sum("n").alias("n")).collect()
+    for r in single:
+        classes[r["item"]] = classes.get(r["item"], 0) + r["n"]
+    placed = pack(classes)
+    # rows of split groups stand behind the whole groups of their size
+    apart, behind = {}, {}
+    for r in single:
+        behind[r["item"]], left = [], r["n"]
+        apart[r["item"]] = list(placed[r["item"]])
+        while left:
+            shard, n = apart[r["item"]].pop()
+            take = min(left, n)
+            behind[r["item"]].insert(0, (shard, take))
+            left -= take
+            if n > take:
+                apart[r["item"]].append((shard, n - take))
+    of_group = materialize(_taking(_numbered(whole.withColumnRenamed("bytes", "item"), "item", "grp", rows), placed | apart).select("grp", "n", "shard"), "shard-of-group")
+    hot = F.col("n") * HOT > rows
+    marked = base.join(F.broadcast(groups.where(hot | (F.col("bytes") > limit)).select("grp", F.lit(True).alias("hot"), (F.col("bytes") > limit).alias("over"))), "grp", "left")
+    placed_hot = marked.where("hot and not over").join(F.broadcast(of_group.where(hot).drop("n")), "grp")
+    placed_rest = marked.where("hot is null").join(of_group.where(~hot).drop("n"), "grp")
+    split = _taking(_numbered(marked.where("over").withColumn("item", F.col("size")), "item", "uid", rows), behind)
+    columns = ["id", "size", "crc", "uid", "shard"]
+    return placed_hot.select(columns).union(placed_rest.select(columns)).union(split.select(columns))
+
+
+def _with_slots(placed: DataFrame, id_col: str, rows: int) -> DataFrame:
+    return _numbered(placed, "shard", "uid", rows).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("k").alias("slot"))
+
+
+def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc id, size, text_crc32, shard and slot (0, 1, ... within a shard) of every row, for a number of shards."""
+    base = _rows(docs, id_col, text)
     rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = materialize(base.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
-    # at most ITEMS groups can have total / ITEMS bytes each, so what is collected is bounded
-    big = {r.grp: r.bytes for r in groups.filter(F.col("bytes") * ITEMS >= total).collect()}
-    over = [g for g, b in big.items() if b * shards > total]
-    items = {g: b for g, b in big.items() if g not in over}
-    for r in groups.filter(F.col("bytes") * ITEMS < total).groupBy(_parcel(F.col("grp")).alias("item")).agg(F.sum("bytes").alias("bytes")).collect():
-        items[r["item"]] = r["bytes"]
-    chunk = F.concat("grp", F.lit("/"), F.pmod(F.xxhash64("uid"), F.lit(CHUNKS)).cast("string"))
-    if over:
-        # at most one group for each shard exceeds an even share
-        for r in base.filter(F.col("grp").isin(over)).groupBy(chunk.alias("item")).agg(F.sum("size").alias("bytes")).collect():
-            items[r["item"]] = r["bytes"]
-    placed = pack_into(items, shards)
-    bigs = spark.createDataFrame([(g, g in over) for g in big], "grp string, split boolean")
-    shard_of = spark.createDataFrame(list(placed.items()), "item string, shard int")
-    item = F.when(F.col("split"), chunk).when(F.col("split").isNotNull(), F.col("grp")).otherwise(_parcel(F.col("grp")))
-    placed_rows = base.join(F.broadcast(bigs), "grp", "left").withColumn("item", item).join(F.broadcast(shard_of), "item")
-    return number_slots(placed_rows.drop("item", "grp", "split"), shards, rows).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot"
-    )
+    return _with_slots(_place(base, lambda classes: pack_into(classes, shards), total // shards, rows), id_col, rows)
 
 
-def number_slots(placed: DataFrame, shards: int, rows: int) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap. A shard is numbered in parts: each part's rows by a window
-    of its own, after an offset summed from the parts' counts."""
-    parts = max(8, -(-rows // (shards * SLOT_ROWS)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int"))
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    in_part = placed.withColumn("k", F.row_number().over(Window.partitionBy("shard", "part").orderBy("uid")))
-    return in_part.join(offsets, ["shard", "part"]).withColumn("slot", (F.col("offset") + F.col("k") - 1).cast("long"))
+def shard_by_capacity(docs: DataFrame, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for as few shards of at most ``capacity`` bytes as the rule opens. A row over it has a shard of its own."""
+    base = _rows(docs, id_col, text)
+    rows = base.count()
+    return _with_slots(_place(base, lambda classes: best_fit_decreasing(classes, capacity), capacity, rows), id_col, rows)

@@ -49,17 +49,26 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha1 and refers_to (null: a response). The rows must come in the same order when they are
-    read again, as rows of files do; that order only decides between rows of equal id and payload."""
+    """page_id, url, payload, sha1, revisit and refers_to (null: a response). Who revisits whom is settled on digests and
+    numbers of rows alone; payloads are then dealt by their row's number, so that a common payload is spread like any
+    other. The rows must come in the same order when they are read again, as rows of files do; that order only decides
+    between rows of equal id and payload."""
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("uid")
-    ).withColumn("sha1", F.sha1("payload"))
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload")
+    )
+    light = materialize(rows.select("uid", "page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("n")), "digests")
     order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "uid")
-    heads = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max(F.struct(order.alias("o"), "page_id")).alias("head"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select(F.col("sha1").alias("head_sha1"), F.col("head.page_id").alias("head_id"), F.col("head.o.uid").alias("head_uid"))
-    joined = rows.join(heads, F.col("sha1") == F.col("head_sha1"), "left")
+    heads = light.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max(F.struct(order.alias("o"), "page_id")).alias("head"), F.count("*").alias("copies")).where("copies > 1")
+    heads = materialize(heads.select("sha1", "copies", F.col("head.page_id").alias("head_id"), F.col("head.o.uid").alias("head_uid")), "heads")
+    # digests with a thousandth of all rows, fewer than a thousand, go to every task; no other has more rows than that
+    hot = F.col("copies") * 1000 > light.count()
+    common = F.broadcast(heads.where(hot).withColumn("common", F.lit(True)))
+    marked = light.join(common, "sha1", "left")
+    names = ["uid", "sha1", "head_id", "head_uid"]
+    marks = marked.where("common").select(names).union(marked.where("common is null").select("uid", "sha1").join(heads.where(~hot), "sha1", "left").select(names))
     revisit = F.col("head_uid").isNotNull() & (F.col("uid") != F.col("head_uid"))
-    return joined.select("page_id", "url", "payload", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("head_id")).alias("refers_to"))
+    marks = marks.select("uid", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("head_id")).alias("refers_to"))
+    return rows.join(marks, "uid").select("page_id", "url", "payload", "sha1", "revisit", "refers_to")
 
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
@@ -182,26 +191,27 @@ def _wide(extra: bytes, full: int, packed: int, offset: int) -> tuple[int, int]:
     return offset, packed
 
 
-def spans(f, span_bytes: int = SPAN_BYTES) -> Iterator[tuple[int, int]]:
-    """(first byte, length) of runs of whole records in the stored members; a member without an index is one run."""
+def spans(f, span_bytes: int = SPAN_BYTES) -> Iterator[tuple[int, int, list[int]]]:
+    """(first byte, length, lengths of the records) of runs of whole records in the stored members; a member without an
+    index is one run, whose records' lengths are not known beforehand."""
     members = directory(f)
     for name, (method, start, length) in members.items():
         if not name.startswith("archive/") or method != 0:
             continue
         index = members.get(INDEX) if name == DATA else None
         if index is None or index[0] != 0:
-            yield start, length
+            yield start, length, []
             continue
         f.seek(index[1])
-        begin = stop = 0
+        begin, sizes = 0, []
         for line in f.read(index[2]).splitlines():
             entry = json.loads(line)
-            if stop > begin and entry["offset"] + entry["length"] - begin > span_bytes:
-                yield start + begin, stop - begin
-                begin = entry["offset"]
-            stop = entry["offset"] + entry["length"]
-        if stop > begin:
-            yield start + begin, stop - begin
+            if sizes and entry["offset"] + entry["length"] - begin > span_bytes:
+                yield start + begin, sum(sizes), sizes
+                begin, sizes = entry["offset"], []
+            sizes.append(entry["length"])
+        if sizes:
+            yield start + begin, sum(sizes), sizes
 
 
 def list_spans(manifest: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
@@ -211,9 +221,10 @@ def list_spans(manifest: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
                 store, name = opened(path)
                 with store.open_input_file(name) as f:
                     found = list(spans(f, span_bytes))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([s for s, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["path", "start", "length"])
+                columns = [pa.array([path] * len(found), pa.string()), pa.array([s for s, *_ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([x for *_, x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "start", "length", "records"])
 
-    return manifest.mapInArrow(run, "path string, start long, length long")
+    return manifest.mapInArrow(run, "path string, start long, length long, records array<long>")
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
@@ -223,28 +234,55 @@ def read_records(ranges: DataFrame) -> DataFrame:
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for path, start, length in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length")), strict=True):
+            for path, start, length, sizes in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length", "records")), strict=True):
                 store, name = opened(path)
                 with store.open_input_file(name) as f:
                     f.seek(start)
-                    data = f.read(length)
-                for block in members_of(data):
-                    rows.append(parsed(block))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
+                    for block in indexed(f, sizes) if sizes else members_of(f, length):
+                        rows.append(parsed(block))
+                        held += len(block)
+                        if len(rows) == 500 or held > SPAN_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return ranges.mapInArrow(run, RECORDS)
 
 
-def members_of(data: bytes) -> Iterator[bytes]:
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data)
+def indexed(f, sizes: list[int]) -> Iterator[bytes]:
+    """The records at a file's place, cut where the index says; the file is read about SPAN_BYTES at a time."""
+    at = 0
+    while at < len(sizes):
+        stop, total = at + 1, sizes[at]
+        while stop < len(sizes) and total + sizes[stop] <= SPAN_BYTES:
+            total += sizes[stop]
+            stop += 1
+        data, begin = memoryview(f.read(total)), 0
+        for n in sizes[at:stop]:
+            yield zlib.decompress(data[begin : begin + n], 31)
+            begin += n
+        at = stop
+
+
+def members_of(f, length: int, step: int = 1 << 14) -> Iterator[bytes]:
+    """The records of a stretch whose index is not known, one gzip member after another, read a little at a time."""
+    d, parts, data = zlib.decompressobj(31), [], b""
+    while length or data:
+        if not data:
+            data = f.read(min(step, length))
+            if not data:
+                raise ValueError("a stretch of records ends early")
+            length -= len(data)
+        parts.append(d.decompress(data))
         data = d.unused_data
+        if d.eof:
+            yield b"".join(parts)
+            d, parts = zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("a stretch of records ends within one")
 
 
 def parsed(block: bytes) -> tuple:
@@ -266,6 +304,7 @@ def archive_and_read(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read every record back."""
     spark = pages.sparkSession
     manifest = write_archives(mark_revisits(pages, min_revisit_bytes=min_revisit_bytes), scratch_path(spark, "warc"))
-    many = max(1, manifest.count())
-    ranges = list_spans(manifest.repartition(min(many, 10_000)))
-    return read_records(ranges)
+    archives, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    ranges = list_spans(manifest.repartition(max(1, min(archives, 10_000))))
+    # an exchange of a row for each span deals the spans of all archives to tasks
+    return read_records(ranges.repartition(max(1, min(-(-size // SPAN_BYTES) + archives, 100_000))))

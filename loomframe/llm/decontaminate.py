@@ -1,11 +1,12 @@
 """Benchmark decontamination: items contained in documents, by size-partitioned MinHash containment search.
 
-Items are partitioned by the size of their shingle set. Of an item with m shingles the sketch is the k least hashes,
-k = m - ceil(t m) + 1: a document that lacks all k contains less than t of the item, so no item is missed, whatever the
-length of the document. A partition is only searched for documents with at least as many shingles as its smallest item
-needs. Pairs that share a sketched hash are verified on the words themselves.
+Items are partitioned by the size of their shingle set, by powers of two. An item's MinHash sketch is of the bottom-k
+kind: the k least hashes of its m shingles, k = m - ceil(t m) + 1. A document that lacks all k contains less than t of
+the item, so no item is missed, whatever the length of the document. Each partition has a sketch index of its own. The
+number of a document's shingles chooses the partitions that are probed: those whose smallest items it could contain.
+Only documents that share a sketched hash with an item of such a partition are verified, on the words themselves.
 
-Items are sent to tasks in blocks of bounded size, each against all documents, so the benchmark may be of any size.
+Items are sent to tasks in blocks of bounded size, one block after another, so the benchmark may be of any size.
 
 Cases: null and empty texts contain nothing, and such items are found nowhere. An item of one to four words is one
 shingle and is found in texts of just these words. Repeated rows are each searched, and repeated item ids each reported.
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHINGLE_WORDS, chunks, shingle_hashes, word_table
+from .common import SHINGLE_WORDS, chunks, materialize, shingle_hashes, word_table
 
 THRESHOLD = 0.8
 #: Shingles of the items in one block, about; this bounds what is broadcast.
 BLOCK_SHINGLES = 2_000_000
 FILTER_BITS = 20
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())])
 
 
@@ -47,37 +49,58 @@ def exact_shingles(text: str | None, words: int = SHINGLE_WORDS) -> set[tuple[st
     return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
 
 
+class Partition:
+    """The sketch index of the items whose numbers of shingles have one power of two."""
+
+    def __init__(self, least: int, sketches: list[tuple[int, np.ndarray]]):
+        #: Shingles that a document needs to contain any item of the partition.
+        self.least = least
+        hashes = np.concatenate([h for _, h in sketches])
+        order = np.argsort(hashes, kind="stable")
+        self.sketch, self.owner = hashes[order], np.concatenate([np.full(len(h), k) for k, h in sketches])[order]
+        self.bits = np.zeros(1 << FILTER_BITS, bool)
+        self.bits[(self.sketch & _LOW).astype(np.int64)] = True
+
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(places of hashes that the index holds, items of each)."""
+        maybe = np.flatnonzero(self.bits[(h & _LOW).astype(np.int64)])
+        left = np.searchsorted(self.sketch, h[maybe], "left")
+        right = np.searchsorted(self.sketch, h[maybe], "right")
+        hit = right > left
+        return maybe[hit], [self.owner[x:y] for x, y in zip(left[hit].tolist(), right[hit].tolist(), strict=True)]
+
+
 class Searcher:
     """A block of items, by size partition."""
 
     def __init__(self, ids: list, texts: list[str], threshold: float):
         self.ids, self.threshold = ids, threshold
         self.words = [exact_shingles(t) for t in texts]
-        hashes, owners, self.need = [], [], []
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, t in enumerate(texts):
             h = np.unique(shingle_hashes([t])[0])
-            least = least_shared(len(h), threshold)
-            #: what a document needs at least is set by the partition: sizes of one power of two
-            self.need.append(least_shared(1 << max(0, len(h).bit_length() - 1), threshold))
-            sketch = h[: len(h) - least + 1] if len(h) else h
-            hashes.append(sketch)
-            owners.append(np.full(len(sketch), k))
-        self.sketch = np.concatenate([np.empty(0, np.uint64), *hashes])
-        order = np.argsort(self.sketch, kind="stable")
-        self.sketch, self.owner = self.sketch[order], np.concatenate([np.empty(0, np.int64), *owners])[order]
-        self.bits = np.zeros(1 << FILTER_BITS, bool)
-        self.bits[(self.sketch & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+            if len(h):
+                sketch = h[: len(h) - least_shared(len(h), threshold) + 1]
+                by_size.setdefault(len(h).bit_length() - 1, []).append((k, sketch))
+        self.partitions = [Partition(least_shared(1 << p, threshold), found) for p, found in sorted(by_size.items())]
 
     def search(self, texts: list[str | None]) -> Iterator[list[dict]]:
         for a, z in chunks(texts):
             h, b = shingle_hashes(texts[a:z])
-            maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-            left = np.searchsorted(self.sketch, h[maybe], "left")
-            right = np.searchsorted(self.sketch, h[maybe], "right")
-            docs = np.searchsorted(b, maybe, "right") - 1
+            size = np.diff(b)
             found: dict[int, set[int]] = {}
-            for d, x, y in zip(docs[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                found.setdefault(d, set()).update(self.owner[x:y].tolist())
+            for partition in self.partitions:
+                large = size >= partition.least
+                if not large.any():
+                    break  # the partitions that follow need still more shingles
+                if large.all():
+                    at, items = partition.probe(h)
+                else:
+                    places = np.flatnonzero(np.repeat(large, size))
+                    at, items = partition.probe(h[places])
+                    at = places[at]
+                for d, own in zip((np.searchsorted(b, at, "right") - 1).tolist(), items, strict=True):
+                    found.setdefault(d, set()).update(own.tolist())
             for d in range(z - a):
                 yield self.verified(texts[a + d], found[d]) if d in found else []
 
@@ -85,8 +108,6 @@ class Searcher:
         own = exact_shingles(text)
         out = []
         for k in sorted(items):
-            if len(own) < self.need[k]:
-                continue
             n, shared = len(self.words[k]), len(self.words[k] & own)
             if shared >= least_shared(n, self.threshold):
                 out.append({"item_id": self.ids[k], "n_item": n, "n_shared": shared})
@@ -101,14 +122,18 @@ def annotate(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "te
     length = chosen.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-length // (4 * BLOCK_SHINGLES)))
     kept = [docs.schema[c] for c in keep]
-    carried = keep if text in keep or blocks == 1 else [*keep, text]
     result = docs.select(*dict.fromkeys([*keep, text]))
     for k in range(blocks):
         block = chosen.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()  # of bounded size
         last = k == blocks - 1
-        names = keep if last else carried
+        names = keep if last else list(dict.fromkeys([*keep, text]))
         schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out, T.ArrayType(LEAK))])
-        result = result.mapInArrow(_run(docs.sparkSession.sparkContext.broadcast(([r.id for r in block], [r.text for r in block])), threshold, names, text, out, k > 0), schema)
+        sent = docs.sparkSession.sparkContext.broadcast(([r.id for r in block], [r.text for r in block]))
+        result = result.mapInArrow(_run(sent, threshold, names, text, out, k > 0), schema)
+        if not last:
+            # what driver and tasks hold is one block at a time
+            result = materialize(result, "block")
+            sent.destroy()
     return result.select(*(F.col(f.name) for f in kept), out)
 
 

@@ -6,17 +6,23 @@ with its kind. Edges run between mentions that follow each other, and, as skip l
 one with the same digits or letters (or the same last digits), however far apart; loopy message passing then makes
 labels of repeated entities agree. Mentions whose marginal passes CALL are added as spans; base spans stay as they are.
 
-Weights of a mention's features are fitted on mentions of a bounded sample of documents, labelled by the patterns.
-
-Cases: null and empty texts have no span; texts are read whole; repeated rows get equal spans; of kinds with equal
-marginals the one listed first is taken; an empty table gives an empty result, and without mentions to learn from only
-base spans are found. Positions are code points, end exclusive. Columns that are kept pass through; a clash is an error.
+All weights (of a mention's features, of label pairs in sequence, and of both kinds of skip links) are fitted together
+by penalised pseudo-likelihood: each mention's label given its features and its neighbours' labels, on the mentions of a
+bounded sample of documents. Labels come from the patterns. A mention that none of them matches may be an entity in
+another style, so it counts UNLABELLED; and each mention is learnt from twice, once with features of its own in place of
+those that say how it is written, or else the links would never be needed. Skip weights are drawn to SKIP_PRIOR where
+links are rare.
+
+Cases: null and empty texts have no span; texts are read whole, in time linear in their length; repeated rows get equal
+spans; of kinds with equal marginals the one listed first is taken; an empty table gives an empty result, and without
+mentions to learn from only links to base spans count. Positions are code points, end exclusive. Columns that are kept
+pass through; a clash is an error.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,30 +31,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+): a match takes runs of digits whole, so it is sought where they begin only.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Mentions: looser than the patterns.
-NUMBER = re.compile(r"\+?\(?[0-9](?:[0-9]|[\x20().-]{1,2}(?=[0-9(]))*[0-9]")
-ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]+)+")
+#: Mentions: looser than the patterns. Addresses are sought about what joins them.
+NUMBER = re.compile(r"\+?\(?[0-9]++(?:[\x20().-]{1,3}[0-9]++)*+")
+JOINT = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++")
 _DIGIT = re.compile("[0-9]")
 LEAST_DIGITS = 7
 #: Last digits that make two numbers similar.
 SUFFIX = 7
 #: Documents that the fit reads at most, in expectation.
 SAMPLE_DOCS = 5_000
-#: Agreement that skip links are believed to have before any is seen: agreeing and other pairs.
-SKIP_PRIOR = (60.0, 1.0)
-SIMILAR_SHARE = 0.8
-#: Bound of a mention's own log-odds, so that evidence from elsewhere in the document can count.
-OWN_BOUND = 2.5
+#: Weights of skip links (same text, same last digits) before any is seen, and how firmly they are believed.
+SKIP_PRIOR, SKIP_FIRMNESS = (4.0, 3.0), 20.0
+#: What a mention without a pattern counts in the fit.
+UNLABELLED = 0.3
+RIDGE = 0.5
 OBSERVED = 30.0
 CALL = 0.6
 ROUNDS = 12
+STEPS = 400
 
 Span = tuple[int, int, int]  # rank of kind, start, end
 
@@ -64,7 +71,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)] if text.count("@") * 50 > len(text) else _emails(text)
+        out += [(0, a, z) for a, z, _ in _around(text, _AT, _DOMAIN)]
     if _DIGIT.search(text):
         out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
@@ -77,21 +84,23 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _emails(text: str) -> list[Span]:
-    """The matches of EMAIL, each sought only about an @: what a match holds before it is a run of few characters."""
-    out, free, at = [], 0, text.find("@")
-    while at >= 0:
-        start = at
+def _around(text: str, joint: re.Pattern, host: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """(start, end, key) of leftmost matches of local part, joint and host, each sought about a joint: what stands
+    before it is a run of characters that no joint has a part in, so runs are walked back once."""
+    free = 0
+    for m in joint.finditer(text):
+        if m.start() < free:
+            continue
+        start = m.start()
         while start > free and text[start - 1] in _LOCAL:
             start -= 1
-        m = EMAIL.match(text, start) if start < at else None
-        if m:
-            out.append((0, *m.span()))
-            free = m.end()
-        at = text.find("@", max(at + 1, free))
-    return out
+        if start < m.start() and (h := host.match(text, m.end())):
+            free = h.end()
+            yield start, free, text[start : m.start()] + "@" + _DOT.sub(".", h[0])
 
 
+_AT, _DOMAIN = re.compile("@"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOT = re.compile(r"\x20?[\[(]dot[\])]\x20?")
 _LOCAL = frozenset(c for c in map(chr, range(128)) if re.match(r"[A-Za-z0-9._%+-]", c))
 
 
@@ -99,9 +108,7 @@ def mentions(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, digits or letters, whether it is an address) of each mention, in order."""
     out = []
     if "@" in text or "at]" in text or "at)" in text:
-        for m in ADDRESS.finditer(text):
-            key = re.sub(r"\x20?[\[(]at[\])]\x20?", "@", m[0])
-            out.append((*m.span(), re.sub(r"\x20?[\[(]dot[\])]\x20?", ".", key).lower(), True))
+        out = [(a, z, key.lower(), True) for a, z, key in _around(text, JOINT, HOST)]
     if _DIGIT.search(text):
         # addresses are in order and apart, so only the first that ends after a number's start can overlap it
         starts, ends = [a for a, *_ in out], [z for _, z, *_ in out]
@@ -116,7 +123,9 @@ def mentions(text: str) -> list[tuple[int, int, str, bool]]:
 
 #: Words before a mention that speak for a kind.
 CUES = {"phone": 0, "tel": 0, "call": 0, "mobile": 0, "fax": 0, "card": 1, "visa": 1, "credit": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "mail": 3, "email": 3, "contact": 3}
-FEATURES = 20
+#: Features; those from HIDDEN on stand for what sort of mention it is, and how long, where its style is hidden.
+HIDDEN = 21
+FEATURES = HIDDEN + 8
 
 
 def feature_ids(text: str, start: int, end: int, key: str, address: bool) -> list[int]:
@@ -125,51 +134,65 @@ def feature_ids(text: str, start: int, end: int, key: str, address: bool) -> lis
     out = [0, 1 if address else 2]
     if not address:
         out.append(3 + (0 if n < 8 else 1 if n <= 12 else 2 if n <= 15 else 3 if n <= 19 else 4))
-        out += [8] * ("+" in s) + [9] * ("(" in s) + [10] * ("-" in s) + [11] * (" " in s) + [12] * (s.count(".") == 3 and len(s) <= 15) + [13] * ("." in s)
-        out += [14] * (16 <= n <= 19 and luhn(key))
+        out += [8] * ("+" in s) + [9] * ("(" in s) + [10] * ("-" in s) + [11] * (" " in s) + [12] * (s.count(".") == 3 and len(s) <= 15) + [13] * ("." in s and s.count(".") != 3)
+        if 16 <= n <= 19:
+            out.append(14 if luhn(key) else 19)
+        out += [20] * (text[start - 1 : start].isalpha() or text[end : end + 1].isalpha())
     before = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:]
     return out + sorted({15 + CUES[w] for w in before if w in CUES})
 
 
+def observed_kinds(nodes: list, base: list[Span]) -> list[int]:
+    """The label of each mention that overlaps a base span (1 + the rank of its kind), 0 for the others."""
+    spans = sorted((a, z, kind) for kind, a, z in base)
+    # spans of different kinds may overlap, so the furthest end so far decides how far to look back
+    furthest, reach = [], 0
+    for _, z, _ in spans:
+        reach = max(reach, z)
+        furthest.append(reach)
+    out, first = [], [a for a, *_ in spans]
+    for a, z, *_ in nodes:
+        k, found = bisect_left(first, z) - 1, []
+        while k >= 0 and furthest[k] > a:
+            if spans[k][1] > a:
+                found.append((min(z, spans[k][1]) - max(a, spans[k][0]), -spans[k][2]))
+            k -= 1
+        out.append(1 - max(found)[1] if found else 0)
+    return out
+
+
+def skip_links(nodes: list) -> Iterator[tuple[int, int, int]]:
+    """(mention, later mention, 0 for the same digits or letters and 1 for the same last digits only)."""
+    for sort, keyed in enumerate((lambda m: m[2], lambda m: None if m[3] else m[2][-SUFFIX:])):
+        last: dict[str, int] = {}
+        for i, m in enumerate(nodes):
+            if (key := keyed(m)) is not None:
+                if key in last and (sort == 0 or nodes[last[key]][2] != m[2]):
+                    yield last[key], i, sort
+                last[key] = i
+
+
 class Field:
-    """The fitted field: feature weights by label (0: none, then KINDS), transitions, and the weight of skip links."""
+    """The fitted field: feature weights by label (0: none, then KINDS), transitions, and the weights of skip links."""
 
-    def __init__(self, weights: np.ndarray, transition: np.ndarray, skip: float):
+    def __init__(self, weights: np.ndarray, transition: np.ndarray, skip: tuple[float, float]):
         self.weights, self.transition, self.skip = weights, transition, skip
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         nodes = mentions(text)
-        if len(nodes) < 2 or not base:
-            # nothing in the document can speak for a mention but itself, which the bound keeps from being called
+        if not nodes:
             return []
         n, k = len(nodes), len(KINDS) + 1
         own = np.array([self.weights[:, feature_ids(text, *m)].sum(1) for m in nodes])
-        own = np.clip(own - own[:, :1], -OWN_BOUND, 0.0)
-        own[:, 0] = 0.0
-        observed = np.zeros(n, np.int64)
-        starts = sorted((a, z, kind) for kind, a, z in base)
-        first = [a for a, _, _ in starts]
-        for i, (a, z, *_) in enumerate(nodes):
-            j = int(np.searchsorted(first, z)) - 1
-            if j >= 0 and starts[j][1] > a:
-                observed[i] = starts[j][2] + 1
+        observed = np.array(observed_kinds(nodes, base), np.int64)
         own[observed > 0] = -OBSERVED
         own[np.flatnonzero(observed), observed[observed > 0]] = OBSERVED
-        own[observed > 0, 0] = -OBSERVED
-        edges, tables = [], []
-        same = np.eye(k) * self.skip
-        for i in range(n - 1):
-            edges.append((i, i + 1))
-            tables.append(self.transition)
-        for weight, keyed in ((1.0, lambda m: m[2]), (SIMILAR_SHARE, lambda m: None if m[3] else m[2][-SUFFIX:])):
-            last: dict[str, int] = {}
-            for i, m in enumerate(nodes):
-                if (key := keyed(m)) is not None:
-                    if key in last and (weight == 1.0 or nodes[last[key]][2] != m[2]):
-                        edges.append((last[key], i))
-                        tables.append(same * weight)
-                    last[key] = i
-        marginals = beliefs(own, np.array(edges), np.array(tables))
+        edges = [(i, i + 1) for i in range(n - 1)]
+        tables = [self.transition] * len(edges)
+        for i, j, sort in skip_links(nodes):
+            edges.append((i, j))
+            tables.append(np.eye(k) * self.skip[sort])
+        marginals = beliefs(own, np.array(edges, np.int64).reshape(-1, 2), np.array(tables).reshape(-1, k, k))
         out = []
         for i in np.flatnonzero(observed == 0).tolist():
             kind = int(marginals[i, 1:].argmax())
@@ -200,22 +223,63 @@ def beliefs(own: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int
     return p / p.sum(1, keepdims=True)
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, follows: np.ndarray, agree: int, differ: int, steps: int = 300) -> Field:
-    """x: mentions by features (0 or 1), y: labels by the patterns, follows: counts of label pairs in sequence."""
+def examples(text: str) -> Iterator[tuple[list[int], int, int, int, list[int], list[int]]]:
+    """(features, label, label before or -1, label after or -1, labels of mentions that skip links of each sort lead to)
+    of each mention of a text, with labels by the patterns."""
+    nodes = mentions(text)
+    y = observed_kinds(nodes, base_spans(text))
+    linked = [([], []) for _ in nodes]
+    for i, j, sort in skip_links(nodes):
+        linked[i][sort].append(y[j])
+        linked[j][sort].append(y[i])
+    for i, m in enumerate(nodes):
+        yield feature_ids(text, *m), y[i], y[i - 1] if i else -1, y[i + 1] if i + 1 < len(nodes) else -1, sorted(linked[i][0]), sorted(linked[i][1])
+
+
+def pseudo_likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, near: np.ndarray, links: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray]:
+    """The penalised negative logarithm and its gradient. x: features; near: (label before, after) in one-hot form;
+    links: skip links of each sort by the label they lead to; times: how often a row counts. theta: weights of features,
+    transitions and skip links, in that order."""
     k = len(KINDS) + 1
-    w = np.zeros((k, FEATURES))
-    if len(y):
-        hot = np.eye(k)[y]
-        for _ in range(steps):
-            s = x @ w.T
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w += (hot - p).T @ x / (0.5 * len(y)) - 0.001 * w
-    joint = follows + 1.0
-    expected = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True) / joint.sum()
-    transition = np.clip(np.log(joint / expected), -1.0, 1.0) * 0.2
-    skip = float(np.clip(np.log((agree + SKIP_PRIOR[0]) / (differ + SKIP_PRIOR[1])), 0.0, 6.0))
-    return Field(w, transition, skip)
+    w, t, s = theta[: k * FEATURES].reshape(k, FEATURES), theta[k * FEATURES : -2].reshape(k, k), theta[-2:]
+    score = x @ w.T + near[:, 0] @ t + near[:, 1] @ t.T + np.tensordot(s, links, 1)
+    score -= score.max(1, keepdims=True)
+    logp = score - np.log(np.exp(score).sum(1, keepdims=True))
+    hot = np.eye(k)[y]
+    miss = (np.exp(logp) - hot) * times[:, None]
+    firm, prior = SKIP_FIRMNESS * (s - SKIP_PRIOR), RIDGE * theta[:-2]
+    value = -(logp * hot).sum(1) @ times + 0.5 * (firm @ (s - SKIP_PRIOR) + prior @ theta[:-2])
+    grad_t = near[:, 0].T @ miss + (near[:, 1].T @ miss).T
+    return float(value), np.concatenate([(miss.T @ x).ravel() + prior[: k * FEATURES], grad_t.ravel() + prior[k * FEATURES :], (links * miss).sum((1, 2)) + firm])
+
+
+def fit_field(rows: list[tuple[tuple, int]]) -> Field:
+    """Fit on (example, how often) by accelerated descent with a growing and shrinking step."""
+    k = len(KINDS) + 1
+    x, near, links = np.zeros((2 * len(rows), FEATURES)), np.zeros((2 * len(rows), 2, k)), np.zeros((2, 2 * len(rows), k))
+    y, times = np.zeros(2 * len(rows), np.int64), np.zeros(2 * len(rows))
+    for i, ((ids, label, before, after, same, similar), n) in enumerate(rows):
+        for at, own in ((2 * i, ids), (2 * i + 1, [HIDDEN + f for f in ids if f < 8])):
+            x[at, own], y[at], times[at] = 1, label, 0.5 * n * (1.0 if label else UNLABELLED)
+            for side, other in enumerate((before, after)):
+                if other >= 0:
+                    near[at, side, other] = 1
+            for sort, others in enumerate((same, similar)):
+                np.add.at(links[sort, at], list(others), 1)
+    theta = np.zeros(k * FEATURES + k * k + 2)
+    theta[-2:] = SKIP_PRIOR
+    ahead, step, t = theta.copy(), 1.0 / max(1.0, times.sum()), 1.0
+    for _ in range(STEPS):
+        value, grad = pseudo_likelihood(ahead, x, y, near, links, times)
+        while True:
+            new = ahead - step * grad
+            if step < 1e-15 or pseudo_likelihood(new, x, y, near, links, times)[0] <= value - 0.5 * step * (grad @ grad):
+                break
+            step /= 2
+        t2 = 1.0 if (ahead - new) @ (new - theta) > 0 else (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + (t - 1) / t2 * (new - theta)
+        theta, t, step = new, t2, step * 1.2
+    return Field(theta[: k * FEATURES].reshape(k, FEATURES), theta[k * FEATURES : -2].reshape(k, k), (float(theta[-2]), float(theta[-1])))
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Field:
@@ -223,34 +287,18 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS) -> Field
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     total, parts = docs.count(), 1 << 24
     chosen = docs.select(F.col(text).alias("text"), digest.alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(parts)) < int(parts * min(1.0, sample / max(total, 1)))).select("text")
+    names = ["ids", "y", "before", "after", "same", "similar"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
-            ids, labels, before, keys = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                base, last = base_spans(t or ""), -1
-                seen: dict[str, int] = {}
-                for m in mentions(t or ""):
-                    y = next((kind + 1 for kind, a, z in base if a < m[1] and m[0] < z), 0)
-                    ids.append(feature_ids(t, *m))
-                    labels.append(y)
-                    before.append(last)
-                    keys.append(seen.get(m[2], -1))
-                    seen[m[2]], last = y, y
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(before, pa.int32()), pa.array(keys, pa.int32())], ["ids", "y", "before", "same"])
-
-    found = materialize(chosen.mapInArrow(run, "ids array<int>, y int, before int, same int"), "mentions")
-    # label pairs and feature patterns are few, so that counts of them stand for the sample
-    k = len(KINDS) + 1
-    follows = np.zeros((k, k))
-    for r in found.where("before >= 0").groupBy("before", "y").count().collect():
-        follows[r["before"], r["y"]] += r["count"]
-    same = {r["agree"]: r["count"] for r in found.where("same >= 0").groupBy((F.col("same") == F.col("y")).alias("agree")).count().collect()}
-    patterns = sorted((tuple(r["ids"]), r["y"], r["count"]) for r in found.groupBy("ids", "y").count().collect())
-    x, y = np.zeros((len(patterns), FEATURES)), np.array([p[1] for p in patterns], np.int64)
-    for i, p in enumerate(patterns):
-        x[i, list(p[0])] = 1
-    return fit_field(x, y, follows, same.get(True, 0), same.get(False, 0))
+            rows = [e for t in batch.column("text").to_pylist() for e in examples(t or "")]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    # mentions of a bounded sample, equal ones counted
+    found = chosen.mapInArrow(run, "ids array<int>, y int, before int, after int, same array<int>, similar array<int>").groupBy(*names).count().collect()
+    return fit_field(sorted(((tuple(r["ids"]), r["y"], r["before"], r["after"], tuple(r["same"]), tuple(r["similar"])), r["count"]) for r in found))
 
 
 def find(docs: DataFrame, field: Field, keep: list[str], text: str = "text") -> DataFrame:

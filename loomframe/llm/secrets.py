@@ -8,7 +8,8 @@ could pass by chance, get weak p-values. The p-values of all tokens of the corpu
 
 Cases: a null or empty text has no span; texts of any length are scanned whole; repeated rows give repeated results;
 tokens tied in their p-value are decided alike; an empty table gives an empty result. Positions are code points, end
-exclusive. ``scan`` keeps only the columns it is told to keep, under their names; clashing names are an error.
+exclusive. ``scan`` keeps only the columns it is told to keep, under their names; of these only base_spans and spans
+clash, which is an error.
 """
 
 from __future__ import annotations
@@ -35,26 +36,45 @@ VETO = 3.5
 #: Bins of -log10 p for the corpus-wide step; p-values in one bin are decided alike.
 BINS_PER_DECADE = 100
 
+#: Matches whose places are summed by one fold.
+STRETCH = 64
+
 _HEX, _LOWER = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
+def _before(values: Column, join) -> Column:
+    """What join makes of all values before each place of an array of ints, 0 before the first. A fold that appends
+    copies its array at every step, so long arrays go in stretches of STRETCH, each from what those before it make."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def fold(part, begin):
+        first = F.struct(begin.alias("at"), none.alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def stretches(v):
+        whole = F.sequence(F.lit(0), F.ceil(F.size(v) / STRETCH).cast("int") - 1)
+        stretch = lambda k: F.slice(v, k * STRETCH + 1, F.lit(STRETCH))
+        totals = F.transform(whole, lambda k: F.aggregate(stretch(k), F.lit(0), join))
+        return _let(fold(totals, F.lit(0)), lambda begins: F.flatten(F.transform(whole, lambda k: fold(stretch(k), F.element_at(begins, k + 1)))))
+
+    return _let(values, lambda v: F.when(F.size(v) <= STRETCH, fold(v, F.lit(0))).otherwise(stretches(v)))
+
+
 def _matches(t: Column, pattern: str, keep, group: int = 0) -> Column:
     """array<struct<start, end>> of the non-overlapping matches that keep(match, group text) holds for."""
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(t, pattern, -1), F.length)
     parts = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(F.transform(found, F.length).alias("n"), parts.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
-    def add(acc, r):
-        start = acc["at"] + r["gap"]
-        end = start + r["n"]
-        span = F.struct(start.alias("start"), end.alias("end"), r["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(keep(r["n"], r["v"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(lengths):
+        # the text is a gap, a match, a gap, and so on: a match begins at its gap's length past what is before them
+        gaps = F.slice(F.transform(F.split(t, pattern, -1), F.length), F.lit(1), F.size(lengths))
+        rows = lambda gaps: F.arrays_zip(lengths.alias("n"), gaps.alias("gap"), _before(F.zip_with(gaps, lengths, lambda g, n: g + n), lambda a, x: a + x).alias("before"), parts.alias("v"))
+        kept = F.filter(_let(gaps, rows), lambda r: keep(r["n"], r["v"]))
+        return F.transform(kept, lambda r: F.struct((r["before"] + r["gap"]).alias("start"), (r["before"] + r["gap"] + r["n"]).alias("end"), r["v"].alias("value")))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(t.rlike(pattern), F.aggregate(rows, first, add, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(t.rlike(pattern), _let(F.transform(found, F.length), spans)).otherwise(empty)
 
 
 def _normal_cdf(z: Column) -> Column:
@@ -159,12 +179,13 @@ def _bin(p: Column) -> Column:
 def scan(docs: DataFrame, keep: list[str], text: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """The kept columns, base_spans and spans: arrays of (start, rank of kind, end), sorted. A random token that a span
     of the patterns covers is not repeated."""
-    if clash := {"base_spans", "spans", "tokens", "found"} & {c.lower() for c in keep}:
+    if clash := {"base_spans", "spans"} & {c.lower() for c in keep}:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    t = F.col("__text")
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    # kept columns travel in a struct, so that helper columns can't clash with them
+    t = F.col("t")
+    rows = docs.select(F.struct(*keep).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = rows.select(
-        *keep,
+        "kept",
         _matches(t, ASSIGN, lambda n, v: F.length(v) >= ASSIGN_VALUE, 1).alias("assign"),
         F.when(t.contains("AKIA"), _matches(t, ACCESS, lambda n, v: n >= ACCESS_LENGTH)).alias("access"),
         _matches(t, HEX, lambda n, v: F.lit(True)).alias("hex"),
@@ -172,15 +193,27 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", rate: float = FAL
     )
     ranked = lambda c, k: F.transform(F.coalesce(c, F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
     base = F.array_sort(F.concat(*(ranked(F.col(c), k) for k, c in enumerate(KINDS[:3]))))
-    apart = lambda s: ~F.exists(F.col("base_spans"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     tested = lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), _bin(text_p_value(s["value"], encoding(s["value"]))).alias("bin"))
     found = materialize(
-        found.withColumn("base_spans", base).select(*keep, "base_spans", F.transform("token", tested).alias("tokens")).withColumn("found", F.filter("tokens", apart)),
+        found.withColumn("base_spans", base).select("kept", "base_spans", F.transform("token", tested).alias("tokens")).withColumn("apart", _uncovered(F.col("base_spans"), F.col("tokens"))),
         "secret-spans",
     )
     least = discovery_bin(found.select(F.explode("tokens.bin").alias("bin")), rate)
-    new = F.transform(F.filter("found", lambda s: s["bin"] >= least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.select(*keep, "base_spans", F.array_sort(F.concat("base_spans", new)).alias("spans"))
+    new = F.transform(F.filter("apart", lambda s: s["bin"] >= least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    own = [F.col("kept").getField(c).alias(c) for c in keep]
+    return found.select(*own, "base_spans", F.array_sort(F.concat("base_spans", new)).alias("spans"))
+
+
+def _uncovered(base: Column, tokens: Column) -> Column:
+    """The tokens that no base span covers: those that end past the furthest end of all base spans up to their start."""
+    spans = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(0).alias("bin"))), tokens))
+
+    def over(spans):
+        reach = _before(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), lambda a, x: F.greatest(a, x))
+        new = F.filter(F.arrays_zip(spans.alias("s"), reach.alias("reach")), lambda r: (r["s"]["kind"] == 3) & (r["s"]["end"] > r["reach"]))
+        return F.transform(new, lambda r: r["s"])
+
+    return F.when(F.size(base) * F.size(tokens) == 0, tokens).otherwise(_let(spans, over))
 
 
 def discovery_bin(bins: DataFrame, rate: float) -> int:

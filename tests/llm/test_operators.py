@@ -3,10 +3,13 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import struct
+import time
 import zipfile
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -88,7 +91,7 @@ def test_bpe_frames(spark):
 def test_toxicity_learns_and_swaps():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
-    rows = []
+    rows, swapped = [], []
     for _ in range(1500):
         y = int(rng.random() < 0.2)
         text = " ".join(rng.sample(words, 12)) + (" idiot" if y else "")
@@ -96,13 +99,35 @@ def test_toxicity_learns_and_swaps():
         if rng.random() < (0.6 if y else 0.05):
             text += " muslims"
         rows.append((y, sorted(toxicity.features(text))))
+        swapped += [(sorted(a), sorted(b), 1) for a, b in toxicity.text_swaps(text, toxicity.groups_of("en"))]
     terms = sorted({f for _, names in rows for f in names})
-    plain, regular = (toxicity.fit_rows(rows, terms, w) for w in (0.0, 50.0))
+    plain, regular = (toxicity.fit_rows(rows, terms, swapped, w) for w in (0.0, 50.0))
     neutral = "muslims " + " ".join(words[:5])
     assert regular.score(neutral) < plain.score(neutral)
     assert regular.score("you idiot") > 0.5 > regular.score(" ".join(words[:5]))
 
 
+def test_toxicity_fit_is_the_least_penalised_loss():
+    rng = np.random.default_rng(8)
+    terms = ["a", "b", "c", "d"]
+    rows = [(int(rng.random() < 0.4), [t for t in terms if rng.random() < 0.5]) for _ in range(200)]
+    swapped = [(["a"], ["b"], 7), (["c"], [], 2), (["x"], ["y"], 3)]
+    model = toxicity.fit_rows(rows, terms, swapped, 0.3)
+    x, y = np.array([[t in names for t in terms] for _, names in rows], float), np.array([label for label, _ in rows])
+    v = np.array([[-1, 1, 0, 0], [0, 0, -1, 0]], float)
+    w, b = np.zeros(4), 0.0
+    for _ in range(200):  # Newton's method
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        full = np.c_[x, np.ones(len(x))]
+        penalty = np.zeros((5, 5))
+        penalty[:4, :4] = toxicity.RIDGE * np.eye(4) + 2 * 0.3 * (v.T * [7, 2]) @ v
+        grad = full.T @ (p - y) + penalty @ np.append(w, b)
+        move = np.linalg.solve((full.T * (p * (1 - p))) @ full + penalty, grad)
+        w, b = w - move[:4], b - move[4]
+    assert np.allclose([model.weights[t] for t in terms], w, atol=1e-4) and abs(model.bias - b) < 1e-4
+    assert model.swap_pairs == 12 and model.penalised_pairs == 9
+
+
 def swapped_by_hand(text, groups):
     words = text.lower().split()
     for group in groups:
@@ -117,7 +142,8 @@ def swapped_by_hand(text, groups):
 @given(st.lists(st.sampled_from(["muslims", "Muslims", "muslim", "christians", "black", "blackbird", "white", "men", "women", "frauen", "männer", "other"]), max_size=9).map(" ".join), st.sampled_from(["en", "de", "xx"]))
 def test_toxicity_swaps_are_the_features_of_a_copy(text, lang):
     groups = toxicity.groups_of(lang)
-    assert list(toxicity.text_swaps(text, groups)) == [p for p in swapped_by_hand(text, groups) if p[0] or p[1]]
+    order = lambda pairs: sorted((sorted(a), sorted(b)) for a, b in pairs)
+    assert order(toxicity.text_swaps(text, groups)) == order(p for p in swapped_by_hand(text, groups) if p[0] or p[1])
 
 
 def test_toxicity_swaps_reach_every_mention(spark):
@@ -177,6 +203,44 @@ def test_langid_forward_is_the_sum_over_segmentations():
     assert np.allclose(got, np.log([brute("▁" + w) for w in words]))
 
 
+def test_langid_long_words():
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    index, p = langid.PieceIndex(pieces), np.random.default_rng(6).random((len(pieces) + 2, 3)) * 1e-3
+    p[-2:] = [[langid.STRAY] * 3, [0] * 3]
+    assert index.longest > 12
+    for word in ("a", "the", "ñandú" * 8, "unbelievable" * 5, "x" * 64):
+        want = langid.Lattice([word], index).log_likelihood(p)[0]
+        assert np.allclose(langid.long_log_likelihood(word, index, p), want) and np.allclose(langid.long_log_likelihood(word, index, p, 7), want)
+    model = langid.Model(["a", "b", "c"], pieces, p)
+    (lang, score), = model.predict(["abcdefgh" * 20_000])
+    assert lang in "abc" and 0 <= score <= 1
+
+
+def test_langid_fit_is_expectation_maximisation(spark):
+    words = [("x", "the", 3), ("x", "then", 1), ("y", "het", 5), ("y", "the", 1)]
+    pieces = ["▁t", "▁th", "he", "h", "e", "▁the", "t", "n", "▁h"]
+    model = langid.fit_words(spark.createDataFrame(words, "lang string, word string, n long"), ["x", "y"], pieces)
+
+    def covers(w, a=0):
+        if a == len(w):
+            yield []
+        for z in range(a + 1 + (a == 0), len(w) + 1):
+            if w[a:z] in pieces:
+                yield from ([pieces.index(w[a:z]), *rest] for rest in covers(w, z))
+
+    p = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(langid.ROUNDS):
+        use = np.full_like(p, langid.SMOOTHING)
+        for lang, w, n in words:
+            k = "xy".index(lang)
+            ways = list(covers("▁" + w))
+            weight = np.array([p[way, k].prod() for way in ways])
+            for way, x in zip(ways, weight / weight.sum(), strict=True):
+                np.add.at(use[:, k], way, n * x)
+        p = use / use.sum(0)
+    assert np.allclose(model.p[:-2], p, rtol=1e-3)
+
+
 def test_langid_frames(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -195,43 +259,81 @@ def test_langid_frames(spark, sf):
 # --- 4
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=4), st.integers(0, 50), max_size=40), st.integers(50, 90))
-def test_best_fit_decreasing(items, capacity):
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60), st.integers(50, 90))
+def test_best_fit_decreasing(sizes, capacity):
+    """As item by item: the tightest bin that holds it, the lowest number of equally tight ones."""
     bins: list[int] = []
-    want = {}
-    for k, s in sorted(items.items(), key=lambda x: (-x[1], x[0])):
+    want: dict[int, list[int]] = {}
+    for s in sorted(sizes, reverse=True):
         fits = [(c, i) for i, c in enumerate(bins) if c >= s]
         i = min(fits)[1] if fits else len(bins)
         if not fits:
             bins.append(capacity)
         bins[i] -= s
-        want[k] = i
-    assert sharding.best_fit_decreasing(items, capacity) == want
+        want.setdefault(s, []).append(i)
+    got = sharding.best_fit_decreasing({s: sizes.count(s) for s in sizes}, capacity)
+    assert {s: [b for b, n in runs for _ in range(n)] for s, runs in got.items()} == want
+    assert sharding.best_fit_decreasing({s: sizes.count(s) for s in sizes}, capacity, len(bins)) == got
+    if bins:
+        assert sharding.best_fit_decreasing({s: sizes.count(s) for s in sizes}, capacity, len(bins) - 1) is None
 
 
-def test_shards(spark):
+def shard_rows():
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randint(0, 300))), "s") for i in range(3000)]
-    rows += [(5000 + i, "one text that is a third of all rows" * 3, "s") for i in range(1500)] + [(None, None, "s")] * 3
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
-    out = sharding.shard_by_bytes(docs, 10).collect()
-    assert len(out) == len(rows)
-    size, slots = {}, {}
+    rows += [(5000 + i, "one text that is a third of all rows" * 3, "s") for i in range(1500)] + [(None, None, "s")] * 3 + [(7, "same row", "s")] * 5
+    return rows
+
+
+def of_shards(rows, out):
+    """(bytes of each shard, shards of each text)"""
+    size, slots, place, text = {}, {}, {}, {}
+    for i, t, _ in rows:
+        text.setdefault(i, []).append(t)
     for r in out:
         size[r.shard] = size.get(r.shard, 0) + r["size"]
         slots.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 10
-    assert max(size.values()) - min(size.values()) < 0.02 * max(size.values())
-    place = {}
-    text = {r[0]: r[1] for r in rows}
-    for r in out:
-        if r.doc_id is not None and r.doc_id < 5000:
-            place.setdefault(text[r.doc_id], set()).add(r.shard)
-    assert all(len(s) == 1 for s in place.values())
+        ts = {t for t in text[r.doc_id] if zlib.crc32((t or "").encode()) == r.text_crc32 and len((t or "").encode()) + 16 == r["size"]}
+        assert ts
+        if len(ts) == 1:
+            place.setdefault(ts.pop(), set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return size, place
+
+
+def test_shards_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 400)
+    rows = shard_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    out = sharding.shard_by_bytes(docs, 10).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((i is None, i or 0) for i, *_ in rows)
+    size, place = of_shards(rows, out)
+    assert len(size) == 10 and max(size.values()) - min(size.values()) < 0.002 * max(size.values())
+    # only the group that is over an even share is split
+    assert [t for t, s in place.items() if len(s) > 1] == [rows[3000][1]]
     assert sharding.shard_by_bytes(docs.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [2_000, 400_000])
+def test_shards_by_capacity(spark, capacity):
+    rows = shard_rows()
+    out = sharding.shard_by_capacity(spark.createDataFrame(rows, "doc_id long, text string, shard string"), capacity).collect()
+    size, place = of_shards(rows, out)
+    items: list[int] = []
+    for t in {r[1] for r in rows}:
+        n, one = sum(r[1] == t for r in rows), len((t or "").encode()) + 16
+        items += [n * one] if n * one <= capacity else [one] * n
+    bins: list[int] = []
+    for s in sorted(items, reverse=True):
+        fits = [(c, i) for i, c in enumerate(bins) if c >= s]
+        if fits:
+            bins[min(fits)[1]] -= s
+        else:
+            bins.append(capacity - s)
+    assert sorted(size.values()) == sorted(capacity - b for b in bins)
+
+
 # --- 5
 
 
@@ -247,6 +349,30 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_by_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN_BYTES", 20_000)  # many spans an archive
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows += [(10_000 + k, None, "one payload of a third of all rows") for k in range(len(rows) // 2)] + [(20_000, "u", "long " * 100_000)] + [(20_001, "u", None), (20_002, "u", "")] + [rows[0]] * 2
+    pages = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id long, url string, html string, sha1 string, uid string, payload string")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in warc.archive_and_read(pages).collect())
+    head: dict[str, int] = {}
+    for i, _, t in rows:
+        head[t or ""] = max(head.get(t or "", -1), i)
+    want, seen = [], set()
+    for i, _, t in rows:
+        first = head[t or ""] == i and t not in seen
+        seen |= {t} if first else set()
+        data = (t or "").encode()
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", -1 if first else head[t or ""]))
+    assert got == sorted(want)
+
+
+def test_warc_records_by_index():
+    records = [warc.record(i, "u", b"payload %d" % i * i, hashlib.sha1(b"payload %d" % i * i).hexdigest(), False, None) for i in range(50)]
+    f = io.BytesIO(b"".join(records))
+    assert [warc.parsed(b)[0] for b in warc.indexed(f, [len(r) for r in records])] == list(range(50))
+
+
 def test_zip64_directory(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 0)
@@ -260,9 +386,13 @@ def test_zip64_directory(monkeypatch):
     end = data.rfind(b"PK\5\6")
     struct.pack_into("<HII", data, end + 10, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF)
     f = io.BytesIO(bytes(data))
-    (start, length), = warc.spans(f)
-    f.seek(start)
-    assert [warc.parsed(b)[0] for b in warc.members_of(f.read(length))] == [0, 1, 2, 3, 4]
+    (start, length, sizes), = warc.spans(f)
+    for step in (7, 1 << 20):
+        f.seek(start)
+        assert sizes == [] and [warc.parsed(b)[0] for b in warc.members_of(f, length, step)] == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        f.seek(start)
+        list(warc.members_of(f, length - 3))
     with pytest.raises(ValueError):
         warc.directory(io.BytesIO(b"no archive"))
 
@@ -280,7 +410,7 @@ def test_containment_by_brute_force(spark):
         w = (items[k % 30][1] or "").split()
         cut = rng.randint(0, max(0, len(w) // 3))
         docs.append((100 + k, text(150) + " " + " ".join(w[cut:]).upper() + "! " + text(150)))
-    docs += [(200, "One, two."), (200, "One, two."), (201, None), (202, "")]
+    docs += [(200, "One, two."), (200, "One, two."), (201, None), (202, ""), (203, text(30_000) + " " + items[3][1] + " " + text(30_000))]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = []
     for d, t in docs:
@@ -302,13 +432,24 @@ def test_containment_by_brute_force(spark):
         decontaminate.annotate(frames[0].withColumn("leaks", F.lit(1)), frames[1], ["leaks"])
 
 
+def test_containment_partitions_choose_what_is_probed():
+    text = lambda n: " ".join(f"w{k}" for k in range(n))
+    searcher = decontaminate.Searcher([1, 2, 3], [text(6), text(12), text(200)], 0.8)
+    assert [p.least for p in searcher.partitions] == [2, 7, 103]
+    asked = []
+    for p in searcher.partitions:
+        p.probe = lambda h, p=p, old=p.probe: (asked.append(p.least), old(h))[1]
+    found = list(searcher.search([text(20)]))
+    assert [x["item_id"] for x in found[0]] == [1, 2] and asked == [2, 7]
+
+
 # --- 7
 
 
 def brute_pii(x):
     out = [(0, *m.span()) for m in pii.EMAIL.finditer(x)]
-    out += [(1, *m.span()) for m in pii.IP.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
-    for m in pii.CARD.finditer(x):
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x):
         digits = re.sub("[^0-9]", "", m[0])
         if 16 <= len(digits) <= 19 and pii.luhn(digits):
             out.append((2, *m.span()))
@@ -326,7 +467,7 @@ def test_pii_mentions_past_many_addresses():
     text = " ".join(many) + " call 2000000 or 1000449"
     assert [(text[a:z], address) for a, z, _, address in pii.mentions(text)] == [*((m, True) for m in many), ("2000000", False), ("1000449", False)]
     # digits inside an address are no node, so a number elsewhere with the same digits has none to link to
-    field = pii.Field(np.zeros((5, pii.FEATURES)), np.zeros((5, 5)), 6.0)
+    field = pii.Field(np.zeros((5, pii.FEATURES)), np.zeros((5, 5)), (6.0, 3.0))
     assert field.added(text, pii.base_spans(text)) == []
 
 
@@ -336,6 +477,13 @@ def test_pii_field(spark, sf):
     text = "card 4111 1111 1111 1111, again 4111.1111.1111.1111, and order 1234 5678 9012 3456"
     base = pii.base_spans(text)
     assert [text[a:z] for _, a, z in field.added(text, base)] == ["4111.1111.1111.1111"]
+    # however far apart: the same digits, or last digits, in a style that alone says nothing, and other digits in that style
+    far = "order 443/555-5793 " + "and so on " * 3000 + "+1 443 555-5793 " + "and so on " * 3000 + "1.443.555-5793, not 1.443.666-1234"
+    assert [(k, far[a:z]) for k, a, z in field.added(far, pii.base_spans(far))] == [(3, "555-5793"), (3, "1.443.555-5793")]
+    repeated = "id 1.443.666-1234 " * 6
+    assert pii.base_spans(repeated) == field.added(repeated, []) == []
+    # without a base span the field runs all the same
+    assert [k for k, *_ in field.added("ask 4111.1111.1111.1111, yes 4111.1111.1111.1111", [])] == [2, 2]
     rows = {r.doc_id: r for r in pii.find(odd(spark), field, ["doc_id", "score"]).collect()}
     assert rows[1].spans == rows[2].spans == []
     assert pii.find(docs.limit(0), field, ["doc_id"]).count() == 0
@@ -344,6 +492,47 @@ def test_pii_field(spark, sf):
         pii.find(docs.withColumn("spans", F.lit(1)), field, ["spans"])
 
 
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + " x@y", "@" * 20_001 + "a" * 980_000, "1.1." * 250_000, "1" + "(" * 10**6, "a(at)" * 200_000, "+1" * 500_000, "+1 (443) 555-5793 " * 55_000, "a@b.c " * 160_000])
+def test_pii_long_texts_take_linear_time(text):
+    began = time.process_time()
+    base = pii.base_spans(text)
+    pii.observed_kinds(pii.mentions(text), base)
+    assert time.process_time() - began < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12)), max_size=8), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(1, 12)), max_size=8))
+def test_pii_observed_kinds(nodes, base):
+    nodes, base = sorted((a, a + n) for a, n in nodes), [(k, a, a + n) for k, a, n in base]
+    for (a, z), got in zip(nodes, pii.observed_kinds(nodes, base), strict=True):
+        over = [(min(z, y) - max(a, x), -k) for k, x, y in base if x < z and a < y]
+        assert got == (1 - max(over)[1] if over else 0)
+
+
+def test_pii_pseudo_likelihood_gradient():
+    rng, k = np.random.default_rng(3), 5
+    n, m = 12, k * pii.FEATURES + k * k + 2
+    x, y, times = (rng.random((n, pii.FEATURES)) < 0.3).astype(float), rng.integers(0, k, n), rng.random(n)
+    near, links = np.eye(k)[rng.integers(0, k, (n, 2))], rng.integers(0, 3, (2, n, k)).astype(float)
+    theta = rng.normal(size=m)
+    _, grad = pii.pseudo_likelihood(theta, x, y, near, links, times)
+    for j in range(0, m, 3):
+        e = np.zeros(m)
+        e[j] = 1e-5
+        slope = (pii.pseudo_likelihood(theta + e, x, y, near, links, times)[0] - pii.pseudo_likelihood(theta - e, x, y, near, links, times)[0]) / 2e-5
+        assert abs(slope - grad[j]) < 1e-4
+
+
+def test_pii_fit_learns_links():
+    # a mention is a phone where one of the same digits is, and nothing else tells
+    rows = []
+    for y, same in ((4, (4,)), (0, (0,))):
+        rows.append((((0, 2, 4), y, -1, -1, same, ()), 500))
+    agreeing = pii.fit_field(rows)
+    crossed = pii.fit_field([((ids, y, b, a, (4 - s[0],), t), n) for (ids, y, b, a, s, t), n in rows])
+    assert agreeing.skip[0] > pii.SKIP_PRIOR[0] > crossed.skip[0]
+
+
 def test_beliefs_are_exact_on_a_tree():
     rng = np.random.default_rng(4)
     own, edges, tables = rng.normal(size=(4, 3)), np.array([(0, 1), (1, 2), (1, 3)]), rng.normal(size=(3, 3, 3))
@@ -382,10 +571,79 @@ def test_secrets(spark):
     shown = secrets.scan(docs, ["doc_id", "text"]).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in shown.collect()}[n - 3] == "key [SECRET] end"
     assert secrets.scan(docs.limit(0), ["doc_id"]).count() == 0
+    names = ["assign", "access", "hex", "token", "tokens", "found", "apart", "kept", "t", "__text"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    again = {r.doc_id: r for r in secrets.scan(wide, wide.columns).collect()}
+    assert all(again[k].spans == rows[k].spans and [again[k][c] for c in names] == list(range(len(names))) for k in rows)
     with pytest.raises(ValueError):
         secrets.scan(docs.withColumn("spans", F.lit(1)), ["spans"])
 
 
+def test_secrets_with_many_matches(spark, monkeypatch):
+    text = "é" + " token=abcdef1 deadbeefdeadbeef01234567, x" * 700
+    docs = spark.createDataFrame([(1, text), (2, text[:400])], "doc_id long, text string")
+    for r in secrets.scan(docs, ["doc_id", "text"]).collect():
+        assert [tuple(s) for s in r.base_spans] == brute_secrets(r.text)
+    long = spark.createDataFrame([(1, text * 40)], "doc_id long, text string")
+    began = time.time()
+    assert len(secrets.scan(long, ["doc_id"]).first().base_spans) == 2 * 700 * 40
+    assert time.time() - began < 60
+
+
+def battery_by_hand(token):
+    """-log10 of the probability, as the module's docstring has it."""
+    bare = token.rstrip("=")
+    kinds = {k: any(c in s for c in bare) for k, s in (("d", "0123456789"), ("l", "abcdefghijklmnopqrstuvwxyz"), ("u", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))}
+    if kinds["d"] and (re.fullmatch("[0-9a-f]+", bare) and kinds["l"] or re.fullmatch("[0-9A-F]+", bare) and kinds["u"]):
+        places, k, cells = [int(c, 16) for c in bare], 16, (2, 4, 8, 16)
+    elif kinds["d"] and (re.fullmatch("[0-9a-z]+", bare) and kinds["l"] or re.fullmatch("[0-9A-Z]+", bare) and kinds["u"]):
+        places, k, cells = [int(c, 36) for c in bare], 36, (2, 3, 4, 6, 9, 12)
+    elif all(kinds.values()):
+        order = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        places, k, cells = [order.index({"-": "+", "_": "/"}.get(c, c)) for c in bare], 64, (2, 4, 8, 16)
+    else:
+        return None
+    v, n = np.array(places, float), len(places)
+    c = max(c for c in cells if 5 * c <= n or c == 2)
+    chi = (np.bincount((v * c // k).astype(int), minlength=c) ** 2).sum() * c / n - n
+    z = (chi - (c - 1) - n * secrets.TEXT_EFFECT) / np.sqrt(2 * (c - 1 + 2 * n * secrets.TEXT_EFFECT))
+    high = (2 * v >= k).astype(float)
+    both = 2 * high.sum() * (n - high.sum())
+    var = both * (both - n) / (n * n * (n - 1))
+    runs = abs((high[1:] != high[:-1]).sum() - both / n) / np.sqrt(var) if var > 0 else 99
+    d = v - v.mean()
+    serial = abs((d[1:] * d[:-1]).sum() / (d @ d)) * np.sqrt(n) if d @ d > 0 else 99
+    return 0.0 if runs > secrets.VETO or serial > secrets.VETO else -np.log10(0.5 * math.erfc(-z / np.sqrt(2)))
+
+
+def test_secrets_battery(spark):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) for a in ("0123456789abcdef", "abcdefghij0123456789", "0123456789ABCDEF", "ABCDEFab0123+/", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", "ab1") for _ in range(40)]
+    tokens += ["a1" * 20, "0" * 19 + "a", "aB3" + "x" * 30, "abc" * 10, "Zz9=" * 6 + "=="]
+    rows = spark.createDataFrame([(t,) for t in tokens if "=" not in t.rstrip("=")], "t string")
+    p = rows.select("t", (-F.log10(secrets.text_p_value(F.col("t"), secrets.encoding(F.col("t"))))).alias("p"), secrets.encoding(F.col("t")).alias("code")).collect()
+    assert {r.code for r in p} == {"hex", "alnum", "base64", None}
+    for r in p:
+        want = battery_by_hand(r.t)
+        if want is None:
+            assert r.code is None
+        else:
+            assert abs(r.p - want) < 0.02 + 0.02 * want, r.t
+
+
+def test_secrets_discovery_bins(spark):
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.05, 0.5):
+        p = np.where(rng.random(3000) < share, rng.random(3000) * 1e-6, rng.random(3000))
+        bins = np.floor(-np.log10(p) * secrets.BINS_PER_DECADE).astype(int)
+        # Benjamini-Hochberg on each bin's largest p
+        upper = np.sort(10 ** (-bins / secrets.BINS_PER_DECADE))
+        passed = np.flatnonzero(upper <= 0.05 * np.arange(1, 3001) / 3000)
+        least = secrets.discovery_bin(spark.createDataFrame([(int(b),) for b in bins], "bin int"), 0.05)
+        assert (bins >= least).sum() == (passed[-1] + 1 if len(passed) else 0)
+    assert secrets.discovery_bin(spark.createDataFrame([], "bin int"), 0.05) > 300 * secrets.BINS_PER_DECADE
+
+
 # --- 9
 
 

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +150,26 @@ def shingle_sets(texts: list[str | None], words: int = SHINGLE_WORDS) -> Iterato
         h, b = shingle_hashes(texts[a:z], words)
         for i in range(z - a):
             yield np.unique(h[b[i] : b[i + 1]])
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of rows of a partition that is sorted by the keys; one group at a time is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[p] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(p, q - p))
+    if held:
+        yield pa.Table.from_batches(held)

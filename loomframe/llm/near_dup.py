@@ -3,11 +3,15 @@
 1. Every text becomes a set of shingle fingerprints; texts with the same set form a class, and one sketch of TOKENS
    MinHash values stands for the class. A class is the unit from here on, so copies cost nothing more.
 2. A run hands each class to the buckets of those of its sketch tokens that a hash of run, path and token picks, 1/0.8
-   tokens in expectation, and at once splits these on DEPTH - 1 further tokens. Buckets of up to LEAF classes are compared by brute force. Larger ones are split again on
-   further tokens; there every class is also compared with one pivot: those much like it are linked to it as candidates
-   and, by the triangle inequality of Jaccard distance, need go no deeper. Runs are repeated until a pair at the
-   threshold is found with probability RECALL.
-3. Candidate links only gather classes into families. Within each family all sets are compared exactly, in blocks of
+   tokens in expectation, and at once splits these on DEPTH - 1 further tokens. Buckets of up to LEAF classes are
+   compared by brute force. Larger ones are split again on further tokens; there every class is also compared with one
+   pivot: those that agree with it in ABSORB tokens are linked to it as candidates, and those that agree in SETTLED go
+   no deeper. What a settled class agrees with in CANDIDATE tokens agrees with the pivot in at least ABSORB, since equal
+   tokens are equal to the pivot's together, so no candidate is lost there.
+3. Runs are repeated until a pair at the threshold is found with probability RECALL, over all that is left to chance:
+   how many tokens of the sketch agree, whether they are enough for a candidate, and whether paths meet. Deeper paths
+   meet less often, so classes whose buckets were split deeper take part in further runs, as many as their depth needs.
+4. Candidate links only gather classes into families. Within each family all sets are compared exactly, in blocks of
    bounded size, each block pair a group of its own. What leaves a group is a count for each class and a link to the
    smallest of its component there, so no group's pairs are emitted.
 
@@ -20,41 +24,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, exp, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, seeds, shingle_hashes
+from .common import by_group, chunks, materialize, mix64, seeds, shingle_hashes
 from .graph import components
 
 THRESHOLD = 0.8
 TOKENS = 64
-#: Probability that a pair at the threshold is found, at the depth of DEPTH splits, which every path has.
-RECALL = 0.9999
+#: Probability that a pair at the threshold is found, and the splits that every path has.
+RECALL = 0.999
 DEPTH = 2
 #: Classes of a bucket that are compared by brute force.
 LEAF = 128
-#: Sketch similarity from which a pair becomes a candidate: the threshold less 3.6 standard deviations.
-CANDIDATE = 0.62
-#: Sketch similarity with a pivot from which a class joins its family, and from which it goes no deeper: what a settled
-#: class links to has at least SETTLED - 0.2 in common with the pivot, 0.1 (over 1.5 standard deviations) above ABSORB.
-ABSORB, SETTLED = 0.35, 0.65
-#: Classes of a family in one block of the exact comparison.
-BLOCK = 256
+#: Sketch tokens that a candidate pair has in common: the threshold's share less 4.75 standard deviations.
+CANDIDATE = 36
+#: Tokens in common with a pivot from which a class goes no deeper, and from which it joins the pivot's family.
+SETTLED = 48
+ABSORB = SETTLED + CANDIDATE - TOKENS
+#: Classes of a family in one block of the exact comparison, and shingles of its sets, in expectation.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 
 _U = np.uint64
 
 
+def found_share(runs: int, depth: int) -> float:
+    """The probability that a pair at the threshold becomes a candidate in so many runs of paths of this depth.
+
+    The number of tokens that its sketches share follows a binomial law. With n of them a path goes on in both sketches
+    by a branching process with Binomial(n, 1 / (0.8 TOKENS)) offspring."""
+    total = 0.0
+    for n in range(CANDIDATE, TOKENS + 1):
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - (1 - alive / (THRESHOLD * TOKENS)) ** n
+        total += comb(TOKENS, n) * THRESHOLD**n * (1 - THRESHOLD) ** (TOKENS - n) * (1 - (1 - alive) ** runs)
+    return total
+
+
 def runs_for(recall: float, depth: int) -> int:
-    """Runs until a pair at the threshold, which shares one chosen token a split in expectation, meets with this
-    probability: the survival of a branching process with Poisson offspring of mean one."""
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - exp(-alive)
-    return ceil(log(1 - recall) / log(1 - alive))
+    """Runs until a pair at the threshold is found with this probability."""
+    if recall >= found_share(1 << 20, depth):
+        raise ValueError(f"sketches of {TOKENS} tokens can't reach a recall of {recall}")
+    runs = 1
+    while found_share(runs, depth) < recall:
+        runs += 1
+    return runs
 
 
 # --- sets and sketches
@@ -121,22 +140,25 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def first_paths(classes: DataFrame, runs: int) -> DataFrame:
-    start = seeds(runs, 11)
+def first_paths(classes: DataFrame, most: int) -> DataFrame:
+    """path and cid of classes with cid, sketch and their runs: those from first_run to before end_run."""
+    start = seeds(most, 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 cid, sketch = part.column("cid").to_numpy(), _matrix(part.column("sketch"))
-                for s in start:
-                    at, path = np.arange(len(cid)), np.full(len(cid), s)
+                first, end = part.column("first_run").to_numpy(), part.column("end_run").to_numpy()
+                for r in range(int(first.min()), int(end.max())):
+                    at = np.flatnonzero((first <= r) & (r < end))
+                    path = np.full(len(at), start[r])
                     for _ in range(DEPTH):
                         row, path = _choose(path, sketch[at])
                         at = at[row]
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cid[at])], ["path", "cid"])
 
-    return classes.select("cid", "sketch").mapInArrow(run, "path long, cid long")
+    return classes.select("cid", "sketch", "first_run", "end_run").mapInArrow(run, "path long, cid long")
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
@@ -183,13 +205,13 @@ def leaf_links(leaves: DataFrame) -> DataFrame:
                 size = np.diff(members.offsets.to_numpy())
                 at = np.cumsum(size) - size
                 two = at[size == 2]
-                near = (sketch[two] == sketch[two + 1]).mean(1) >= CANDIDATE
+                near = (sketch[two] == sketch[two + 1]).sum(1) >= CANDIDATE
                 a, b = cid[two[near]], cid[two[near] + 1]
                 links = list(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
                 for p, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                     s = sketch[p : p + n]
                     own = cid[p : p + n]
-                    low = _lowest((s[:, None, :] == s[None, :, :]).mean(2) >= CANDIDATE, own)
+                    low = _lowest((s[:, None, :] == s[None, :, :]).sum(2) >= CANDIDATE, own)
                     links += [(x, y) for x, y in zip(own.tolist(), low.tolist(), strict=True) if x != y]
                 a, b = zip(*set(links), strict=True) if links else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -198,22 +220,43 @@ def leaf_links(leaves: DataFrame) -> DataFrame:
 
 
 def _pivot_likeness(rows: DataFrame) -> DataFrame:
-    """path, cid, sketch, pivot and the share of equal tokens, of rows that also have the pivot's sketch."""
-    kinds = "path long, cid long, sketch binary, pivot long, likeness double"
+    """path, cid, sketch, pivot and the number of equal tokens, of rows that also have the pivot's sketch."""
+    kinds = "path long, cid long, sketch binary, pivot long, likeness long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                like = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).mean(1)
+                like = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "cid", "sketch", "pivot")), pa.array(like)], ["path", "cid", "sketch", "pivot", "likeness"])
 
     return rows.mapInArrow(run, kinds)
 
 
-def candidate_links(classes: DataFrame, runs: int) -> DataFrame:
+def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Candidate links (a, b) between classes with cid and sketch."""
     sketch_of = classes.select("cid", "sketch")
-    paths, links = materialize(first_paths(classes, runs), "paths"), []
+    runs = runs_for(recall, DEPTH)
+    now, most, links = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, []
+    while True:
+        found, deep = _links_of_runs(now, sketch_of, most)
+        links += found
+        if not deep:
+            break
+        # classes of buckets that were split deeper than theirs so far take part in the runs that this depth needs
+        reached = reduce(DataFrame.union, deep).groupBy("cid").agg(F.max("depth").alias("reached"))
+        now = reached.join(now, "cid").where("reached > depth")
+        top = now.agg(F.max("reached")).first()[0]
+        if top is None:
+            break
+        needed = F.create_map(*(F.lit(x) for d in range(DEPTH, top + 1) for x in (d, runs_for(recall, d))))
+        now = now.select("cid", "sketch", F.col("end_run").alias("first_run"), needed[F.col("reached")].alias("end_run"), F.col("reached").alias("depth"))
+        now, most = materialize(now, "further-runs"), runs_for(recall, top)
+    return reduce(DataFrame.union, links)
+
+
+def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(candidate links, classes and depths of buckets that were split) of some runs."""
+    paths, links, deep, depth = materialize(first_paths(classes, most), "paths"), [], [], DEPTH
     while True:
         # the pivot is drawn by a hash of the class alone: buckets of a family tend to have the same, and so the same links
         buckets = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p")).where("n > 1")
@@ -227,42 +270,21 @@ def candidate_links(classes: DataFrame, runs: int) -> DataFrame:
         if large.isEmpty():
             break
         pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
-        deep = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "deep")
-        absorbed = deep.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
+        compared_ = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "deep")
+        absorbed = compared_.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
         links.append(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")))
-        unsettled = deep.where(F.col("likeness") < SETTLED)
+        unsettled = compared_.where(F.col("likeness") < SETTLED)
         if unsettled.isEmpty():
             break
+        depth += 1
+        deep.append(unsettled.select("cid", F.lit(depth).alias("depth")))
         paths = materialize(next_paths(unsettled), "paths")
-    return reduce(DataFrame.union, links)
+    return links, deep
 
 
 # --- exact comparison within families
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of rows of a partition that is sorted by the keys; one group at a time is held."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for p, q in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[p] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(p, q - p))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections; only fingerprints of two or more sets count, a stretch of them at a time."""
     n = np.array([len(s) for s in sets])
@@ -284,10 +306,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def compared(blocks: DataFrame, threshold: float) -> DataFrame:
     """cid, n_links, low (the smallest cid of its component within the group) and whether the family has more blocks, of
-    rows with family, size, i, j, side, cid, copies and the set; side is 0 for the rows of block i."""
+    rows with family, blocks, i, j, side, cid, copies and the set; side is 0 for the rows of block i."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_group(batches, ["family", "i", "j"]):
+        for group in by_group(batches, ["family", "i", "j"]):
             cid, copies = group.column("cid").to_numpy(), group.column("copies").to_numpy()
             sets = [np.frombuffer(x, _U) for x in group.column("shingles").to_pylist()]
             n = np.array([len(s) for s in sets], np.float64)
@@ -297,7 +319,7 @@ def compared(blocks: DataFrame, threshold: float) -> DataFrame:
             if group.column("i")[0].as_py() != group.column("j")[0].as_py():
                 side = group.column("side").to_numpy()
                 near &= side[:, None] != side[None, :]
-            many = group.column("size")[0].as_py() > BLOCK
+            many = group.column("blocks")[0].as_py() > 1
             columns = [pa.array(cid), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(_lowest(near, cid)), pa.array([many] * len(cid))]
             yield pa.RecordBatch.from_arrays(columns, ["cid", "n_links", "low", "many"])
 
@@ -305,15 +327,15 @@ def compared(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """A row for each block pair that a member takes part in; families of up to BLOCK classes are one block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """A row for each block pair that a member takes part in, which is one for each block of its family."""
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("side")))
-    return members.withColumn("b", F.explode(pairs)).select("family", "size", "b.i", "b.j", "b.side", "cid", "copies", "shingles")
+    return members.withColumn("b", F.explode(pairs)).select("family", "blocks", "b.i", "b.j", "b.side", "cid", "copies", "shingles")
 
 
 def _with_shingles(members: DataFrame) -> DataFrame:
-    names = ["family", "size", "cid", "copies"]
+    names = ["family", "blocks", "cid", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,26 +346,26 @@ def _with_shingles(members: DataFrame) -> DataFrame:
                 part = batch.slice(x, z - x)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return members.mapInArrow(run, "family long, size long, cid long, copies long, shingles binary")
+    return members.mapInArrow(run, "family long, blocks int, cid long, copies long, shingles binary")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """id, text_md5, uid, group_uid, group_id, n_links and copies of every row.
+    """id, text_md5, uid, group_uid, group_id, n_links, copies and n_shingles of every row.
 
     uid numbers the rows, group_uid is the smallest uid that links lead to, group_id the smallest id of that group,
     n_links how many other rows a row is linked to directly, copies the rows with its very set."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"), F.col(text).alias("text"))
     rows = materialize(with_sketches(rows), "sketches")
-    sets = rows.where("n > 0").groupBy("one", "two").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "id", "text_md5", "sketch")).alias("first"))
-    classes = materialize(sets.select("one", "two", "copies", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), "classes")
+    sets = rows.where("n > 0").groupBy("one", "two").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("uid", "id", "text_md5", "sketch")).alias("first"))
+    classes = materialize(sets.select("one", "two", "copies", "n", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), "classes")
 
-    families = components(candidate_links(classes, runs_for(recall, DEPTH)))
-    families = materialize(families.select(F.col("node").alias("cid"), F.col("component").alias("family")), "families")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    members = families.join(sizes, "family").join(classes.select("cid", "copies", "id", "text_md5"), "cid")
+    families = components(candidate_links(classes, recall)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    families = materialize(families.join(classes.select("cid", "n", "copies", "id", "text_md5"), "cid"), "families")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    members = families.join(families.groupBy("family").agg(blocks.alias("blocks")), "family")
 
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
-    found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "size", "cid", "copies", "text")
+    found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "blocks", "cid", "copies", "text")
     blocks = _in_blocks(_with_shingles(found.dropDuplicates(["cid"]))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     results = materialize(compared(blocks, threshold), "compared")
     # a family in one block is settled there; the others' blocks are put together
@@ -352,16 +374,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     if not split.isEmpty():
         together = components(split)
         joined = joined.join(together, F.col("cid") == F.col("node"), "left").select("cid", "n_links", F.coalesce(together.component, joined.component).alias("component"))
-    per_class = classes.select("one", "two", "copies", "cid").join(joined, "cid", "left")
-    per_class = per_class.select("one", "two", "copies", F.coalesce("component", "cid").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(per_class, ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies")
-    alone = rows.where("n = 0").select("uid", "id", "text_md5", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
+    per_class = classes.select("one", "two", "copies", "n", "cid").join(joined, "cid", "left")
+    per_class = per_class.select("one", "two", "copies", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(per_class, ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies", "n_shingles")
+    alone = rows.where("n = 0").select("uid", "id", "text_md5", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.lit(0).alias("n_shingles"))
     every = materialize(base.union(alone), "grouped")
     least = every.groupBy("component").agg(F.min("id").alias("group_id"), F.min("uid").alias("group_uid"))
-    return every.join(least, "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies")
-
+    return every.join(least, "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies", "n_shingles")
 
-def first_of_repeats(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """n rows of each key. Rows of a key are equal in id and text; which of them stay makes no difference."""
-    many = Window.partitionBy(*keys).orderBy(*keys)
-    return rows.withColumn("__k", F.row_number().over(many)).where(F.col("__k") <= F.col(n)).drop("__k")

@@ -22,11 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near copies link; documents without a word are all kept."""
-    kept = near_dup.jaccard_join(docs).where("uid = group_uid").select(F.col("id").alias("__id"), F.col("text_md5").alias("__kept_md5"))
+    rows = near_dup.jaccard_join(docs).groupBy("id", "text_md5").agg(F.count("*").alias("rows"), F.count_if(F.col("uid") == F.col("group_uid")).alias("kept"))
+    keys = rows.where("kept > 0").select(F.col("id").alias("__id"), F.col("text_md5").alias("__text_md5"), (F.col("rows") == F.col("kept")).alias("__all"))
     marked = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
-    joined = marked.join(kept.groupBy("__id", "__kept_md5").agg(F.count("*").alias("__n")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__kept_md5")))
-    # rows that repeat in id and text are copies of each other: as many stay as were kept
-    return near_dup.first_of_repeats(joined, ["doc_id", "__md5"], "__n").drop("__id", "__kept_md5", "__md5", "__n")
+    joined = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5")))
+    whole = joined.where("__all").select(docs.columns)
+    # rows that repeat in id and text are copies of each other, and one of them stays; partial aggregation leaves one a task
+    repeated = joined.where("not __all").groupBy("__id", "__md5").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return whole.union(repeated.select("__row.*"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

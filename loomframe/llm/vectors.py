@@ -1,41 +1,51 @@
 """Near-duplicate vectors by an exact metric range join.
 
-On unit vectors a cosine of at least t is a distance of at most r = sqrt(2 - 2 t). Pivots drawn from each label's vectors
-cut it into cells: a vector's home is its nearest pivot. By the triangle inequality a vector x of home i can only have a
-partner in cell j if d(x, p_j) - d(x, p_i) <= 2 r, and, distances being Euclidean, if x is within r of the plane between
-the two pivots; it visits the later cells for which both hold. So each pair within r meets in exactly one cell, and cells are
-joined independently: residents with residents and with visitors. Cells are compared in blocks of bounded size.
+On unit vectors a cosine of at least t is a distance of at most r = sqrt(2 - 2 t). A label is a cell at first. Cells of
+more than CELL vectors are cut by up to FAN pivots drawn from them: a vector's home is its nearest pivot. By the triangle
+inequality a vector x of home i can only have a partner in cell j if d(x, p_j) - d(x, p_i) <= 2 r, and, distances being
+Euclidean, if x is within r of the plane between the two pivots; it visits the later cells for which both hold. So each
+pair within r meets in exactly one cell. What is still too large is cut again, level by level, with pivots of its own, so
+that their number grows with the data and cells do not. A visitor's mark of each level goes along: two vectors that both
+visit on one level have met, or will, elsewhere. A cell stays whole where cutting would not spare half of its comparisons,
+as with vectors that are all alike or without structure; such cells are compared in block pairs of bounded size. Cells
+are joined independently.
 
 Equal vectors of a label form a class and are compared once. What leaves a block is a count for each class and a link to
-the smallest of its component there, so that a dense cell emits no pairs. Pivots are a bounded sample; labels without
-one are a single cell, which blocks split all the same.
+the smallest of its component there, so that a dense cell emits no pairs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with nothing
-and are components of their own. Repeated rows are copies of each other; vectors of different lengths never link. An empty
-table gives an empty result. Only the named columns are read.
+and are components of their own. Labels of any type are compared as text. Repeated rows are copies of each other; vectors
+of different lengths never link. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_group, materialize
 from .graph import components
-from .near_dup import _by_group
 
 THRESHOLD = 0.93
-#: Vectors that a cell should hold, pivots of a label at most, and pivots in all at most, in expectation.
-CELL, LABEL_PIVOTS, PIVOTS = 2_000, 64, 4_096
-#: Rows of a block.
-BLOCK = 1_500
-STEP = 512
-
-_KEY = ["label", "dim"]
+#: Vectors of a cell that is not cut, and pivots that cut a cell at most, in expectation.
+CELL, FAN = 1_500, 16
+#: Pivots that tasks hold at once; a level with more is cut in parts.
+PIVOTS = 16_384
+#: A cell is cut if the parts have at most so much of its comparisons.
+SPARED = 0.5
+#: A cell's number holds the place at each level, FAN_BITS wide (a hash may draw more pivots than FAN).
+LEVELS, FAN_BITS = 10, 6
+#: Components of the vectors of a block, about, and comparisons made at once.
+BLOCK, STEP = 2_000_000, 4_000_000
+
+_CELL = ["label", "dim", "cell"]
+_ROW = [*_CELL, "marks", "cid", "copies", "vector"]
+_KINDS = "label string, dim int, cell long, marks long, cid long, copies long, vector array<double>"
 
 
 def _unit(values, dim: int) -> np.ndarray:
@@ -63,24 +73,15 @@ def lowest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def pivots_of(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Unit pivots of the largest labels: a sample drawn by a hash, PIVOTS of them in expectation at most."""
-    large = classes.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n"), *_KEY).limit(PIVOTS // 2).collect()
-    wanted, left = [], PIVOTS
-    for r in large:
-        k = min(LABEL_PIVOTS, -(-r["n"] // CELL), left)
-        if k < 2:
-            break
-        wanted.append((r["label"], r["dim"], int((1 << 24) * min(1.0, k / r["n"]))))
-        left -= k
-    if not wanted:
-        return {}
-    share = classes.sparkSession.createDataFrame(wanted, "label long, dim int, share int")
-    drawn = classes.join(F.broadcast(share), _KEY).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 24)) < F.col("share"))
+def pivots_of(rows: DataFrame, wanted: DataFrame) -> dict[tuple, np.ndarray]:
+    """Unit pivots of the wanted cells (with size): a sample drawn by a hash, PIVOTS of them in expectation at most."""
+    share = F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL)) * (1 << 24) / F.col("size")
+    drawn = rows.join(wanted, _CELL).where(F.pmod(F.xxhash64("cid", "cell"), F.lit(1 << 24)) < share)
+    first = drawn.groupBy(*_CELL, "cid").agg(F.first("vector").alias("vector"))
     found: dict[tuple, list] = {}
-    for r in sorted(drawn.select(*_KEY, "cid", "vector").collect(), key=lambda r: r["cid"]):
-        found.setdefault((r["label"], r["dim"]), []).append(r["vector"])
-    return {k: _unit(v, k[1]) for k, v in found.items()}
+    for r in sorted(first.collect(), key=lambda r: r["cid"]):
+        found.setdefault((r["label"], r["dim"], r["cell"]), []).append(r["vector"])
+    return {k: _unit(v[: 1 << FAN_BITS], k[1]) for k, v in found.items() if len(v) > 1}
 
 
 def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, int, bool]]:
@@ -97,50 +98,100 @@ def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tupl
         yield np.flatnonzero(near[:, j]), j, True
 
 
-def assign(classes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
-    sent = classes.sparkSession.sparkContext.broadcast(pivots)
-    names = ["label", "dim", "cid", "copies", "vector"]
+def _dealt(batches: Iterator[pa.RecordBatch], pivots: dict[tuple, np.ndarray], radius: float) -> Iterator[tuple[tuple, pa.RecordBatch, np.ndarray, int, bool]]:
+    """(cell's key, rows, places of those that go to a part of the cell, number of the part, whether they visit it) of the
+    rows of cells that have pivots."""
+    for batch in batches:
+        place: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in _CELL), strict=True)):
+            place.setdefault(key, []).append(i)
+        for key in sorted(place.keys() & pivots.keys()):
+            part, at_once = batch.take(pa.array(place[key])), max(1, STEP // (8 * key[1]))
+            for k in range(0, part.num_rows, at_once):
+                some = part.slice(k, at_once)
+                for at, cell, visits in cells(_unit(some.column("vector").flatten().to_numpy(), key[1]), pivots[key], radius):
+                    if len(at):
+                        yield key, some, at, cell, visits
+
+
+def part_sizes(rows: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
+    """label, dim, cell, part and n: how many rows each part of a cell would have."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
-            for key in sorted(set(keys)):
-                rows = np.array([i for i, k in enumerate(keys) if k == key])
-                part = batch.take(pa.array(rows))
-                if key in sent.value:
-                    dealt = list(cells(_unit(part.column("vector").flatten().to_numpy(), key[1]), sent.value[key], radius))
-                else:
-                    dealt = [(np.arange(len(rows)), 0, False)]
-                for at, cell, visits in dealt:
-                    if len(at):
-                        some = part.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array([cell] * len(at), pa.int32()), pa.array([visits] * len(at))], [*names, "cell", "visits"])
+        n: dict[tuple, int] = {}
+        for key, _, at, cell, _ in _dealt(batches, sent.value, radius):
+            n[*key, cell] = n.get((*key, cell), 0) + len(at)
+        columns = list(zip(*(k for k in n), strict=True)) or [[]] * 4
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(list(n.values()), pa.int64())], [*_CELL, "part", "n"])
 
-    return classes.select(*names).mapInArrow(run, "label long, dim int, cid long, copies long, vector array<double>, cell int, visits boolean")
+    return rows.select(*_ROW).mapInArrow(run, "label string, dim int, cell long, part int, n long").groupBy(*_CELL, "part").agg(F.sum("n").alias("n"))
+
+
+def assign(rows: DataFrame, pivots: dict[tuple, np.ndarray], radius: float, level: int) -> DataFrame:
+    """The rows of the cells that have pivots, in their new cells."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, some, at, cell, visits in _dealt(batches, sent.value, radius):
+            own = some.take(pa.array(at))
+            marks = own.column("marks").to_numpy() | (1 << level if visits else 0)
+            columns = [own.column("label"), own.column("dim"), pa.array([key[2] << FAN_BITS | cell + 1] * len(at), pa.int64()), pa.array(marks, pa.int64()), *(own.column(c) for c in ("cid", "copies", "vector"))]
+            yield pa.RecordBatch.from_arrays(columns, _ROW)
+
+    return rows.select(*_ROW).mapInArrow(run, _KINDS)
+
+
+def into_cells(rows: DataFrame, radius: float) -> list[DataFrame]:
+    """The rows in cells that need no cut or can't be cut well, in parts."""
+    ready, now = [], rows.withColumns({"cell": F.lit(0).cast("long"), "marks": F.lit(0).cast("long")}).select(*_ROW)
+    for level in range(LEVELS):
+        sizes = materialize(now.groupBy(*_CELL).agg(F.count("*").alias("size")), "cell-sizes")
+        large, expected = sizes.where(F.col("size") > CELL), F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL))
+        total = large.agg(F.sum(expected)).first()[0]
+        if not total:
+            break
+        parts, cut, good = -(-total // PIVOTS), [], []
+        for k in range(parts):
+            own = large.where(F.pmod(F.xxhash64(*_CELL), F.lit(parts)) == k)
+            inside, pivots = now.join(own.select(*_CELL), _CELL, "left_semi"), pivots_of(now, own)
+            # comparisons within a cell and within its parts
+            work = part_sizes(inside, pivots, radius).groupBy(*_CELL).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+            spared = materialize(own.join(work, _CELL).where(F.col("work") <= SPARED * F.col("size").cast("double") * F.col("size")).select(*_CELL), "cut-cells")
+            good.append(spared)
+            cut.append(materialize(assign(now.join(spared, _CELL, "left_semi"), pivots, radius, level), "vector-cells"))
+        ready.append(now.join(reduce(DataFrame.union, good), _CELL, "left_anti").select(*_ROW))
+        now = reduce(DataFrame.union, cut)
+    return [*ready, now]
 
 
 def compared(blocks: DataFrame, threshold: float) -> DataFrame:
     """cid, n_links and low of the rows of each block pair."""
-    keys = ["label", "dim", "cell", "i", "j"]
+    keys = [*_CELL, "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_group(batches, keys):
+        for group in by_group(batches, keys):
             group = group.combine_chunks()
-            cid, copies, visits, side = (group.column(c).to_numpy() for c in ("cid", "copies", "visits", "side"))
+            cid, copies, marks, side = (group.column(c).to_numpy() for c in ("cid", "copies", "marks", "side"))
             units = _unit(group.column("vector").chunk(0).flatten().to_numpy(), group.column("dim")[0].as_py())
             across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
             a, b = [], []
-            for k in range(0, len(units), STEP):
-                near = units[k : k + STEP] @ units.T >= threshold
-                near &= ~(visits[k : k + STEP, None] & visits[None, :])
+            step = max(1, STEP // len(units))
+            for k in range(0, len(units), step):
+                near = units[k : k + step] @ units.T >= threshold
+                if marks.any():
+                    near &= (marks[k : k + step, None] & marks[None, :]) == 0
                 if across:
-                    near &= side[k : k + STEP, None] != side[None, :]
+                    near &= side[k : k + step, None] != side[None, :]
                 x, y = np.nonzero(near)
                 a.append(x[x + k != y] + k)
                 b.append(y[x + k != y])
             a, b = np.concatenate(a), np.concatenate(b)
             n = np.bincount(a, copies[b], minlength=len(cid)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), pa.array(lowest(cid, a, b))], ["cid", "n_links", "low"])
+            low = lowest(cid, a, b)
+            told = (n > 0) | (low < cid)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[told]), pa.array(n[told]), pa.array(low[told])], ["cid", "n_links", "low"])
 
     return blocks.mapInArrow(run, "cid long, n_links long, low long")
 
@@ -150,7 +201,7 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     v = F.col("vector")
     usable = F.col("label").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector")
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector")
     )
     rows = materialize(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
     good = rows.where("usable").withColumn("dim", F.size("vector")).withColumn("digest", F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + 0.0).cast("string"))), 256))
@@ -159,14 +210,14 @@ def range_join(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     single = classes.join(rows.select(F.col("uid").alias("cid"), "vector"), "cid").select("label", "dim", "cid", "copies", "vector")
     single = materialize(single, "vector-class-rows")
     radius = float(np.sqrt(2 - 2 * threshold))
-    dealt = materialize(assign(single, pivots_of(single), radius), "vector-cells")
-    counts = dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = materialize(reduce(DataFrame.union, into_cells(single, radius)), "vector-cells")
+    counts = dealt.groupBy(*_CELL).agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") * F.greatest("dim", F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("side")))
-    keys = ["label", "dim", "cell", "i", "j"]
-    spread = dealt.join(counts, ["label", "dim", "cell"]).withColumn("b", F.explode(pairs))
-    spread = spread.select("label", "dim", "cell", "b.i", "b.j", "b.side", "cid", "copies", "visits", "vector").repartition(*keys).sortWithinPartitions(*keys)
+    keys = [*_CELL, "i", "j"]
+    spread = dealt.join(counts, _CELL).withColumn("b", F.explode(pairs))
+    spread = spread.select(*_CELL, "b.i", "b.j", "b.side", "cid", "copies", "marks", "vector").repartition(*keys).sortWithinPartitions(*keys)
     results = materialize(compared(spread, threshold), "vector-links")
     linked = results.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
     groups = components(results.where("low < cid").select(F.col("cid").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "cid")

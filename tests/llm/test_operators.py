@@ -647,16 +647,22 @@ def test_secrets_discovery_bins(spark):
 # --- 9
 
 
-def test_range_join_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CELL", 60)
-    monkeypatch.setattr(vectors, "BLOCK", 40)
+@pytest.mark.parametrize("cell,fan,spared,levels", [(20, 4, 9.0, 3), (20, 4, 0.5, 6), (60, 16, 0.9, 10), (1500, 16, 0.5, 10)])
+def test_range_join_by_brute_force(spark, monkeypatch, cell, fan, spared, levels):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "FAN", fan)
+    monkeypatch.setattr(vectors, "SPARED", spared)
+    monkeypatch.setattr(vectors, "LEVELS", levels)
+    monkeypatch.setattr(vectors, "PIVOTS", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    monkeypatch.setattr(vectors, "STEP", 1_000)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 6))
     rows = [(i, [float(np.float32(y)) for y in centres[rng.integers(12)] + rng.normal(size=6) * rng.choice([0.02, 0.15, 0.5])], int(rng.integers(3)), "x") for i in range(500)]
     rows += [(900 + i, rows[5][1], rows[5][2], "x") for i in range(50)]
     special = [None, [0.0] * 6, [float("nan")] * 6, [1.0, None], [1.0, 2.0], [2.0, 4.0], [1e200, 1e200], [1e-200, 1e-200], []]
     rows += [(1000 + k, v, 1, "x") for k, v in enumerate(special)] + [(1100, [1.0] * 6, None, "x")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cid string")
+    frame = spark.createDataFrame([(i, v, k if k is None else f"label {k}", x) for i, v, k, x in rows], "vec_id long, embedding array<double>, label string, cid string")
     got = {r.id: (r.n_links, r.component_id) for r in vectors.range_join(frame).collect()}
     parent, degree = {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
 
@@ -677,6 +683,20 @@ def test_range_join_by_brute_force(spark, monkeypatch):
     assert vectors.range_join(frame.limit(0)).count() == 0
 
 
+def test_cells_are_cut_level_by_level(spark, monkeypatch):
+    """Cells get small, and a row has few copies, where vectors have structure; without any they stay whole."""
+    monkeypatch.setattr(vectors, "CELL", 50)
+    rng = np.random.default_rng(2)
+    angle = rng.random(3000) * 6
+    for label, rows, levels in (("x", np.c_[np.cos(angle), np.sin(angle)], 2), ("y", rng.normal(size=(3000, 16)), 0)):
+        frame = spark.createDataFrame([(label, rows.shape[1], i, 1, v) for i, v in enumerate(rows.tolist())], "label string, dim int, cid long, copies long, vector array<double>")
+        placed = [(r.cell, r.cid) for p in vectors.into_cells(frame, 0.005 if levels else 0.37) for r in p.collect()]
+        assert {c for _, c in placed} == set(range(3000)) and len(placed) < 1.6 * 3000 and len(set(placed)) == len(placed)
+        sizes = np.bincount(np.unique([c for c, _ in placed], return_inverse=True)[1])
+        assert sizes.max() <= 60 if levels else sizes.tolist() == [3000]
+        assert max(c for c, _ in placed) >= (1 << vectors.FAN_BITS * (levels - 1) if levels else 0)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(500, 501 + k) for k in range(80)] + [(7, 7), (None, 3)]
@@ -750,25 +770,79 @@ def test_jaccard_join_by_brute_force(spark, monkeypatch, leaf, block):
     for r in rows:
         assert (r.n_links, r.group_id) in by[r.id, r.text_md5], r
     assert sum(r.uid == r.group_uid for r in rows) == len(set(group))
+    assert {r.id: r.n_shingles for r in rows if r.id in (1, 2, 8, 9)} == {1: 0, 2: 0, 8: 0, 9: 1}
     assert near_dup.jaccard_join(frame.limit(0)).count() == 0
 
 
-def test_runs_reach_the_recall():
-    assert near_dup.runs_for(0.9999, 2) == 15
-    rng = np.random.default_rng(0)
-    hits = 0
-    for _ in range(60):
-        a = rng.integers(0, 1 << 32, near_dup.TOKENS, np.uint32)
-        b = np.where(rng.random(near_dup.TOKENS) < 0.8, a, rng.integers(0, 1 << 32, near_dup.TOKENS, np.uint32))
-        met = False
-        for s in near_dup.seeds(15, 11):
-            paths = []
-            for x in (a, b):
-                at, path = np.zeros(1, int), np.array([s])
-                for _ in range(near_dup.DEPTH):
-                    row, path = near_dup._choose(path, x[None, :][at])
-                    at = at[row]
-                paths.append(set(path.tolist()))
-            met |= bool(paths[0] & paths[1])
-        hits += met
-    assert hits >= 58
+@pytest.mark.parametrize("depth,runs", [(2, 3), (4, 6), (6, 9)])
+def test_found_share_is_what_runs_find(depth, runs):
+    """Sketches at the threshold through the module's own choices of tokens, against the law that sets the runs."""
+    rng, pairs, hits = np.random.default_rng(depth), 1500, 0
+    a = rng.integers(0, 1 << 32, (pairs, near_dup.TOKENS), np.uint32)
+    b = np.where(rng.random(a.shape) < near_dup.THRESHOLD, a, rng.integers(0, 1 << 32, a.shape, np.uint32))
+    met = np.zeros(pairs, bool)
+    for s in near_dup.seeds(runs, 11):
+        ends = []
+        for x in (a, b):
+            at, path = np.arange(pairs), np.full(pairs, s)
+            for _ in range(depth):
+                row, path = near_dup._choose(path, x[at])
+                at = at[row]
+            ends.append(set(zip(at.tolist(), path.tolist(), strict=True)))
+        met[[i for i, _ in ends[0] & ends[1]]] = True
+    hits = (met & ((a == b).sum(1) >= near_dup.CANDIDATE)).mean()
+    share = near_dup.found_share(runs, depth)
+    assert abs(hits - share) < 4 * np.sqrt(share * (1 - share) / pairs) + 0.005
+
+
+def test_runs_grow_with_depth():
+    runs = [near_dup.runs_for(near_dup.RECALL, d) for d in range(2, 9)]
+    assert runs == sorted(set(runs))
+    assert all(near_dup.found_share(r, d) >= near_dup.RECALL > near_dup.found_share(r - 1, d) for d, r in zip(range(2, 9), runs, strict=True))
+    with pytest.raises(ValueError):
+        near_dup.runs_for(1.0, 2)
+
+
+def test_settled_classes_lose_no_candidate():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x, y, p = rng.integers(0, 3, (3, near_dup.TOKENS))
+        y, p = (np.where(rng.random(near_dup.TOKENS) < rng.uniform(0.4, 1), x, v) for v in (y, p))
+        if (x == p).sum() >= near_dup.SETTLED and (x == y).sum() >= near_dup.CANDIDATE:
+            assert (y == p).sum() >= near_dup.ABSORB
+
+
+def test_further_runs_for_deep_buckets(spark, monkeypatch):
+    """Many texts that share a passage make buckets that are split again and again; what is linked is still found."""
+    monkeypatch.setattr(near_dup, "LEAF", 4)
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(5000)]
+    shared = [rng.choice(words) for _ in range(60)]
+    docs = []
+    for k in range(120):
+        w = shared + [rng.choice(words) for _ in range(60)]
+        docs.append((2 * k, " ".join(w)))
+        w[-1 - rng.randrange(5)] = "other"
+        docs.append((2 * k + 1, " ".join(w)))
+    passes = []
+    inner = near_dup._links_of_runs
+
+    def counted(classes, sketch_of, most):
+        passes.append(most)
+        return inner(classes, sketch_of, most)
+
+    monkeypatch.setattr(near_dup, "_links_of_runs", counted)
+    rows = {r.id: r for r in near_dup.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    degree, group = brute_join(docs)
+    assert sum(rows[i].n_links != n or rows[i].group_id != docs[g][0] for (i, _), n, g in zip(docs, degree, group, strict=True)) <= 1
+    assert len(passes) > 1 and passes[0] == near_dup.runs_for(near_dup.RECALL, 2) < min(passes[1:]) and sum(degree) >= 200
+
+
+def test_jaccard_join_recall(spark, sf):
+    """Against all pairs, for every row, on the larger tables."""
+    rows = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text").collect()
+    docs = [(r.doc_id, r.text) for r in rows]
+    degree, _ = brute_join(docs)
+    got = {r.id: r.n_links for r in near_dup.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = dict(zip((i for i, _ in docs), degree, strict=True))
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.99 * sum(want.values()) > 0

@@ -65,6 +65,16 @@ def test_near_copies_stage(stages):
     assert len(left) == len(set(left)) == len({find(i) for i in range(len(rows))})
 
 
+def test_near_copies_stage_with_repeated_rows(spark, sf):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a", 1)] * 30 + [(1, text, "b", 2)] * 3 + [(2, text + " more", "a", 1), (3, "other words that stand apart", "a", 1), (4, None, "a", 1), (4, None, "a", 1), (5, "?!", "a", 1), (None, text, "a", 1), (None, "alone in this", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rows string, kept int")
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(False, 1, text), (False, 3, rows[34][1]), (False, 4, ""), (False, 4, ""), (False, 5, "?!"), (True, 0, "alone in this")])
+
+
 def test_benchmark_stage(stages, spark, sf):
     items = [decontaminate.exact_shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = set()

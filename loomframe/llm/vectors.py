@@ -25,15 +25,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, materialize
 from .graph import components
 
 THRESHOLD = 0.93
-#: Vectors of a cell that is not cut, and pivots that cut a cell at most, in expectation.
-CELL, FAN = 1_500, 16
+#: Vectors of a cell that is not cut, and pivots that cut a cell at least and at most, in expectation.
+CELL, LEAST_FAN, FAN = 1_500, 8, 16
 #: Pivots that tasks hold at once; a level with more is cut in parts.
 PIVOTS = 16_384
 #: A cell is cut if the parts have at most so much of its comparisons.
@@ -73,9 +73,14 @@ def lowest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pivots() -> Column:
+    """Pivots that a cell is given, in expectation; with the least number, a draw of fewer than two is rare."""
+    return F.greatest(F.lit(LEAST_FAN), F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL)))
+
+
 def pivots_of(rows: DataFrame, wanted: DataFrame) -> dict[tuple, np.ndarray]:
     """Unit pivots of the wanted cells (with size): a sample drawn by a hash, PIVOTS of them in expectation at most."""
-    share = F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL)) * (1 << 24) / F.col("size")
+    share = _pivots() * (1 << 24) / F.col("size")
     drawn = rows.join(wanted, _CELL).where(F.pmod(F.xxhash64("cid", "cell"), F.lit(1 << 24)) < share)
     first = drawn.groupBy(*_CELL, "cid").agg(F.first("vector").alias("vector"))
     found: dict[tuple, list] = {}
@@ -148,8 +153,8 @@ def into_cells(rows: DataFrame, radius: float) -> list[DataFrame]:
     ready, now = [], rows.withColumns({"cell": F.lit(0).cast("long"), "marks": F.lit(0).cast("long")}).select(*_ROW)
     for level in range(LEVELS):
         sizes = materialize(now.groupBy(*_CELL).agg(F.count("*").alias("size")), "cell-sizes")
-        large, expected = sizes.where(F.col("size") > CELL), F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / CELL))
-        total = large.agg(F.sum(expected)).first()[0]
+        large = sizes.where(F.col("size") > CELL)
+        total = large.agg(F.sum(_pivots())).first()[0]
         if not total:
             break
         parts, cut, good = -(-total // PIVOTS), [], []

@@ -100,7 +100,7 @@ def clean_question(c: Column) -> Column:
 
 def clean_code(c: Column) -> Column:
     block = F.regexp_extract(c, r"(?s)```(?:python|py)?\n(.*?)```", 1)
-    return F.trim(F.when(block != "", block).otherwise(unfenced(c)))
+    return F.regexp_replace(F.when(block != "", block).otherwise(unfenced(c)), r"^\s+|\s+$", "")
 
 
 def fenced_blocks(c: Column) -> Column:

@@ -49,7 +49,7 @@ def valid_templates(specs: DataFrame, key: str, spec: str) -> DataFrame:
 def template_weights(valid: DataFrame, key: str, usage: DataFrame, prefer: list[str], avoid: list[str], strength: float, seed: int | None = 0) -> DataFrame:
     """Adds a weight to each template: less the more it was used, more if preferred, much less if avoided; a jitter of up
     to 0.1 comes from a hash (none without a seed). With a strength over 0.5, or under ten valid ones, avoided ones go."""
-    joined = valid.join(F.broadcast(usage.withColumnRenamed("n", "used")), "template", "left")
+    joined = valid.join(usage.withColumnRenamed("n", "used"), "template", "left")
     preferred = F.col("template").isin(*prefer) if prefer else F.lit(False)
     avoided = F.col("template").isin(*avoid) if avoid else F.lit(False)
     weight = 1 / (F.coalesce("used", F.lit(0)) + 1.0) * F.when(preferred, 1 + 1.5 * strength).otherwise(1.0) * F.when(avoided, max(0.01, 1 - 0.9 * strength)).otherwise(1.0)

@@ -116,13 +116,31 @@ def diversity_constraints(counts: DataFrame, spark: SparkSession) -> DataFrame:
     return constraints(counts, universe, {"aggregations": 3, "time_units": 3, "transforms": 3, "compositions": 1, "interactions": 1})
 
 
-def diversity_report(counts: DataFrame) -> DataFrame:
-    """Each dimension's total, keys, score, and its ten most frequent values."""
+def diversity_report(counts: DataFrame, universe: DataFrame | None = None, under: float = 0.5, over: float = 2.0, n: int = 10) -> DataFrame:
+    """Each dimension's total, keys, score, its n most frequent values (of the universe, where one is given, values that
+    were never used count zero), and the lists of what is used too little and too much."""
+    if universe is not None:
+        zeros = coverage_gaps(universe, counts).join(counts.select("dimension", "value"), ["dimension", "value"], "left_anti").select("dimension", "value", F.lit(0).cast("long").alias("n"))
+        counts = counts.union(zeros)
     totals = counts.groupBy("dimension").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("keys"))
-    top = _first(counts, 10, [F.desc("n"), "value"]).groupBy("dimension").agg(
+    top = _first(counts, n, [F.desc("n"), "value"]).groupBy("dimension").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value", "n"))), lambda x: F.concat(x["value"], F.lit("="), x["n"].cast("string"))), ",").alias("top")
     )
-    return totals.join(diversity_score(counts), "dimension").join(top, "dimension")
+    names = lambda df, name: df.groupBy("dimension").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias(name))
+    few, many = names(underrepresented(counts, under, universe), "under"), names(overrepresented(counts, over), "over")
+    lists = totals.join(diversity_score(counts), "dimension").join(top, "dimension").join(few, "dimension", "left").join(many, "dimension", "left")
+    return lists.select("dimension", "total", "keys", "score", "top", F.coalesce("under", F.lit("")).alias("under"), F.coalesce("over", F.lit("")).alias("over"))
+
+
+def underrepresented_charts(counts: DataFrame, catalog: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Chart types of a catalogue (chart_type) that are used less than their share of it."""
+    universe = catalog.select(F.lit("chart_types").alias("dimension"), F.col("chart_type").alias("value")).distinct()
+    return underrepresented(counts.where("dimension = 'chart_types'"), threshold, universe).select(F.col("value").alias("chart_type"), "n")
+
+
+def overrepresented_charts(counts: DataFrame, threshold: float = 1.5, always_below: int = 0) -> DataFrame:
+    """Chart types that are used more than their share of those that were used."""
+    return overrepresented(counts.where("dimension = 'chart_types'"), threshold, always_below).select(F.col("value").alias("chart_type"), "n")
 
 
 def rebuild_counts(samples: DataFrame, dimensions: dict[str, str], key: str = "sample_id") -> DataFrame:
@@ -140,6 +158,23 @@ def reserve(recommended: DataFrame, reservation_id: str) -> DataFrame:
     return recommended.select(F.lit(reservation_id).alias("reservation_id"), "dimension", "value", F.lit(1).alias("delta"))
 
 
+def restore_counts(counts: DataFrame, saved: DataFrame) -> DataFrame:
+    """Counts that continue a saved state: values that are counted now as well are added up."""
+    both = saved.select("dimension", "value", F.col("n").cast("long").alias("n")).union(counts.select("dimension", "value", "n"))
+    return both.groupBy("dimension", "value").agg(F.sum("n").alias("n"))
+
+
+def commit(ledger: DataFrame, reservation_id: str, used: DataFrame | None = None) -> DataFrame:
+    """The ledger after a reservation was used: what it used (all of it, unless said otherwise) stays for good, under no
+    reservation, so that a later rollback of it has nothing to undo; what it did not use goes."""
+    own = F.col("reservation_id") == reservation_id
+    kept = ledger.where(own & (F.col("delta") > 0))
+    if used is not None:
+        kept = kept.join(used.select("dimension", "value").distinct(), ["dimension", "value"], "left_semi")
+    rest = ledger.where(F.col("reservation_id").isNull() | ~own)
+    return rest.unionByName(kept.withColumn("reservation_id", F.lit(None).cast("string")).select(ledger.columns))
+
+
 def rollback(ledger: DataFrame, reservation_id: str, used: DataFrame | None = None) -> DataFrame:
     """Rows that undo a reservation, or the part of it that was not used."""
     own = ledger.where((F.col("reservation_id") == reservation_id) & (F.col("delta") > 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.scratch import state_path
 from .chartops import agg_alias
 
 #: What counts in the distance of two candidates.
@@ -100,28 +101,40 @@ def distance(a, b) -> Column:
 
 
 def candidate_distance(candidates: DataFrame, key: str = "question_id") -> DataFrame:
-    """key, pos_a < pos_b and distance of the candidates of a question, which are few."""
+    """key, pos_a < pos_b and distance of the candidates of a question."""
     a, b = candidates.alias("a"), candidates.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.pos") < F.col("b.pos")))
     return pairs.select(F.col(f"a.{key}").alias(key), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), distance(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("distance"))
 
 
+#: What the distance of two candidates looks at.
+COMPARED = ["chart_category", "chart_type", "dimensions", "measures", "tables_needed", "aggregation", "vis_intent_type", "feature_types", "complexity"]
+
+
 def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> DataFrame:
     """Up to n candidates of each question: the first, then again and again the one farthest from those taken; ties go to
-    the earliest. diversity_score is the distance at which one was taken (0 for the first, and where all are kept)."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(key))
-    first = F.min("pos").over(Window.partitionBy(key))
-    state = candidates.select(key, "pos", size.alias("size"), F.when(F.col("pos") == first, 0).alias("taken"), F.lit(0.0).alias("diversity_score"), F.lit(float("inf")).alias("nearest"))
-    pairs = candidate_distance(candidates, key)
-    both = pairs.select(key, F.col("pos_a").alias("pos"), F.col("pos_b").alias("other"), "distance").union(pairs.select(key, F.col("pos_b").alias("pos"), F.col("pos_a").alias("other"), "distance"))
-    for k in range(1, n):
-        latest = state.where(F.col("taken") == k - 1).select(key, F.col("pos").alias("other"))
-        near = both.join(latest, [key, "other"]).select(key, "pos", "distance")
-        state = state.join(near, [key, "pos"], "left").withColumn("nearest", F.least("nearest", F.coalesce("distance", F.lit(float("inf"))))).drop("distance")
-        order = F.row_number().over(Window.partitionBy(key).orderBy(F.col("taken").isNotNull(), F.desc("nearest"), "pos"))
-        pick = (order == 1) & F.col("taken").isNull()
-        state = state.withColumn("__pick", pick).withColumns({"diversity_score": F.when(F.col("__pick") & (F.col("size") > n), F.col("nearest")).otherwise(F.col("diversity_score")), "taken": F.when(F.col("__pick"), k).otherwise(F.col("taken"))}).drop("__pick")
-    return candidates.join(state.where("taken is not null").select(key, "pos", "taken", "diversity_score"), [key, "pos"])
+    the earliest. diversity_score is the distance at which one was taken (0 for the first, and where all are kept).
+
+    Each round holds the few that a question has taken against all its candidates, so that it costs n distances a
+    candidate and no pairs; the farthest is found by an aggregate that starts before the shuffle. What has been taken is
+    written below the checkpoint folder after each round."""
+    me = F.struct("pos", *COMPARED)
+    zero = F.lit(0.0)
+    taken = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min_by(me, "pos").alias("c")).select(key, "size", F.array(F.struct("c", zero.alias("score"))).alias("taken"))
+    for _ in range(1, n):
+        taken = _stored(taken, "taken")
+        near = F.array_min(F.transform("taken", lambda t: distance(lambda c: t["c"][c], F.col)))
+        rest = candidates.join(taken, key).where(~F.exists("taken", lambda t: t["c"]["pos"] == F.col("pos")))
+        best = rest.select(key, near.alias("near"), me.alias("c")).groupBy(key).agg(F.max_by(F.struct("c", F.col("near").alias("score")), F.struct("near", -F.col("c.pos"))).alias("next"))
+        taken = taken.join(best, key, "left").select(key, "size", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("next"))).alias("taken"))
+    rows = taken.select(key, "size", F.posexplode("taken").alias("taken", "t"))
+    return candidates.join(rows.select(key, F.col("t.c.pos").alias("pos"), "taken", F.when(F.col("size") > n, F.col("t.score")).otherwise(zero).alias("diversity_score")), [key, "pos"])
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = state_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_avoided(candidates: DataFrame, avoid: list[str], n: int, key: str = "question_id") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize_upper
-from ..sources.scratch import ensure_checkpoint_dir
+from ..sources.scratch import shared_dir
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 # What in a column's name makes it a time.
@@ -72,14 +74,23 @@ def null_share(df: DataFrame) -> DataFrame:
     return df.agg((F.coalesce(nulls, F.lit(0)) / F.greatest(F.count(F.lit(1)) * len(df.columns), F.lit(1))).alias("null_share"))
 
 
+#: Rows that a preview looks at first.
+HEAD_ROWS = 1_000
+
+
 def column_preview(df: DataFrame, order: str, n: int = 3) -> DataFrame:
-    """Type and the first n non-null values of each column, in the order given."""
+    """Type and the first n non-null values of each column, in the order given. One pass takes the first rows, which are
+    enough for all columns but those that hold too few values there; these get a pass of their own."""
     kinds = {f.name: f.dataType.simpleString() for f in _plain(df)}
-    parts = None
-    for c in kinds:
-        firsts = df.where(F.col(c).isNotNull()).orderBy(order).limit(n).select(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.struct(F.col(order).alias("o"), F.col(c).cast("string").alias("v")).alias("s"))
-        parts = firsts if parts is None else parts.union(firsts)
-    return parts.groupBy("column", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]), "|").alias("values"))
+    head = df.orderBy(order).limit(HEAD_ROWS)
+    filled = head.agg(*(F.count(c).alias(c) for c in kinds)).first()
+    cell = lambda c: F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.struct(F.col(order).alias("o"), F.col(c).cast("string").alias("v")).alias("s"))
+    some = [c for c in kinds if filled[c] >= n]
+    parts = [head.select(F.explode(F.array(*map(cell, some))).alias("c"))] if some else []
+    parts += [df.where(F.col(c).isNotNull()).orderBy(order).limit(n).select(cell(c).alias("c")) for c in kinds if filled[c] < n]
+    rows = reduce(DataFrame.union, parts).select("c.*").where("s.v is not null")
+    first = rows.groupBy("column", "type").agg(F.slice(F.array_sort(F.collect_list("s")), 1, n).alias("s"))
+    return first.select("column", "type", F.array_join(F.transform("s", lambda s: s["v"]), "|").alias("values"))
 
 
 def cell_text(c: Column, width: int = 25) -> Column:
@@ -149,26 +160,36 @@ def suggest_charts(potential: DataFrame, has_aggregation: Column, groups: Column
     return potential.withColumn("suggestions", F.when(F.size(found) > 0, F.array_sort(found)).otherwise(default))
 
 
-def table_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Groups of nodes that links connect: group_id (least member), size and members; single nodes are groups too.
+def group_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and group_id, the least node that links lead to; single nodes are groups too.
 
-    Labels shrink to the least label of a node's neighbours until none changes; each round is written to the shared
-    folder's lineage cut (checkpoint), so that the plan stays small."""
-    ensure_checkpoint_dir(edges.sparkSession)
+    Labels shrink to the least label of a node's neighbours and of its own label until none changes; each round's
+    lineage is cut off (checkpoint), so that the plan stays small."""
+    shared_dir(edges.sparkSession)
     both = edges.toDF("a", "b")
     both = both.union(both.select("b", "a")).where("a <> b").distinct()
     labels = nodes.toDF("node").distinct().withColumn("label", F.col("node"))
-    for _ in range(200):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"))
         # a label is itself a node: its own label is nearer to the least one
         jump = stepped.select(F.col("node").alias("l"), F.col("label").alias("of"))
         new = stepped.join(jump, stepped.label == jump.l).select("node", F.col("of").alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
+        settled = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         labels = new
-        if changed:
-            break
-    return labels.groupBy(F.col("label").alias("group_id")).agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
+        if settled:
+            return labels.select("node", F.col("label").alias("group_id"))
+
+
+def table_groups(edges: DataFrame, nodes: DataFrame, members: bool = True) -> DataFrame:
+    """Groups of nodes that links connect, the largest first: group_id (least member), size, n_links (different links
+    within the group) and, for catalogues, whose groups are small, the members; group_labels gives these row by row."""
+    labels = group_labels(edges, nodes)
+    a, b = edges.columns
+    links = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("node"), F.greatest(a, b).alias("other")).distinct().join(labels, "node").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_links"))
+    listed = [F.array_sort(F.collect_list("node")).alias("members")] if members else []
+    groups = labels.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), *listed).join(links, "group_id", "left")
+    return groups.select("group_id", "size", F.coalesce("n_links", F.lit(0)).alias("n_links"), *(["members"] if members else [])).orderBy(F.desc("size"), "group_id")
 
 
 def schema_digest(columns: DataFrame, max_cols: int = 8) -> DataFrame:
@@ -194,17 +215,19 @@ def schema_slice(columns: DataFrame, keys: DataFrame, names: DataFrame) -> tuple
 
 
 def rank_tables_by_text(columns: DataFrame, texts: DataFrame, key: str, text: str, k: int = 12) -> DataFrame:
-    """The k tables whose names (twice) and first 15 columns share most words with each text; if none shares any, the
-    first k tables."""
+    """The k tables whose names (twice) and first 15 columns share most words with each text; tables that share none
+    follow in the order of their names. Texts meet tables by their words only."""
     words = lambda c: F.array_distinct(tokenize_upper(c))
     tables = columns.where("ordinal < 15").groupBy("table_name").agg(F.array_join(F.collect_list("name"), " ").alias("cols"))
-    tables = tables.select("table_name", words(F.col("table_name")).alias("tw"), words(F.col("cols")).alias("cw"))
-    # the catalogue is a few rows a table; it is what is sent to the texts
-    scored = texts.select(key, words(F.col(text)).alias("q")).crossJoin(F.broadcast(tables))
-    score = 2 * F.size(F.array_intersect("q", "tw")) + F.size(F.array_intersect("q", "cw"))
-    w = Window.partitionBy(key)
-    ranked = scored.select(key, "table_name", score.alias("score")).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "table_name")))
-    return ranked.where((F.col("rank") <= k))
+    table_words = tables.select("table_name", F.explode(words(F.col("table_name"))).alias("word"), F.lit(2).alias("weight")).union(tables.select("table_name", F.explode(words(F.col("cols"))), F.lit(1)))
+    asked = texts.select(key, F.explode(words(F.col(text))).alias("word"))
+    shared = asked.join(table_words, "word").groupBy(key, "table_name").agg(F.sum("weight").cast("int").alias("score"))
+    # at most k tables that share a word stand before the others, so the first 2 k names are enough for these
+    firsts = tables.orderBy("table_name").limit(2 * k).agg(F.array_sort(F.collect_list("table_name")).alias("names"))
+    filling = texts.select(key).crossJoin(F.broadcast(firsts)).select(key, F.explode("names").alias("table_name"), F.lit(0).alias("score"))
+    scored = shared.union(filling).groupBy(key, "table_name").agg(F.max("score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "table_name")))
+    return ranked.where(F.col("rank") <= k)
 
 
 def tables_with_columns(columns: DataFrame, names: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Chart specifications as data: their paths, features, constraints and contracts.
 
-A specification stays a JSON string. It is flattened once into rows of (path, value, kind, length), and features, whose
-paths are data, are looked up by a join; a path known when the query is written is read in place.
+A specification stays a JSON string. Values at paths are read in place, whether the path is known when the query is
+written or is data; flattening gives all paths as rows of (path, value, kind, length).
 """
 
 from __future__ import annotations
@@ -63,16 +63,27 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce(x.try_cast("double") == y.try_cast("double"), x == y)
 
 
+def _at(spec: Column, path: Column) -> Column:
+    """The JSON text at a dotted path that is a column: get_json_object with a path made of it, a row at a time."""
+    steps = F.transform(F.split(F.regexp_replace(F.regexp_replace(path, r"\[", "."), r"\]", ""), r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("["), p, F.lit("]"))).when(p == "*", F.lit("[0]")).otherwise(F.concat(F.lit("['"), p, F.lit("']"))))
+    return F.call_function("get_json_object", spec, F.concat(F.lit("$"), F.array_join(steps, "")))
+
+
 def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, lenient: bool = False) -> DataFrame:
     """features (key, path, op, value as JSON text) with satisfied.
 
     exists: a value that isn't null; eq; in: one of a list; contains, len_ge, len_le: of arrays and strings only.
-    lenient: a missing path fails exists and passes any other op, as an unknown op does.
+    lenient: a missing path fails exists and passes any other op, as an unknown op does. Each feature meets its
+    specification by the key, and its value is read there by its path, at any depth.
     """
-    flat = flatten_spec(specs, key, spec)
-    joined = features.join(flat, [key, "path"], "left")
+    joined = features.join(specs.select(F.col(key).alias("__key"), F.col(spec).alias("__spec")), F.col(key) == F.col("__key"), "left")
+    found = _at(F.col("__spec"), F.col("path"))
+    joined = joined.select(*[features[c] for c in features.columns if c != "value"], features["value"].alias("__want"), found.alias("__flat"))
+    # an array or object is told from a text that looks like one by its first character and whether it parses
+    head = F.substring(F.ltrim(F.col("__flat")), 1, 1)
+    kind = F.when((head == "{") & F.try_parse_json("__flat").isNotNull(), "object").when((head == "[") & F.try_parse_json("__flat").isNotNull(), "array").otherwise("scalar")
+    joined = joined.withColumn("__kind", kind).withColumn("__length", F.when(F.col("__kind") == "array", F.json_array_length("__flat")).otherwise(F.length("__flat")))
     v, want, op = F.col("__flat"), F.col("__want"), F.col("op")
-    joined = joined.select(*[features[c] for c in features.columns if c != "value"], features["value"].alias("__want"), flat["value"].alias("__flat"), flat["kind"].alias("__kind"), flat["length"].alias("__length"))
     present = v.isNotNull() & (v != "null")
     options = F.from_json(want, "array<string>")
     sized = F.col("__kind").isin("array", "scalar") & v.try_cast("double").isNull()
@@ -190,6 +201,13 @@ def missing_features(specs: DataFrame, features: DataFrame, key: str, spec: str)
     return check_features(specs, features, key, spec).where("not satisfied").drop("satisfied")
 
 
+def feature_violations(specs: DataFrame, features: DataFrame, key: str, spec: str) -> DataFrame:
+    """By specification: ok, and the paths of the features that it lacks. One of which nothing is demanded is ok."""
+    lacking = missing_features(specs, features, key, spec).groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("missing"))
+    missing = F.coalesce("missing", F.array().cast("array<string>"))
+    return specs.select(key).join(lacking, key, "left").select(key, (F.size(missing) == 0).alias("ok"), missing.alias("missing"))
+
+
 def compress_features(features: DataFrame, key: str, cap: int = 15) -> DataFrame:
     """The first feature of each priority path, then other defining ones while there are fewer than the cap."""
     priority = F.coalesce(*(F.when(F.col("path").startswith(p), F.lit(i)) for i, p in enumerate(fixed.PRIORITY_PATHS)), F.lit(99))

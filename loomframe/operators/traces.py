@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.scratch import ensure_checkpoint_dir
+from ..sources.scratch import shared_dir
 
 KEY = ["sample_id"]
 
@@ -16,7 +16,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
     Doubling: each round joins what is known to itself, so that a tree of depth d takes log2(d) rounds; a round is cut
     off by a checkpoint. Nodes whose parent is missing end there."""
-    ensure_checkpoint_dir(nodes.sparkSession)
+    shared_dir(nodes.sparkSession)
     links = nodes.where("parent_id is not null").select(*KEY, "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
     parents = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"))
     known = links.join(parents, [*KEY, "ancestor_id"], "left_semi").select(*KEY, "node_id", "ancestor_id", "distance").checkpoint()
@@ -43,13 +43,42 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(inner, [*KEY, "node_id"], "left_anti")
 
 
-def trace_paths(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The actions from the root to each leaf."""
+#: How much of an action's text a report shows.
+SHOWN_CHARS, SHOWN_LINES = 200, 15
+
+
+def shown_text(text: Column) -> Column:
+    """A text as reports show it: its first lines and characters, with dots where something was cut."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    some = F.array_join(F.slice(lines, 1, SHOWN_LINES), "\n")
+    cut = (F.size(lines) > SHOWN_LINES) | (F.length(some) > SHOWN_CHARS)
+    return F.concat(F.substring(some, 1, SHOWN_CHARS), F.when(cut, "...").otherwise(""))
+
+
+def trace_paths(nodes: DataFrame, found: DataFrame | None = None, text: str | None = None) -> DataFrame:
+    """The actions from the root to each leaf, and, if a column of texts is named, what they say."""
     found = ancestors(nodes) if found is None else found
-    names = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), "action_name")
+    shown = F.lit("") if text is None else shown_text(F.col(text))
+    names = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), "action_name", shown.alias("shown"))
     rows = leaves(nodes).select(*KEY, "node_id").join(found, [*KEY, "node_id"]).join(names, [*KEY, "ancestor_id"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "action_name")))
-    return rows.groupBy(*KEY, "node_id").agg(F.array_join(F.transform(ordered, lambda x: x["action_name"]), " > ").alias("path"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "action_name", "shown")))
+    out = rows.groupBy(*KEY, "node_id").agg(ordered.alias("steps"))
+    path = F.array_join(F.transform("steps", lambda x: x["action_name"]), " > ").alias("path")
+    texts = F.array_join(F.transform("steps", lambda x: F.concat(x["action_name"], F.lit(": "), x["shown"])), "\n").alias("texts")
+    return out.select(*KEY, "node_id", path, *([] if text is None else [texts]))
+
+
+def trace_tree(nodes: DataFrame, text: str, found: DataFrame | None = None) -> DataFrame:
+    """A line for each node of a tree in the order of a walk from the root, children by their number: line (from 0) and
+    what it shows, indented by depth."""
+    found = ancestors(nodes) if found is None else found
+    way = found.groupBy(*KEY, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor_id"))), lambda x: x["ancestor_id"]).alias("way"))
+    depth = F.size("way") - 1
+    line = F.concat(F.repeat(F.lit("  "), depth), F.lit("["), F.col("node_id").cast("string"), F.lit("] "), F.col("action_name"), F.lit(": "), shown_text(F.col(text)))
+    rows = nodes.join(way, [*KEY, "node_id"])
+    # one tree's nodes are put in order together
+    k = F.row_number().over(Window.partitionBy(*KEY).orderBy("way")) - 1
+    return rows.select(*KEY, "node_id", k.alias("line"), line.alias("shown"))
 
 
 def normalize_reward(data: Column, vis: Column, intent: Column, score: Column) -> dict[str, Column]:

@@ -108,14 +108,31 @@ def chart_regression(spark, d):
     return rounded(rounded(rounded(out, 4, "slope"), 3, "intercept"), 6, "r2")
 
 
-@query("chart_quadratic")
-def chart_quadratic(spark, d):
-    return c.t_regression(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"], 2)
+_S = ", ".join([*(f"sum(pow(l_quantity - m, {k})) AS s{k}" for k in range(5)), *(f"sum(l_extendedprice * pow(l_quantity - m, {k})) AS t{k}" for k in range(3))])
+# Cramer's rule about the mean, three by three
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_D = _DET.format("s0", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4")
+_E = [_DET.format("t0", "s1", "s2", "t1", "s2", "s3", "t2", "s3", "s4"), _DET.format("s0", "t0", "s2", "s1", "t1", "s3", "s2", "t2", "s4"), _DET.format("s0", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")]
 
 
-@query("chart_loess")
+@query("chart_quadratic", f"""WITH m AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), s AS (SELECT l_returnflag, m, {_S} FROM lineitem JOIN m USING (l_returnflag) GROUP BY ALL),
+b AS (SELECT l_returnflag, m, {_E[0]} / {_D} AS b0, {_E[1]} / {_D} AS b1, {_E[2]} / {_D} AS b2 FROM s)
+SELECT l_returnflag, round(b0 - b1 * m + b2 * m * m, 3) AS c0, round(b1 - 2 * b2 * m, 4) AS c1, round(b2, 6) AS c2 FROM b""")
+def chart_quadratic(spark, d):
+    out = c.t_regression(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"], 2)
+    return rounded(rounded(rounded(out, 3, "c0"), 4, "c1"), 6, "c2")
+
+
+@query("chart_loess", """WITH ends AS (SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi, ceil(count(*) * 0.3) AS wanted FROM lineitem GROUP BY 1),
+points AS (SELECT l_returnflag, k::INT AS step, lo + (hi - lo) * k / 10.0 AS x, wanted FROM ends, range(11) AS g(k)),
+d AS (SELECT p.*, l_quantity AS v, l_extendedprice AS y, abs(l_quantity - x) AS d FROM points p JOIN lineitem l ON p.l_returnflag = l.l_returnflag),
+r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag, step ORDER BY d) AS place FROM d),
+n AS (SELECT *, max(d) OVER (PARTITION BY l_returnflag, step) AS h FROM r WHERE place <= wanted),
+w AS (SELECT *, pow(1 - pow(least(d / ((CASE WHEN h > 0 THEN h ELSE 1 END) * 1.000001), 1), 3), 3) AS w, v - x AS u FROM n),
+s AS (SELECT l_returnflag, step, x, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS t0, sum(w * u * y) AS t1 FROM w GROUP BY ALL)
+SELECT l_returnflag, step, x, round(CASE WHEN abs(s0 * s2 - s1 * s1) > 1e-12 THEN (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 4) AS y FROM s""")
 def chart_loess(spark, d):
-    return c.t_loess(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return rounded(c.t_loess(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 4, "y")
 
 
 @query("chart_compose", "SELECT o_orderpriority AS k, count(*) AS n, 'all' AS view, 'layer' AS composition FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*), 'open', 'layer' FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
@@ -314,9 +331,10 @@ def recipe_qq(spark, d):
     return rounded(rounded(r.r_qq(t(spark, d, "lineitem"), "l_extendedprice", "l_quantity"), 4, "p"), 6, "qa", "qb")
 
 
-@query("recipe_density")
+@query("recipe_density", """WITH ends AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), points AS (SELECT event_type, k AS step, lo + (hi - lo) * k / 20.0 AS x FROM ends, range(21) AS g(k))
+SELECT p.event_type, step::INT AS step, x, round(sum(exp(-pow((x - value) / 5.0, 2) / 2)) / (count(value) * 5.0 * 2.5066282746310002), 8) AS density FROM points p JOIN events e ON p.event_type = e.event_type GROUP BY ALL""")
 def recipe_density(spark, d):
-    return r.r_density(t(spark, d, "events"), "value", ["event_type"], 5.0)
+    return rounded(r.r_density(t(spark, d, "events"), "value", ["event_type"], 5.0), 8, "density")
 
 
 @query("recipe_punch_card", "SELECT dayofweek(ts)::INT AS weekday, hour(ts)::INT AS hour, count(*) AS n FROM events GROUP BY ALL")

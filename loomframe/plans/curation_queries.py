@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import ambiguity, balance, candidates, collection, evaluation, quality, specs, traces
 from ..sources import tables as src
 from .fixtures import fx, with_fx
@@ -28,6 +29,25 @@ def rounded(df, digits: int, *names: str):
 
 # --- specifications
 
+# What the derived specifications hold: condition, path, op, value; in the order in which features are listed. Contracts
+# ask for fields to exist only, and for the inner radius.
+_G = "json_extract_string(spec, '$.{}')"
+_PARTS = [
+    ("true", "mark.type", "eq", "CASE p_size % 3 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' ELSE 'arc' END"), ("contract AND p_size % 3 = 2", "mark.innerRadius", "exists", "NULL"),
+    ("p_size % 5 = 0", "encoding.color.field", "field", "'p_type'"), ("p_size % 5 = 0", "encoding.color.type", "eq", "'nominal'"), ("true", "encoding.x.field", "field", _G.format("encoding.x.field")), ("true", "encoding.x.type", "eq", _G.format("encoding.x.type")),
+    ("true", "encoding.y.field", "field", "'p_retailprice'"), ("true", "encoding.y.type", "eq", "'quantitative'"), ("p_size % 2 = 0", "encoding.y.aggregate", "eq", "'sum'"),
+    ("p_size % 7 = 0", "transform", "exists", "NULL"), ("p_size % 7 = 0", "transform[0].filter", "exists", "NULL"), ("p_size % 7 = 0", "transform[1].window", "exists", "NULL"),
+    ("p_size % 6 = 0", "layer", "exists", "NULL"), ("p_size % 6 = 0", "layer", "len_ge", "'2'"), ("p_size % 6 <> 0 AND p_size % 11 = 0", "hconcat", "exists", "NULL"),
+    ("p_size % 10 = 0", "params", "exists", "NULL"), ("p_size % 10 = 0", "params[0].select.type", "eq", "'interval'"), ("p_size % 10 = 0", "params[1].bind", "exists", "NULL"),
+]
+
+
+def _features_sql(contract: bool) -> str:
+    ops = {"field": "exists" if contract else "eq"}
+    return " UNION ALL ".join(
+        f"SELECT spec_id, chart_type, {k} AS k, '{path}' AS path, '{ops.get(op, op)}' AS op, {'NULL' if op == 'field' and contract else value}::VARCHAR AS value FROM fx WHERE {when.replace('contract', str(contract).lower())}" for k, (when, path, op, value) in enumerate(_PARTS)
+    )
+
 _J = "json_extract_string(spec, '{}')"
 _MARK = "CASE WHEN json_type(spec, '$.mark') = 'OBJECT' THEN json_extract_string(spec, '$.mark.type') ELSE json_extract_string(spec, '$.mark') END"
 
@@ -38,9 +58,10 @@ def spec_json_path(spark, d):
     return fx(spark, d, "specs").select("spec_id", specs.json_path(c, "encoding.x.field").alias("x_field"), specs.json_path(c, "layer.1.mark").alias("layer_mark"))
 
 
-@query("spec_flatten", "specs", "SELECT spec_id, count(*) AS n_nodes FROM fx, json_tree(spec::JSON) AS j WHERE j.parent IS NOT NULL GROUP BY spec_id")
+@query("spec_flatten", "specs", r"SELECT spec_id, regexp_replace(replace(substr(j.fullkey, 3), '\"', ''), '\[([0-9]+)\]', '.\1', 'g') AS path, CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'scalar' END AS kind, CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY') THEN j.atom ->> '$' END AS value FROM fx, json_tree(spec::JSON) AS j WHERE j.parent IS NOT NULL")
 def spec_flatten(spark, d):
-    return specs.flatten_spec(fx(spark, d, "specs"), "spec_id", "spec").groupBy("spec_id").agg(F.count("*").alias("n_nodes"))
+    flat = specs.flatten_spec(fx(spark, d, "specs"), "spec_id", "spec")
+    return flat.select("spec_id", "path", "kind", F.when(F.col("kind") == "scalar", F.col("value")).alias("value"))
 
 
 def _wanted(spark, d):
@@ -67,29 +88,33 @@ def spec_missing_features(spark, d):
     return specs.missing_features(fx(spark, d, "specs"), _wanted(spark, d), "spec_id", "spec").select("spec_id", "path")
 
 
-@query("spec_features", "specs", """SELECT spec_id, (1 + 4 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 3 ELSE 0 END
-+ CASE WHEN p_size % 6 = 0 THEN 2 WHEN p_size % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 10 = 0 THEN 3 ELSE 0 END)::BIGINT AS n_features FROM fx""")
+@query("spec_features", "specs", f"SELECT spec_id, path, op, value FROM ({_features_sql(False)})")
 def spec_features(spark, d):
-    return specs.spec_features(fx(spark, d, "specs"), "spec_id", "spec").groupBy("spec_id").agg(F.count("*").alias("n_features"))
+    return specs.spec_features(fx(spark, d, "specs"), "spec_id", "spec").select("spec_id", "path", "op", "value")
 
 
-@query("spec_contracts")
+@query("spec_contracts", "specs", f"SELECT DISTINCT chart_type, path, op, value FROM ({_features_sql(True)})")
 def spec_contracts(spark, d):
     return specs.build_contracts(fx(spark, d, "specs"), "chart_type", "spec")
 
 
-@query("spec_contract_violations")
+@query("spec_contract_violations", "specs", f"WITH c AS ({_features_sql(True)}), w AS (SELECT DISTINCT chart_type, path, op, value FROM c WHERE path = 'encoding.color.field' OR path LIKE 'encoding.y.%') SELECT spec_id, path, op, value FROM fx JOIN w USING (chart_type) WHERE NOT EXISTS (FROM c WHERE c.spec_id = fx.spec_id AND c.path = w.path)")
 def spec_contract_violations(spark, d):
     all_ = fx(spark, d, "specs")
     demanded = specs.build_contracts(all_, "chart_type", "spec").where("path = 'encoding.color.field' or path like 'encoding.y.%'")
-    return specs.contract_violations(all_, demanded, "spec_id", "chart_type", "spec")
+    return specs.contract_violations(all_, demanded, "spec_id", "chart_type", "spec").select("spec_id", "path", "op", "value")
+
 
+@query("spec_feature_violations", "specs", f"SELECT spec_id, count(path) = 0 AS ok, coalesce(string_agg(path, ',' ORDER BY path), '') AS missing FROM fx LEFT JOIN (SELECT spec_id, path FROM ({_CHECKS}) WHERE NOT satisfied) USING (spec_id) GROUP BY 1")
+def spec_feature_violations(spark, d):
+    out = specs.feature_violations(fx(spark, d, "specs"), _wanted(spark, d), "spec_id", "spec")
+    return out.select("spec_id", "ok", F.array_join("missing", ",").alias("missing"))
 
-@query("spec_compressed", "specs", """SELECT spec_id, (5 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END
-+ CASE WHEN p_size % 10 = 0 THEN 3 ELSE 0 END)::BIGINT AS n_kept FROM fx""")
+
+@query("spec_compressed", "specs", f"SELECT DISTINCT spec_id, path FROM ({_features_sql(False)}) WHERE regexp_matches(path, 'mark|encoding|layer|params|resolve')")
 def spec_compressed(spark, d):
     found = specs.spec_features(fx(spark, d, "specs"), "spec_id", "spec")
-    return specs.compress_features(found, "spec_id").groupBy("spec_id").agg(F.count("*").alias("n_kept"))
+    return specs.compress_features(found, "spec_id").select("spec_id", "path")
 
 
 @query("spec_encoding_pattern", "specs", "SELECT spec_id, concat(CASE p_size % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'T' WHEN 2 THEN 'O' ELSE 'Q' END, '-Q', CASE WHEN p_size % 5 = 0 THEN '-N' ELSE '' END) AS pattern FROM fx")
@@ -113,17 +138,45 @@ def spec_transforms(spark, d):
     return specs.transform_types(all_, specs.spec_features(all_, "spec_id", "spec"), "spec_id", "spec")
 
 
-@query("spec_required", "specs", """SELECT spec_id, (2 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END
-+ CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END)::BIGINT AS n, (2 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_must FROM fx""")
+_REQUIRED = """SELECT spec_id, row_number() OVER (PARTITION BY spec_id ORDER BY k) - 1 AS pos, type, text, must FROM (
+SELECT spec_id, 0 AS k, 'mark' AS type, CASE p_size % 3 WHEN 0 THEN 'Use a bar chart.' WHEN 1 THEN 'Use a line chart.' ELSE 'Use a pie/donut chart.' END AS text, true AS must FROM fx
+UNION ALL SELECT spec_id, 1, 'encoding', concat('Put ', json_extract_string(spec, '$.encoding.x.field'), ' on the x-axis.'), true FROM fx
+UNION ALL SELECT spec_id, 2, 'aggregation', 'Show the total of p_retailprice.', true FROM fx WHERE p_size % 2 = 0
+UNION ALL SELECT spec_id, 3, 'encoding', 'Color by p_type.', false FROM fx WHERE p_size % 5 = 0
+UNION ALL SELECT spec_id, 4, 'overlay_stat_line', 'Add a reference line.', true FROM fx WHERE p_size % 6 = 0
+UNION ALL SELECT spec_id, 5, 'filter', 'Filter the data.', false FROM fx WHERE p_size % 7 = 0
+UNION ALL SELECT spec_id, 6, 'interaction', 'Make the chart interactive.', false FROM fx WHERE p_size % 10 = 0)"""
+
+
+@query("spec_required", "specs", f"SELECT spec_id, concat('kf_', pos) AS id, type, text, must FROM ({_REQUIRED})")
 def spec_required(spark, d):
-    return specs.required_features(fx(spark, d, "specs"), "spec_id", "spec").groupBy("spec_id").agg(F.count("*").alias("n"), F.count_if("must").alias("n_must"))
+    return specs.required_features(fx(spark, d, "specs"), "spec_id", "spec").select("spec_id", "id", "type", "text", "must")
 
 
-@query("spec_required_lines")
+@query("spec_required_lines", "specs", f"SELECT spec_id, string_agg(concat(pos + 1, '. ', CASE WHEN must THEN '[Required] ' ELSE '[Optional] ' END, text), chr(10) ORDER BY pos) AS lines FROM ({_REQUIRED}) GROUP BY 1")
 def spec_required_lines(spark, d):
     return specs.format_required(specs.required_features(fx(spark, d, "specs"), "spec_id", "spec"), "spec_id")
 
 
+@query("spec_data_requirements", sql="SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 20 WHEN 2 THEN 5 ELSE 9 END AS min_rows, CASE p_size % 4 WHEN 1 THEN 1 WHEN 2 THEN NULL ELSE 0 END AS needs_numeric, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 3 THEN 2 END AS needs_categorical, CASE WHEN p_size % 4 = 0 THEN 8 END AS max_categories FROM part")
+def spec_data_requirements(spark, d):
+    n = F.col("p_size") % 4
+    named = src.read_table(spark, d, "part").select("p_partkey", F.when(n == 0, "Circular Plots").when(n == 1, "Distributions").when(n == 2, "no such category").otherwise("Tables").alias("category"))
+    return specs.data_requirements(named, "category").select("p_partkey", "min_rows", "needs_numeric", "needs_categorical", "max_categories")
+
+
+@query("spec_sanitized", sql="SELECT p_partkey, concat('{\"a\":\"', p_brand, '\"}') AS clean FROM part")
+def spec_sanitized(spark, d):
+    dirty = F.concat(F.lit('{"a":"'), F.char(F.col("p_size") % 8 + 1), "p_brand", F.lit("\\u000b"), F.when(F.col("p_size") % 2 == 0, "\\u001F").otherwise(F.lit("\x7f")), F.lit('"}'))
+    return src.read_table(spark, d, "part").select("p_partkey", specs.sanitize_spec(dirty).alias("clean"))
+
+
+@query("spec_missing_fields", "samples", "SELECT sample_id, concat('initial_question,anchor_question,vis_sql,data,vega_lite_spec', CASE WHEN seq % 2 = 0 THEN '' ELSE ',required_key_features' END) AS missing FROM fx")
+def spec_missing_fields(spark, d):
+    one = F.to_json(F.struct("sample_id", "db_id", "chart_type", F.when(F.col("seq") % 2 == 0, "x").alias("required_key_features")))
+    return specs.missing_fields(fx(spark, d, "samples").withColumn("json", one), "sample_id", "json").select("sample_id", F.array_join("missing", ",").alias("missing"))
+
+
 @query("spec_interaction_valid", "specs", "SELECT spec_id, p_size % 10 = 0 AS valid FROM fx")
 def spec_interaction_valid(spark, d):
     return fx(spark, d, "specs").select("spec_id", specs.interaction_valid(F.col("spec")).alias("valid"))
@@ -140,25 +193,29 @@ def spec_inline_data(spark, d):
 
 
 def _cands(spark, d):
-    base = fx(spark, d, "candidates").where("pos < 8")
+    base = fx(spark, d, "candidates")
     return base.withColumns({
         "dimensions": F.array("dim1", "dim2"), "measures": F.array("measure"), "tables_needed": F.array(F.lit("lineitem")), "feature_types": F.array("chart_category"), "complexity": (F.col("pos") % 3).cast("double"),
     })
 
 
-_DIST = """(SELECT a.question_id, a.pos AS pos_a, b.pos AS pos_b, 2.0 * (a.chart_category <> b.chart_category)::INT + (lower(a.chart_type) <> lower(b.chart_type))::INT + 1.5 * (1 - len(list_intersect([a.dim1, a.dim2], [b.dim1, b.dim2])) / len(list_distinct([a.dim1, a.dim2, b.dim1, b.dim2])))
-+ (a.measure <> b.measure)::INT + (a.aggregation <> b.aggregation)::INT + (a.vis_intent_type <> b.vis_intent_type)::INT + 2.0 * (a.chart_category <> b.chart_category)::INT + 0.5 * abs(a.pos % 3 - b.pos % 3) AS distance
-FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos < b.pos WHERE a.pos < 8 AND b.pos < 8)"""
+_D = """2::DOUBLE * (a.chart_category <> b.chart_category)::INT + (lower(a.chart_type) <> lower(b.chart_type))::INT + 1.5::DOUBLE * (1 - len(list_intersect([a.dim1, a.dim2], [b.dim1, b.dim2])) / len(list_distinct([a.dim1, a.dim2, b.dim1, b.dim2])))
++ (a.measure <> b.measure)::INT + (a.aggregation <> b.aggregation)::INT + (a.vis_intent_type <> b.vis_intent_type)::INT + 2::DOUBLE * (a.chart_category <> b.chart_category)::INT + 0.5::DOUBLE * abs(a.pos % 3 - b.pos % 3)"""
 
 
-@query("candidate_distance", "candidates", f"SELECT question_id, pos_a, pos_b, round(distance, 6) AS distance FROM {_DIST}")
+@query("candidate_distance", "candidates", f"SELECT a.question_id, a.pos AS pos_a, b.pos AS pos_b, round({_D}, 6) AS distance FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos < b.pos")
 def candidate_distance(spark, d):
     return rounded(candidates.candidate_distance(_cands(spark, d)), 6, "distance")
 
 
-@query("candidate_select")
+@query("candidate_select", "candidates", f"""WITH d AS (SELECT a.question_id, a.pos, b.pos AS other, {_D} AS distance FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos <> b.pos), size AS (SELECT question_id, count(*) AS size FROM fx GROUP BY 1),
+one AS (SELECT question_id, min(pos) AS pos FROM fx GROUP BY 1),
+two AS (SELECT question_id, pos, distance FROM (SELECT d.*, row_number() OVER (PARTITION BY d.question_id ORDER BY distance DESC, d.pos) AS k FROM d JOIN one ON d.question_id = one.question_id AND d.other = one.pos) WHERE k = 1),
+three AS (SELECT question_id, pos, distance FROM (SELECT x.question_id, x.pos, least(x.distance, y.distance) AS distance, row_number() OVER (PARTITION BY x.question_id ORDER BY least(x.distance, y.distance) DESC, x.pos) AS k
+FROM d x JOIN one ON x.question_id = one.question_id AND x.other = one.pos JOIN two ON two.question_id = x.question_id AND two.pos <> x.pos JOIN d y ON y.question_id = x.question_id AND y.pos = x.pos AND y.other = two.pos) WHERE k = 1)
+SELECT question_id, pos, taken, round(CASE WHEN size > 3 THEN distance ELSE 0 END, 6) AS diversity_score FROM (SELECT *, 0 AS distance, 0 AS taken FROM one UNION ALL SELECT *, 1 FROM two UNION ALL SELECT *, 2 FROM three) JOIN size USING (question_id)""")
 def candidate_select(spark, d):
-    return candidates.select_diverse(_cands(spark, d), 3).select("question_id", "pos", "taken", "diversity_score")
+    return rounded(candidates.select_diverse(_cands(spark, d), 3).select("question_id", "pos", "taken", "diversity_score"), 6, "diversity_score")
 
 
 @query("candidate_avoid", "candidates", "SELECT question_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY chart_type IN ('NO', 'RF'), pos) AS k FROM fx) WHERE k <= 3")
@@ -171,9 +228,16 @@ def candidate_ids(spark, d):
     return candidates.assign_candidate_ids(fx(spark, d, "candidates")).select("question_id", "pos", "candidate_id")
 
 
-@query("candidate_features", "candidates", "SELECT question_id, pos, unnest(['mark.type', 'encoding.x.field', 'encoding.y.field', 'encoding.y.aggregate', 'encoding.y.type', 'encoding.color.field']) AS path, unnest(['bar', dim1, measure, lower(aggregation), 'quantitative', dim2]) AS value FROM fx WHERE pos < 8")
+_TYPE = "CASE pos % 5 WHEN 0 THEN 'Multi Line Chart' WHEN 1 THEN 'scatter_plot' WHEN 2 THEN 'Boxes' WHEN 3 THEN 'Donut arc' ELSE 'unknown' END"
+
+
+def _typed(df):
+    return df.withColumn("chart_type", F.expr(_TYPE))
+
+
+@query("candidate_features", "candidates", f"SELECT question_id, pos, unnest(['mark.type', 'encoding.x.field', 'encoding.y.field', 'encoding.y.aggregate', 'encoding.y.type', 'encoding.color.field']) AS path, unnest([CASE pos % 5 WHEN 0 THEN 'line' WHEN 1 THEN 'point' WHEN 2 THEN 'boxplot' WHEN 3 THEN 'arc' ELSE 'bar' END, dim1, measure, lower(aggregation), 'quantitative', dim2]) AS value FROM fx")
 def candidate_features(spark, d):
-    return candidates.candidate_features(_cands(spark, d), ["question_id", "pos"]).select("question_id", "pos", "path", "value")
+    return candidates.candidate_features(_typed(_cands(spark, d)), ["question_id", "pos"]).select("question_id", "pos", "path", "value")
 
 
 @query("candidate_similar", "candidates", "SELECT question_id, min(pos) AS pos, chart_type FROM fx GROUP BY question_id, chart_type")
@@ -187,15 +251,20 @@ def candidate_valid(spark, d):
     return candidates.valid_candidates(all_, all_.where("chart_type in ('AF', 'RF')").select("chart_type")).select("question_id", "pos")
 
 
-@query("candidate_fallback", "samples", "SELECT DISTINCT source_question_id AS question_id, concat('q', source_question_id, '_c', k) AS candidate_id FROM fx, range(5) AS g(k)")
+@query("candidate_fallback", "samples", """SELECT DISTINCT source_question_id AS question_id, concat('q', source_question_id, '_c', k) AS candidate_id, ['simple_bar_chart', 'simple_line_chart', 'grouped_bar_chart', 'pie_chart', 'bubble_plot'][k + 1] AS chart_type,
+CASE WHEN source_question_id % 2 = 0 THEN 'a' ELSE 'category' END AS dimension, CASE WHEN source_question_id % 3 = 0 THEN 'm' ELSE 'value' END AS measure FROM fx, range(5) AS g(k)""")
 def candidate_fallback(spark, d):
-    q = fx(spark, d, "samples").select(F.col("source_question_id").alias("question_id"), F.array().cast("array<string>").alias("dimensions"), F.array().cast("array<string>").alias("measures")).distinct()
-    return candidates.fallback_candidates(q, 5).select("question_id", "candidate_id")
+    q, none = F.col("source_question_id"), F.array().cast("array<string>")
+    asked = fx(spark, d, "samples").select(q.alias("question_id"), F.when(q % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("dimensions"), F.when(q % 3 == 0, F.array(F.lit("m"))).otherwise(none).alias("measures")).distinct()
+    return candidates.fallback_candidates(asked, 5).select("question_id", "candidate_id", "chart_type", F.col("dimensions")[0].alias("dimension"), F.col("measures")[0].alias("measure"))
 
 
-@query("candidate_paths", "candidates", "SELECT question_id, pos, CASE WHEN true THEN 4 END::INT AS n FROM fx WHERE pos < 8")
+@query("candidate_paths", "candidates", """SELECT question_id, pos, concat('encoding.y.aggregate', CASE WHEN pos % 3 = 0 THEN ',encoding.x.timeUnit' ELSE '' END, CASE WHEN pos % 2 = 0 THEN ',encoding.color.field' ELSE '' END, ',encoding.x.sort,encoding.y.sort',
+CASE WHEN pos % 5 = 0 THEN ',mark.type' ELSE '' END) AS paths FROM fx""")
 def candidate_paths(spark, d):
-    return _cands(spark, d).select("question_id", "pos", F.size(candidates.injectable_paths(F.col("dimensions"), F.col("chart_type"))).alias("n"))
+    first = F.when(F.col("pos") % 3 == 0, "order_Date").otherwise(F.col("dim1"))
+    dims = F.when(F.col("pos") % 2 == 0, F.array(first, "dim2")).otherwise(F.array(first))
+    return _typed(_cands(spark, d)).select("question_id", "pos", F.array_join(candidates.injectable_paths(dims, F.col("chart_type")), ",").alias("paths"))
 
 
 @query("candidate_parse", "candidates", "SELECT question_id, pos, chart_type, dim1 AS x, aggregation FROM fx")
@@ -254,31 +323,46 @@ def ambiguity_relevant_types(spark, d):
 # --- balance
 
 DIMENSIONS = {"domains": "domain", "chart_types": "chart_type", "chart_categories": "chart_category"}
-_COUNTS = """counts AS (SELECT dimension, value, count(*) AS n FROM (SELECT unnest(['domains', 'chart_types', 'chart_categories']) AS dimension, unnest([CASE WHEN lower(db_id) LIKE '%machinery%' THEN 'other' ELSE 'other' END, chart_type, chart_category]) AS value FROM fx) GROUP BY ALL)"""
+_DOMAIN = "CASE " + " ".join(f"WHEN regexp_matches(lower(db_id), '{'|'.join(words)}') THEN '{domain}'" for domain, words in fixed.DOMAIN_KEYWORDS.items()) + " ELSE 'other' END"
+_COUNTS = f"""counts AS (SELECT dimension, value, count(*) AS n FROM (SELECT unnest(['domains', 'chart_types', 'chart_categories']) AS dimension, unnest([{_DOMAIN}, chart_type, chart_category]) AS value FROM fx) GROUP BY ALL)"""
+_SCORES = "scores AS (SELECT dimension, sum(-p * log2(p)) / CASE WHEN k > 1 THEN log2(k) ELSE 1 END AS score FROM (SELECT dimension, n / sum(n) OVER (PARTITION BY dimension) AS p, count(*) OVER (PARTITION BY dimension) AS k FROM counts) GROUP BY dimension, k)"
 
 
 def _counts(spark, d):
     return balance.feature_counts(fx(spark, d, "samples").withColumn("domain", balance.infer_domain(F.col("db_id"))), DIMENSIONS)
 
 
-@query("balance_counts", "samples", "SELECT 'chart_types' AS dimension, chart_type AS value, count(*) AS n FROM fx GROUP BY ALL UNION ALL SELECT 'chart_categories', chart_category, count(*) FROM fx GROUP BY ALL")
+@query("balance_counts", "samples", f"WITH {_COUNTS} SELECT * FROM counts")
 def balance_counts(spark, d):
-    return _counts(spark, d).where("dimension <> 'domains'")
+    return _counts(spark, d)
 
 
-@query("balance_scores", "samples", f"WITH {_COUNTS}, p AS (SELECT dimension, n / sum(n) OVER (PARTITION BY dimension) AS p, count(*) OVER (PARTITION BY dimension) AS k FROM counts WHERE dimension <> 'domains') SELECT dimension, round(sum(-p * log2(p)) / CASE WHEN k > 1 THEN log2(k) ELSE 1 END, 10) AS score FROM p GROUP BY dimension, k")
+@query("balance_scores", "samples", f"WITH {_COUNTS}, {_SCORES} SELECT dimension, round(score, 10) AS score FROM scores")
 def balance_scores(spark, d):
-    return rounded(balance.diversity_score(_counts(spark, d).where("dimension <> 'domains'")), 10, "score")
+    return rounded(balance.diversity_score(_counts(spark, d)), 10, "score")
 
 
-@query("balance_overall")
+@query("balance_overall", "samples", f"WITH {_COUNTS}, {_SCORES} SELECT round(sum(score) / {len(balance.OVERALL)}, 10) AS overall FROM scores WHERE dimension IN ({', '.join(repr(x) for x in balance.OVERALL)})")
 def balance_overall(spark, d):
-    return balance.overall_diversity(balance.diversity_score(_counts(spark, d)))
+    return rounded(balance.overall_diversity(balance.diversity_score(_counts(spark, d))), 10, "overall")
+
 
+_CHARTS = "['Stacked Column', 'area stream', 'BUBBLE plot', 'donut', 'Density', 'violin', 'correlation matrix', 'choropleth', 'network', 'bar over line']"
+_CATEGORIES = "['Bar Charts', 'Line/Area Charts', 'Scatter/Point Charts', 'Pie/Arc Charts', 'Distribution Charts', 'Statistical Charts', 'Heatmaps', 'Geographic Charts', 'Other', 'Bar Charts']"
 
-@query("balance_category", "samples", "SELECT sample_id, 'Other' AS category FROM fx")
+
+@query("balance_category", "samples", f"SELECT sample_id, CASE WHEN seq % 11 = 10 THEN '' ELSE {_CATEGORIES}[seq % 11 + 1] END AS category FROM fx")
 def balance_category(spark, d):
-    return fx(spark, d, "samples").select("sample_id", balance.infer_chart_category(F.col("chart_type")).alias("category"))
+    names = F.expr("array(" + _CHARTS[1:-1] + ", '')")
+    return fx(spark, d, "samples").select("sample_id", balance.infer_chart_category(F.element_at(names, (F.col("seq") % 11 + 1).cast("int"))).alias("category"))
+
+
+@query("balance_chart_types", "samples", "WITH c AS (SELECT chart_type, count(*) AS n FROM fx GROUP BY 1), u AS (SELECT DISTINCT chart_type FROM fx UNION SELECT 'never used') SELECT 'under' AS side, chart_type, coalesce(n, 0) AS n FROM u LEFT JOIN c USING (chart_type) WHERE coalesce(n, 0) < 1.19 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM u) UNION ALL SELECT 'over', chart_type, n FROM c WHERE n > 1.001 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM c)")
+def balance_chart_types(spark, d):
+    counts, used = _counts(spark, d), fx(spark, d, "samples").select("chart_type").distinct()
+    catalog = used.union(spark.createDataFrame([("never used",)], "chart_type string"))
+    few, many = balance.underrepresented_charts(counts, catalog, 1.19), balance.overrepresented_charts(counts, 1.001)
+    return few.select(F.lit("under").alias("side"), "chart_type", "n").union(many.select(F.lit("over"), "chart_type", "n"))
 
 
 @query("balance_under", "samples", "SELECT db_id AS value, count(*) AS n FROM fx GROUP BY 1 HAVING count(*) < 0.99 * (SELECT count(*) / count(DISTINCT db_id) FROM fx)")
@@ -299,15 +383,26 @@ def balance_gaps(spark, d):
     return balance.coverage_gaps(balance.universe_table(spark, {"chart_types": ["5-LOW", "missing_chart"]}), counts).select("value")
 
 
-@query("balance_constraints")
+@query("balance_constraints", "specs", """WITH u AS (SELECT unnest(range(6)) AS pos, unnest(['single', 'layer', 'hconcat', 'vconcat', 'facet', 'repeat']) AS value), c AS (SELECT CASE WHEN p_size % 6 = 0 THEN 'layer' WHEN p_size % 11 = 0 THEN 'hconcat' ELSE 'single' END AS value, count(*) AS n FROM fx GROUP BY 1)
+SELECT 'compositions' AS dimension, (SELECT value FROM u LEFT JOIN c USING (value) WHERE coalesce(n, 0) < 0.5 * (SELECT sum(n) FROM c) / 6 ORDER BY pos LIMIT 1) AS prefer, coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM c WHERE n > 2 * (SELECT sum(n) / count(*) FROM c)), '') AS avoid
+UNION ALL SELECT 'aggregations', 'sum,avg,count', '' UNION ALL SELECT 'time_units', 'year,quarter,month', '' UNION ALL SELECT 'transforms', 'aggregate,window,bin', '' UNION ALL SELECT 'interactions', 'none', ''""")
 def balance_constraints(spark, d):
     s = fx(spark, d, "specs").withColumns({"composition": specs.composition_type(F.col("spec"))})
     return balance.diversity_constraints(balance.feature_counts(s, {"compositions": "composition"}, "spec_id"), spark)
 
 
-@query("balance_report")
+_REPORT = f"""WITH {_COUNTS}, {_SCORES}, u AS (SELECT unnest(['chart_types', 'chart_types', 'domains']) AS dimension, unnest(['5-LOW', 'never used', 'social']) AS value), every AS (SELECT * FROM counts UNION ALL SELECT dimension, value, 0 FROM u WHERE (dimension, value) NOT IN (SELECT (dimension, value) FROM counts)),
+k AS (SELECT dimension, sum(n) AS total, count(*) AS keys FROM every GROUP BY 1), e AS (SELECT dimension, sum(CASE WHEN n > 0 THEN -(n / total) * log2(n / total) ELSE 0 END) / CASE WHEN keys > 1 THEN log2(keys) ELSE 1 END AS score FROM every JOIN k USING (dimension) GROUP BY dimension, keys),
+top AS (SELECT dimension, string_agg(concat(value, '=', n), ',' ORDER BY n DESC, value) AS top FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS r FROM every) WHERE r <= 10 GROUP BY 1),
+few AS (SELECT dimension, string_agg(value, ',' ORDER BY value) AS under FROM (SELECT u.*, coalesce(n, 0) AS n, count(*) OVER (PARTITION BY u.dimension) AS size FROM u LEFT JOIN counts c ON u.dimension = c.dimension AND u.value = c.value) JOIN k USING (dimension) WHERE n < 0.5 * total / size GROUP BY 1),
+many AS (SELECT dimension, string_agg(value, ',' ORDER BY value) AS over FROM every JOIN k USING (dimension) WHERE n > 2 * total / keys GROUP BY 1)
+SELECT dimension, total::BIGINT AS total, keys, round(score, 10) AS score, top, coalesce(under, '') AS under, coalesce(over, '') AS over FROM k JOIN e USING (dimension) JOIN top USING (dimension) LEFT JOIN few USING (dimension) LEFT JOIN many USING (dimension)"""
+
+
+@query("balance_report", "samples", _REPORT)
 def balance_report(spark, d):
-    return balance.diversity_report(_counts(spark, d))
+    universe = balance.universe_table(spark, {"chart_types": ["5-LOW", "never used"], "domains": ["social"]})
+    return rounded(balance.diversity_report(_counts(spark, d), universe), 10, "score")
 
 
 @query("balance_rebuilt", "samples", "SELECT chart_type AS value, count(*) AS n FROM fx WHERE validation_passed GROUP BY 1")
@@ -324,6 +419,18 @@ def balance_ledger(spark, d):
     return balance.with_ledger(counts, ledger).select("value", "n")
 
 
+@query("balance_committed", "samples", "SELECT chart_type AS value, 2 * count(*) + (chart_type IN ('1-URGENT', '2-HIGH'))::INT AS n FROM fx GROUP BY 1")
+def balance_committed(spark, d):
+    """Two reservations: of one a part is used and its commitment outlives a rollback; the other is rolled back."""
+    saved = balance.feature_counts(fx(spark, d, "samples"), {"chart_types": "chart_type"})
+    counts = balance.restore_counts(saved, saved)
+    first = counts.where("value in ('1-URGENT', '2-HIGH', '5-LOW')").select("dimension", "value")
+    ledger = balance.reserve(first, "r1").union(balance.reserve(first, "r2"))
+    ledger = balance.commit(ledger, "r1", used=first.where("value <> '5-LOW'"))
+    ledger = ledger.union(balance.rollback(ledger, "r1")).union(balance.rollback(ledger, "r2"))
+    return balance.with_ledger(counts, ledger).select("value", "n")
+
+
 @query("balance_collection", "samples", "SELECT 'db_id' AS dimension, db_id AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS pct FROM fx GROUP BY db_id UNION ALL SELECT 'chart_category', chart_category, count(*), round(count(*) * 100.0 / sum(count(*)) OVER (), 1) FROM fx GROUP BY chart_category")
 def balance_collection(spark, d):
     return balance.collection_stats(fx(spark, d, "samples"), ["db_id", "chart_category"])
@@ -520,9 +627,19 @@ def trace_rewards(spark, d):
     return rounded(traces.propagate_rewards(nodes, rewards), 6, "total")
 
 
-@query("trace_paths")
+_WALK = """walk AS (SELECT sample_id, node_id, action_name AS path, concat(action_name, ': ', shown) AS texts FROM cutt WHERE parent_id IS NULL UNION ALL SELECT c.sample_id, c.node_id, concat(w.path, ' > ', c.action_name), concat(w.texts, chr(10), c.action_name, ': ', c.shown) FROM cutt c JOIN walk w ON c.sample_id = w.sample_id AND c.parent_id = w.node_id)"""
+_CUT = "cutt AS (SELECT *, array_to_string(string_split(observation, chr(10))[1:15], chr(10)) AS some, concat(substr(array_to_string(string_split(observation, chr(10))[1:15], chr(10)), 1, 200), CASE WHEN len(string_split(observation, chr(10))) > 15 OR length(array_to_string(string_split(observation, chr(10))[1:15], chr(10))) > 200 THEN '...' ELSE '' END) AS shown FROM fx)"
+_FX = with_fx("trace", "SELECT * FROM fx").removeprefix("WITH fx AS (").removesuffix(") SELECT * FROM fx")
+
+
+@query("trace_paths", sql=f"WITH RECURSIVE fx AS ({_FX}), {_CUT}, {_WALK} SELECT sample_id, node_id, path, texts FROM walk WHERE (sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL)")
 def trace_paths(spark, d):
-    return traces.trace_paths(fx(spark, d, "trace"))
+    return traces.trace_paths(fx(spark, d, "trace"), text="observation")
+
+
+@query("trace_tree", sql=f"WITH RECURSIVE fx AS ({_FX}), {_CUT}, way AS (SELECT sample_id, node_id, [node_id] AS way FROM fx WHERE parent_id IS NULL UNION ALL SELECT c.sample_id, c.node_id, list_append(w.way, c.node_id) FROM fx c JOIN way w ON c.sample_id = w.sample_id AND c.parent_id = w.node_id) SELECT sample_id, node_id, (row_number() OVER (PARTITION BY sample_id ORDER BY way) - 1)::INT AS line, concat(repeat('  ', len(way) - 1), '[', node_id, '] ', action_name, ': ', shown) AS shown FROM way JOIN cutt USING (sample_id, node_id)")
+def trace_tree(spark, d):
+    return traces.trace_tree(fx(spark, d, "trace"), "observation")
 
 
 @query("trace_best_leaf", "trace", "SELECT sample_id, arg_max(node_id, (user_score, node_id)) AS node_id FROM fx WHERE (sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL) GROUP BY 1")
@@ -530,14 +647,16 @@ def trace_best_leaf(spark, d):
     return traces.best_leaf(fx(spark, d, "trace")).select("sample_id", "node_id")
 
 
-@query("trace_transitions", "trace", "SELECT p.action_name AS parent_action, c.action_name, count(*) AS n, true AS allowed FROM fx c JOIN fx p ON c.sample_id = p.sample_id AND c.parent_id = p.node_id GROUP BY ALL")
+@query("trace_transitions", "trace", "WITH t AS (SELECT sample_id, node_id, parent_id, CASE WHEN node_id % 7 = 3 THEN 'finish' ELSE action_name END AS action_name FROM fx) SELECT p.action_name AS parent_action, c.action_name, count(*) AS n, p.action_name <> 'finish' AND (c.action_name <> 'finish' OR p.action_name = 'execute_altair') AS allowed FROM t c JOIN t p ON c.sample_id = p.sample_id AND c.parent_id = p.node_id GROUP BY ALL")
 def trace_transitions(spark, d):
-    return traces.action_transitions(fx(spark, d, "trace"))
+    nodes = fx(spark, d, "trace").withColumn("action_name", F.when(F.col("node_id") % 7 == 3, "finish").otherwise(F.col("action_name")))
+    return traces.action_transitions(nodes)
 
 
-@query("trace_duplicates", "trace", "SELECT sample_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, parent_id, action_name, lower(trim(observation)) ORDER BY node_id) AS k FROM fx WHERE parent_id IS NOT NULL AND action_name <> 'execute_altair') WHERE k > 1")
+@query("trace_duplicates", "trace", "SELECT sample_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, parent_id, action_name, CASE WHEN action_name = 'execute_altair' THEN substr(args, 1, 200) ELSE lower(trim(args)) END ORDER BY node_id) AS k FROM (SELECT sample_id, node_id, CASE WHEN parent_id IS NOT NULL THEN 0 END AS parent_id, action_name, left(observation, 1 + (node_id % 2)::INT) AS args FROM fx) WHERE parent_id IS NOT NULL) WHERE k > 1")
 def trace_duplicates(spark, d):
-    nodes = fx(spark, d, "trace").withColumn("action_args", F.col("observation")).where("action_name <> 'execute_altair'")
+    """Over flat trees with short arguments, so that siblings repeat each other."""
+    nodes = fx(spark, d, "trace").withColumns({"parent_id": F.when(F.col("parent_id").isNotNull(), 0), "action_args": F.expr("left(observation, 1 + node_id % 2)")})
     return traces.duplicate_actions(nodes).select("sample_id", "node_id")
 
 
@@ -576,17 +695,21 @@ def candidate_sampled(spark, d):
     return candidates.sample_chart_types(_catalog(spark, d), ["PROMO"], ["Brand#11"], 5, seed=7)
 
 
-@query("candidate_mapping", "candidates", "SELECT question_id, pos, CASE WHEN dim1 = dim2 THEN dim1 ELSE concat(dim1, ',', dim2) END AS dimensions, measure AS measures, 4 + 2::INT AS complexity, true AS advanced FROM fx")
+@query("candidate_mapping", "candidates", """SELECT question_id, pos, CASE WHEN dim1 = dim2 OR (pos % 2 <> 0 AND pos % 3 <> 0) THEN dim1 ELSE concat(dim1, ',', dim2) END AS dimensions, measure AS measures,
+(3 + (pos % 3 = 0)::INT + 2 * (pos % 2 = 0)::INT + 2 * (pos % 5 = 0)::INT + 2 * (pos % 4 = 1)::INT)::INT AS complexity, pos % 2 = 0 OR pos % 5 = 0 OR pos % 4 = 1 AS advanced FROM fx""")
 def candidate_mapping(spark, d):
-    inner = F.struct(F.col("dim1").alias("x"), F.col("measure").alias("y"), F.concat("dim2", F.lit(" (nominal)")).alias("color"), F.col("measure").alias("size"))
-    m = F.to_json(F.struct(inner.alias("primary_encodings"), F.struct(F.col("dim2").alias("field")).alias("facet")))
+    some = lambda n, k, c: F.when(F.col("pos") % n == k, c)
+    inner = F.struct(F.col("dim1").alias("x"), F.col("measure").alias("y"), some(3, 0, F.concat("dim2", F.lit(" (nominal)"))).alias("color"), F.col("measure").alias("size"))
+    more = [some(2, 0, F.struct(F.col("dim2").alias("field"))).alias("facet"), some(5, 0, F.struct(F.col("measure").alias("y"))).alias("secondary_encodings"), some(4, 1, F.array(F.lit("bar"), F.lit("rule"))).alias("layers")]
+    m = F.to_json(F.struct(inner.alias("primary_encodings"), *more))
     none = F.array().cast("array<string>")
     return fx(spark, d, "candidates").select("question_id", "pos", F.array_join(candidates.mapping_dimensions(m), ",").alias("dimensions"), F.array_join(candidates.mapping_measures(m), ",").alias("measures"), candidates.mapping_complexity(m).alias("complexity"), candidates.has_advanced_effects(none, m).alias("advanced"))
 
 
-@query("candidate_required", "candidates", "SELECT question_id, pos, concat('kf_', pos) AS id, 'mark' AS type, chart_type AS text, true AS must FROM fx")
+@query("candidate_required", "candidates", "SELECT question_id, pos, CASE WHEN pos % 4 = 1 THEN 'own' ELSE concat('kf_', pos) END AS id, CASE pos % 3 WHEN 0 THEN 'filter' ELSE 'mark' END AS type, chart_type AS text, pos % 2 = 0 AS must FROM fx WHERE pos % 5 <> 4")
 def candidate_required(spark, d):
-    one = F.struct(F.lit("unknown kind").alias("type"), F.col("chart_type").alias("text"))
+    pos = F.col("pos")
+    one = F.struct(F.when(pos % 4 == 1, "own").alias("id"), F.when(pos % 3 == 0, "Filter").when(pos % 3 == 1, "unknown kind").alias("type"), F.when(pos % 5 == 4, " ").otherwise(F.col("chart_type")).alias("text"), F.when(pos % 2 == 1, False).alias("must"))
     answers = fx(spark, d, "candidates").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("f")))).alias("fs"))
     answers = answers.select("question_id", F.to_json(F.struct(F.transform("fs", lambda x: x["f"]).alias("required_key_features"))).alias("answer"))
     return candidates.parse_required_features(answers, "question_id", "answer").withColumn("pos", F.col("pos").cast("long"))
@@ -599,7 +722,9 @@ def ambiguity_guidance(spark, d):
     return ambiguity.injection_guidance(profiles, "spec_id").select("spec_id", F.array_join("templates", ",").alias("templates"))
 
 
-@query("balance_ambiguity")
+@query("balance_ambiguity", "specs", f"""WITH v AS ({_TEMPLATES}), c AS (SELECT template AS value, count(*) AS n FROM v GROUP BY 1), u AS (SELECT unnest(range({len(fixed.AMBIGUITY_TEMPLATES)})) AS pos, unnest([{', '.join(repr(t[0]) for t in fixed.AMBIGUITY_TEMPLATES)}]) AS value),
+w AS (SELECT value, pos FROM u LEFT JOIN c USING (value) WHERE coalesce(n, 0) < 0.5 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM u) ORDER BY pos LIMIT 4)
+SELECT 'ambiguity_templates' AS dimension, coalesce((SELECT string_agg(value, ',' ORDER BY pos) FROM w), '') AS prefer, coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM c WHERE n > 2 * (SELECT sum(n) / count(*) FROM c)), '') AS avoid UNION ALL SELECT 'ambiguity_types', 'DATA,VISUALIZATION', ''""")
 def balance_ambiguity(spark, d):
     valid = ambiguity.valid_templates(fx(spark, d, "specs"), "spec_id", "spec")
     counts = valid.groupBy(F.lit("ambiguity_templates").alias("dimension"), F.col("template").alias("value")).agg(F.count("*").alias("n"))
@@ -612,12 +737,18 @@ def eval_skip(spark, d):
     return evaluation.skip_rule(scored).select("sample_id", "code_pass", "merge_strict")
 
 
-@query("collection_statistics", "samples", "SELECT 'distribution' AS section, concat('db_id=', db_id) AS key, count(*)::VARCHAR AS value FROM fx GROUP BY db_id")
+@query("collection_statistics", "samples", f"""WITH {_COUNTS}, {_SCORES} SELECT 'distribution' AS section, concat('db_id=', db_id) AS key, count(*)::VARCHAR AS value FROM fx GROUP BY db_id UNION ALL SELECT 'diversity', dimension, round(score, 10)::VARCHAR FROM scores
+UNION ALL SELECT 'summary', unnest(['instances', 'attempted', 'succeeded', 'success_rate']), unnest([count(DISTINCT source_question_id)::VARCHAR, count(*)::VARCHAR, (count(*) FILTER (validation_passed))::VARCHAR, printf('%.1f%%', count(*) FILTER (validation_passed) * 100.0 / count(*))]) FROM fx""")
 def collection_statistics(spark, d):
     samples = fx(spark, d, "samples")
     outcomes = collection.question_outcomes(samples.select(F.col("source_question_id").alias("question_id"), F.col("validation_passed").alias("success"), F.lit("rejected").alias("error")))
-    bundle = collection.build_statistics(outcomes, samples, ["db_id"], balance.diversity_report(_counts(spark, d)))
-    return bundle.where("section = 'distribution'")
+    return collection.build_statistics(outcomes, samples, ["db_id"], balance.diversity_report(_counts(spark, d)))
+
+
+@query("collection_pending_runs", "runs", "SELECT sample_id FROM fx WHERE NOT code_renderable OR sample_id % 4 = 0")
+def collection_pending_runs(spark, d):
+    runs = fx(spark, d, "runs")
+    return collection.pending_runs(runs, runs.where("code_renderable"), runs.where("sample_id % 4 = 0").select("sample_id")).select("sample_id")
 
 
 @query("collection_fill", "runs", "SELECT sample_id, best_score, prompt_tokens % 7 AS ground_truth FROM fx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 SAMPLES = """SELECT concat('q', o_custkey, '_c', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS sample_id,
- o_custkey AS source_question_id, c_mktsegment AS db_id, o_orderpriority AS chart_type, o_orderstatus AS chart_category, o_totalprice > 20000 AS validation_passed, o_orderkey AS seq
+ o_custkey AS source_question_id, concat(lower(c_mktsegment), CASE o_custkey % 6 WHEN 0 THEN '_sales' WHEN 1 THEN '_hospital' WHEN 2 THEN '_user_log' WHEN 3 THEN '_geo' WHEN 4 THEN '' ELSE '_sensor' END) AS db_id, o_orderpriority AS chart_type, o_orderstatus AS chart_category, o_totalprice > 20000 AS validation_passed, o_orderkey AS seq
  FROM orders JOIN customer ON o_custkey = c_custkey"""
 SPECS = """SELECT p_partkey AS spec_id, p_type AS chart_type, concat('{"mark":',
  CASE p_size % 3 WHEN 0 THEN '"bar"' WHEN 1 THEN '{"type":"line"}' ELSE '{"type":"arc","innerRadius":20}' END,

@@ -34,6 +34,12 @@ def _catalog(spark, d):
     return p.catalog_columns({n: t(spark, d, n) for n in src.TABLES})
 
 
+_TYPES = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE column_type END"
+_CAT = "cat AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, row_number() OVER () - 1 AS ordinal, column_name AS name, {_TYPES} AS data_type FROM (DESCRIBE {n})" for n in src.TABLES) + ")"
+_SEM = f"""{_CAT}, sem AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'date|time|year|month|day|created|updated|timestamp') THEN 'temporal' WHEN regexp_matches(data_type, 'int|float|double|decimal') THEN CASE WHEN lower(name) LIKE '%id' THEN 'identifier' ELSE 'numeric' END
+WHEN data_type LIKE '%string%' AND (lower(name) LIKE '%id' OR lower(name) LIKE '%code') THEN 'identifier' ELSE 'categorical' END AS semantics FROM cat)"""
+
+
 # --- sources
 
 
@@ -59,7 +65,7 @@ def source_json_rows(spark, d):
     return rows.agg(F.count("*").alias("n"), F.sum(F.get_json_object("json", "$.n_nationkey").cast("long")).alias("s"))
 
 
-@query("source_inline_stats")
+@query("source_inline_stats", """SELECT o_custkey, greatest(count(*) - 3, 0) AS more, concat('{"o_orderpriority":', count(DISTINCT o_orderpriority), ',"o_orderstatus":', count(DISTINCT o_orderstatus), '}') AS "distinct" FROM orders GROUP BY 1""")
 def source_inline_stats(spark, d):
     rows = t(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("o_orderstatus", "o_orderpriority")).alias("values")).alias("data"))).alias("spec"))
     return src.truncate_with_stats(rows, "o_custkey", "spec").select("o_custkey", "more", F.to_json("distinct").alias("distinct"))
@@ -117,25 +123,51 @@ def profile_result(spark, d):
     return p.result_profile(t(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).withColumn("row", F.col("row").cast("long"))
 
 
-@query("profile_semantics")
+@query("profile_semantics", f"WITH {_SEM} SELECT table_name, name, semantics, CASE semantics WHEN 'temporal' THEN 'temporal' WHEN 'numeric' THEN 'quantitative' ELSE 'nominal' END AS chart_type FROM sem")
 def profile_semantics(spark, d):
     kinds = p.column_semantics(F.col("name"), F.col("data_type"))
     return _catalog(spark, d).select("table_name", "name", kinds.alias("semantics"), p.field_chart_type(kinds, F.col("name")).alias("chart_type"))
 
 
-@query("profile_potential")
+_KINDS = {"temporal": ["temporal"], "categorical": ["categorical"], "numeric": ["numeric"], "dimensions": ["temporal", "categorical", "identifier"], "measures": ["numeric", "identifier"]}
+_PICKS = ", ".join(f"coalesce(string_agg(name, ',' ORDER BY name) FILTER (semantics IN ({', '.join(repr(k) for k in ks)})), '') AS {n}" for n, ks in _KINDS.items())
+
+
+@query("profile_potential", f"""WITH {_SEM}, p AS (SELECT table_name, {_PICKS}, count(*) FILTER (semantics = 'temporal') AS t, count(*) FILTER (semantics = 'categorical') AS c, count(*) FILTER (semantics = 'numeric') AS q FROM sem GROUP BY 1)
+SELECT table_name, {', '.join(_KINDS)}, array_to_string(list_sort(list_filter([CASE WHEN t > 0 AND q > 0 THEN 'line_chart' END, CASE WHEN t > 0 AND q > 0 THEN 'area_chart' END, CASE WHEN c > 0 AND q > 0 THEN 'bar_chart' END, CASE WHEN c > 0 AND q > 0 THEN 'horizontal_bar_chart' END,
+CASE WHEN q > 0 THEN 'histogram' END, CASE WHEN q > 1 THEN 'scatter_plot' END, 'grouped_bar_chart', CASE WHEN c > 0 THEN 'pie_chart' END], lambda x: x IS NOT NULL)), ',') AS suggestions FROM p""")
 def profile_potential(spark, d):
-    return p.suggest_charts(p.vis_potential(_catalog(spark, d), "table_name"), F.lit(True), F.lit(1))
+    out = p.suggest_charts(p.vis_potential(_catalog(spark, d), "table_name"), F.lit(True), F.lit(1))
+    return out.select("table_name", *(F.array_join(c, ",").alias(c) for c in (*_KINDS, "suggestions")))
 
 
-@query("profile_groups", """WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_orderkey < 30 UNION SELECT l_partkey + 1000000, l_suppkey FROM lineitem WHERE l_orderkey < 30),
-r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT label AS group_id, count(*) AS size FROM (SELECT node, min(other) AS label FROM r GROUP BY 1) GROUP BY 1""")
+@query("profile_groups", """SELECT n_nationkey AS group_id, 1 + count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) AS size, count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) AS n_links
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def profile_groups(spark, d):
-    edges = t(spark, d, "lineitem").where("l_orderkey < 30").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b"))
-    return p.table_groups(edges, edges.select("a").union(edges.select("b"))).select("group_id", "size")
+    """Nations, their customers and these's orders as one graph; keys of each kind are told apart by their remainder."""
+    node = lambda c, kind: F.col(c) if kind == 0 else (F.col(c) + 100) * 2 + kind
+    customers = t(spark, d, "customer").select(node("c_custkey", 1).alias("a"), node("c_nationkey", 0).alias("b"))
+    known = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    edges = customers.union(known.select(node("o_orderkey", 2).alias("a"), node("o_custkey", 1).alias("b")))
+    nodes = edges.select("a").union(t(spark, d, "nation").select("n_nationkey"))
+    return p.table_groups(edges, nodes, members=False)
+
 
+@query("profile_slice", f"WITH {_CAT} SELECT table_name, name, 0 AS key FROM cat WHERE table_name IN ('orders', 'customer') UNION ALL SELECT 'orders', 'customer', 1")
+def profile_slice(spark, d):
+    keys = spark.createDataFrame([("orders", "customer"), ("lineitem", "orders"), ("customer", "nation")], "from_table string, to_table string")
+    names = spark.createDataFrame([("ORDERS",), ("Customer",)], "table_name string")
+    columns, both = p.schema_slice(_catalog(spark, d), keys, names)
+    return columns.select("table_name", "name", F.lit(0).alias("key")).union(both.select("from_table", "to_table", F.lit(1)))
 
-@query("profile_digest")
+
+@query("profile_find_column", f"WITH {_CAT} SELECT table_name FROM cat WHERE lower(name) = 'doc_id' ORDER BY table_name, ordinal LIMIT 1")
+def profile_find_column(spark, d):
+    return p.find_column(_catalog(spark, d), "DOC_ID")
+
+
+@query("profile_digest", f"""WITH {_CAT} SELECT table_name, concat(table_name, ': ', string_agg(concat(name, ' (', data_type, ')'), ', ' ORDER BY ordinal) FILTER (ordinal < 4), CASE WHEN count(*) > 4 THEN concat(', +', count(*) - 4, ' more') ELSE '' END) AS line,
+concat('Table: ', table_name, '(', string_agg(name, ', ' ORDER BY ordinal), ')') AS short FROM cat GROUP BY 1""")
 def profile_digest(spark, d):
     return p.schema_digest(_catalog(spark, d), 4).join(p.schema_line(_catalog(spark, d)).withColumnRenamed("line", "short"), "table_name")
 
@@ -155,9 +187,17 @@ def profile_first_questions(spark, d):
     return p.list_first(fx(spark, d, "questions"), 10)
 
 
-@query("profile_rank_tables")
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(upper({}), '[^A-Za-z0-9_]+'), lambda x: length(x) >= 2))"
+
+
+@query("profile_rank_tables", f"""WITH {_CAT}, tabs AS (SELECT table_name, {_WORDS.format('table_name')} AS tw, {_WORDS.format("string_agg(name, ' ')")} AS cw FROM cat WHERE ordinal < 15 GROUP BY 1),
+q AS (SELECT page_id, {_WORDS.format("concat(url, CASE page_id % 5 WHEN 0 THEN ' orders of a customer: o_orderdate' WHEN 1 THEN ' part p_size ps' WHEN 2 THEN ' n_name, r_name, s_name in nation' ELSE '' END)")} AS w FROM pages),
+s AS (SELECT page_id, table_name, 2 * len(list_intersect(w, tw)) + len(list_intersect(w, cw)) AS score FROM q, tabs)
+SELECT page_id AS question_id, table_name, score::INT AS score, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, table_name) AS k FROM s) WHERE k <= 3""")
 def profile_rank_tables(spark, d):
-    q = t(spark, d, "pages").select(F.col("page_id").alias("question_id"), F.col("url").alias("question"))
+    id_ = F.col("page_id") % 5
+    more = F.when(id_ == 0, " orders of a customer: o_orderdate").when(id_ == 1, " part p_size ps").when(id_ == 2, " n_name, r_name, s_name in nation").otherwise("")
+    q = t(spark, d, "pages").select(F.col("page_id").alias("question_id"), F.concat("url", more).alias("question"))
     return p.rank_tables_by_text(_catalog(spark, d), q, "question_id", "question", 3)
 
 
@@ -290,5 +330,4 @@ def stream_upsert(spark, d):
     path = state_path(spark, "stream")
     q = streams.stream_upsert(_stream(spark, d).select("user_id", "event_id"), f"{path}/table", f"{path}/state", "user_id", "event_id")
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{path}/table/v={last}")
+    return streams.read_upserted(spark, f"{path}/table")

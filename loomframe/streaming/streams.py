@@ -45,17 +45,31 @@ def stream_sessions(df: DataFrame, ts: str, keys: list[str], gap: str = "30 minu
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
-def last_wins_sink(path: str, key: str, order: str):
-    """For foreachBatch: each batch is merged into a versioned table, a key's last row staying; a batch that is run again
-    writes the same version again."""
+#: Parts of a table that batches are merged into.
+BUCKETS = 64
+
+
+def read_upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table that last_wins_sink keeps: each bucket in its latest version, or the latest before a batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.where(F.col("__v") < before)
+    # a row for each bucket; the join prunes the versions that are read
+    latest = rows.groupBy("__bucket").agg(F.max("__v").alias("__v"))
+    return rows.join(F.broadcast(latest), ["__bucket", "__v"], "left_semi").drop("__bucket", "__v")
+
+
+def last_wins_sink(path: str, key: str, order: str, buckets: int = BUCKETS):
+    """For foreachBatch: a batch is merged into those buckets of the table that its keys fall into, a key's last row
+    staying; the others are left alone. A batch that is run again writes the same version again."""
 
     def write(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("__bucket", bucket)
         if version > 0:
-            rows = spark.read.parquet(f"{path}/v={version - 1}").unionByName(batch)
-        w = Window.partitionBy(key).orderBy(F.desc(order))
-        rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k").write.mode("overwrite").parquet(f"{path}/v={version}")
+            touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most the number of buckets
+            rows = rows.unionByName(read_upserted(batch.sparkSession, path, version).withColumn("__bucket", bucket).where(F.col("__bucket").isin(touched)))
+        last = rows.groupBy("__bucket", key).agg(F.max_by(F.struct(*batch.columns), order).alias("__row")).select("__row.*", "__bucket")
+        last.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__v={version}")
 
     return write
 

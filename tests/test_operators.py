@@ -1,8 +1,10 @@
 """Semantics on literal rows: nulls, ties, empty groups, golden numbers."""
 
+import json
 import math
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomframe.functions import fixed, text
@@ -255,3 +257,123 @@ def test_streams_end_in_files(spark, tmp_path, mode, batches):
 def test_fixed_values():
     assert len(fixed.AMBIGUITY_TEMPLATES) == 14 and len(fixed.FAILURE_CODES) == 8 and len(fixed.DATA_REQUIREMENTS) == 11
     assert sum(fixed.REWARD_WEIGHTS.values()) == pytest.approx(1)
+
+
+def test_sql_and_catalogue(spark, sf, tmp_path):
+    src.load_tables(spark, sf, ("region", "nation"))
+    assert src.run_sql(spark, "SELECT * FROM nation", 3).count() == 3 and src.run_sql(spark, "SELECT r_name FROM region").columns == ["r_name"]
+    assert {"region", "nation"} <= {r.name for r in src.list_tables(spark).collect()}
+    for name in ("b", "a"):
+        spark.range(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [r.db_id for r in src.list_databases(spark, str(tmp_path)).collect()] == ["a", "b"]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "x", True), (1, "y", None), (3, "z", False)], "sample_id long, data string, validation_passed boolean")
+    src.write_statistics(rows, f"{tmp_path}/stats")
+    assert sorted(r.data for r in src.read_statistics(spark, f"{tmp_path}/stats", "sample_id long, data string").collect()) == ["x", "y", "z"]
+    for _ in range(2):
+        src.write_run_results(rows, f"{tmp_path}/runs")
+    assert [r.sample_id for r in spark.read.json(f"{tmp_path}/runs").orderBy("sample_id").collect()] == [1, 2, 3]
+    for _ in range(2):
+        collection.append_samples(rows, f"{tmp_path}/samples")
+    assert sorted(r.sample_id for r in spark.read.parquet(f"{tmp_path}/samples").collect()) == [1, 1, 2, 2]
+    assert src.to_export(rows).columns == src.EXPORT and src.to_full(rows).columns[: len(src.COMPACT)] == src.COMPACT
+    assert {r.vis_intent_type for r in src.to_export(rows).collect()} == {None}
+
+
+def test_chart_catalogue_and_feature_types(spark, tmp_path):
+    for name in ("Bars/simple", "Bars/_hidden", "Lines/multi"):
+        path = tmp_path / f"{name}.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("{}")
+    assert sorted(values(candidates.chart_catalog(spark, str(tmp_path)), "category", "chart_type")) == [("Bars", "simple"), ("Lines", "multi")]
+    df = spark.createDataFrame([(["Mark: bar", "no kind", "mark:line", " Filter : x"],), ([],)], "f array<string>")
+    assert [r[0] for r in values(df.select(candidates.feature_type_set(F.col("f")).alias("s")), "s")] == [["mark", "filter"], []]
+
+
+def test_strengths_checks_and_judgments(spark):
+    df = spark.createDataFrame([(0,), (9,), (10,), (49,), (50,)], "n int")
+    assert [r[0] for r in values(df.select(balance.constraint_strength(F.col("n")).alias("s")), "s")] == [0.3, 0.3, 0.5, 0.5, 0.7]
+    pies = spark.createDataFrame([("a", 1.0), ("b", -2.0)], "k string, v double")
+    found = {kind: quality.chart_requirements(df_, kind).first().issues for kind, df_ in (("Donut", pies), ("pie", pies.where("v > 0")), ("histogram", pies.select("k")), ("Scatter plot", pies), ("bar", pies))}
+    assert found == {"Donut": ["pie chart has negative values in v"], "pie": ["pie chart has too few categories"], "histogram": ["histogram needs a numeric column"], "Scatter plot": ["scatter plot needs two numeric columns"], "bar": []}
+    samples = spark.createDataFrame([(1, "[1]", "{ }"), (2, " ", "{ }"), (3, None, "{ }"), (4, "[1]", None)], "id int, data string, vega_lite_spec string")
+    assert [r.id for r in quality.basic_sample_check(samples).collect()] == [1]
+    both = spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "a boolean, b boolean").select(evaluation.merge_satisfied(F.col("a"), F.col("b")).alias("m"))
+    assert [r.m for r in both.collect()] == [True, False, False, False]
+
+
+def test_texts_of_queries_and_code(spark):
+    one = spark.createDataFrame([("```sql\nHere: select a, SUM(b) from t where x > 1 group by a\n```",), ("no statement",), (None,)], "s string")
+    assert [r[0] for r in values(one.select(text.clean_sql(F.col("s")).alias("s")), "s")] == ["select a, SUM(b) from t where x > 1 group by a", "", None]
+    code = spark.createDataFrame([("say\n```python\nx = 1\n```\nend",), ("```\ny = 2\n```",), (" z = 3 ",)], "s string")
+    assert [r[0] for r in values(code.select(text.clean_code(F.col("s")).alias("s")), "s")] == ["x = 1", "y = 2", "z = 3"]
+    said = values(spark.createDataFrame([("SELECT a, SUM(b) FROM t WHERE x > 1 GROUP BY a ORDER BY a",), ("SELECT 1",)], "s string").select(text.intent_text(F.col("s")).alias("s")), "s")
+    assert said[0][0].startswith("tables: t; ") and "grouped by: a" in said[0][0] and "filters: x > 1" in said[0][0] and said[1][0] == ""
+
+
+def test_paths_of_any_depth(spark):
+    deep = {"leaf": None, "list": [1, "two", {"x": [5]}]}
+    for k in "kjihgfedcb":
+        deep = {k: deep}
+    spec = spark.createDataFrame([(1, json.dumps({"a": deep})), (2, "{}")], "id int, spec string")
+    path = ".".join("abcdefghijk")
+    wanted = [("list", "len_ge", "3"), ("list.2.x.0", "eq", "5"), ("list[2].x[0]", "eq", "5"), ("list.1", "in", '["two"]'), ("leaf", "exists", None), ("list", "contains", '"two"')]
+    features = spark.createDataFrame([(i, f"{path}.{p}", op, v) for i in (1, 2) for p, op, v in wanted], "id int, path string, op string, value string")
+    got = {(r.id, r.path): r.satisfied for r in specs.check_features(spec, features, "id", "spec").collect()}
+    assert [got[1, f"{path}.{p}"] for p, *_ in wanted] == [True, True, True, True, False, True] and not any(v for (i, _), v in got.items() if i == 2)
+    assert {(r.id, r.ok, len(r.missing)) for r in specs.feature_violations(spec.union(spark.createDataFrame([(3, "{}")], spec.schema)), features, "id", "spec").collect()} == {(1, False, 1), (2, False, 6), (3, True, 0)}
+    assert specs.flatten_spec(spec, "id", "spec").where(F.col("path") == f"{path}.list.2.x.0").first().value == "5"
+
+
+def test_long_chain_is_one_group(spark):
+    n = 700
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n + 5, n + 5)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(n + 1)] + [(n + 5,)], "node long")
+    assert values(profiling.table_groups(edges, nodes, members=False), "group_id", "size", "n_links") == [(0, n + 1, n), (n + 5, 1, 0)]
+    assert [len(r.members) for r in profiling.table_groups(edges, nodes).collect()] == [n + 1, 1]
+
+
+def test_preview_of_sparse_columns(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "HEAD_ROWS", 5)
+    rows = spark.createDataFrame([(i, f"v{i}", f"late{i}" if i > 90 else None, None) for i in range(100)], "id int, a string, b string, c string")
+    assert {r.column: r["values"] for r in profiling.column_preview(rows, "id").collect()} == {"id": "0|1|2", "a": "v0|v1|v2", "b": "late91|late92|late93"}
+
+
+def test_reports_texts_are_cut(spark):
+    rows = spark.createDataFrame([("x" * 201,), ("y" * 200,), ("\n".join(map(str, range(16))),), (None,)], "t string")
+    assert [r[0] for r in values(rows.select(traces.shown_text(F.col("t")).alias("s")), "s")] == ["x" * 200 + "...", "y" * 200, "\n".join(map(str, range(15))) + "...", ""]
+
+
+def chained(*values_):
+    """Spark's hash of 64 bits over columns: each is hashed with the hash before as seed."""
+    h = 42
+    for v in values_:
+        data = v.encode() if isinstance(v, str) else int(v).to_bytes(4, "little", signed=True) if isinstance(v, int) and abs(v) < 1 << 31 else v
+        h = xxhash.xxh64(data, seed=h).intdigest()
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_seeded_picks_by_brute_force(spark):
+    weights = {(f"s{i}", f"t{j}"): 0.1 + (i * j % 7) for i in range(40) for j in range(6)}
+    df = spark.createDataFrame([(k, t, w) for (k, t), w in weights.items()], "id string, template string, weight double")
+    got = {(r.id, r.place): r.template for r in ambiguity.weighted_pick(df, "id", 3, seed=5).collect()}
+    for i in range(40):
+        key = f"s{i}"
+        draw = {t: (-math.log((chained(key, t, 5, "pick") % (1 << 30) + 1) / ((1 << 30) + 1)) / w, t) for (k, t), w in weights.items() if k == key}
+        assert [got[key, p] for p in (1, 2, 3)] == sorted(draw, key=draw.get)[:3]
+    types = [(f"cat{i % 4}", f"type {i}") for i in range(30)] + [("cat0", "pie_chart"), ("cat1", "donut_chart")]
+    catalog = spark.createDataFrame(types, "category string, chart_type string")
+    preferred, categories = ["type 3", "type 8", "type 20"], ["cat2", "cat1"]
+    order = sorted(types, key=lambda x: (chained(x[1], 7), x[1]))
+    liked = [x for x in order if x[1] in preferred][:2]
+    firsts = [next(x for x in order if x[0] == c) for c in categories]
+    stage = {x: 0 if x in liked else 1 if x in firsts else 2 for x in order}
+    want, alike = [], set()
+    for x in sorted(order, key=lambda x: stage[x]):
+        group = next((i for i, g in enumerate(fixed.SIMILAR_TYPES) if x[1] in g), x[1])
+        if group not in alike:
+            alike.add(group)
+            want.append(x)
+    assert values(candidates.sample_chart_types(catalog, preferred, categories, 5, seed=7), "category", "chart_type") == want[:5]

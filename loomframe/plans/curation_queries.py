@@ -357,11 +357,11 @@ def balance_category(spark, d):
     return fx(spark, d, "samples").select("sample_id", balance.infer_chart_category(F.element_at(names, (F.col("seq") % 11 + 1).cast("int"))).alias("category"))
 
 
-@query("balance_chart_types", "samples", "WITH c AS (SELECT chart_type, count(*) AS n FROM fx GROUP BY 1), u AS (SELECT DISTINCT chart_type FROM fx UNION SELECT 'never used') SELECT 'under' AS side, chart_type, coalesce(n, 0) AS n FROM u LEFT JOIN c USING (chart_type) WHERE coalesce(n, 0) < 1.19 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM u) UNION ALL SELECT 'over', chart_type, n FROM c WHERE n > 1.001 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM c)")
+@query("balance_chart_types", "samples", "WITH c AS (SELECT chart_type, count(*) AS n FROM fx GROUP BY 1), u AS (SELECT DISTINCT chart_type FROM fx UNION SELECT 'never used') SELECT 'under' AS side, chart_type, coalesce(n, 0) AS n FROM u LEFT JOIN c USING (chart_type) WHERE coalesce(n, 0) < 1.1903 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM u) UNION ALL SELECT 'over', chart_type, n FROM c WHERE n > 1.0007 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM c)")
 def balance_chart_types(spark, d):
     counts, used = _counts(spark, d), fx(spark, d, "samples").select("chart_type").distinct()
     catalog = used.union(spark.createDataFrame([("never used",)], "chart_type string"))
-    few, many = balance.underrepresented_charts(counts, catalog, 1.19), balance.overrepresented_charts(counts, 1.001)
+    few, many = balance.underrepresented_charts(counts, catalog, 1.1903), balance.overrepresented_charts(counts, 1.0007)
     return few.select(F.lit("under").alias("side"), "chart_type", "n").union(many.select(F.lit("over"), "chart_type", "n"))
 
 

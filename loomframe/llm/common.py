@@ -7,16 +7,16 @@ a text without a word has none.
 
 from __future__ import annotations
 
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import state_path as scratch_path
+
 SHINGLE_WORDS = 5
 #: Texts are hashed in runs of about so many characters; a longer text is a run of its own.
 CHUNK_CHARS = 1_000_000
@@ -25,27 +25,22 @@ _U = np.uint64
 _word_table: np.ndarray | None = None
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomframe-"))
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it again: it is computed once and its lineage ends here."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loomframe_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once what was read from them is written itself."""
+    for table in tables:
+        session = table.sparkSession
+        place = session._jvm.org.apache.hadoop.fs.Path(table._loomframe_path)
+        place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_or_empty(column: str = "text"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has two bigint columns. Each round turns every node's neighbours to the smallest of them, larger ones
     first, then smaller ones; minima are pre-aggregated and joined back, so that a hub is split like any skewed key.
-    Null ends and loops are left out; an empty edge table gives an empty result. The rounds are written to the shared
-    folder; their number grows with the logarithm of the number of edges.
+    Null ends and loops are left out; an empty edge table gives an empty result. Each round is written to the shared
+    folder and the one before deleted; their number grows with the logarithm of the number of edges.
     """
     a, b = edges.columns
     now = materialize(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if _are_stars(now):
             ends = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

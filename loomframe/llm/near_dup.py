@@ -10,7 +10,8 @@
    tokens are equal to the pivot's together, so no candidate is lost there.
 3. Runs are repeated until a pair at the threshold is found with probability RECALL, over all that is left to chance:
    how many tokens of the sketch agree, whether they are enough for a candidate, and whether paths meet. Deeper paths
-   meet less often, so classes whose buckets were split deeper take part in further runs, as many as their depth needs.
+   meet less often, so classes whose buckets were split deeper take part in further runs, as many as their depth needs;
+   of these, buckets whose classes are all linked to each other already are left out.
 4. Candidate links only gather classes into families. Within each family all sets are compared exactly, in blocks of
    bounded size, each block pair a group of its own. What leaves a group is a count for each class and a link to the
    smallest of its component there, so no group's pairs are emitted.
@@ -31,23 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, chunks, materialize, mix64, seeds, shingle_hashes
+from .common import by_group, chunks, discard, materialize, mix64, seeds, shingle_hashes
 from .graph import components
 
 THRESHOLD = 0.8
 TOKENS = 64
 #: Probability that a pair at the threshold is found, and the splits that every path has.
-RECALL = 0.999
+RECALL = 0.995
 DEPTH = 2
 #: Classes of a bucket that are compared by brute force.
 LEAF = 128
-#: Sketch tokens that a candidate pair has in common: the threshold's share less 4.75 standard deviations.
-CANDIDATE = 36
+#: Sketch tokens that a candidate pair has in common: the threshold's share less 3.5 standard deviations.
+CANDIDATE = 40
 #: Tokens in common with a pivot from which a class goes no deeper, and from which it joins the pivot's family.
-SETTLED = 48
+SETTLED = 44
 ABSORB = SETTLED + CANDIDATE - TOKENS
 #: Classes of a family in one block of the exact comparison, and shingles of its sets, in expectation.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Rows of a block that are compared at once.
+STRIP = 128
 
 _U = np.uint64
 
@@ -176,47 +179,58 @@ def next_paths(rows: DataFrame) -> DataFrame:
 
 
 def _lowest(similar: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id of each row's component under a symmetric relation on a few rows."""
+    """The smallest id of each row's component under a symmetric relation on a few thousand rows, a strip at a time."""
     order = np.argsort(ids, kind="stable")
-    linked = similar[np.ix_(order, order)]
-    label = np.arange(len(ids))
+    rank = np.empty(len(ids), np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
+    label = rank.copy()  # the rank of the smallest member known so far, of each row
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(1, initial=len(ids)))
-        new = np.minimum(new, new[new])
+        new = label.copy()
+        for k in range(0, len(ids), STRIP):
+            near = np.where(similar[k : k + STRIP], label[None, :], np.int32(len(ids))).min(1, initial=len(ids))
+            new[k : k + STRIP] = np.minimum(new[k : k + STRIP], near)
+        new = np.minimum(new, new[order[new]])
         if (new == label).all():
-            break
+            return ids[order[label]]
         label = new
-    out = np.empty_like(ids)
-    out[order] = ids[order][label]
-    return out
 
 
 def leaf_links(leaves: DataFrame) -> DataFrame:
-    """Candidate links (a, b) of buckets with members array<struct<cid, sketch>>."""
+    """Candidate links (a, b) of small buckets, from rows of path, cid and sketch. Buckets come one after another, so that
+    a task holds a batch of rows and the bucket that goes on in the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                members = batch.column("members").slice(k, 2000)
-                values = members.flatten()
-                if not len(values):
-                    continue
-                cid, sketch = values.field("cid").to_numpy(), _matrix(values.field("sketch"))
-                size = np.diff(members.offsets.to_numpy())
-                at = np.cumsum(size) - size
-                two = at[size == 2]
-                near = (sketch[two] == sketch[two + 1]).sum(1) >= CANDIDATE
-                a, b = cid[two[near]], cid[two[near] + 1]
-                links = list(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
-                for p, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                    s = sketch[p : p + n]
-                    own = cid[p : p + n]
-                    low = _lowest((s[:, None, :] == s[None, :, :]).sum(2) >= CANDIDATE, own)
-                    links += [(x, y) for x, y in zip(own.tolist(), low.tolist(), strict=True) if x != y]
-                a, b = zip(*set(links), strict=True) if links else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return leaves.select("members").mapInArrow(run, "a long, b long")
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            path = batch.column("path").to_numpy()
+            begins = np.flatnonzero(path[1:] != path[:-1]) + 1
+            held = batch.slice(begins[-1]) if len(begins) else batch
+            if len(begins):
+                yield _links_of(batch.slice(0, begins[-1]))
+        if held is not None and held.num_rows:
+            yield _links_of(held)
+
+    rows = leaves.select("path", "cid", "sketch").repartition("path").sortWithinPartitions("path")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _links_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Links between the members of whole buckets, each to the smallest of its component in the bucket."""
+    path, cid, sketch = rows.column("path").to_numpy(), rows.column("cid").to_numpy(), _matrix(rows.column("sketch"))
+    at = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
+    size = np.diff(np.append(at, len(path)))
+    two = at[size == 2]
+    near = (sketch[two] == sketch[two + 1]).sum(1) >= CANDIDATE
+    a, b = cid[two[near]], cid[two[near] + 1]
+    links = set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True))
+    for p, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        s, own = sketch[p : p + n], cid[p : p + n]
+        low = _lowest((s[:, None, :] == s[None, :, :]).sum(2) >= CANDIDATE, own)
+        links.update((x, y) for x, y in zip(own.tolist(), low.tolist(), strict=True) if x != y)
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _pivot_likeness(rows: DataFrame) -> DataFrame:
@@ -236,49 +250,55 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Candidate links (a, b) between classes with cid and sketch."""
     sketch_of = classes.select("cid", "sketch")
     runs = runs_for(recall, DEPTH)
-    now, most, links = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, []
+    now, most, links, families = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, [], None
     while True:
-        found, deep = _links_of_runs(now, sketch_of, most)
+        found, deep = _links_of_runs(now, sketch_of, most, families)
         links += found
         if not deep:
             break
         # classes of buckets that were split deeper than theirs so far take part in the runs that this depth needs
         reached = reduce(DataFrame.union, deep).groupBy("cid").agg(F.max("depth").alias("reached"))
-        now = reached.join(now, "cid").where("reached > depth")
-        top = now.agg(F.max("reached")).first()[0]
+        deeper = materialize(reached.join(now, "cid").where("reached > depth"), "deeper")
+        discard(*deep)
+        top = deeper.agg(F.max("reached")).first()[0]
         if top is None:
             break
         needed = F.create_map(*(F.lit(x) for d in range(DEPTH, top + 1) for x in (d, runs_for(recall, d))))
-        now = now.select("cid", "sketch", F.col("end_run").alias("first_run"), needed[F.col("reached")].alias("end_run"), F.col("reached").alias("depth"))
-        now, most = materialize(now, "further-runs"), runs_for(recall, top)
+        now = deeper.select("cid", "sketch", F.col("end_run").alias("first_run"), needed[F.col("reached")].alias("end_run"), F.col("reached").alias("depth"))
+        most = runs_for(recall, top)
+        # a family is compared exactly later on, so further runs are for pairs of different ones
+        families = materialize(components(reduce(DataFrame.union, links)).select(F.col("node").alias("cid"), F.col("component").alias("family")), "families-so-far")
     return reduce(DataFrame.union, links)
 
 
-def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(candidate links, classes and depths of buckets that were split) of some runs."""
+def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(candidate links, classes and depths of buckets that were split) of some runs, a table for each level. Buckets of
+    one family alone are left out."""
     paths, links, deep, depth = materialize(first_paths(classes, most), "paths"), [], [], DEPTH
-    while True:
+    while paths is not None:
         # the pivot is drawn by a hash of the class alone: buckets of a family tend to have the same, and so the same links
-        buckets = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p")).where("n > 1")
+        known = paths.select("path", "cid") if families is None else paths.select("path", "cid").join(families, "cid", "left")
+        own = F.lit(None).cast("long") if families is None else F.coalesce("family", "cid")
+        buckets = known.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p"), (F.min(own) == F.max(own)).alias("one")).where("n > 1 and one is not true")
         members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
         members = materialize(members.select("path", "cid", "n", "pivot", "sketch"), "members")
-        leaves = members.where(F.col("n") <= LEAF).groupBy("path").agg(F.collect_list(F.struct("cid", "sketch")).alias("members"))
-        links.append(leaf_links(leaves))
-        large = members.where(F.col("n") > LEAF)
-        if large.isEmpty():
-            break
-        pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
-        compared_ = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "deep")
-        absorbed = compared_.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
-        links.append(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")))
-        unsettled = compared_.where(F.col("likeness") < SETTLED)
-        if unsettled.isEmpty():
-            break
-        depth += 1
-        deep.append(unsettled.select("cid", F.lit(depth).alias("depth")))
-        paths = materialize(next_paths(unsettled), "paths")
+        discard(paths)
+        links.append(materialize(leaf_links(members.where(F.col("n") <= LEAF)), "links"))
+        large, paths = members.where(F.col("n") > LEAF), None
+        if not large.isEmpty():
+            pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
+            likened = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "likened")
+            absorbed = likened.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
+            links.append(materialize(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct(), "links"))
+            unsettled = likened.where(F.col("likeness") < SETTLED)
+            if not unsettled.isEmpty():
+                depth += 1
+                deep.append(materialize(unsettled.select("cid", F.lit(depth).alias("depth")).distinct(), "depths"))
+                paths = materialize(next_paths(unsettled), "paths")
+            discard(likened)
+        discard(members)
     return links, deep
 
 
@@ -294,7 +314,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     row, col = np.repeat(np.arange(len(sets)), n)[keep], place[inverse[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
+    out, wide = np.zeros((len(sets), len(sets)), np.float32), 1024
     for at in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
         p, q = np.searchsorted(col, [at, at + wide])
         m = np.zeros((len(sets), wide), np.float32)
@@ -312,15 +332,20 @@ def compared(blocks: DataFrame, threshold: float) -> DataFrame:
         for group in by_group(batches, ["family", "i", "j"]):
             cid, copies = group.column("cid").to_numpy(), group.column("copies").to_numpy()
             sets = [np.frombuffer(x, _U) for x in group.column("shingles").to_pylist()]
-            n = np.array([len(s) for s in sets], np.float64)
-            both = _overlaps(sets).astype(np.float64)
-            near = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
-            np.fill_diagonal(near, False)
-            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-                side = group.column("side").to_numpy()
-                near &= side[:, None] != side[None, :]
+            n, side = np.array([len(s) for s in sets], np.float64), group.column("side").to_numpy()
+            both, near, links = _overlaps(sets), np.zeros((len(sets), len(sets)), bool), np.zeros(len(sets), np.int64)
+            del sets
+            across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+            for k in range(0, len(n), STRIP):
+                shared = both[k : k + STRIP].astype(np.float64)
+                strip = shared >= threshold * (n[k : k + STRIP, None] + n[None, :] - shared) - 1e-9
+                if across:
+                    strip &= side[k : k + STRIP, None] != side[None, :]
+                strip[np.arange(len(strip)), np.arange(k, k + len(strip))] = False
+                near[k : k + STRIP] = strip
+                links[k : k + STRIP] = strip @ copies
             many = group.column("blocks")[0].as_py() > 1
-            columns = [pa.array(cid), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(_lowest(near, cid)), pa.array([many] * len(cid))]
+            columns = [pa.array(cid), pa.array(links), pa.array(_lowest(near, cid)), pa.array([many] * len(cid))]
             yield pa.RecordBatch.from_arrays(columns, ["cid", "n_links", "low", "many"])
 
     return blocks.mapInArrow(run, "cid long, n_links long, low long, many boolean")

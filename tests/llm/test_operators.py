@@ -827,9 +827,9 @@ def test_further_runs_for_deep_buckets(spark, monkeypatch):
     passes = []
     inner = near_dup._links_of_runs
 
-    def counted(classes, sketch_of, most):
+    def counted(classes, sketch_of, most, families):
         passes.append(most)
-        return inner(classes, sketch_of, most)
+        return inner(classes, sketch_of, most, families)
 
     monkeypatch.setattr(near_dup, "_links_of_runs", counted)
     rows = {r.id: r for r in near_dup.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

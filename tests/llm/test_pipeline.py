@@ -1,6 +1,7 @@
 """The pipeline and the registered queries of the subpackage, on small tables and by brute force."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -10,9 +11,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from loomframe.llm import bpe, decontaminate, near_dup, queries, toxicity
+from loomframe.llm import bpe, decontaminate, near_dup, pii, queries, secrets, toxicity
 from loomframe.llm.common import scratch_path
 
+from .test_operators import battery_by_hand, brute_pii, brute_secrets
+
 
 @pytest.fixture(scope="module")
 def stages(spark, sf):
@@ -128,6 +131,62 @@ def test_token_query_as_the_library(spark, sf):
     assert sorted(map(tuple, queries.op1_byte_bpe(spark, sf).collect())) == sorted(want)
 
 
+def test_language_query(spark, sf):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op3_marginal_langid(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(lang)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.lang_pred, lang[r.doc_id]) for r in rows if r.held_out and lang[r.doc_id]]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_shard_query(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op4_best_fit_shards(spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows} == {k: (len(t.encode()) + 16, zlib.crc32(t.encode()), "bytes", None) for k, t in texts.items()}
+    of = {k: [r for r in rows if r.shard == k] for k in range(40)}
+    assert sum(map(len, of.values())) == len(rows) and all(sorted(r.slot for r in x) == list(range(len(x))) for x in of.values())
+    share, group = sum(r["size"] for r in rows) / 40, {}
+    for r in rows:
+        group.setdefault(texts[r.doc_id], []).append(r)
+    # whole groups only, but for those over an even share
+    assert all(len({r.shard for r in g}) == 1 for g in group.values() if sum(r["size"] for r in g) <= share)
+    whole = max(sum(r["size"] for r in g) for g in group.values())
+    loads = [sum(r["size"] for r in x) for x in of.values()]
+    assert max(loads) <= max(1.02 * share, whole)
+
+
+def test_pii_query(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op7_skip_chain_pii(spark, sf).collect():
+        base = brute_pii(texts[r.doc_id])
+        told = [f"{pii.KINDS[k]}:{a}:{z}" for k, a, z in sorted(base)]
+        assert [r[f"n_{kind}"] for kind in pii.KINDS] == [sum(k == i for k, *_ in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(told) <= set(spans) and spans == sorted(spans, key=lambda x: (pii.KINDS.index(x.split(":")[0]), int(x.split(":")[1])))
+
+
+def test_secret_query(spark, sf):
+    """Base spans by the patterns, and random tokens by the battery and Benjamini-Hochberg, in plain Python."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tokens = [(k, m.start(), m.end(), battery_by_hand(m[0])) for k, t in texts.items() for m in re.finditer(secrets.TOKEN, t)]
+    tokens = [(k, a, z, int(p * secrets.BINS_PER_DECADE)) for k, a, z, p in tokens if p is not None]
+    least, seen = 1 << 30, 0
+    for b in sorted({x[3] for x in tokens}, reverse=True):
+        seen += sum(x[3] == b for x in tokens)
+        if 10 ** (-b / secrets.BINS_PER_DECADE) <= 0.05 * seen / len(tokens):
+            least = b
+    near = [x for x in tokens if abs(x[3] - least) <= 3 and x[3] != least]
+    assert not near, "a token at the border, which rounding could decide"
+    for r in queries.op8_randomness_secrets(spark, sf).collect():
+        base = brute_secrets(texts[r.doc_id])
+        new = [(a, 3, z) for k, a, z, b in tokens if k == r.doc_id and b >= least and not any(x <= a and z <= y for x, _, y in base)]
+        name = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest() and r.spans == name([*base, *new])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

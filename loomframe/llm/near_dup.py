@@ -38,10 +38,10 @@ from .graph import components
 THRESHOLD = 0.8
 TOKENS = 64
 #: Probability that a pair at the threshold is found, and the splits that every path has.
-RECALL = 0.995
+RECALL = 0.999
 DEPTH = 2
 #: Classes of a bucket that are compared by brute force.
-LEAF = 128
+LEAF = 512
 #: Sketch tokens that a candidate pair has in common: the threshold's share less 3.5 standard deviations.
 CANDIDATE = 40
 #: Tokens in common with a pivot from which a class goes no deeper, and from which it joins the pivot's family.
@@ -164,20 +164,6 @@ def first_paths(classes: DataFrame, most: int) -> DataFrame:
     return classes.select("cid", "sketch", "first_run", "end_run").mapInArrow(run, "path long, cid long")
 
 
-def next_paths(rows: DataFrame) -> DataFrame:
-    """One split more: path, cid and sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                row, path = _choose(part.column("path").to_numpy().view(_U), _matrix(part.column("sketch")))
-                kept = part.select(["cid", "sketch"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *kept.columns], ["path", "cid", "sketch"])
-
-    return rows.select("path", "cid", "sketch").mapInArrow(run, "path long, cid long, sketch binary")
-
-
 def _lowest(similar: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id of each row's component under a symmetric relation on a few thousand rows, a strip at a time."""
     order = np.argsort(ids, kind="stable")
@@ -233,15 +219,26 @@ def _links_of(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _pivot_likeness(rows: DataFrame) -> DataFrame:
-    """path, cid, sketch, pivot and the number of equal tokens, of rows that also have the pivot's sketch."""
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets (path, cid, sketch, pivot and its sketch) with the number of tokens that a class shares with
+    the pivot, as likeness: one for each path that a class goes on by, and one without a path for a class that doesn't."""
     kinds = "path long, cid long, sketch binary, pivot long, likeness long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                like = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "cid", "sketch", "pivot")), pa.array(like)], ["path", "cid", "sketch", "pivot", "likeness"])
+            for k in range(0, batch.num_rows, 4000):
+                part = batch.slice(k, 4000)
+                sketch = _matrix(part.column("sketch"))
+                like = (sketch == _matrix(part.column("pivot_sketch"))).sum(1)
+                on = np.flatnonzero(like < SETTLED)
+                row, path = _choose(part.column("path").to_numpy()[on].view(_U), sketch[on])
+                ends = np.ones(len(like), bool)
+                ends[on[row]] = False
+                ends, row = np.flatnonzero(ends), on[row]
+                names, at = ["cid", "sketch", "pivot"], np.concatenate([row, ends])
+                paths = pa.array(np.concatenate([path.view(np.int64), np.zeros(len(ends), np.int64)]), mask=np.arange(len(at)) >= len(row))
+                kept = part.select(names).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([paths, *kept.columns, pa.array(like[at])], ["path", *names, "likeness"])
 
     return rows.mapInArrow(run, kinds)
 
@@ -252,14 +249,14 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     runs = runs_for(recall, DEPTH)
     now, most, links, families = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, [], None
     while True:
-        found, deep = _links_of_runs(now, sketch_of, most, families)
+        found, deep, tables = _links_of_runs(now, sketch_of, most, families)
         links += found
         if not deep:
             break
         # classes of buckets that were split deeper than theirs so far take part in the runs that this depth needs
         reached = reduce(DataFrame.union, deep).groupBy("cid").agg(F.max("depth").alias("reached"))
         deeper = materialize(reached.join(now, "cid").where("reached > depth"), "deeper")
-        discard(*deep)
+        discard(*tables)
         top = deeper.agg(F.max("reached")).first()[0]
         if top is None:
             break
@@ -271,11 +268,12 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     return reduce(DataFrame.union, links)
 
 
-def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(candidate links, classes and depths of buckets that were split) of some runs, a table for each level. Buckets of
-    one family alone are left out."""
-    paths, links, deep, depth = materialize(first_paths(classes, most), "paths"), [], [], DEPTH
-    while paths is not None:
+def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """(candidate links, a table for each level; classes and depths of buckets that were split; the tables that hold
+    these) of some runs. Buckets of one family alone are left out."""
+    paths, links, deep, tables, depth = materialize(first_paths(classes, most), "paths"), [], [], [], DEPTH
+    begin = paths
+    while True:
         # the pivot is drawn by a hash of the class alone: buckets of a family tend to have the same, and so the same links
         known = paths.select("path", "cid") if families is None else paths.select("path", "cid").join(families, "cid", "left")
         own = F.lit(None).cast("long") if families is None else F.coalesce("family", "cid")
@@ -284,22 +282,25 @@ def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
         members = materialize(members.select("path", "cid", "n", "pivot", "sketch"), "members")
-        discard(paths)
-        links.append(materialize(leaf_links(members.where(F.col("n") <= LEAF)), "links"))
-        large, paths = members.where(F.col("n") > LEAF), None
+        near, large = leaf_links(members.where(F.col("n") <= LEAF)), members.where(F.col("n") > LEAF)
+        split = None
         if not large.isEmpty():
             pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
-            likened = materialize(_pivot_likeness(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "likened")
-            absorbed = likened.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
-            links.append(materialize(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct(), "links"))
-            unsettled = likened.where(F.col("likeness") < SETTLED)
-            if not unsettled.isEmpty():
-                depth += 1
-                deep.append(materialize(unsettled.select("cid", F.lit(depth).alias("depth")).distinct(), "depths"))
-                paths = materialize(next_paths(unsettled), "paths")
-            discard(likened)
+            split = materialize(_split(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "split")
+            tables.append(split)
+            absorbed = split.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
+            near = near.union(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct())
+        links.append(materialize(near, "links"))
         discard(members)
-    return links, deep
+        if split is None:
+            break
+        depth += 1
+        deep.append(split.where(F.col("likeness") < SETTLED).select("cid", F.lit(depth).alias("depth")))
+        paths = split.where("path is not null").select("path", "cid", "sketch")
+        if paths.isEmpty():
+            break
+    discard(begin)
+    return links, deep, tables
 
 
 # --- exact comparison within families

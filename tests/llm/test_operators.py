@@ -827,7 +827,7 @@ def test_further_runs_for_deep_buckets(spark, monkeypatch):
     passes = []
     inner = near_dup._links_of_runs
 
-    def counted(classes, sketch_of, most, families):
+    def counted(classes, sketch_of, most, families=None):
         passes.append(most)
         return inner(classes, sketch_of, most, families)
 

@@ -264,10 +264,18 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
         now = deeper.select("cid", "sketch", F.col("end_run").alias("first_run"), needed[F.col("reached")].alias("end_run"), F.col("reached").alias("depth"))
         most = runs_for(recall, top)
         # a family is compared exactly later on, so further runs are for pairs of different ones
-        families = materialize(components(reduce(DataFrame.union, links)).select(F.col("node").alias("cid"), F.col("component").alias("family")), "families-so-far")
+        families = materialize(_families_so_far(reduce(DataFrame.union, links)), "families-so-far")
     return reduce(DataFrame.union, links)
 
 
+def _families_so_far(links: DataFrame) -> DataFrame:
+    """cid and family: the smallest class that one or two links lead to. Classes of one family are linked, if not all
+    linked classes are of one family; finding those takes the rounds that only the last links are worth."""
+    least = links.groupBy("a").agg(F.min("b").alias("b"))
+    further = least.select(F.col("a").alias("mid"), F.col("b").alias("end"))
+    return least.join(further, F.col("b") == F.col("mid"), "left").select(F.col("a").alias("cid"), F.coalesce("end", "b").alias("family"))
+
+
 def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """(candidate links, a table for each level; classes and depths of buckets that were split; the tables that hold
     these) of some runs. Buckets of one family alone are left out."""

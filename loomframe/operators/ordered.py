@@ -64,13 +64,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name:
     return out.withColumn(name, F.col("__place") - F.col("__first") + F.col("__before") + 1).drop("__place", "__part", "__first", "__before")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """The rows with running sums, own row included: name -> summed value. Null values count as nothing; a sum over nulls
-    alone is null."""
+def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], parts: int | None = None, own: bool = True) -> DataFrame:
+    """The rows with running sums: name -> summed value; own: whether a row's own value counts. Null values count as
+    nothing; a sum over nulls or no rows alone is null."""
     values = {f"__v{k}": v for k, v in enumerate(sums.values())}
     rows = placed(df.withColumns(values), keys, order, parts).withColumn("__part", _part())
     inside = Window.partitionBy("__part", *keys).orderBy("__place")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     edges = rows.groupBy("__part", *keys).agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
     before = Window.partitionBy(*keys) if keys else Window
     before = before.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,3 +112,17 @@ def framed(df: DataFrame, keys: list[str], order: list[str | Column], before: in
     window = Window.partitionBy("__part", *keys).orderBy("__at")
     out = both.withColumns({n: f(window) for n, f in over.items()})
     return out.where("__own").drop("__part", "__at", "__own")
+
+
+def rank_rows(df: DataFrame, by: list[str], descending: bool = False, rank: str | None = "rank", dense: str | None = None, parts: int | None = None) -> DataFrame:
+    """The rows with their rank or dense rank by columns, over all rows; nulls last. The different values are counted first
+    and numbered in range parts, so that ties stay together however many they are, and joined back to the rows."""
+    values = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    sort = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in by]
+    numbered = running(values, [], sort, {"__before": F.col("__n"), "__less": F.lit(1)}, parts, own=False)
+    first = lambda c: F.coalesce(F.col(c), F.lit(0)) + 1
+    found = numbered.select(*(F.col(c).alias(f"__o_{k}") for k, c in enumerate(by)), *(c.alias(n) for n, c in ((rank, first("__before")), (dense, first("__less"))) if n))
+    test = F.lit(True)
+    for k, c in enumerate(by):
+        test &= F.col(c).eqNullSafe(F.col(f"__o_{k}"))
+    return df.join(found, test).drop(*(f"__o_{k}" for k in range(len(by))))

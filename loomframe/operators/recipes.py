@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chartops import interact, t_bin, t_density, t_loess, t_regression
+from .ordered import framed, rank_rows, running
 from .shaping import group_agg, pivot, with_overall
 
 
@@ -24,8 +25,8 @@ def r_bar(df: DataFrame, cat: str, v: str, threshold: float | None = None, kind:
 
 
 def r_sorted_bar(df: DataFrame, cat: str, v: str, kind: str = "sum") -> DataFrame:
-    # one row for each bar is what is ordered here, never the data
-    return _by(df, [cat], v, kind).withColumn("order", F.dense_rank().over(Window.orderBy(F.desc("value"))))
+    """Bars with their place by descending value; equal ones share it."""
+    return rank_rows(_by(df, [cat], v, kind), ["value"], descending=True, rank=None, dense="order")
 
 
 def r_grouped_bar(df: DataFrame, c1: str, c2: str, v: str, kind: str = "sum") -> DataFrame:
@@ -62,12 +63,13 @@ def r_mean_line(df: DataFrame, x: str, v: str, kind: str = "sum") -> DataFrame:
 
 def r_rolling_mean_bar(df: DataFrame, t: str, v: str, n: int = 10, kind: str = "sum") -> DataFrame:
     """Mean of up to n periods; the first frames are partial. Periods are aggregated before they are ordered."""
-    return _by(df, [t], v, kind).withColumn("rolling", F.avg("value").over(Window.orderBy(t).rowsBetween(1 - n, 0)))
+    return framed(_by(df, [t], v, kind), [], [t], n - 1, 0, {"rolling": lambda w: F.avg("value").over(w.rowsBetween(1 - n, 0))})
 
 
 def r_negative_flag(df: DataFrame, t: str, v: str, kind: str = "sum") -> DataFrame:
-    change = F.col("value") - F.lag("value").over(Window.orderBy(t))
-    return _by(df, [t], v, kind).withColumn("change", change).withColumn("negative", F.col("change") < 0)
+    """Periods with their change from the period before, and whether it is negative."""
+    bars = framed(_by(df, [t], v, kind), [], [t], 1, 0, {"change": lambda w: F.col("value") - F.lag("value").over(w)})
+    return bars.withColumn("negative", F.col("change") < 0)
 
 
 def r_range_bar(df: DataFrame, cat: str, v: str) -> DataFrame:
@@ -80,7 +82,11 @@ def r_dual_axis(df: DataFrame, x: str, v1: str, v2: str, kinds: tuple[str, str]
 
 def r_top_k(df: DataFrame, cat: str, v: str, k: int, kind: str = "sum") -> DataFrame:
     """Categories of rank k or better; ties share a rank and stay together."""
-    return _by(df, [cat], v, kind).withColumn("rank", F.rank().over(Window.orderBy(F.desc("value")))).where(F.col("rank") <= k)
+    bars = _by(df, [cat], v, kind)
+    # the k largest values decide: a value's rank is its first place among them, and nulls come after all others
+    best = bars.select("value").orderBy(F.col("value").desc_nulls_last()).limit(k).agg(F.reverse(F.array_sort(F.collect_list("value"))).alias("__best"))
+    place = F.when(F.col("value").isNull(), F.size("__best") + 1).otherwise(F.array_position("__best", F.col("value")))
+    return bars.crossJoin(F.broadcast(best)).withColumn("rank", place.cast("int")).where(F.col("rank").between(1, k)).drop("__best")
 
 
 def r_residuals(df: DataFrame, v: str, keys: list[str]) -> DataFrame:
@@ -100,8 +106,10 @@ def r_gantt(df: DataFrame, task: str, ts: str) -> DataFrame:
 
 
 def r_waterfall(df: DataFrame, order: str, v: str, kind: str = "sum") -> DataFrame:
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return _by(df, [order], v, kind).withColumn("total", F.sum("value").over(w)).withColumn("previous", F.coalesce(F.lag("total").over(Window.orderBy(order)), F.lit(0.0)))
+    """Steps with the running total up to them and before them."""
+    steps = running(_by(df, [order], v, kind), [], [order], {"previous": F.col("value")}, own=False)
+    both = F.when(F.col("previous").isNotNull() | F.col("value").isNotNull(), F.coalesce("previous", F.lit(0)) + F.coalesce("value", F.lit(0)))
+    return steps.withColumns({"total": both, "previous": F.coalesce("previous", F.lit(0.0))}).select(order, "value", "total", "previous")
 
 
 def r_wilkinson(df: DataFrame, v: str, tie: str) -> DataFrame:
@@ -111,9 +119,8 @@ def r_wilkinson(df: DataFrame, v: str, tie: str) -> DataFrame:
 
 def r_cumulative(df: DataFrame, t: str, v: str, keys: list[str]) -> DataFrame:
     """Running sums and counts of periods, within groups."""
-    w = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
     periods = group_agg(df, [*keys, t], {"value": ("sum", v), "n": ("count", v)})
-    return periods.withColumns({"running_sum": F.sum("value").over(w), "running_count": F.sum("n").over(w)})
+    return running(periods, keys, [t], {"running_sum": F.col("value"), "running_count": F.col("n")})
 
 
 def r_multi_line(df: DataFrame, ts: str, unit: str, series: str, v: str, kind: str = "avg") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import number_rows
+
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns under new names, in the order given: {name: column or expression}."""
@@ -146,7 +148,7 @@ def map_values(df: DataFrame, column: str, mapping: dict, name: str | None = Non
 def order_categories_by_stat(df: DataFrame, category: str, value: str, name: str = "category_order") -> DataFrame:
     """The place of each row's category by ascending mean; ties by category. Means are ranked once, then joined back."""
     means = df.groupBy(category).agg(F.avg(value).alias("__mean"))
-    ranked = means.withColumn(name, F.row_number().over(Window.orderBy(F.col("__mean").asc_nulls_last(), category))).drop("__mean")
+    ranked = number_rows(means, [], [F.col("__mean").asc_nulls_last(), category], name).drop("__mean")
     return df.join(ranked.withColumnRenamed(category, "__c"), F.col(category).eqNullSafe(F.col("__c"))).drop("__c")
 
 

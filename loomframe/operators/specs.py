@@ -24,31 +24,38 @@ def json_path(spec: Column, path: str) -> Column:
 
 
 def flatten_spec(specs: DataFrame, key: str, spec: str, depth: int = DEPTH) -> DataFrame:
-    """key, path, value (JSON text), kind and length of every node below the root, a level at a time, however deep.
+    """key, path, value (JSON text, or a text as it is), kind and length of every node below the root, however deep.
 
-    After each depth levels, what is left to open is written below the checkpoint folder, and the next go on from there."""
-    level = specs.select(key, F.lit("").alias("path"), F.col(spec).alias("value"))
-    found, done = None, 0
+    A specification is parsed once, as a variant; opening a node gives its children as variants, with no text in between. Each
+    step opens the nodes that the step before found and passes all others on, so that depth steps are one pass over the rows.
+    Then they are written, and those that are still to be opened go through further steps.
+    Cases: a text that isn't JSON, or has an object with a key twice, has no nodes. A null value is a scalar of no length."""
+    rows, found = specs.select(key, F.lit("").alias("path"), F.try_parse_json(spec).alias("node"), F.lit(0).alias("level"), F.lit(True).alias("open")), None
     while True:
-        if done and done % depth == 0:
-            level = _written(level)
-            if level.isEmpty():
-                break
-        done += 1
-        head = F.substring(F.ltrim("value"), 1, 1)
-        as_map = F.from_json(F.when(head == "{", F.col("value")), "map<string,string>")
-        as_list = F.from_json(F.when(head == "[", F.col("value")), "array<string>")
-        entries = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-        items = F.transform(as_list, lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v")))
-        children = level.select(key, "path", F.explode(F.coalesce(entries, items)).alias("e")).select(
-            key, F.when(F.col("path") == "", F.col("e.k")).otherwise(F.concat("path", F.lit("."), F.col("e.k"))).alias("path"), F.col("e.v").alias("value")
-        )
-        found = children if found is None else found.union(children)
-        level = children.where(F.substring(F.ltrim("value"), 1, 1).isin("{", "["))
-    head = F.substring(F.ltrim("value"), 1, 1)
-    kind = F.when(head == "{", "object").when(head == "[", "array").otherwise("scalar")
-    size = F.when(head == "[", F.json_array_length("value")).otherwise(F.length("value"))
-    return found.select(key, "path", "value", kind.alias("kind"), size.cast("long").alias("length"))
+        for _ in range(depth):
+            rows = _opened(rows, key)
+        rows = _written(rows)
+        done = rows.where("not open and level > 0")
+        found = done if found is None else found.union(done)
+        rows = rows.where("open")
+        if rows.isEmpty():
+            break
+    text, items = F.try_variant_get("node", "$", "string"), F.try_variant_get("node", "$", "array<variant>")
+    kind = F.when(items.isNotNull(), "array").when(F.try_variant_get("node", "$", "map<string,variant>").isNotNull(), "object").otherwise("scalar")
+    return found.select(key, "path", text.alias("value"), kind.alias("kind"), F.coalesce(F.size(F.when(items.isNotNull(), items)), F.length(text)).cast("long").alias("length"))
+
+
+def _opened(rows: DataFrame, key: str) -> DataFrame:
+    """The rows, and in place of each open one itself, closed, and its children."""
+    as_map, as_list = F.try_variant_get("node", "$", "map<string,variant>"), F.try_variant_get("node", "$", "array<variant>")
+    entries = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    items = F.transform(as_list, lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v")))
+    inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit(False))
+    below = lambda k: F.when(F.col("level") == 0, k).otherwise(F.concat("path", F.lit("."), k))
+    child = lambda c: F.struct(below(c["k"]).alias("path"), c["v"].alias("node"), (F.col("level") + 1).alias("level"), inside(c["v"]).alias("open"))
+    own = F.array(F.struct("path", "node", "level", F.lit(False).alias("open")))
+    all_ = F.when(F.col("open"), F.concat(own, F.coalesce(F.transform(F.coalesce(entries, items), child), F.slice(own, F.lit(1), F.lit(0))))).otherwise(own)
+    return rows.select(key, F.explode(all_).alias("n")).select(key, "n.path", "n.node", "n.level", "n.open")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -57,51 +64,65 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _same(a: Column, b: Column) -> Column:
-    """Equal as JSON values: as numbers where both are, else as text without quotes."""
-    x, y = (F.regexp_replace(c, '^"(.*)"$', "$1") for c in (a, b))
-    return F.coalesce(x.try_cast("double") == y.try_cast("double"), x == y)
+def _variant_path(path: Column) -> Column:
+    """A dotted path as a variant's path: a number is an index, a star the first element; null if it can't be written."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"\]?\[", "."), r"\]", ""), r"\.")
+    quoted = lambda p: F.when(p.rlike(r"^[^'?]+$"), F.concat(F.lit("['"), p, F.lit("']"))).when(p.rlike(r'^[^"?]+$'), F.concat(F.lit('["'), p, F.lit('"]')))
+    steps = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("["), p, F.lit("]"))).when(p == "*", F.lit("[0]")).otherwise(quoted(p)))
+    return F.when(~F.exists(steps, lambda s: s.isNull()), F.concat(F.lit("$"), F.array_join(steps, "")))
+
 
+def _kind(v: Column) -> Column:
+    """NUMBER (booleans too), STRING, ARRAY, OBJECT, or NULL for a null or missing value."""
+    name = F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), "^[A-Z]+", 0)
+    return F.when(name == "VOID", "NULL").when(name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"), "NUMBER").otherwise(name)
 
-def _at(spec: Column, path: Column) -> Column:
-    """The JSON text at a dotted path that is a column: get_json_object with a path made of it, a row at a time."""
-    steps = F.transform(F.split(F.regexp_replace(F.regexp_replace(path, r"\[", "."), r"\]", ""), r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("["), p, F.lit("]"))).when(p == "*", F.lit("[0]")).otherwise(F.concat(F.lit("['"), p, F.lit("']"))))
-    return F.call_function("get_json_object", spec, F.concat(F.lit("$"), F.array_join(steps, "")))
 
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two variants are equal by type and value: numbers as numbers, texts as texts, and arrays and objects as their
+    JSON with sorted keys. A missing value equals a null one; true is 1 and false is 0."""
+    exact = F.try_variant_get(a, "$", "decimal(38,18)") == F.try_variant_get(b, "$", "decimal(38,18)")
+    number = F.coalesce(exact, F.try_variant_get(a, "$", "double") == F.try_variant_get(b, "$", "double"), F.lit(False))
+    return (_kind(a) == _kind(b)) & F.when(_kind(a) == "NULL", True).when(_kind(a) == "NUMBER", number).otherwise(F.to_json(a) == F.to_json(b))
 
-def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, lenient: bool = False) -> DataFrame:
+
+def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, lenient: bool = False, texts: bool = False) -> DataFrame:
     """features (key, path, op, value as JSON text) with satisfied.
 
-    exists: a value that isn't null; eq; in: one of a list; contains, len_ge, len_le: of arrays and strings only.
-    lenient: a missing path fails exists and passes any other op, as an unknown op does. Each feature meets its
-    specification by the key, and its value is read there by its path, at any depth.
-    """
-    joined = features.join(specs.select(F.col(key).alias("__key"), F.col(spec).alias("__spec")), F.col(key) == F.col("__key"), "left")
-    found = _at(F.col("__spec"), F.col("path"))
-    joined = joined.select(*[features[c] for c in features.columns if c != "value"], features["value"].alias("__want"), found.alias("__flat"))
-    # an array or object is told from a text that looks like one by its first character and whether it parses
-    head = F.substring(F.ltrim(F.col("__flat")), 1, 1)
-    kind = F.when((head == "{") & F.try_parse_json("__flat").isNotNull(), "object").when((head == "[") & F.try_parse_json("__flat").isNotNull(), "array").otherwise("scalar")
-    joined = joined.withColumn("__kind", kind).withColumn("__length", F.when(F.col("__kind") == "array", F.json_array_length("__flat")).otherwise(F.length("__flat")))
-    v, want, op = F.col("__flat"), F.col("__want"), F.col("op")
-    present = v.isNotNull() & (v != "null")
-    options = F.from_json(want, "array<string>")
-    sized = F.col("__kind").isin("array", "scalar") & v.try_cast("double").isNull()
-    holds = F.when(F.col("__kind") == "array", F.array_contains(F.from_json(v, "array<string>"), F.regexp_replace(want, '^"(.*)"$', "$1"))).when(sized, v.contains(F.regexp_replace(want, '^"(.*)"$', "$1")))
-    n = want.try_cast("long")
+    exists: a value that isn't null; eq; in: one of a list, or part of a text; contains: an element of an array, part of a
+    text; len_ge, len_le: of arrays and texts only. Values are compared by type: the text "5" isn't the number 5, and "2024"
+    has four characters. lenient: a missing path fails exists and passes any other op, as an unknown op does.
+    texts: values are plain texts, as spec_features gives them, and only arrays and objects are read as JSON.
+
+    Each specification is parsed once, as a variant; a feature meets it by the key and reads its value by its path, at any
+    depth. Cases: a specification that is missing or isn't JSON has no values; a value that isn't JSON is a text."""
+    docs = specs.select(F.col(key).alias("__key"), F.try_parse_json(spec).alias("__doc"))
+    joined = features.join(docs, F.col(key) == F.col("__key"), "left")
+    text = F.col("value")
+    parsed = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text) if texts else text)
+    plain = F.try_parse_json(F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")))
+    joined = joined.withColumns({"__at": F.try_variant_get("__doc", _variant_path(F.col("path")), "variant"), "__want": F.coalesce(parsed, plain)})
+    v, want, op = F.col("__at"), F.col("__want"), F.col("op")
+    joined = joined.withColumns({"__kind": _kind(v), "__wanted": _kind(want)})
+    kind, wanted = F.col("__kind"), F.col("__wanted")
+    present, own, other = kind != "NULL", F.try_variant_get(v, "$", "string"), F.try_variant_get(want, "$", "string")
+    both_texts = (kind == "STRING") & (wanted == "STRING")
+    items = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    size = F.when(kind == "ARRAY", F.size(items(v))).when(kind == "STRING", F.length(own)).cast("double")
+    n = F.when(wanted == "NUMBER", F.try_variant_get(want, "$", "double")) if not texts else text.try_cast("double")
     strict = (
         F.when(op == "exists", present)
-        .when(op == "eq", present & _same(v, want))
-        .when(op == "in", present & F.exists(F.coalesce(options, F.array().cast("array<string>")), lambda o: _same(v, o)))
-        .when(op == "contains", holds)
-        .when(op == "len_ge", F.when(sized, F.col("__length") >= n))
-        .when(op == "len_le", F.when(sized, F.col("__length") <= n))
+        .when(op == "eq", same_value(v, want))
+        .when(op == "in", F.when(wanted == "ARRAY", F.exists(items(want), lambda o: same_value(v, o))).otherwise(both_texts & other.contains(own)))
+        .when(op == "contains", F.when(kind == "ARRAY", F.exists(items(v), lambda o: same_value(o, want))).otherwise(both_texts & own.contains(other)))
+        .when(op == "len_ge", size >= n)
+        .when(op == "len_le", size <= n)
         .otherwise(F.lit(lenient))
     )
     answer = F.coalesce(strict, F.lit(False))
     if lenient:
-        answer = F.when(~F.coalesce(present, F.lit(False)), op != "exists").otherwise(answer)
-    return joined.select(*[c for c in features.columns if c != "value"], want.alias("value"), answer.alias("satisfied"))
+        answer = F.when(~present, op != "exists").otherwise(answer)
+    return joined.select(*[features[c] for c in features.columns if c != "value"], features["value"], answer.alias("satisfied"))
 
 
 def _feature(path, op: str, value=None) -> Column:
@@ -194,7 +215,7 @@ def data_requirements(df: DataFrame, category: str) -> DataFrame:
 def contract_violations(specs: DataFrame, contracts: DataFrame, key: str, chart_type: str, spec: str) -> DataFrame:
     """Demands of a specification's chart type that it doesn't meet."""
     demanded = specs.select(key, F.col(chart_type).alias("chart_type")).join(contracts, "chart_type").select(key, "path", "op", "value")
-    return check_features(specs, demanded, key, spec).where("not satisfied").drop("satisfied")
+    return check_features(specs, demanded, key, spec, texts=True).where("not satisfied").drop("satisfied")
 
 
 def missing_features(specs: DataFrame, features: DataFrame, key: str, spec: str) -> DataFrame:

@@ -98,11 +98,42 @@ def spec_contracts(spark, d):
     return specs.build_contracts(fx(spark, d, "specs"), "chart_type", "spec")
 
 
-@query("spec_contract_violations", "specs", f"WITH c AS ({_features_sql(True)}), w AS (SELECT DISTINCT chart_type, path, op, value FROM c WHERE path = 'encoding.color.field' OR path LIKE 'encoding.y.%') SELECT spec_id, path, op, value FROM fx JOIN w USING (chart_type) WHERE NOT EXISTS (FROM c WHERE c.spec_id = fx.spec_id AND c.path = w.path)")
+@query("spec_contract_violations", "specs", f"""WITH w AS (SELECT DISTINCT chart_type, path, op, value FROM ({_features_sql(True)})) SELECT spec_id, path, op, value FROM (SELECT spec_id, w.*, json_extract(spec, concat('$.', path)) AS found FROM fx JOIN w USING (chart_type))
+WHERE NOT coalesce(CASE op WHEN 'exists' THEN json_type(found) <> 'NULL' WHEN 'eq' THEN json_type(found) = 'VARCHAR' AND found ->> '$' = value WHEN 'len_ge' THEN json_array_length(found) >= value::INT END, false)""")
 def spec_contract_violations(spark, d):
     all_ = fx(spark, d, "specs")
-    demanded = specs.build_contracts(all_, "chart_type", "spec").where("path = 'encoding.color.field' or path like 'encoding.y.%'")
-    return specs.contract_violations(all_, demanded, "spec_id", "chart_type", "spec").select("spec_id", "path", "op", "value")
+    return specs.contract_violations(all_, specs.build_contracts(all_, "chart_type", "spec"), "spec_id", "chart_type", "spec").select("spec_id", "path", "op", "value")
+
+
+# paths of derived documents with numbers and texts of digits; whether the demand holds, in SQL
+_TYPED = [
+    ("a", "eq", "5", "p_size = 5"), ("a", "eq", '"5"', "false"), ("b", "eq", '"5"', "p_size = 5"), ("b", "eq", "5", "false"), ("b", "len_ge", "2", "p_size >= 10"), ("a", "len_ge", "1", "false"), ("b", "len_le", "1", "p_size < 10"),
+    ("c", "contains", "7", "p_size = 7"), ("c", "contains", '"7"', "false"), ("c", "contains", '"1"', "true"), ("c", "len_ge", "4", "false"), ("b", "contains", '"1"', "contains(p_size::VARCHAR, '1')"), ("b", "in", '["5",6]', "p_size = 5"),
+    ("a", "in", '["5",6]', "p_size = 6"), ("f", "eq", "2", "true"), ("d.e", "eq", '{"y":2,"x":[1]}', "p_size % 2 = 0"), ("c[1]", "eq", '"1"', "true"), ("d['e'].x[0]", "exists", None, "false"), ("d.e.x[0]", "eq", "1", "true"), ("n", "exists", None, "false"),
+]
+_LENIENT = [("zz.y", "exists", None, "false"), ("zz.y", "eq", "1", "true"), ("n", "len_ge", "3", "true"), ("a", "unheard of", "1", "true"), ("a", "eq", '"5"', "false")]
+
+
+def _typed_sql(rows: list) -> str:
+    return " UNION ALL ".join(f"SELECT p_partkey, {k} AS k, {holds} AS satisfied FROM part" for k, (_, _, _, holds) in enumerate(rows))
+
+
+def _typed_checks(spark, d, rows: list, **how):
+    n = F.col("p_size").cast("string")
+    doc = F.concat(F.lit('{"a":'), n, F.lit(',"b":"'), n, F.lit('","c":[1,"1",'), n, F.lit('],"d":{"e":{"x":[1],"y":'), F.when(F.col("p_size") % 2 == 0, "2.0").otherwise("3"), F.lit('}},"f":2.0,"n":null}'))
+    docs = src.read_table(spark, d, "part").select("p_partkey", doc.alias("doc"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("path"), F.lit(o).alias("op"), F.lit(v).cast("string").alias("value")) for k, (p, o, v, _) in enumerate(rows)))
+    return specs.check_features(docs, docs.select("p_partkey", F.inline(wanted)), "p_partkey", "doc", **how).select("p_partkey", "k", "satisfied")
+
+
+@query("spec_typed_features", sql=_typed_sql(_TYPED))
+def spec_typed_features(spark, d):
+    return _typed_checks(spark, d, _TYPED)
+
+
+@query("spec_lenient_features", sql=_typed_sql(_LENIENT))
+def spec_lenient_features(spark, d):
+    return _typed_checks(spark, d, _LENIENT, lenient=True)
 
 
 @query("spec_feature_violations", "specs", f"SELECT spec_id, count(path) = 0 AS ok, coalesce(string_agg(path, ',' ORDER BY path), '') AS missing FROM fx LEFT JOIN (SELECT spec_id, path FROM ({_CHECKS}) WHERE NOT satisfied) USING (spec_id) GROUP BY 1")

@@ -6,36 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.scratch import shared_dir
+from .trees import intervals, kept, leaf_paths, nearest_marked, subtree_sums
 
 KEY = ["sample_id"]
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """sample_id, node_id, ancestor_id and distance of every node and each of its ancestors, itself included.
-
-    Doubling: each round joins what is known to itself, so that a tree of depth d takes log2(d) rounds; a round is cut
-    off by a checkpoint. Nodes whose parent is missing end there."""
-    shared_dir(nodes.sparkSession)
-    links = nodes.where("parent_id is not null").select(*KEY, "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
-    parents = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"))
-    known = links.join(parents, [*KEY, "ancestor_id"], "left_semi").select(*KEY, "node_id", "ancestor_id", "distance").checkpoint()
-    reach = 1
-    while True:
-        step = known.where(F.col("distance") == reach)
-        if step.isEmpty():
-            break
-        a = step.select(*KEY, "node_id", F.col("ancestor_id").alias("mid"), F.col("distance").alias("d1"))
-        b = known.select(*KEY, F.col("node_id").alias("mid"), "ancestor_id", F.col("distance").alias("d2"))
-        more = a.join(b, [*KEY, "mid"]).select(*KEY, "node_id", "ancestor_id", (F.col("d1") + F.col("d2")).alias("distance"))
-        known = known.union(more).checkpoint()
-        reach *= 2
-    return known.union(nodes.select(*KEY, "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")))
-
-
-def trace_depth(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    found = ancestors(nodes) if found is None else found
-    return found.groupBy(*KEY, "node_id").agg(F.max("distance").alias("depth"))
+def trace_depth(nodes: DataFrame) -> DataFrame:
+    return intervals(nodes, KEY).select(*KEY, "node_id", "depth")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -55,30 +32,24 @@ def shown_text(text: Column) -> Column:
     return F.concat(F.substring(some, 1, SHOWN_CHARS), F.when(cut, "...").otherwise(""))
 
 
-def trace_paths(nodes: DataFrame, found: DataFrame | None = None, text: str | None = None) -> DataFrame:
+def trace_paths(nodes: DataFrame, text: str | None = None) -> DataFrame:
     """The actions from the root to each leaf, and, if a column of texts is named, what they say."""
-    found = ancestors(nodes) if found is None else found
+    spans = kept(intervals(nodes, KEY))
     shown = F.lit("") if text is None else shown_text(F.col(text))
-    names = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), "action_name", shown.alias("shown"))
-    rows = leaves(nodes).select(*KEY, "node_id").join(found, [*KEY, "node_id"]).join(names, [*KEY, "ancestor_id"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "action_name", "shown")))
-    out = rows.groupBy(*KEY, "node_id").agg(ordered.alias("steps"))
-    path = F.array_join(F.transform("steps", lambda x: x["action_name"]), " > ").alias("path")
-    texts = F.array_join(F.transform("steps", lambda x: F.concat(x["action_name"], F.lit(": "), x["shown"])), "\n").alias("texts")
-    return out.select(*KEY, "node_id", path, *([] if text is None else [texts]))
+    names = nodes.select(*KEY, "node_id", "action_name", shown.alias("shown"))
+    steps = leaf_paths(spans.join(names, [*KEY, "node_id"]).withColumn("named", F.struct("node_id", "action_name", "shown")), KEY, "named")
+    out = steps.groupBy(*KEY, "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "named"))).alias("steps"))
+    path = F.array_join(F.transform("steps", lambda x: x["named"]["action_name"]), " > ").alias("path")
+    texts = F.array_join(F.transform("steps", lambda x: F.concat(x["named"]["action_name"], F.lit(": "), x["named"]["shown"])), "\n").alias("texts")
+    return out.select(*KEY, F.element_at("steps", -1)["named"]["node_id"].alias("node_id"), path, *([] if text is None else [texts]))
 
 
-def trace_tree(nodes: DataFrame, text: str, found: DataFrame | None = None) -> DataFrame:
+def trace_tree(nodes: DataFrame, text: str) -> DataFrame:
     """A line for each node of a tree in the order of a walk from the root, children by their number: line (from 0) and
     what it shows, indented by depth."""
-    found = ancestors(nodes) if found is None else found
-    way = found.groupBy(*KEY, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "ancestor_id"))), lambda x: x["ancestor_id"]).alias("way"))
-    depth = F.size("way") - 1
-    line = F.concat(F.repeat(F.lit("  "), depth), F.lit("["), F.col("node_id").cast("string"), F.lit("] "), F.col("action_name"), F.lit(": "), shown_text(F.col(text)))
-    rows = nodes.join(way, [*KEY, "node_id"])
-    # one tree's nodes are put in order together
-    k = F.row_number().over(Window.partitionBy(*KEY).orderBy("way")) - 1
-    return rows.select(*KEY, "node_id", k.alias("line"), line.alias("shown"))
+    spans = intervals(nodes, KEY).select(*KEY, "node_id", "depth", F.col("enter").cast("int").alias("line"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("["), F.col("node_id").cast("string"), F.lit("] "), F.col("action_name"), F.lit(": "), shown_text(F.col(text)))
+    return nodes.join(spans, [*KEY, "node_id"]).select(*KEY, "node_id", "line", line.alias("shown"))
 
 
 def normalize_reward(data: Column, vis: Column, intent: Column, score: Column) -> dict[str, Column]:
@@ -89,14 +60,13 @@ def normalize_reward(data: Column, vis: Column, intent: Column, score: Column) -
     return {k: F.when(score > 0, F.greatest(F.least(p * score / mean / 10, F.lit(1.0)), F.lit(0.0))).otherwise(0.0) for k, p in parts.items()}
 
 
-def propagate_rewards(nodes: DataFrame, rewards: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """visits and total of every node: each rewarded leaf visits all its ancestors, and adds the part that the
-    ancestor's action earns: SQL the data part, charts the vis part, questions the intent part, others nothing."""
-    found = ancestors(nodes) if found is None else found
-    names = nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), "action_name")
-    rows = rewards.join(found, [*KEY, "node_id"]).join(names, [*KEY, "ancestor_id"])
+def propagate_rewards(nodes: DataFrame, rewards: DataFrame) -> DataFrame:
+    """visits and total of every node that a rewarded node is below: each of these visits all its ancestors and adds the part
+    that the ancestor's action earns: SQL the data part, charts the vis part, questions the intent part, others nothing."""
+    parts = ["data", "vis", "intent"]
+    sums = subtree_sums(kept(intervals(nodes, KEY)), KEY, rewards.select(*KEY, "node_id", *parts), parts).where("n_rows > 0")
     part = F.when(F.col("action_name") == "execute_sql", F.col("data")).when(F.col("action_name") == "execute_altair", F.col("vis")).when(F.col("action_name") == "ask_user_text", F.col("intent")).otherwise(0.0)
-    return rows.groupBy(*KEY, F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("visits"), F.sum(part).alias("total"))
+    return sums.join(nodes.select(*KEY, "node_id", "action_name"), [*KEY, "node_id"]).select(*KEY, "node_id", F.col("n_rows").alias("visits"), part.alias("total"))
 
 
 def exploration_score(nodes: DataFrame, c: float = 1.4, alpha: float = 0.5, cap: int = 3) -> DataFrame:
@@ -110,16 +80,25 @@ def exploration_score(nodes: DataFrame, c: float = 1.4, alpha: float = 0.5, cap:
 
 
 def best_leaf(nodes: DataFrame) -> DataFrame:
-    """The leaf with the best user score, of equals the latest; without a score the last one."""
-    order = Window.partitionBy(*KEY).orderBy(F.col("user_score").isNull(), F.desc("user_score"), F.desc("node_id"))
-    return leaves(nodes).withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+    """The terminal node with the best user score, of equals that of the latest rollout; without any score the last terminal
+    node in the order of the walk that has code and is ok. A tree with neither has none.
 
+    Takes is_terminal, user_score, rollout_id, code and internal_status. Of equals in rollout, too, the first in the walk."""
+    ended = nodes.where(F.coalesce("is_terminal", F.lit(False)))
+    code = (F.coalesce(F.length("code"), F.lit(0)) > 0) & (F.col("internal_status") == "ok")
+    placed = ended.join(intervals(nodes, KEY).select(*KEY, "node_id", "enter"), [*KEY, "node_id"])
+    scored = F.when(F.col("user_score").isNotNull(), F.struct("user_score", "rollout_id", -F.col("enter"), "node_id"))
+    usable = F.when(code, F.struct("enter", "node_id"))
+    best = placed.groupBy(*KEY).agg(F.max(scored).alias("scored"), F.max(usable).alias("usable"))
+    chosen = best.select(*KEY, F.coalesce("scored.node_id", "usable.node_id").alias("node_id")).where("node_id is not null")
+    return nodes.join(chosen, [*KEY, "node_id"], "left_semi")
 
-def last_valid_code(nodes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+
+def last_valid_code(nodes: DataFrame) -> DataFrame:
     """The code of the nearest node on the way to the root that has some and is ok."""
-    found = ancestors(nodes) if found is None else found
-    good = nodes.where("code is not null and internal_status = 'ok'").select(*KEY, F.col("node_id").alias("ancestor_id"), "code")
-    return found.join(good, [*KEY, "ancestor_id"]).groupBy(*KEY, "node_id").agg(F.min_by("code", "distance").alias("code"))
+    good = nodes.withColumn("good", F.col("code").isNotNull() & (F.col("internal_status") == "ok"))
+    found = nearest_marked(good, KEY, "good")
+    return found.join(nodes.select(*KEY, F.col("node_id").alias("nearest"), "code"), [*KEY, "nearest"]).select(*KEY, "node_id", "code")
 
 
 def duplicate_actions(nodes: DataFrame) -> DataFrame:
@@ -141,9 +120,20 @@ def action_transitions(nodes: DataFrame) -> DataFrame:
 
 
 def token_usage(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("text_questions_asked").alias("questions"), F.percentile("prompt_tokens", 0.5).alias("median_tokens"), F.count(F.lit(1)).alias("runs"))
-
-
-def status_of(observation: Column) -> Column:
+    """Tokens and questions over all runs. A run that lacks its total has the sum of its prompt and completion tokens."""
+    own = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in runs.columns else F.lit(0)
+    total = F.coalesce(F.col("total_tokens"), own("prompt_tokens") + own("completion_tokens")) if "total_tokens" in runs.columns else own("prompt_tokens") + own("completion_tokens")
+    return runs.agg(
+        F.sum(own("prompt_tokens")).alias("prompt_tokens"), F.sum(own("completion_tokens")).alias("completion_tokens"), F.sum(total).alias("total_tokens"), F.percentile("prompt_tokens", 0.5).alias("median_tokens"),
+        F.sum(own("text_questions_asked")).alias("questions"), F.sum(own("vis_questions_asked")).alias("vis_questions"), F.count(F.lit(1)).alias("runs"),
+    )
+
+
+def status_of(action: Column, observation: Column, raised: Column | None = None) -> Column:
+    """How an action went. SQL is empty by how its observation begins, a chart fails by a word in it, and other actions are
+    ok whatever they say; one that raised an error is a code error."""
     o = F.coalesce(observation, F.lit(""))
-    return F.when(o.startswith("SQL ERROR") | o.startswith("Query returned 0 rows"), "sql_empty").when(o.contains("FAILED") | o.contains("ERROR"), "render_fail").otherwise("ok")
+    empty = o.startswith("SQL ERROR") | o.startswith("Query returned 0 rows")
+    failed = o.contains("FAILED") | o.contains("ERROR")
+    status = F.when((action == "execute_sql") & empty, "sql_empty").when((action == "execute_altair") & failed, "render_fail").otherwise("ok")
+    return status if raised is None else F.when(F.coalesce(raised, F.lit(False)), "code_error").otherwise(status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import ambiguity, balance, candidates, collection, evaluation, quality, specs, traces
+from ..operators import ambiguity, balance, candidates, collection, evaluation, quality, specs, traces, trees
 from ..sources import tables as src
 from .fixtures import fx, with_fx
 
@@ -631,9 +631,12 @@ def eval_runs(spark, d):
     return rounded(rounded(evaluation.run_summary(fx(spark, d, "runs")), 10, "renderable_rate"), 8, "mean_score")
 
 
-@query("eval_tokens", "runs", "SELECT sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(text_questions_asked)::BIGINT AS questions, quantile_cont(prompt_tokens, 0.5) AS median_tokens, count(*) AS runs FROM fx")
+@query("eval_tokens", "runs", """SELECT sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(coalesce(c, 0))::BIGINT AS completion_tokens, sum(CASE WHEN sample_id % 3 = 0 THEN prompt_tokens + coalesce(c, 0) ELSE prompt_tokens * 2 END)::BIGINT AS total_tokens,
+quantile_cont(prompt_tokens, 0.5) AS median_tokens, sum(text_questions_asked)::BIGINT AS questions, sum(best_score % 3)::BIGINT AS vis_questions, count(*) AS runs FROM (SELECT *, CASE WHEN sample_id % 7 > 0 THEN sample_id % 77 END AS c FROM fx)""")
 def eval_tokens(spark, d):
-    return traces.token_usage(fx(spark, d, "runs"))
+    sample = F.col("sample_id")
+    more = {"completion_tokens": F.when(sample % 7 > 0, sample % 77), "total_tokens": F.when(sample % 3 > 0, F.col("prompt_tokens") * 2), "vis_questions_asked": F.col("best_score") % 3}
+    return traces.token_usage(fx(spark, d, "runs").withColumns(more))
 
 
 # --- traces
@@ -644,23 +647,25 @@ def trace_depth(spark, d):
     return traces.trace_depth(fx(spark, d, "trace"))
 
 
+_FX = with_fx("trace", "SELECT * FROM fx").removeprefix("WITH fx AS (").removesuffix(") SELECT * FROM fx")
+_LEAF = "(sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL)"
 
 
-@query("trace_rewards", sql="WITH RECURSIVE fx AS (" + with_fx("trace", "SELECT * FROM fx").removeprefix("WITH fx AS (").removesuffix(") SELECT * FROM fx") + """), anc AS (SELECT sample_id, node_id, node_id AS up, parent_id AS nxt, user_score FROM fx WHERE (sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL)
-UNION ALL SELECT a.sample_id, a.node_id, f.node_id, f.parent_id, a.user_score FROM anc a JOIN fx f ON a.sample_id = f.sample_id AND a.nxt = f.node_id)
-SELECT a.sample_id, a.up AS node_id, count(*) AS visits, round(sum(CASE f.action_name WHEN 'execute_sql' THEN a.user_score * 0.1 WHEN 'execute_altair' THEN a.user_score * 0.1 WHEN 'ask_user_text' THEN a.user_score * 0.1 ELSE 0 END)::DOUBLE, 6) AS total
+@query("trace_rewards", sql=f"""WITH RECURSIVE fx AS ({_FX}), parts AS (SELECT *, greatest(least(node_id % 12, 10), 1)::DOUBLE AS d, greatest(least(length(observation) % 11, 10), 1)::DOUBLE AS v, greatest(least((node_id + 3) % 10, 10), 1)::DOUBLE AS i, (user_score % 8)::DOUBLE AS score FROM fx WHERE {_LEAF}),
+earned AS (SELECT *, CASE WHEN score > 0 THEN score / (d * {fixed.REWARD_WEIGHTS['data']} + v * {fixed.REWARD_WEIGHTS['vis']} + i * {fixed.REWARD_WEIGHTS['intent']}) / 10 ELSE 0 END AS k FROM parts),
+anc AS (SELECT sample_id, node_id, node_id AS up, parent_id AS nxt, least(d * k, 1) AS d, least(v * k, 1) AS v, least(i * k, 1) AS i FROM earned
+UNION ALL SELECT a.sample_id, a.node_id, f.node_id, f.parent_id, a.d, a.v, a.i FROM anc a JOIN fx f ON a.sample_id = f.sample_id AND a.nxt = f.node_id)
+SELECT a.sample_id, a.up AS node_id, count(*) AS visits, round(sum(CASE f.action_name WHEN 'execute_sql' THEN d WHEN 'execute_altair' THEN v WHEN 'ask_user_text' THEN i ELSE 0 END)::DOUBLE, 6) + 0 AS total
 FROM anc a JOIN fx f ON a.sample_id = f.sample_id AND a.up = f.node_id GROUP BY ALL""")
 def trace_rewards(spark, d):
     nodes = fx(spark, d, "trace")
-    five = F.lit(5)
-    parts = traces.normalize_reward(five, five, five, F.col("user_score").cast("double"))
+    parts = traces.normalize_reward(F.col("node_id") % 12, F.length("observation") % 11, (F.col("node_id") + 3) % 10, (F.col("user_score") % 8).cast("double"))
     rewards = traces.leaves(nodes).select("sample_id", "node_id", *(c.alias(k) for k, c in parts.items()))
     return rounded(traces.propagate_rewards(nodes, rewards), 6, "total")
 
 
 _WALK = """walk AS (SELECT sample_id, node_id, action_name AS path, concat(action_name, ': ', shown) AS texts FROM cutt WHERE parent_id IS NULL UNION ALL SELECT c.sample_id, c.node_id, concat(w.path, ' > ', c.action_name), concat(w.texts, chr(10), c.action_name, ': ', c.shown) FROM cutt c JOIN walk w ON c.sample_id = w.sample_id AND c.parent_id = w.node_id)"""
 _CUT = "cutt AS (SELECT *, array_to_string(string_split(observation, chr(10))[1:15], chr(10)) AS some, concat(substr(array_to_string(string_split(observation, chr(10))[1:15], chr(10)), 1, 200), CASE WHEN len(string_split(observation, chr(10))) > 15 OR length(array_to_string(string_split(observation, chr(10))[1:15], chr(10))) > 200 THEN '...' ELSE '' END) AS shown FROM fx)"
-_FX = with_fx("trace", "SELECT * FROM fx").removeprefix("WITH fx AS (").removesuffix(") SELECT * FROM fx")
 
 
 @query("trace_paths", sql=f"WITH RECURSIVE fx AS ({_FX}), {_CUT}, {_WALK} SELECT sample_id, node_id, path, texts FROM walk WHERE (sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL)")
@@ -673,9 +678,28 @@ def trace_tree(spark, d):
     return traces.trace_tree(fx(spark, d, "trace"), "observation")
 
 
-@query("trace_best_leaf", "trace", "SELECT sample_id, arg_max(node_id, (user_score, node_id)) AS node_id FROM fx WHERE (sample_id, node_id) NOT IN (SELECT (sample_id, parent_id) FROM fx WHERE parent_id IS NOT NULL) GROUP BY 1")
+_WAYS = "way AS (SELECT sample_id, node_id, [node_id] AS way FROM fx WHERE parent_id IS NULL UNION ALL SELECT c.sample_id, c.node_id, list_append(w.way, c.node_id) FROM fx c JOIN way w ON c.sample_id = w.sample_id AND c.parent_id = w.node_id)"
+
+
+@query("trace_intervals", sql=f"WITH RECURSIVE fx AS ({_FX}), {_WAYS}, placed AS (SELECT sample_id, node_id, way, row_number() OVER (PARTITION BY sample_id ORDER BY way) - 1 AS enter FROM way), inside AS (SELECT sample_id, unnest(way) AS node_id, enter FROM placed) SELECT sample_id, node_id, (len(way) - 1)::INT AS depth, p.enter, last FROM placed p JOIN (SELECT sample_id, node_id, max(enter) AS last FROM inside GROUP BY ALL) USING (sample_id, node_id)")
+def trace_intervals(spark, d):
+    return trees.intervals(fx(spark, d, "trace"), ["sample_id"]).select("sample_id", "node_id", "depth", "enter", "last")
+
+
+# scores for two trees in three, rollouts that tie, code on some nodes, and terminal nodes that aren't leaves
+_LEAVES = """SELECT *, node_id % 3 <> 1 AS is_terminal, CASE WHEN sample_id % 3 > 0 AND node_id % 4 < 3 THEN user_score % 4 END AS score, node_id % 3 AS rollout_id, CASE WHEN node_id % 5 = 0 THEN '' WHEN node_id % 5 < 4 THEN concat('c', node_id) END AS code, CASE WHEN node_id % 7 < 4 THEN 'ok' ELSE 'render_fail' END AS internal_status FROM fx"""
+
+
+@query("trace_best_leaf", sql=f"""WITH RECURSIVE fx AS ({_FX}), {_WAYS}, n AS (SELECT * FROM ({_LEAVES}) JOIN way USING (sample_id, node_id) WHERE is_terminal),
+scored AS (SELECT sample_id, node_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, rollout_id DESC, way) AS k FROM n WHERE score IS NOT NULL), coded AS (SELECT sample_id, node_id, row_number() OVER (PARTITION BY sample_id ORDER BY way DESC) AS k FROM n WHERE code <> '' AND internal_status = 'ok' AND sample_id NOT IN (SELECT sample_id FROM scored))
+SELECT sample_id, node_id FROM scored WHERE k = 1 UNION ALL SELECT sample_id, node_id FROM coded WHERE k = 1""")
 def trace_best_leaf(spark, d):
-    return traces.best_leaf(fx(spark, d, "trace")).select("sample_id", "node_id")
+    node, sample = F.col("node_id"), F.col("sample_id")
+    nodes = fx(spark, d, "trace").withColumns({
+        "is_terminal": node % 3 != 1, "user_score": F.when((sample % 3 > 0) & (node % 4 < 3), F.col("user_score") % 4), "rollout_id": node % 3,
+        "code": F.when(node % 5 == 0, "").when(node % 5 < 4, F.concat(F.lit("c"), node)), "internal_status": F.when(node % 7 < 4, "ok").otherwise("render_fail"),
+    })
+    return traces.best_leaf(nodes).select("sample_id", "node_id")
 
 
 @query("trace_transitions", "trace", "WITH t AS (SELECT sample_id, node_id, parent_id, CASE WHEN node_id % 7 = 3 THEN 'finish' ELSE action_name END AS action_name FROM fx) SELECT p.action_name AS parent_action, c.action_name, count(*) AS n, p.action_name <> 'finish' AND (c.action_name <> 'finish' OR p.action_name = 'execute_altair') AS allowed FROM t c JOIN t p ON c.sample_id = p.sample_id AND c.parent_id = p.node_id GROUP BY ALL")
@@ -697,16 +721,22 @@ def trace_exploration(spark, d):
     return rounded(traces.exploration_score(nodes).select("sample_id", "node_id", "score"), 8, "score")
 
 
-@query("trace_status", "trace", "SELECT sample_id, node_id, CASE WHEN starts_with(observation, 'SQL ERROR') OR starts_with(observation, 'Query returned 0 rows') THEN 'sql_empty' WHEN contains(observation, 'FAILED') OR contains(observation, 'ERROR') THEN 'render_fail' ELSE 'ok' END AS status FROM fx")
+_SAID = "CASE node_id % 5 WHEN 0 THEN concat('SQL ERROR: ', observation) WHEN 1 THEN concat(observation, ' ERROR') WHEN 2 THEN concat('Query returned 0 rows ', observation) WHEN 3 THEN concat(observation, ' FAILED') ELSE replace(replace(observation, 'ERROR', ''), 'FAILED', '') END"
+
+
+@query("trace_status", "trace", "SELECT sample_id, node_id, CASE WHEN node_id % 11 = 10 THEN 'code_error' WHEN action_name = 'execute_sql' AND node_id % 5 IN (0, 2) THEN 'sql_empty' WHEN action_name = 'execute_altair' AND node_id % 5 IN (0, 1, 3) THEN 'render_fail' ELSE 'ok' END AS status FROM (SELECT * FROM fx WHERE NOT regexp_matches(coalesce(observation, ''), 'ERROR|FAILED')) UNION ALL SELECT sample_id, node_id, 'other' FROM fx WHERE regexp_matches(observation, 'ERROR|FAILED')")
 def trace_status(spark, d):
-    return fx(spark, d, "trace").select("sample_id", "node_id", traces.status_of(F.col("observation")).alias("status"))
+    said = fx(spark, d, "trace").withColumns({"said": F.expr(_SAID), "odd": F.coalesce(F.col("observation").rlike("ERROR|FAILED"), F.lit(False))})
+    status = traces.status_of(F.col("action_name"), F.col("said"), F.col("node_id") % 11 == 10)
+    return said.select("sample_id", "node_id", F.when(F.col("odd"), "other").otherwise(status).alias("status"))
 
 
-@query("trace_last_code", "trace", "SELECT sample_id, node_id, CASE WHEN node_id % 2 = 0 THEN node_id ELSE floor((node_id - 1) / 2)::BIGINT END AS code_node FROM fx WHERE node_id % 2 = 0 OR floor((node_id - 1) / 2)::BIGINT % 2 = 0")
+@query("trace_last_code", sql=f"""WITH RECURSIVE fx AS ({_FX}), walk AS (SELECT sample_id, node_id, node_id AS place, parent_id AS nxt, node_id % 5 = 2 AND node_id % 3 > 0 AS good FROM fx
+UNION ALL SELECT w.sample_id, w.node_id, f.node_id, f.parent_id, f.node_id % 5 = 2 AND f.node_id % 3 > 0 FROM walk w JOIN fx f ON w.sample_id = f.sample_id AND w.nxt = f.node_id WHERE NOT w.good) SELECT sample_id, node_id, place AS code_node FROM walk WHERE good""")
 def trace_last_code(spark, d):
-    nodes = fx(spark, d, "trace").withColumns({"code": F.when(F.col("node_id") % 2 == 0, F.col("node_id")), "internal_status": F.lit("ok")})
-    found = traces.last_valid_code(nodes).select("sample_id", "node_id", F.col("code").alias("code_node"))
-    return found.where("node_id % 2 = 0 or cast(floor((node_id - 1) / 2) as bigint) % 2 = 0")
+    node = F.col("node_id")
+    nodes = fx(spark, d, "trace").withColumns({"code": F.when(node % 5 == 2, node), "internal_status": F.when(node % 3 > 0, "ok").otherwise("render_fail")})
+    return traces.last_valid_code(nodes).select("sample_id", "node_id", F.col("code").alias("code_node"))
 
 
 # --- catalogues, guidance and bundles

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import state_path
+from .ordered import number_rows
 from .shaping import aggregate_of, group_agg
 
 #: The spellings of aggregations.
@@ -118,8 +121,8 @@ def grid(df: DataFrame, value: str, keys: list[str], steps: int) -> DataFrame:
 
 
 def t_density(df: DataFrame, value: str, keys: list[str], bandwidth: float, steps: int = 20) -> DataFrame:
-    """Gaussian kernel density of each group on its grid. Equal values are counted first, so that copies cost nothing;
-    the grid of a group, steps + 1 numbers, travels as an array and each value adds to it where it is."""
+    """Gaussian kernel density of each group on its grid. Equal values are counted first, so that copies cost nothing; then
+    each different value meets the steps + 1 grid points of its group."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     points = grid(df, value, keys, steps)
     joined = counted.join(points, keys) if keys else counted.crossJoin(F.broadcast(points))
@@ -151,24 +154,101 @@ def t_regression(df: DataFrame, x: str, y: str, keys: list[str], order: int = 1)
     return s.select(*keys, (b0 - b1 * c["m"] + b2 * c["m"] * c["m"]).alias("c0"), (b1 - 2 * b2 * c["m"]).alias("c1"), b2.alias("c2"))
 
 
-def t_loess(df: DataFrame, x: str, y: str, keys: list[str], bandwidth: float = 0.3, steps: int = 10) -> DataFrame:
-    """Local linear fits on a grid: tricube weights of the nearest share of points. Points of equal x are summed first;
-    a window over (group, grid point) finds how far the nearest share reaches."""
+#: Different x in one bucket of a local regression.
+LOESS_BUCKET = 4096
+#: Powers of x that a tricube weight of a linear fit needs.
+_POWERS = 12
+
+
+def t_loess(df: DataFrame, x: str, y: str, keys: list[str], bandwidth: float = 0.3, steps: int = 10, bucket: int = LOESS_BUCKET) -> DataFrame:
+    """Local linear fits on a grid: tricube weights of the nearest share of points.
+
+    Points of equal x are summed first and dealt in the order of x into buckets of so many, each with its moments about its
+    middle. A grid point reads the buckets' ends to find those that surely are, or may be, among its nearest share, and
+    settles how far it reaches by the points of the few at the edge. A tricube weight is a polynomial of the distance on
+    either side, so that buckets inside the reach count by their moments, moved to the grid point; only buckets that the reach
+    or the grid point cuts count by their points. Moments are moved from the bucket's own middle, and not taken as differences
+    of sums over all x, which would lose their digits.
+
+    Cases: rows without x or y are left out; a group of one x has its mean; equal distances are inside together."""
     sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("double")).alias("__y"))
-    points = grid(df.where(F.col(y).isNotNull()), x, keys, steps)
-    joined = (sums.join(points, keys) if keys else sums.crossJoin(F.broadcast(points))).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
-    by = [*keys, "step", "x"]
+    placed = number_rows(sums, keys, ["__x"], "__k")
+    points = _kept(placed.select(*keys, "__x", "__n", "__y", F.floor((F.col("__k") - 1) / bucket).cast("long").alias("__b")))
+    u = F.col("__x") - F.col("__c")
+    ends = points.groupBy(*keys, "__b").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__n"))
+    ends = ends.withColumn("__c", (F.col("__lo") + F.col("__hi")) / 2)
+    middles = ends.select(*(F.col(k).alias(f"__m_{i}") for i, k in enumerate(keys)), F.col("__b").alias("__m_b"), "__c")
+    test = points["__b"] == middles["__m_b"]
+    for i, k in enumerate(keys):
+        test &= points[k].eqNullSafe(middles[f"__m_{i}"])
+    power = lambda k: F.pow(u, F.lit(float(k)))
+    moments = points.join(middles, test).groupBy(*keys, "__b").agg(
+        F.array(*(F.sum(F.col("__n") * power(k)) for k in range(_POWERS))).alias("__ms"), F.array(*(F.sum(F.col("__y") * power(k)) for k in range(_POWERS))).alias("__ys")
+    )
+    same = lambda a, b, more=(): reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[f"__r_{k}"]) for k in [*keys, *more]], F.lit(True))
+    named = lambda t, more=(): t.withColumnsRenamed({k: f"__r_{k}" for k in [*keys, *more]})
+    bare = lambda t: t.drop(*(c for c in t.columns if c.startswith("__r_")))
+
+    # the grid is steps + 1 rows a group, each met by a row for every bucket of the group
+    grids = named(_grid_of(ends, keys, steps))
+    near = bare(ends.join(grids, same(ends, grids))).withColumns({"__far": F.greatest(F.abs(F.col("x") - F.col("__lo")), F.abs(F.col("__hi") - F.col("x"))), "__inner": F.greatest(F.col("__lo") - F.col("x"), F.col("x") - F.col("__hi"), F.lit(0.0))})
+    by = [*keys, "step"]
+    upto = Window.partitionBy(*by)
+    wanted = F.ceil(F.sum("__n").over(upto) * bandwidth)
+    near = near.withColumns({"__wanted": wanted, "__sure": F.sum("__n").over(upto.orderBy("__far")), "__may": F.sum("__n").over(upto.orderBy("__inner"))})
+    # all points are within the reach at the least far end with enough points; none of too few buckets reaches it
+    most = F.min(F.when(F.col("__sure") >= F.col("__wanted"), F.col("__far"))).over(upto)
+    least = F.min(F.when(F.col("__may") >= F.col("__wanted"), F.col("__inner"))).over(upto)
+    near = _kept(near.withColumns({"__most": most, "__least": least}).where("__inner <= __most").select(*by, "x", "__b", "__lo", "__hi", "__c", "__n", "__far", "__inner", "__wanted", "__least"))
+    inside = near.where("__far < __least").groupBy(*by).agg(F.sum("__n").alias("__inside"))
+    edge = named(near.where("__far >= __least").select(*by, "x", "__b", "__wanted"), ["__b"])
+    at_edge = bare(points.join(edge, same(points, edge, ["__b"]))).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
+    inside = named(inside, ["step"])
+    at_edge = bare(at_edge.join(inside, same(at_edge, inside, ["step"]), "left"))
     nearer = Window.partitionBy(*by).orderBy("__d")
-    joined = joined.withColumns({"__before": F.sum("__n").over(nearer) - F.sum("__n").over(Window.partitionBy(*by, "__d")), "__all": F.sum("__n").over(Window.partitionBy(*by))})
-    inside = joined.where(F.col("__before") < F.ceil(F.col("__all") * bandwidth))
-    reach = F.max("__d").over(Window.partitionBy(*by))
-    inside = inside.withColumn("__h", F.when(reach > 0, reach).otherwise(1.0))
-    w = F.pow(1 - F.pow(F.least(F.col("__d") / (F.col("__h") * 1.000001), F.lit(1.0)), F.lit(3.0)), F.lit(3.0))
-    u, n = F.col("__x") - F.col("x"), F.col("__n")
-    s = inside.groupBy(*by).agg(F.sum(w * n).alias("s0"), F.sum(w * n * u).alias("s1"), F.sum(w * n * u * u).alias("s2"), F.sum(w * F.col("__y")).alias("t0"), F.sum(w * F.col("__y") * u).alias("t1"))
+    reached = at_edge.withColumn("__before", F.coalesce("__inside", F.lit(0)) + F.sum("__n").over(nearer)).where("__before >= __wanted").groupBy(*by).agg(F.min("__d").alias("__reach"))
+    reached = named(reached.withColumn("__h", F.when(F.col("__reach") > 0, F.col("__reach")).otherwise(1.0) * 1.000001), ["step"])
+    held = bare(near.join(reached, same(near, reached, ["step"]))).where("__inner <= __reach").withColumn("__whole", (F.col("__far") <= F.col("__reach")) & ((F.col("__lo") >= F.col("x")) | (F.col("__hi") <= F.col("x"))))
+
+    cut = named(held.where("not __whole").select(*by, "x", "__b", "__h", "__reach"), ["__b"])
+    single = bare(points.join(cut, same(points, cut, ["__b"]))).withColumn("__u", (F.col("__x") - F.col("x")) / F.col("__h")).where(F.abs(F.col("__x") - F.col("x")) <= F.col("__reach"))
+    w = F.pow(1 - F.pow(F.abs("__u"), F.lit(3.0)), F.lit(3.0))
+    v, n, yy = F.col("__u"), F.col("__n"), F.col("__y")
+    parts = single.select(*by, "x", "__h", (w * n).alias("s0"), (w * n * v).alias("s1"), (w * n * v * v).alias("s2"), (w * yy).alias("t0"), (w * yy * v).alias("t1"))
+    whole = named(held.where("__whole").select(*by, "x", "__b", "__c", "__h"), ["__b"])
+    moved = bare(moments.join(whole, same(moments, whole, ["__b"])))
+    m, q = (_moved_moments(F.col(c), (F.col("__c") - F.col("x")) / F.col("__h"), F.col("__h")) for c in ("__ms", "__ys"))
+    side = F.when(F.col("__c") >= F.col("x"), 1.0).otherwise(-1.0)
+    moved = moved.withColumns({"__mu": m, "__yu": q})
+    fold = lambda c, j: F.col(c)[j] - 3 * side * F.col(c)[j + 3] + 3 * F.col(c)[j + 6] - side * F.col(c)[j + 9]
+    both = parts.union(moved.select(*by, "x", "__h", *(fold("__mu", j) for j in range(3)), *(fold("__yu", j) for j in range(2))))
+    s = both.groupBy(*by, "x").agg(*(F.sum(c).alias(c) for c in ("s0", "s1", "s2", "t0", "t1")))
+    # in units of the reach, so that a determinant of nothing shows at any scale of x
     d = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    fit = F.when(F.abs(d) > 1e-12, (F.col("t0") * F.col("s2") - F.col("t1") * F.col("s1")) / d).otherwise(F.col("t0") / F.col("s0"))
-    return s.select(*by, fit.alias("y"))
+    fit = F.when(F.abs(d) > 1e-12 * F.col("s0") * F.col("s0"), (F.col("t0") * F.col("s2") - F.col("t1") * F.col("s1")) / d).otherwise(F.col("t0") / F.col("s0"))
+    return s.select(*by, "x", fit.alias("y"))
+
+
+def _grid_of(ends: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """steps + 1 evenly spaced points between the ends of each group's buckets."""
+    lo, hi = F.col("__lo"), F.col("__hi")
+    span = ends.groupBy(*keys).agg(F.min(lo).alias("__lo"), F.max(hi).alias("__hi"))
+    return span.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select(*keys, "step", (lo + (hi - lo) * F.col("step") / steps).alias("x"))
+
+
+def _moved_moments(moments: Column, by: Column, scale: Column) -> Column:
+    """Sums of powers of (u / scale + by), from sums of powers of u."""
+    table = F.lit([[float(comb(k, i)) for i in range(_POWERS)] for k in range(_POWERS)])
+    unit = F.transform(moments, lambda m, i: m / F.pow(scale, i.cast("double")))
+    one = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + table[k][i] * unit[i] * F.pow(by, (k - i).cast("double")))
+    return F.transform(F.sequence(F.lit(0), F.lit(_POWERS - 1)), one)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = state_path(df.sparkSession, "loess")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def compose(views: dict[str, DataFrame], kind: str) -> DataFrame:

@@ -135,6 +135,19 @@ def chart_loess(spark, d):
     return rounded(c.t_loess(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 4, "y")
 
 
+@query("chart_loess_prices", """WITH ends AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, ceil(count(*) * 0.3) AS wanted FROM lineitem GROUP BY 1),
+points AS (SELECT l_returnflag, k::INT AS step, lo + (hi - lo) * k / 10.0 AS x, wanted FROM ends, range(11) AS g(k)),
+d AS (SELECT p.*, l_extendedprice AS v, l_quantity AS y, abs(l_extendedprice - x) AS d FROM points p JOIN lineitem l ON p.l_returnflag = l.l_returnflag),
+r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag, step ORDER BY d) AS place FROM d),
+n AS (SELECT *, max(d) OVER (PARTITION BY l_returnflag, step) AS h FROM r WHERE place <= wanted),
+w AS (SELECT *, pow(1 - pow(least(d / ((CASE WHEN h > 0 THEN h ELSE 1 END) * 1.000001), 1), 3), 3) AS w, v - x AS u FROM n),
+s AS (SELECT l_returnflag, step, x, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS t0, sum(w * u * y) AS t1 FROM w GROUP BY ALL)
+SELECT l_returnflag, step, x, round(CASE WHEN abs(s0 * s2 - s1 * s1) > 1e-12 * s0 * s0 THEN (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 4) AS y FROM s""")
+def chart_loess_prices(spark, d):
+    """Over many different values, so that buckets of points count by their moments."""
+    return rounded(c.t_loess(t(spark, d, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"], bucket=256), 4, "y")
+
+
 @query("chart_compose", "SELECT o_orderpriority AS k, count(*) AS n, 'all' AS view, 'layer' AS composition FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*), 'open', 'layer' FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def chart_compose(spark, d):
     count = lambda df: df.groupBy(F.col("o_orderpriority").alias("k")).agg(F.count("*").alias("n"))

@@ -93,27 +93,73 @@ def _first(df: DataFrame, n: int, order: list) -> DataFrame:
     return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 
-def constraints(counts: DataFrame, universe: DataFrame, limits: dict[str, int], under: float = 0.5, over: float = 2.0, literal: bool = False) -> DataFrame:
-    """dimension, prefer and avoid lists. Names match in any case unless literal."""
-    fold = (lambda df: df) if literal else (lambda df: df.withColumn("value", F.lower("value")))
-    wanted = universe.join(underrepresented(fold(counts), under, fold(universe)).drop("n").withColumnRenamed("value", "v"), "dimension")
-    same = F.col("value") == F.col("v") if literal else F.lower("value") == F.col("v")
-    wanted = wanted.where(same).select("dimension", "value", "pos")
-    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-    best = _first(wanted, 1 << 30, ["pos"]).where(F.col("k") <= F.coalesce(F.try_element_at(limit, "dimension"), F.lit(1)))
-    prefer = best.groupBy("dimension").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), ",").alias("prefer"))
-    avoid = overrepresented(counts, over).groupBy("dimension").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("avoid"))
-    return prefer.join(avoid, "dimension", "full").select("dimension", F.coalesce("prefer", F.lit("")).alias("prefer"), F.coalesce("avoid", F.lit("")).alias("avoid"))
-
+def _listed(df: DataFrame, limits: dict[str, int | None], name: str) -> DataFrame:
+    """The first values of each dimension by pos and value, joined by commas; None: all of them."""
+    limit = F.create_map(*(F.lit(x) for d, n in limits.items() for x in (d, n if n is not None else 1 << 30)))
+    k = F.row_number().over(Window.partitionBy("dimension").orderBy("pos", "value"))
+    some = df.where(F.col("dimension").isin(*limits)).withColumn("k", k).where(F.col("k") <= F.element_at(limit, F.col("dimension")))
+    return some.groupBy("dimension").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), ",").alias(name))
 
-def ambiguity_constraints(counts: DataFrame, spark: SparkSession, literal: bool = False) -> DataFrame:
-    universe = universe_table(spark, {"ambiguity_types": fixed.AMBIGUITY_TYPES, "ambiguity_templates": [t[0] for t in fixed.AMBIGUITY_TEMPLATES]})
-    return constraints(counts, universe, {"ambiguity_types": 2, "ambiguity_templates": 4}, literal=literal)
 
+def constraints(counts: DataFrame, universe: DataFrame, prefer: dict[str, int | None], avoid: dict[str, int | None], under: float = 0.5, over: float = 2.0, seen: dict[str, float] | None = None, early: tuple[str, ...] = (), literal: bool = False) -> DataFrame:
+    """dimension, prefer and avoid of the dimensions that the limits name.
 
-def diversity_constraints(counts: DataFrame, spark: SparkSession) -> DataFrame:
-    universe = universe_table(spark, {"aggregations": fixed.AGGREGATION_TYPES, "time_units": fixed.TIME_UNITS, "transforms": fixed.TRANSFORM_TYPES, "compositions": fixed.COMPOSITION_TYPES, "interactions": fixed.INTERACTION_TYPES})
-    return constraints(counts, universe, {"aggregations": 3, "time_units": 3, "transforms": 3, "compositions": 1, "interactions": 1})
+    prefer: values of the universe that are used too little, in its order, up to the limit; for dimensions in seen, values
+    that occur at all and stay under that threshold, rarest first. avoid: values used too much, most used first, up to the
+    limit; of dimensions in early, every used one while fewer than ten were counted. Names match in any case unless literal."""
+    seen = seen or {}
+    fold = (lambda df: df) if literal else (lambda df: df.withColumn("value", F.lower("value")))
+    given = universe.where(~F.col("dimension").isin(*seen)) if seen else universe
+    folded = fold(counts).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
+    few = underrepresented(folded, under, fold(given)).select(F.col("dimension").alias("__d"), F.col("value").alias("__v"))
+    same = F.col("value") == F.col("__v") if literal else F.lower("value") == F.col("__v")
+    wanted = given.join(few, (F.col("dimension") == F.col("__d")) & same).select("dimension", "value", F.col("pos").cast("long").alias("pos"))
+    for d, threshold in seen.items():
+        wanted = wanted.union(underrepresented(counts.where(F.col("dimension") == d), threshold).select("dimension", "value", F.col("n").alias("pos")))
+    late, soon = [d for d in avoid if d not in early], [d for d in avoid if d in early]
+    much = overrepresented(counts.where(F.col("dimension").isin(*late)), over).union(overrepresented(counts.where(F.col("dimension").isin(*soon)), over, always_below=10))
+    much = much.select("dimension", "value", (-F.col("n")).alias("pos"))
+    every = universe.sparkSession.createDataFrame([(d,) for d in dict.fromkeys([*prefer, *avoid])], "dimension string")
+    both = every.join(_listed(wanted, prefer, "prefer"), "dimension", "left").join(_listed(much, avoid, "avoid"), "dimension", "left")
+    return both.select("dimension", F.coalesce("prefer", F.lit("")).alias("prefer"), F.coalesce("avoid", F.lit("")).alias("avoid"))
+
+
+def with_strength(df: DataFrame, total: DataFrame | None) -> DataFrame:
+    """With how strongly constraints hold, from one row with the number of samples so far (total)."""
+    if total is None:
+        return df.withColumn("strength", constraint_strength(F.lit(0)))
+    return df.crossJoin(F.broadcast(total.select(constraint_strength(F.col("total")).alias("strength"))))
+
+
+def ambiguity_constraints(counts: DataFrame, spark: SparkSession, literal: bool = False, total: DataFrame | None = None) -> DataFrame:
+    """Two ambiguity types and four templates to prefer, two of each to avoid, and the strength."""
+    universe = universe_table(spark, {"ambiguity_types": fixed.AMBIGUITY_TYPES, "ambiguity_templates": [t[0] for t in fixed.AMBIGUITY_TEMPLATES]})
+    kinds = ("ambiguity_types", "ambiguity_templates")
+    return with_strength(constraints(counts, universe, {"ambiguity_types": 2, "ambiguity_templates": 4}, dict.fromkeys(kinds, 2), early=kinds, literal=literal), total)
+
+
+def diversity_constraints(counts: DataFrame, spark: SparkSession, chart_category: str | None = None, catalog: DataFrame | None = None, total: DataFrame | None = None) -> DataFrame:
+    """What the next sample should prefer and avoid, by dimension, and how strongly.
+
+    Three aggregations, time units and transforms, one composition, one encoding pattern (under 0.3 of its share), five
+    chart categories, and ten chart types of a catalogue (chart_type) are preferred; one interaction other than none, for
+    interactive charts only. Aggregations, time units, encoding patterns and chart types are avoided when used too much."""
+    universe = universe_table(spark, {"aggregations": fixed.AGGREGATION_TYPES, "time_units": fixed.TIME_UNITS, "transforms": fixed.TRANSFORM_TYPES, "compositions": fixed.COMPOSITION_TYPES, "interactions": [*fixed.INTERACTION_TYPES]})
+    prefer: dict[str, int | None] = {"aggregations": 3, "time_units": 3, "transforms": 3, "compositions": 1, "interactions": 1, "encoding_patterns": 1, "chart_categories": 5}
+    avoid: dict[str, int | None] = dict.fromkeys(("aggregations", "time_units", "encoding_patterns"))
+    if catalog is not None:
+        order = F.row_number().over(Window.partitionBy("dimension").orderBy("value")) - 1
+        charts = catalog.select(F.lit("chart_types").alias("dimension"), F.col("chart_type").alias("value")).distinct()
+        universe = universe.unionByName(charts.withColumn("pos", order))
+        prefer["chart_types"], avoid["chart_types"] = 10, None
+    out = constraints(counts, universe, prefer, avoid, seen={"encoding_patterns": 0.3, "chart_categories": 0.5}, early=("chart_types",))
+    # none takes part in the shares of interactions, and is never what is asked for
+    named = [i for i in fixed.INTERACTION_TYPES if i.lower() != "none"]
+    some = constraints(counts.where("dimension = 'interactions'"), universe.where("dimension = 'interactions'"), {"interactions": None}, {}).select(F.col("prefer").alias("__i"))
+    first = F.coalesce(F.get(F.filter(F.split("__i", ","), lambda i: i.isin(*named)), F.lit(0)), F.lit(""))
+    best = first if chart_category == "Interactive Charts" else F.lit("")
+    out = out.crossJoin(F.broadcast(some)).withColumn("prefer", F.when(F.col("dimension") == "interactions", best).otherwise(F.col("prefer"))).drop("__i")
+    return with_strength(out, total)
 
 
 def diversity_report(counts: DataFrame, universe: DataFrame | None = None, under: float = 0.5, over: float = 2.0, n: int = 10) -> DataFrame:

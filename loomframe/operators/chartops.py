@@ -19,11 +19,7 @@ TIME_UNITS = ["year", "quarter", "month", "week", "day", "hour", "minute", "year
 
 def aggregated(df: DataFrame, keys: list[str], value: str, kind: str, approx: bool = False) -> DataFrame:
     """One aggregate by group; approx takes sketches for median and distinct."""
-    if approx and kind == "median":
-        return df.groupBy(*keys).agg(F.percentile_approx(value, 0.5).alias("value"))
-    if approx and kind == "distinct":
-        return df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("value"))
-    return group_agg(df, keys, {"value": (kind, value)})
+    return group_agg(df, keys, {"value": (kind, value)}, approx)
 
 
 def time_unit(ts: Column, unit: str) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .balance import infer_chart_category
+
 
 def existing_samples(samples: DataFrame) -> DataFrame:
     """Validated samples by question; rows that lack either id are left out."""
@@ -46,19 +48,42 @@ def pipeline_distribution(samples: DataFrame, columns: list[str], databases: Dat
     return counts.union(zeros).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
 
 
+#: The columns of the final data set, and the samples' columns that they come from.
+FINAL_COLUMNS = {"sample_id": "sample_id", "db_id": "db_id", "chart_type": "chart_type", "chart_category": "chart_category", "initial_question": "vis_question", "ground_truth_code": "altair_code", "key_features": "key_features"}
+
+
+def _chart_of(samples: DataFrame) -> tuple[Column, Column]:
+    """Chart type and category, from the first mark feature and the features' types where a sample doesn't say."""
+    own = lambda c: F.col(c) if c in samples.columns else F.lit(None).cast("string")
+    if "key_features" not in samples.columns:
+        return own("chart_type"), own("chart_category")
+    marks = F.filter("key_features", lambda f: f["type"] == "mark")
+    kind = F.coalesce(own("chart_type"), F.get(F.transform(marks, lambda f: F.coalesce(f["value"], f["text"])), F.lit(0)))
+    inferred = F.when(F.exists("key_features", lambda f: f["type"] == "interaction"), "Interactive Charts").otherwise(infer_chart_category(kind))
+    return kind, F.coalesce(own("chart_category"), F.nullif(inferred, F.lit("")))
+
+
 def finalize_reviewed(samples: DataFrame, review: DataFrame) -> DataFrame:
-    """Samples that passed review, numbered anew within their question by their old numbers."""
-    good = samples.join(review.where("status = 'pass'"), "sample_id", "left_semi")
+    """Samples that passed review, numbered anew within their question by their old numbers, with the columns of the final data
+    set as far as the samples have them (and others dropped), in the order of questions and numbers.
+
+    Samples without a type or category get them from their key features (array of type, value and text)."""
+    good = samples.join(review.where("status = 'pass'").select("sample_id").distinct(), "sample_id", "left_semi")
     old = F.regexp_extract("sample_id", "_c([0-9]+)$", 1).try_cast("long")
     k = F.row_number().over(Window.partitionBy("source_question_id").orderBy(old, "sample_id")) - 1
-    new = F.concat(F.lit("q"), F.col("source_question_id").cast("string"), F.lit("_c"), k.cast("string"))
-    return good.withColumn("new_id", new).withColumn("sample_id", F.col("new_id")).drop("new_id")
-
-
-def review_stats(samples: DataFrame, review: DataFrame) -> DataFrame:
-    """Passed and failed samples by database."""
-    status = samples.join(review, "sample_id", "left")
-    return status.groupBy("db_id").agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"), F.count_if(F.col("status").isNull()).alias("pending"))
+    kind, category = _chart_of(good)
+    numbered = good.withColumns({"__k": k, "chart_type": kind, "chart_category": category})
+    new = F.concat(F.lit("q"), F.col("source_question_id").cast("string"), F.lit("_c"), F.col("__k").cast("string"))
+    ordered = numbered.withColumn("sample_id", new).orderBy(F.col("source_question_id").cast("long"), "__k")
+    return ordered.select(*(F.col(c).alias(name) for name, c in FINAL_COLUMNS.items() if c in numbered.columns))
+
+
+def review_stats(samples: DataFrame, review: DataFrame, columns: tuple[str, ...] = ("db_id", "chart_type", "chart_category")) -> DataFrame:
+    """dimension, value and how many samples passed, failed and are pending, by value of each column, and over all."""
+    status = samples.join(review.select("sample_id", "status"), "sample_id", "left")
+    own = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))
+    rows = status.select("status", F.inline(own))
+    return rows.groupBy("dimension", "value").agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed"), F.count_if(F.col("status").isNull()).alias("pending"))
 
 
 def candidates_histogram(samples: DataFrame) -> DataFrame:

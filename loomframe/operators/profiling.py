@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,6 +70,59 @@ def measure_stats(df: DataFrame, measures: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+@contextmanager
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings for a while."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def footer_plan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """One row of aggregates that Parquet footers answer, to be run within the settings of footer_stats."""
+    aggs = [F.count("*").alias("n_rows")]
+    for k, c in enumerate(columns):
+        aggs += [F.count(c).alias(f"n_{k}"), F.min(c).alias(f"low_{k}"), F.max(c).alias(f"high_{k}")]
+    return spark.read.parquet(path).agg(*aggs)
+
+
+#: Types whose least and greatest values footers hold exactly; texts may be cut there.
+FOOTER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.BooleanType)
+
+
+def footer_stats(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """column, n_rows, n_nulls, low and high (as text) of a Parquet table's columns, from its footers alone: the aggregates are
+    pushed down into the scan, which reads no row. Takes columns of FOOTER_TYPES (all, unless some are named), since footers
+    hold no exact ends of others; of such a column, ask measure_stats. The row that comes to the driver has one value each.
+
+    Cases: a column of nulls alone has no ends; an empty table has no rows and no nulls. Footers that lack statistics, as some
+    writers leave them out, are an error of Spark's, never a wrong answer."""
+    fields = [f for f in spark.read.parquet(path).schema.fields if (f.name in columns if columns else isinstance(f.dataType, FOOTER_TYPES))]
+    if other := [f.name for f in fields if not isinstance(f.dataType, FOOTER_TYPES)]:
+        raise ValueError(f"footers hold no exact ends of {other}")
+    with _set(spark, spark__sql__sources__useV1SourceList="", spark__sql__parquet__aggregatePushdown="true"):
+        one = footer_plan(spark, path, [f.name for f in fields])
+        if not _reads_footers(one):
+            raise ValueError(f"the aggregates of {path} were not pushed into its scan")
+        row = one.first()
+    kinds = [f.dataType for f in fields]
+    values = spark.createDataFrame([row], one.schema)
+    cells = [F.struct(F.lit(f.name).alias("column"), F.col("n_rows"), (F.col("n_rows") - F.col(f"n_{k}")).alias("n_nulls"), F.col(f"low_{k}").cast("string").alias("low"), F.col(f"high_{k}").cast("string").alias("high")) for k, f in enumerate(fields)]
+    return values.select(F.inline(F.array(*cells))) if kinds else values.select(F.lit("").alias("column"), "n_rows", F.lit(0).cast("long").alias("n_nulls"), F.lit("").alias("low"), F.lit("").alias("high")).limit(0)
+
+
+def _reads_footers(df: DataFrame) -> bool:
+    """Whether a plan's scan has the aggregates in it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "PushedAggregation: [COUNT" in plan
+
+
 def null_share(df: DataFrame) -> DataFrame:
     """Null cells over all cells."""
     nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in df.columns), F.lit(0).cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import number_rows
+from .sketches import HLL_BITS, KLL_K
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -36,8 +37,10 @@ def anti(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
     return join(left, right, on, "left_anti")
 
 
-def aggregate_of(kind: str, value: str) -> Column:
-    """sum, count, avg, min, max, total (0.0 when there is none), group_concat, median, distinct, variance, stdev."""
+def aggregate_of(kind: str, value: str, approx: bool = False) -> Column:
+    """sum, count, avg, min, max, total (0.0 when there is none), group_concat, median, distinct, variance, stdev.
+
+    approx: distinct and median by sketches, which are merged on the way and never hold a group's values."""
     v = F.col(value) if value != "*" else F.lit(1)
     kinds: dict[str, Callable[[], Column]] = {
         "sum": lambda: F.sum(v),
@@ -52,12 +55,16 @@ def aggregate_of(kind: str, value: str) -> Column:
         "variance": lambda: F.var_samp(v),
         "stdev": lambda: F.stddev_samp(v),
     }
+    if approx:
+        number = F.kll_sketch_agg_double(F.when(~F.isnan(v.cast("double")), v.cast("double")), F.lit(KLL_K))
+        middle = F.when(F.count(v) > 0, F.kll_sketch_get_quantile_double(number, F.lit(0.5)))
+        kinds |= {"median": lambda: middle, "distinct": lambda: F.hll_sketch_estimate(F.hll_sketch_agg(v.cast("string"), F.lit(HLL_BITS)))}
     return kinds[kind.lower()]()
 
 
-def group_agg(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+def group_agg(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], approx: bool = False) -> DataFrame:
     """{name: (kind, column)} by group."""
-    return df.groupBy(*keys).agg(*(aggregate_of(k, v).alias(name) for name, (k, v) in aggs.items()))
+    return df.groupBy(*keys).agg(*(aggregate_of(k, v, approx).alias(name) for name, (k, v) in aggs.items()))
 
 
 def having(grouped: DataFrame, predicate: str | Column) -> DataFrame:

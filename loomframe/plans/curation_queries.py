@@ -414,12 +414,35 @@ def balance_gaps(spark, d):
     return balance.coverage_gaps(balance.universe_table(spark, {"chart_types": ["5-LOW", "missing_chart"]}), counts).select("value")
 
 
-@query("balance_constraints", "specs", """WITH u AS (SELECT unnest(range(6)) AS pos, unnest(['single', 'layer', 'hconcat', 'vconcat', 'facet', 'repeat']) AS value), c AS (SELECT CASE WHEN p_size % 6 = 0 THEN 'layer' WHEN p_size % 11 = 0 THEN 'hconcat' ELSE 'single' END AS value, count(*) AS n FROM fx GROUP BY 1)
-SELECT 'compositions' AS dimension, (SELECT value FROM u LEFT JOIN c USING (value) WHERE coalesce(n, 0) < 0.5 * (SELECT sum(n) FROM c) / 6 ORDER BY pos LIMIT 1) AS prefer, coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM c WHERE n > 2 * (SELECT sum(n) / count(*) FROM c)), '') AS avoid
-UNION ALL SELECT 'aggregations', 'sum,avg,count', '' UNION ALL SELECT 'time_units', 'year,quarter,month', '' UNION ALL SELECT 'transforms', 'aggregate,window,bin', '' UNION ALL SELECT 'interactions', 'none', ''""")
+def _lists(name: str, universe: list, cut: str, limit: int) -> str:
+    """Values of a list that are used less than a share of its part, in its order."""
+    return f"SELECT '{name}' AS dimension, (SELECT string_agg(value, ',' ORDER BY pos) FROM (SELECT u.value, u.pos FROM (SELECT unnest(range({len(universe)})) AS pos, unnest({universe!r}) AS value) u LEFT JOIN (SELECT * FROM c WHERE dimension = '{name}') c ON u.value = c.value WHERE coalesce(n, 0) < {cut} * (SELECT sum(n) FROM c WHERE dimension = '{name}') / {len(universe)} OR NOT EXISTS (FROM c WHERE dimension = '{name}') ORDER BY pos LIMIT {limit})) AS prefer"
+
+
+_OVER = "(SELECT string_agg(value, ',' ORDER BY n DESC, value) FROM (SELECT *, sum(n) OVER () AS total, count(*) OVER () AS size FROM c WHERE dimension = '{}') WHERE CASE WHEN total < {} THEN n > 0 ELSE n > 2 * total / size END)"
+_PATTERN = "concat(CASE p_size % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'T' WHEN 2 THEN 'O' ELSE 'Q' END, '-Q', CASE WHEN p_size % 5 = 0 THEN '-N' ELSE '' END)"
+
+
+@query("balance_constraints", "specs", f"""WITH c AS (SELECT dimension, value, count(*) AS n FROM (SELECT 'compositions' AS dimension, CASE WHEN p_size % 6 = 0 THEN 'layer' WHEN p_size % 11 = 0 THEN 'hconcat' ELSE 'single' END AS value FROM fx UNION ALL SELECT 'interactions', unnest(CASE WHEN p_size % 10 = 0 THEN ['brush', 'legend'] ELSE ['none'] END) FROM fx
+UNION ALL SELECT 'aggregations', 'sum' FROM fx WHERE p_size % 2 = 0 UNION ALL SELECT 'encoding_patterns', {_PATTERN} FROM fx UNION ALL SELECT 'chart_categories', CASE WHEN p_size < 3 THEN 'rare' WHEN p_size < 10 THEN 'few' ELSE 'many' END FROM fx UNION ALL SELECT 'chart_types', chart_type FROM fx WHERE spec_id < 8) GROUP BY ALL),
+types AS (SELECT DISTINCT chart_type AS value FROM fx), strong AS (SELECT CASE WHEN count(*) < 10 THEN 0.3 WHEN count(*) < 50 THEN 0.5 ELSE 0.7 END::DOUBLE AS strength FROM fx)
+SELECT dimension, coalesce(prefer, '') AS prefer, coalesce(CASE dimension WHEN 'aggregations' THEN {_OVER.format('aggregations', 0)} WHEN 'encoding_patterns' THEN {_OVER.format('encoding_patterns', 0)} WHEN 'chart_types' THEN {_OVER.format('chart_types', 10)} END, '') AS avoid, strength FROM (
+{_lists('compositions', fixed.COMPOSITION_TYPES, '0.5', 1)} UNION ALL {_lists('aggregations', fixed.AGGREGATION_TYPES, '0.5', 3)} UNION ALL {_lists('time_units', fixed.TIME_UNITS, '0.5', 3)} UNION ALL {_lists('transforms', fixed.TRANSFORM_TYPES, '0.5', 3)}
+UNION ALL SELECT 'interactions', string_split(replace(prefer, 'none,', ''), ',')[1] FROM ({_lists('interactions', fixed.INTERACTION_TYPES, '0.5', 99)})
+UNION ALL SELECT 'encoding_patterns', (SELECT value FROM c WHERE dimension = 'encoding_patterns' AND n < 0.3 * (SELECT sum(n) / count(*) FROM c WHERE dimension = 'encoding_patterns') ORDER BY n, value LIMIT 1)
+UNION ALL SELECT 'chart_categories', (SELECT string_agg(value, ',' ORDER BY n, value) FROM (SELECT * FROM c WHERE dimension = 'chart_categories' AND n < 0.5 * (SELECT sum(n) / count(*) FROM c WHERE dimension = 'chart_categories') ORDER BY n, value LIMIT 5))
+UNION ALL SELECT 'chart_types', (SELECT string_agg(value, ',' ORDER BY value) FROM (SELECT t.value FROM types t LEFT JOIN (SELECT * FROM c WHERE dimension = 'chart_types') c ON t.value = c.value WHERE coalesce(n, 0) < 0.5 * (SELECT sum(n) FROM c WHERE dimension = 'chart_types') / (SELECT count(*) FROM types) ORDER BY t.value LIMIT 10))), strong""")
 def balance_constraints(spark, d):
-    s = fx(spark, d, "specs").withColumns({"composition": specs.composition_type(F.col("spec"))})
-    return balance.diversity_constraints(balance.feature_counts(s, {"compositions": "composition"}, "spec_id"), spark)
+    """All eight dimensions, for interactive charts."""
+    s = fx(spark, d, "specs")
+    size = F.col("p_size")
+    patterns = specs.encoding_pattern(specs.spec_features(s, "spec_id", "spec"), "spec_id")
+    kinds = specs.interaction_types(s, "spec_id", "spec").groupBy("spec_id").agg(F.collect_list("interaction").alias("interactions"))
+    s = s.join(patterns, "spec_id").join(kinds, "spec_id").withColumns({
+        "composition": specs.composition_type(F.col("spec")), "aggregation": F.when(size % 2 == 0, "sum"), "category": F.when(size < 3, "rare").when(size < 10, "few").otherwise("many"), "used": F.when(F.col("spec_id") < 8, F.col("chart_type")),
+    })
+    counts = balance.feature_counts(s, {"compositions": "composition", "interactions": "interactions", "aggregations": "aggregation", "encoding_patterns": "pattern", "chart_categories": "category", "chart_types": "used"}, "spec_id")
+    return balance.diversity_constraints(counts, spark, "Interactive Charts", s.select("chart_type"), s.agg(F.count("*").alias("total")))
 
 
 _REPORT = f"""WITH {_COUNTS}, {_SCORES}, u AS (SELECT unnest(['chart_types', 'chart_types', 'domains']) AS dimension, unnest(['5-LOW', 'never used', 'social']) AS value), every AS (SELECT * FROM counts UNION ALL SELECT dimension, value, 0 FROM u WHERE (dimension, value) NOT IN (SELECT (dimension, value) FROM counts)),
@@ -490,15 +513,59 @@ def quality_specs(spark, d):
     return quality.validate_specs(checked, none, ok, "spec_id").select("spec_id", "satisfied", "passed")
 
 
-@query("quality_codes", "runs", "SELECT sample_id, CASE WHEN NOT code_renderable THEN 'EXEC_FAIL' WHEN best_score < 5 THEN 'KF_MISMATCH' ELSE '' END AS codes FROM fx")
+@query("quality_codes", "runs", """SELECT sample_id, array_to_string(list_filter([CASE WHEN NOT code_renderable THEN 'EXEC_FAIL' END, CASE WHEN sample_id % 9 = 0 THEN 'SEMANTIC_DRIFT' END, CASE WHEN fine AND best_score < 5 THEN 'KF_MISMATCH' END, CASE WHEN fine AND best_score < 3 THEN 'CONTRACT_VIOLATION' END,
+CASE WHEN fine AND best_score = 0 THEN 'INTERACT_DEGENERATE' END, CASE WHEN fine AND best_score >= 5 AND sample_id % 4 = 0 THEN 'VIS_UNREADABLE' END, CASE WHEN sample_id % 5 = 0 THEN 'AMB_WEAK' END, CASE WHEN sample_id % 7 = 0 THEN 'AMB_STRONG' END], lambda x: x IS NOT NULL), ',') AS codes FROM (SELECT *, code_renderable AND sample_id % 9 > 0 AS fine FROM fx)""")
 def quality_codes(spark, d):
-    r = fx(spark, d, "runs").withColumns({"exec_ok": F.col("code_renderable"), "features_ok": F.col("best_score") >= 5, "spec_ok": F.col("best_score") >= 5} | {c: F.lit(True) for c in ("anchor_ok", "contract_ok", "interaction_ok", "readable")} | {c: F.lit(False) for c in ("amb_weak", "amb_strong")})
+    score, k = F.col("best_score"), F.col("sample_id")
+    r = fx(spark, d, "runs").withColumns({
+        "exec_ok": F.col("code_renderable"), "anchor_ok": k % 9 > 0, "spec_ok": score >= 5, "features_ok": score >= 5, "contract_ok": score >= 3, "interaction_ok": score > 0, "readable": F.when(k % 4 == 0, False), "amb_weak": k % 5 == 0, "amb_strong": F.when(k % 7 == 0, True),
+    })
     return quality.failure_codes(r).select("sample_id", F.array_join("codes", ",").alias("codes"))
 
 
-@query("quality_feedback", "runs", "SELECT sample_id, CASE WHEN NOT code_renderable AND best_score < 5 THEN 'both' WHEN NOT code_renderable THEN 'sql' WHEN best_score < 5 THEN 'altair_code' ELSE 'none' END AS target FROM fx")
+def _some(*pairs: str) -> str:
+    """A list of texts, each under its condition: 'condition -> text' pairs."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {p.split(' -> ')[0]} THEN {p.split(' -> ')[1]} END" for p in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+def _advice(issues: str, table: list) -> str:
+    found = " || ".join(f"CASE WHEN len(list_filter({issues}, lambda x: regexp_matches(lower(x), '{'|'.join(words)}'))) > 0 THEN {advice!r} ELSE [] END".replace('"', "'") for words, advice in table)
+    return f"list_sort(list_distinct({found}))"
+
+
+_ISSUES = {
+    "data": _some("best_score = 0 -> 'Data is empty'", "best_score < 3 -> 'Too few rows'", "sample_id % 3 = 0 -> 'Too many null values'", "sample_id % 5 = 0 -> 'wrong type'"),
+    "vis": _some("sample_id % 2 = 0 -> 'contract: must have a Mark'", "sample_id % 3 = 1 -> 'color field is missing'", "sample_id % 7 = 0 -> 'selection unused'"),
+    "drawn": _some("sample_id % 11 = 0 -> 'labels are Cut Off'", "sample_id % 11 = 1 -> 'too dark'"),
+}
+
+
+@query("quality_feedback", "runs", f"""WITH r AS (SELECT *, {_ISSUES['data']} AS di, {_ISSUES['vis']} AS vi, {_ISSUES['drawn']} AS wi, NOT code_renderable AS bad, prompt_tokens % 4 < 2 AS lacking, sample_id % 6 = 0 AS broken, sample_id % 11 < 2 AS undrawn, CASE sample_id % 3 WHEN 0 THEN 'the legend is small' WHEN 1 THEN 'Colors lack Contrast' END AS said FROM fx)
+SELECT sample_id, bad OR lacking OR broken OR undrawn AS needs_iteration, CASE WHEN bad AND (lacking OR broken OR undrawn) THEN 'both' WHEN bad THEN 'sql' WHEN lacking OR broken OR undrawn THEN 'altair_code' ELSE 'none' END AS target, CASE WHEN bad THEN 'high' WHEN lacking OR broken OR undrawn THEN 'medium' ELSE 'low' END AS priority,
+CASE WHEN bad THEN array_to_string(list_filter(di, lambda x: regexp_matches(lower(x), 'row|column|empty|null')), '|') ELSE '' END AS sql_issues, CASE WHEN bad THEN array_to_string({_advice('di', fixed.ISSUE_ADVICE)}, '|') ELSE '' END AS sql_suggestions,
+array_to_string(CASE WHEN lacking THEN [concat('Key features: ', prompt_tokens % 4, '/2 satisfied')] ELSE [] END || CASE WHEN broken THEN list_filter(vi, lambda x: regexp_matches(lower(x), 'contract|must have')) ELSE [] END, '|') AS code_issues, CASE WHEN lacking THEN array_to_string({_advice('vi', fixed.CODE_ADVICE)}, '|') ELSE '' END AS code_suggestions,
+CASE WHEN lacking THEN concat('p', sample_id % 3) ELSE '' END AS missing_features, CASE WHEN undrawn THEN array_to_string(wi, '|') ELSE '' END AS visual_issues,
+CASE WHEN undrawn THEN array_to_string(list_sort({_advice("[coalesce(said, '')]", fixed.VISUAL_ADVICE)} || CASE WHEN contains(lower(coalesce(said, '')), 'color') AND regexp_matches(lower(said), 'contrast|distinguish') THEN ['{fixed.COLOR_ADVICE[0]}', '{fixed.COLOR_ADVICE[1].replace("'", "''")}'] ELSE [] END || CASE WHEN sample_id % 11 = 0 THEN {fixed.CLIPPING_ADVICE!r} ELSE [] END), '|') ELSE '' END AS visual_suggestions FROM r""")
 def quality_feedback(spark, d):
-    return quality.iteration_feedback(fx(spark, d, "runs").withColumns({"data_ok": F.col("code_renderable"), "vis_ok": F.col("best_score") >= 5})).select("sample_id", "target")
+    k, score = F.col("sample_id"), F.col("best_score")
+    texts = lambda *tests: F.array_compact(F.array(*(F.when(t, F.lit(s)) for t, s in tests)))
+    r = fx(spark, d, "runs").withColumns({
+        "data_ok": F.col("code_renderable"), "data_issues": texts((score == 0, "Data is empty"), (score < 3, "Too few rows"), (k % 3 == 0, "Too many null values"), (k % 5 == 0, "wrong type")),
+        "features_satisfied": F.col("prompt_tokens") % 4, "features_total": F.lit(2), "missing": F.array(F.concat(F.lit("p"), k % 3)), "contract_ok": k % 6 != 0,
+        "vis_issues": texts((k % 2 == 0, "contract: must have a Mark"), (k % 3 == 1, "color field is missing"), (k % 7 == 0, "selection unused")),
+        "drawn_ok": k % 11 >= 2, "drawn_issues": texts((k % 11 == 0, "labels are Cut Off"), (k % 11 == 1, "too dark")), "drawn_feedback": F.when(k % 3 == 0, "the legend is small").when(k % 3 == 1, "Colors lack Contrast"),
+    })
+    out = quality.iteration_feedback(r)
+    lists = ("sql_issues", "sql_suggestions", "code_issues", "code_suggestions", "missing_features", "visual_issues", "visual_suggestions")
+    return out.select("sample_id", "needs_iteration", "target", "priority", *(F.array_join(c, "|").alias(c) for c in lists))
+
+
+@query("quality_chart_gate", "runs", """SELECT sample_id, drawn AND judged AND len(issues) = 0 AS drawn_ok, array_to_string(CASE WHEN NOT drawn THEN ['Failed to render chart to image'] WHEN NOT judged THEN ['Validation of the image failed'] ELSE issues END, '|') AS drawn_issues FROM (SELECT *, code_renderable AS drawn, sample_id % 13 > 0 AS judged,
+list_filter([CASE WHEN coalesce(r, 0) < 0.7 THEN printf('Low readability score: %.2f < 0.7', coalesce(r, 0)) END, CASE WHEN sample_id % 5 = 0 THEN 'Data representation incorrect' END, CASE WHEN sample_id % 7 = 0 THEN 'crowded' END], lambda x: x IS NOT NULL) AS issues FROM (SELECT *, CASE WHEN best_score < 10 THEN best_score / 9.0::DOUBLE END AS r FROM fx))""")
+def quality_chart_gate(spark, d):
+    k = F.col("sample_id")
+    r = fx(spark, d, "runs").withColumns({"drawn": F.col("code_renderable"), "judged": k % 13 > 0, "readability": F.when(F.col("best_score") < 10, F.col("best_score") / 9), "data_correct": F.when(k % 5 == 0, False), "found": F.when(k % 7 == 0, F.array(F.lit("crowded")))})
+    return quality.gate_charts(r).select("sample_id", "drawn_ok", F.array_join("drawn_issues", "|").alias("drawn_issues"))
 
 
 @query("quality_suggestions", "runs", "SELECT sample_id, unnest(['Check table and column names for typos', 'Verify the WHERE conditions match existing data']) AS advice FROM fx WHERE best_score = 0")
@@ -553,12 +620,18 @@ def _review(spark, d):
     return s, s.where("seq % 3 < 2").select("sample_id", F.when(F.col("seq") % 3 == 0, "fail").otherwise("pass").alias("status"))
 
 
-@query("collection_finalized", "samples", "SELECT seq, concat('q', source_question_id, '_c', row_number() OVER (PARTITION BY source_question_id ORDER BY seq) - 1) AS sample_id FROM fx WHERE seq % 3 = 1")
+@query("collection_finalized", "samples", """SELECT concat('q', source_question_id, '_c', row_number() OVER (PARTITION BY source_question_id ORDER BY seq) - 1) AS sample_id, db_id, CASE WHEN seq % 2 = 0 THEN chart_type ELSE 'bar' END AS chart_type, CASE WHEN seq % 2 = 0 THEN chart_category WHEN seq % 5 = 0 THEN 'Interactive Charts' ELSE 'Bar Charts' END AS chart_category, concat('Q', seq) AS initial_question FROM fx WHERE seq % 3 = 1""")
 def collection_finalized(spark, d):
-    return collection.finalize_reviewed(*_review(spark, d)).select("seq", "sample_id")
+    """Samples with an odd number have no type and category of their own."""
+    s, review = _review(spark, d)
+    even = F.col("seq") % 2 == 0
+    feature = lambda kind, value: F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit("t").alias("text"))
+    features = F.when(F.col("seq") % 5 == 0, F.array(feature("mark", "bar"), feature("interaction", "brush"))).otherwise(F.array(feature("filter", "f"), feature("mark", "bar"), feature("mark", "line")))
+    s = s.withColumns({"chart_type": F.when(even, F.col("chart_type")), "chart_category": F.when(even, F.col("chart_category")), "key_features": features, "vis_question": F.concat(F.lit("Q"), F.col("seq"))})
+    return collection.finalize_reviewed(s, review).drop("key_features")
 
 
-@query("collection_review", "samples", "SELECT db_id, count(*) FILTER (seq % 3 = 1) AS passed, count(*) FILTER (seq % 3 = 0) AS failed, count(*) FILTER (seq % 3 = 2) AS pending FROM fx GROUP BY 1")
+@query("collection_review", "samples", "SELECT dimension, value, count(*) FILTER (seq % 3 = 1) AS passed, count(*) FILTER (seq % 3 = 0) AS failed, count(*) FILTER (seq % 3 = 2) AS pending FROM (SELECT seq, unnest(['all', 'db_id', 'chart_type', 'chart_category']) AS dimension, unnest(['all', db_id, chart_type, chart_category]) AS value FROM fx) GROUP BY ALL")
 def collection_review(spark, d):
     return collection.review_stats(*_review(spark, d))
 
@@ -783,13 +856,16 @@ def ambiguity_guidance(spark, d):
     return ambiguity.injection_guidance(profiles, "spec_id").select("spec_id", F.array_join("templates", ",").alias("templates"))
 
 
-@query("balance_ambiguity", "specs", f"""WITH v AS ({_TEMPLATES}), c AS (SELECT template AS value, count(*) AS n FROM v GROUP BY 1), u AS (SELECT unnest(range({len(fixed.AMBIGUITY_TEMPLATES)})) AS pos, unnest([{', '.join(repr(t[0]) for t in fixed.AMBIGUITY_TEMPLATES)}]) AS value),
-w AS (SELECT value, pos FROM u LEFT JOIN c USING (value) WHERE coalesce(n, 0) < 0.5 * (SELECT sum(n) FROM c) / (SELECT count(*) FROM u) ORDER BY pos LIMIT 4)
-SELECT 'ambiguity_templates' AS dimension, coalesce((SELECT string_agg(value, ',' ORDER BY pos) FROM w), '') AS prefer, coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM c WHERE n > 2 * (SELECT sum(n) / count(*) FROM c)), '') AS avoid UNION ALL SELECT 'ambiguity_types', 'DATA,VISUALIZATION', ''""")
+@query("balance_ambiguity", "specs", f"""WITH v AS ({_TEMPLATES}), c AS (SELECT 'ambiguity_templates' AS dimension, template AS value, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'ambiguity_types', unnest(['DATA', 'VISUALIZATION', 'INFO_COMPLETION']), unnest([5, 3, 0])),
+strong AS (SELECT CASE WHEN count(*) < 10 THEN 0.3 WHEN count(*) < 50 THEN 0.5 ELSE 0.7 END::DOUBLE AS strength FROM fx)
+SELECT dimension, coalesce(prefer, '') AS prefer, coalesce(array_to_string(string_split(CASE dimension WHEN 'ambiguity_types' THEN {_OVER.format('ambiguity_types', 10)} ELSE {_OVER.format('ambiguity_templates', 10)} END, ',')[1:2], ','), '') AS avoid, strength
+FROM ({_lists('ambiguity_types', fixed.AMBIGUITY_TYPES, '0.5', 2)} UNION ALL {_lists('ambiguity_templates', [t[0] for t in fixed.AMBIGUITY_TEMPLATES], '0.5', 4)}), strong""")
 def balance_ambiguity(spark, d):
-    valid = ambiguity.valid_templates(fx(spark, d, "specs"), "spec_id", "spec")
-    counts = valid.groupBy(F.lit("ambiguity_templates").alias("dimension"), F.col("template").alias("value")).agg(F.count("*").alias("n"))
-    return balance.ambiguity_constraints(counts, spark)
+    """Templates of many specifications, and types of which fewer than ten were used."""
+    s = fx(spark, d, "specs")
+    counts = ambiguity.valid_templates(s, "spec_id", "spec").groupBy(F.lit("ambiguity_templates").alias("dimension"), F.col("template").alias("value")).agg(F.count("*").alias("n"))
+    types = s.limit(1).select(F.lit("ambiguity_types").alias("dimension"), F.inline(F.array(*(F.struct(F.lit(v).alias("value"), F.lit(n).cast("long").alias("n")) for v, n in (("DATA", 5), ("VISUALIZATION", 3), ("INFO_COMPLETION", 0))))))
+    return balance.ambiguity_constraints(counts.union(types), spark, total=s.agg(F.count("*").alias("total")))
 
 
 @query("eval_skip", "judgments", f"SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE code_pass END AS code_pass, sample_id % 3 <> 0 AND merge_strict AS merge_strict FROM {_SCORED}")

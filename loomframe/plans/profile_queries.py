@@ -328,6 +328,6 @@ def stream_dedup(spark, d):
 @query("stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark, d):
     path = state_path(spark, "stream")
-    q = streams.stream_upsert(_stream(spark, d).select("user_id", "event_id"), f"{path}/table", f"{path}/state", "user_id", "event_id")
-    q.awaitTermination()
-    return streams.read_upserted(spark, f"{path}/table")
+    rows = _stream(spark, d).select("user_id", "event_id")
+    streams.stream_upsert(rows, f"{path}/table", f"{path}/state", "user_id", "event_id").awaitTermination()
+    return streams.read_upserted(spark, f"{path}/table", rows.schema, "user_id")

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import collection, shaping, sketches
 from ..operators import profiling as p
-from ..operators import shaping, sketches
+from ..sources import bucketed
+from ..sources.scratch import state_path
 from ..sources.tables import read_table as t
+from ..sources.versioned import VersionedTable
+from ..streaming import balance_stream
+from .fixtures import fx, with_fx
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -63,3 +68,44 @@ def shape_approx_agg(spark, d):
 def profile_footers(spark, d):
     found = p.footer_stats(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"])
     return found.withColumns({c: F.col(c).cast("double") for c in ("low", "high")})
+
+
+# --- versioned and bucketed tables
+
+
+@query("table_versions", "SELECT l_suppkey, max(l_orderkey * 10 + l_linenumber) AS place, 5 AS n_batches FROM lineitem WHERE l_orderkey % 7 < 5 GROUP BY 1")
+def table_versions(spark, d):
+    """Five batches, of which two come twice, merged by supplier: the last line stays, and a batch that repeats does nothing."""
+    lines = t(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_orderkey") % 7).alias("batch"))
+    table = VersionedTable(spark, state_path(spark, "versions"), "l_suppkey", buckets=4)
+    for k in (0, 1, 0, 2, 3, 1, 4):
+        table.merge(lines.where(F.col("batch") == k).drop("batch"), f"batch {k}", "place")
+    table.vacuum()
+    return table.read(lines.drop("batch").schema).withColumn("n_batches", F.lit(len(table.snapshot().batches)))
+
+
+@query("collection_bucketed", with_fx("samples", "SELECT c_custkey AS question_id, greatest(10 - coalesce(n, 0), 0) AS remaining FROM customer LEFT JOIN (SELECT source_question_id, count(*) AS n FROM fx WHERE validation_passed GROUP BY 1) ON source_question_id = c_custkey WHERE greatest(10 - coalesce(n, 0), 0) > 0"))
+def collection_bucketed(spark, d):
+    """What is left to do, from samples and questions that are kept in buckets: neither side is shuffled."""
+    tag = state_path(spark, "b")[-12:]
+    questions = bucketed.write_bucketed(t(spark, d, "customer").select(F.col("c_custkey").alias("question_id")), f"questions_{tag}", "question_id")
+    samples = bucketed.write_bucketed(fx(spark, d, "samples").select("sample_id", "source_question_id", "validation_passed"), f"samples_{tag}", "source_question_id")
+    return collection.remaining_work(questions, collection.existing_samples(samples), 10)
+
+
+# --- the balance as a stream
+
+
+@query("stream_balance", """WITH e AS (SELECT *, max(ts) OVER () AS last FROM events WHERE event_type IS NOT NULL)
+SELECT event_type AS value, count(*) + count(*) FILTER (event_id % 80 = 0) AS n, count(*) FILTER (event_id % 80 = 40 AND ts + INTERVAL 1 HOUR > last - INTERVAL 10 MINUTE) AS reserved FROM e GROUP BY 1""")
+def stream_balance(spark, d):
+    """Every event is a sample, one in forty a reservation too; half of these are committed, and the others expire."""
+    events = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    row = lambda kind, ts: F.struct(F.lit(kind).alias("kind"), ts.alias("at"))
+    some = F.when(F.col("event_id") % 80 == 0, F.array(row("sample", F.col("ts")), row("reserve", F.col("ts")), row("commit", F.col("ts") + F.expr("INTERVAL 1 SECOND")))).when(F.col("event_id") % 80 == 40, F.array(row("sample", F.col("ts")), row("reserve", F.col("ts")))).otherwise(F.array(row("sample", F.col("ts"))))
+    rows = events.select(F.col("event_id").alias("id"), F.lit("event_types").alias("dimension"), F.col("event_type").alias("value"), F.col("event_id").cast("string").alias("reservation_id"), F.explode(some).alias("r"))
+    path = state_path(spark, "balance")
+    balance_stream.run_balance(rows.select("id", F.col("r.at").alias("ts"), "dimension", "value", F.col("r.kind").alias("kind"), "reservation_id", F.lit(1).alias("n")), path)
+    both = balance_stream.read_balance(spark, path)
+    fixed = balance_stream.read_balance(spark, path, with_reserved=False).select(F.col("value").alias("v"), F.col("n").alias("fixed"))
+    return both.join(fixed, F.col("value") == F.col("v")).select("value", F.col("fixed").alias("n"), (F.col("n") - F.col("fixed")).alias("reserved"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.versioned import VersionedTable
+
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -45,35 +47,27 @@ def stream_sessions(df: DataFrame, ts: str, keys: list[str], gap: str = "30 minu
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
-#: Parts of a table that batches are merged into.
-BUCKETS = 64
-
-
-def read_upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The table that last_wins_sink keeps: each bucket in its latest version, or the latest before a batch."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    rows = rows if before is None else rows.where(F.col("__v") < before)
-    # a row for each bucket; the join prunes the versions that are read
-    latest = rows.groupBy("__bucket").agg(F.max("__v").alias("__v"))
-    return rows.join(F.broadcast(latest), ["__bucket", "__v"], "left_semi").drop("__bucket", "__v")
+#: Parts of a table that batches are merged into, and its versions that stay readable.
+BUCKETS, KEPT_VERSIONS = 64, 3
 
 
 def last_wins_sink(path: str, key: str, order: str, buckets: int = BUCKETS):
-    """For foreachBatch: a batch is merged into those buckets of the table that its keys fall into, a key's last row
-    staying; the others are left alone. A batch that is run again writes the same version again."""
+    """For foreachBatch: a batch is merged into those buckets of a versioned table that its keys fall into, a key's last row
+    staying; the others are left alone. A batch that is run again changes nothing, and files of old versions are deleted."""
 
-    def write(batch: DataFrame, version: int) -> None:
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        rows = batch.withColumn("__bucket", bucket)
-        if version > 0:
-            touched = [r[0] for r in rows.select("__bucket").distinct().collect()]  # at most the number of buckets
-            rows = rows.unionByName(read_upserted(batch.sparkSession, path, version).withColumn("__bucket", bucket).where(F.col("__bucket").isin(touched)))
-        last = rows.groupBy("__bucket", key).agg(F.max_by(F.struct(*batch.columns), order).alias("__row")).select("__row.*", "__bucket")
-        last.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/__v={version}")
+    def write(batch: DataFrame, number: int) -> None:
+        table = VersionedTable(batch.sparkSession, path, key, buckets)
+        if table.merge(batch, f"batch {number}", order):
+            table.vacuum(KEPT_VERSIONS)
 
     return write
 
 
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """The table that last_wins_sink keeps, in its latest version."""
+    return VersionedTable(spark, path, key, buckets).read(schema)
+
+
 def stream_upsert(df: DataFrame, path: str, checkpoint: str, key: str, order: str):
     return df.writeStream.foreachBatch(last_wins_sink(path, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -35,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """In as many tasks as so many rows need, or fewer: shuffles of small steps leave partitions that hold next to nothing,
+    and a Python worker and a file for each of them take longer than their rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize wrote, once what was read from them is written itself."""
     for table in tables:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, sized
+
+#: Edges that one task writes in a round, and is asked for by a round of few edges.
+EDGES_EACH = 100_000
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,12 +20,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     folder and the one before deleted; their number grows with the logarithm of the number of edges.
     """
     a, b = edges.columns
-    now = materialize(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
+    first = _ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    now = materialize(sized(first, edges.count(), EDGES_EACH), "edges")
     for _ in range(rounds):
         if _are_stars(now):
             ends = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)
-        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(sized(_small_star(_large_star(now)), now.count(), EDGES_EACH), "edges")
         discard(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, chunks, discard, materialize, mix64, seeds, shingle_hashes
+from .common import by_group, chunks, discard, materialize, mix64, seeds, shingle_hashes, sized
 from .graph import components
 
 THRESHOLD = 0.8
@@ -51,6 +51,8 @@ ABSORB = SETTLED + CANDIDATE - TOKENS
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Rows of a block that are compared at once.
 STRIP = 128
+#: Rows of a level that one task takes, where a level has few, and links that one writes.
+ROWS_EACH, LINKS_EACH = 20_000, 100_000
 
 _U = np.uint64
 
@@ -181,9 +183,9 @@ def _lowest(similar: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def leaf_links(leaves: DataFrame) -> DataFrame:
-    """Candidate links (a, b) of small buckets, from rows of path, cid and sketch. Buckets come one after another, so that
-    a task holds a batch of rows and the bucket that goes on in the next one."""
+def leaf_links(leaves: DataFrame, rows: int) -> DataFrame:
+    """Candidate links (a, b) of small buckets, from at most so many rows of path, cid and sketch. Buckets come one after
+    another, so that a task holds a batch of rows and the bucket that goes on in the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -198,8 +200,8 @@ def leaf_links(leaves: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield _links_of(held)
 
-    rows = leaves.select("path", "cid", "sketch").repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(run, "a long, b long")
+    dealt = sized(leaves.select("path", "cid", "sketch").repartition("path"), rows, ROWS_EACH).sortWithinPartitions("path")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _links_of(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,7 +248,7 @@ def _split(rows: DataFrame) -> DataFrame:
 def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Candidate links (a, b) between classes with cid and sketch."""
     sketch_of = classes.select("cid", "sketch")
-    runs = runs_for(recall, DEPTH)
+    runs, n_classes = runs_for(recall, DEPTH), classes.count()
     now, most, links, families = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, [], None
     while True:
         found, deep, tables = _links_of_runs(now, sketch_of, most, families)
@@ -255,7 +257,7 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
             break
         # classes of buckets that were split deeper than theirs so far take part in the runs that this depth needs
         reached = reduce(DataFrame.union, deep).groupBy("cid").agg(F.max("depth").alias("reached"))
-        deeper = materialize(reached.join(now, "cid").where("reached > depth"), "deeper")
+        deeper = materialize(sized(reached.join(now, "cid").where("reached > depth"), n_classes, ROWS_EACH), "deeper")
         discard(*tables)
         top = deeper.agg(F.max("reached")).first()[0]
         if top is None:
@@ -264,7 +266,7 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
         now = deeper.select("cid", "sketch", F.col("end_run").alias("first_run"), needed[F.col("reached")].alias("end_run"), F.col("reached").alias("depth"))
         most = runs_for(recall, top)
         # a family is compared exactly later on, so further runs are for pairs of different ones
-        families = materialize(_families_so_far(reduce(DataFrame.union, links)), "families-so-far")
+        families = materialize(sized(_families_so_far(reduce(DataFrame.union, links)), n_classes, LINKS_EACH), "families-so-far")
     return reduce(DataFrame.union, links)
 
 
@@ -289,16 +291,19 @@ def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families
         members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
-        members = materialize(members.select("path", "cid", "n", "pivot", "sketch"), "members")
-        near, large = leaf_links(members.where(F.col("n") <= LEAF)), members.where(F.col("n") > LEAF)
+        most_rows = paths.count()
+        members = materialize(sized(members.select("path", "cid", "n", "pivot", "sketch"), most_rows, ROWS_EACH), "members")
+        most_rows = members.count()
+        near, large = leaf_links(members.where(F.col("n") <= LEAF), most_rows), members.where(F.col("n") > LEAF)
         split = None
         if not large.isEmpty():
             pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
-            split = materialize(_split(large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")), "split")
+            met = large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")
+            split = materialize(_split(sized(met, most_rows, ROWS_EACH)), "split")
             tables.append(split)
             absorbed = split.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
             near = near.union(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct())
-        links.append(materialize(near, "links"))
+        links.append(materialize(sized(near, most_rows, LINKS_EACH) if split is not None else near, "links"))
         discard(members)
         if split is None:
             break
@@ -390,17 +395,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     n_links how many other rows a row is linked to directly, copies the rows with its very set."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5"), F.col(text).alias("text"))
     rows = materialize(with_sketches(rows), "sketches")
+    n_rows = rows.count()
     sets = rows.where("n > 0").groupBy("one", "two").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.struct("uid", "id", "text_md5", "sketch")).alias("first"))
-    classes = materialize(sets.select("one", "two", "copies", "n", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), "classes")
+    classes = materialize(sized(sets.select("one", "two", "copies", "n", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), n_rows, ROWS_EACH), "classes")
 
     families = components(candidate_links(classes, recall)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    families = materialize(families.join(classes.select("cid", "n", "copies", "id", "text_md5"), "cid"), "families")
+    families = materialize(sized(families.join(classes.select("cid", "n", "copies", "id", "text_md5"), "cid"), n_rows, ROWS_EACH), "families")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     members = families.join(families.groupBy("family").agg(blocks.alias("blocks")), "family")
 
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
     found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "blocks", "cid", "copies", "text")
-    blocks = _in_blocks(_with_shingles(found.dropDuplicates(["cid"]))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    n_members = families.count()
+    blocks = _in_blocks(_with_shingles(sized(found.dropDuplicates(["cid"]), n_members, BLOCK))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     results = materialize(compared(blocks, threshold), "compared")
     # a family in one block is settled there; the others' blocks are put together
     split = results.where("many and low < cid").select("cid", F.col("low").alias("b"))
@@ -412,7 +419,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     per_class = per_class.select("one", "two", "copies", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
     base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(per_class, ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies", "n_shingles")
     alone = rows.where("n = 0").select("uid", "id", "text_md5", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.lit(0).alias("n_shingles"))
-    every = materialize(base.union(alone), "grouped")
+    every = materialize(sized(base.union(alone), n_rows, ROWS_EACH), "grouped")
     least = every.groupBy("component").agg(F.min("id").alias("group_id"), F.min("uid").alias("group_uid"))
     return every.join(least, "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies", "n_shingles")
 

@@ -27,11 +27,14 @@ from pyspark.sql import types as T
 from .common import materialize
 
 UNKNOWN = "und"
-#: The fit's sample: labelled texts of each language at most, in expectation, and letters of a word at most.
+#: The fit's sample: labelled texts of each language at most, in expectation; different texts, one at least.
 SAMPLE_PER_LANGUAGE = 400
-LONGEST_LEARNT = 64
-#: Words of more letters are scored one by one, with a band of the forward pass.
+#: Words of more letters are taken one by one, with a band of the passes, so that places times words stay few.
 LONGEST_TOGETHER = 64
+#: Places after which sums are scaled: with the longest piece before them they stay far from the least number.
+SCALED_EVERY = 16
+#: Places of the words that are held together.
+CELLS = 128_000
 ROUNDS = 4
 SMOOTHING = 0.05
 #: The probability of a letter that no piece covers.
@@ -117,34 +120,46 @@ class Lattice:
                 if (found != index.none).any():
                     self.piece[a, z] = found
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sum over the segmentations of each prefix: places by words by languages. p: pieces by languages, and a row
-        each for a stray letter and for no piece."""
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum over the segmentations of each prefix, and the logarithm of its scale): places by words by languages.
+        p: pieces by languages, and a row each for a stray letter and for no piece."""
         alpha = np.zeros((self.width + 1, len(self.order), p.shape[1]))
+        logs, scale = np.zeros_like(alpha), np.zeros(alpha.shape[1:])
         alpha[0] = 1
         for z in range(1, self.width + 1):
             n = self.alive[z]
             for a in range(max(0, z - self.longest), z):
                 if (a, z) in self.piece:
                     alpha[z, :n] += alpha[a, :n] * p[self.piece[a, z]]
-        return alpha
+            first = z
+            if z % SCALED_EVERY == 0:
+                # places that later ones reach back to go into the new scale
+                first, by = max(0, z + 1 - self.longest), alpha[z, :n].copy()
+                alpha[first : z + 1, :n] /= by
+                scale[:n] += np.log(by)
+            logs[first : z + 1, :n] = scale[:n]
+        return alpha, logs
 
     def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        out = np.empty((len(self.order), p.shape[1]))
-        out[self.order] = np.log(self.forward(p)[self.last, np.arange(len(self.order))] + 1e-300)
+        out, every = np.empty((len(self.order), p.shape[1])), np.arange(len(self.order))
+        alpha, logs = self.forward(p)
+        out[self.order] = np.log(alpha[self.last, every]) + logs[self.last, every]
         return out
 
     def expected(self, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by language; times: occurrences of words by language."""
-        alpha, every = self.forward(p), np.arange(len(self.order))
-        beta = np.zeros_like(alpha)
-        beta[self.last, every] = times[self.order] / (alpha[self.last, every] + 1e-300)
+        (alpha, logs), every = self.forward(p), np.arange(len(self.order))
+        beta = np.zeros_like(alpha)  # in the inverse scale of alpha's
+        beta[self.last, every] = times[self.order] / alpha[self.last, every]
         out = np.zeros_like(p)
         for z in range(self.width, 0, -1):
             n = self.alive[z]
             for a in range(max(0, z - self.longest), z):
                 if (a, z) in self.piece:
                     part = beta[z, :n] * p[self.piece[a, z]]
+                    apart = logs[a, :n] - logs[z, :n]
+                    if apart.any():
+                        part *= np.exp(apart)
                     beta[a, :n] += part
                     part *= alpha[a, :n]
                     for k in range(p.shape[1]):
@@ -152,14 +167,23 @@ class Lattice:
         return out
 
 
-def long_log_likelihood(word: str, index: PieceIndex, p: np.ndarray, step: int = 4096) -> np.ndarray:
-    """The same for one long word by language: only the last places of the forward pass are held, scaled as it goes."""
+def banded(words: list[str]) -> Iterator[list[str]]:
+    """Words by length, in groups of few places; a word of more than LONGEST_TOGETHER letters is a group of its own."""
+    group: list[str] = []
+    for w in sorted(words, key=lambda w: (len(w), w)):
+        if group and (len(w) > LONGEST_TOGETHER or (len(w) + 2) * (len(group) + 1) > CELLS):
+            yield group
+            group = []
+        group.append(w)
+    if group:
+        yield group
+
+
+def _long_pieces(word: str, index: PieceIndex, step: int) -> Iterator[np.ndarray]:
+    """For each place of a long word the pieces that end there, by length."""
     marked = _MARK + word
     size, wide = len(marked), index.longest
     codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    band = np.zeros((wide, p.shape[1]))  # the places before, the last one first
-    band[0] = 1
-    scale = np.zeros(p.shape[1])
     for begin in range(0, size, step):
         ends = np.arange(begin + 1, min(size, begin + step) + 1)
         pieces = np.full((len(ends), wide), index.none, np.int32)
@@ -172,12 +196,61 @@ def long_log_likelihood(word: str, index: PieceIndex, p: np.ndarray, step: int =
             stray = (ends[at] > n) if n == 1 else (ends[at] == n) & (n == 2)
             found[stray & (found == index.none)] = index.stray
             pieces[at, n - 1] = found
+        yield pieces
+
+
+def _long_forward(word: str, index: PieceIndex, p: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each place its pieces and what the sum over the segmentations grows by, in a band of the last places. The sum at the
+    mark alone may be nothing: it counts as the place before it, where only pieces from the word's start end."""
+    band = np.zeros((index.longest, p.shape[1]))  # the places before, the last one first
+    band[0] = 1
+    for pieces in _long_pieces(word, index, step):
         for row in pieces:
-            alpha = (band * p[row]).sum(0) + 1e-300
-            scale += np.log(alpha)
-            band[1:] = band[:-1] / alpha
-            band[0] = 1
-    return scale
+            alpha = (band * p[row]).sum(0)
+            ahead = np.where(alpha > 0, alpha, 1.0)
+            yield row, ahead
+            band[1:] = band[:-1] / ahead
+            band[0] = alpha > 0
+
+
+def long_log_likelihood(word: str, index: PieceIndex, p: np.ndarray, step: int = 4096) -> np.ndarray:
+    """The same for one long word by language: only the last places of the forward pass are held, scaled as it goes."""
+    return sum((np.log(c) for _, c in _long_forward(word, index, p, step)), np.zeros(p.shape[1]))
+
+
+def long_expected(word: str, index: PieceIndex, p: np.ndarray, times: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Expected uses of each piece in one long word by language; times: its occurrences by language. The way back needs each
+    place's growth, and the chance that a segmentation has a boundary there, in a band of places."""
+    rows, growth = zip(*((row, c) for row, c in _long_forward(word, index, p, step)), strict=True)
+    growth, wide, size = np.array(growth), index.longest, len(rows)
+    out = np.zeros_like(p)
+    chance = np.zeros((size + 1, p.shape[1]))
+    chance[size] = times
+    dead = p[rows[0][0]] == 0  # nothing ends at the mark alone
+    for z in range(size, 0, -1):
+        n = min(wide, z)
+        # the sums of the places before z, nearest first, over that of the nearest
+        before = np.concatenate([np.ones((1, p.shape[1])), 1 / np.cumprod(growth[z - n : z - 1][::-1], 0)])
+        if 2 <= z < n + 2:
+            before[z - 2, dead] = 0
+        part = before * p[rows[z - 1][:n]] / growth[z - 1]
+        part *= chance[z]
+        for k in range(p.shape[1]):
+            out[:, k] += np.bincount(rows[z - 1][:n], part[:, k], minlength=len(p))
+        chance[z - n : z] += part[::-1]
+    return out
+
+
+_indexes: dict[int, PieceIndex] = {}
+
+
+def shared_index(pieces: list[str]) -> PieceIndex:
+    """The index of a vocabulary, built once a worker."""
+    key = hash(tuple(pieces))
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = PieceIndex(pieces)
+    return _indexes[key]
 
 
 class Model:
@@ -194,14 +267,13 @@ class Model:
 
     def learn(self, words: set[str]) -> None:
         """Put the likelihoods of new words into the cache."""
-        self.index = self.index or PieceIndex(self.pieces)
+        self.index = self.index or shared_index(self.pieces)
         fresh = sorted(words - self.cache.keys())
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.clear()
             fresh = sorted(words)
         tables = [self.table]
-        for k in range(0, len(fresh), 4000):
-            part = fresh[k : k + 4000]
+        for part in banded(fresh):
             tables.append(Lattice(part, self.index).log_likelihood(self.p))
             for w in part:
                 self.cache[w] = len(self.cache)
@@ -238,16 +310,17 @@ def expected_uses(words: DataFrame, languages: list[str], pieces: list[str], p:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, p = sent.value
-        index, place = PieceIndex(pieces), {k: i for i, k in enumerate(languages)}
+        index, place = shared_index(pieces), {k: i for i, k in enumerate(languages)}
         use = np.zeros_like(p)
         for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
-                times: dict[str, np.ndarray] = {}
-                for lang, w, n in zip(part.column("lang").to_pylist(), part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
-                    times.setdefault(w, np.zeros(len(languages)))[place[lang]] += n
-                names = sorted(times)
-                use += Lattice(names, index).expected(p, np.array([times[w] for w in names]))
+            times: dict[str, np.ndarray] = {}
+            for lang, w, n in zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                times.setdefault(w, np.zeros(len(languages)))[place[lang]] += n
+            for part in banded(list(times)):
+                if len(part[0]) > LONGEST_TOGETHER:
+                    use += long_expected(part[0], index, p, times[part[0]])
+                else:
+                    use += Lattice(part, index).expected(p, np.array([times[w] for w in part]))
         piece, lang = np.nonzero(use[:-2])
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(use[piece, lang], pa.float64())], ["piece", "lang", "uses"])
 
@@ -271,23 +344,28 @@ def fit_words(words: DataFrame, languages: list[str], pieces: list[str]) -> Mode
 
 
 def fit(docs: DataFrame, model_path: str, lang: str = "lang", text: str = "text", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on a sample of the labelled texts, drawn by a hash of the text."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    parts, share = 1 << 24, F.lit(0)
-    for k, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == k, int(parts * min(1.0, sample / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.md5("text")), F.lit(parts)) < share)
+    """Fit on a sample of the labelled texts, drawn by a hash of the text among different texts, one of each language at
+    least. A text that repeats is learnt once a language, however many rows have it."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.md5(text).alias("key"))
+    # two numbers and a digest for each language
+    sizes = known.groupBy("lang", "key").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("least")).collect()
+    parts, drawn = 1 << 24, F.lit(False)
+    for r in sorted(sizes, key=lambda r: r["lang"]):
+        share = int(parts * min(1.0, sample / r["n"]))
+        drawn = F.when(F.col("lang") == r["lang"], (F.pmod(F.xxhash64("key"), F.lit(parts)) < share) | (F.col("key") == r["least"])).otherwise(drawn)
+    chosen = known.where(drawn).groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
             for k, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.update((k, w) for w in words_of(t) if len(w) <= LONGEST_LEARNT)
+                counts.update((k, w) for w in words_of(t))
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array([counts[x] for x in keys], pa.int64())], ["lang", "word", "n"])
 
-    words = materialize(chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counted = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # a few thousand words, but each is much work: all cores take part in every round
+    words = materialize(counted.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word"), "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     return fit_words(words, languages, vocabulary(model_path))
 

@@ -79,10 +79,10 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH item_words AS (SELECT item_id, row_number() OVER () AS item_row, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 doc_words AS (SELECT doc_id, row_number() OVER () AS doc_row, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
-item_sets AS (SELECT DISTINCT item_id, item_row, array_to_string(w[i:i + 4], ' ') AS s FROM item_words, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
-doc_sets AS (SELECT DISTINCT doc_id, doc_row, array_to_string(w[i:i + 4], ' ') AS s FROM doc_words, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+item_sets AS (SELECT DISTINCT item_id, item_row, least(5, len(w)) AS k, array_to_string(w[i:i + 4], ' ') AS s FROM item_words, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+doc_sets AS (SELECT DISTINCT doc_id, doc_row, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM doc_words, (SELECT DISTINCT k FROM item_sets) AS lengths, unnest(range(1, greatest(1, len(w) - k + 2))) AS u(i)),
 sizes AS (SELECT item_row, count(*) AS n_item FROM item_sets GROUP BY item_row),
-shared AS (SELECT doc_id, doc_row, item_id, item_row, count(*) AS n_shared FROM doc_sets JOIN item_sets USING (s) GROUP BY ALL)
+shared AS (SELECT doc_id, doc_row, item_id, item_row, count(*) AS n_shared FROM doc_sets JOIN item_sets USING (s, k) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_row) WHERE n_shared >= ceil(0.8 * n_item - 1e-9)
 """
 

@@ -216,6 +216,59 @@ def test_langid_long_words():
     assert lang in "abc" and 0 <= score <= 1
 
 
+def test_langid_sums_of_any_length():
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    index, p = langid.PieceIndex(pieces), rng.random((len(pieces) + 2, 2)) * 1e-4
+    p[-2:] = [[langid.STRAY] * 2, [0] * 2]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßñ\U00010330\U00010331\u0f40\u0f41"
+    words = ["".join(rng.choice(list(letters), n)) for n in range(1, 201)] + ["\U00010330" * n for n in (1, 38, 64, 65, 200)]
+    every = langid.Lattice(words, index).log_likelihood(p)
+    assert np.isfinite(every).all() and every[-1].max() < -3000
+    for w, got in zip(words, every, strict=True):
+        assert np.allclose(langid.long_log_likelihood(w, index, p), got) and np.allclose(langid.Lattice([w], index).log_likelihood(p)[0], got)
+    times = rng.integers(0, 5, (len(words), 2)).astype(float)
+    uses = sum(langid.long_expected(w, index, p, t, 7) for w, t in zip(words, times, strict=True))
+    assert np.allclose(langid.Lattice(words, index).expected(p, times), uses, atol=1e-9)
+    assert [w for g in langid.banded(words) for w in g] == sorted(words, key=lambda w: (len(w), w)) and all(len(g) == 1 for g in langid.banded(words) if len(g[0]) > 64)
+
+
+def test_langid_loses_no_language(spark):
+    rows = [(k, "the very same text of all rows", "en") for k in range(3000)] + [(k, f"der text nummer {k} ist ein anderer", "de") for k in range(500)] + [(0, "x" * 70 + "donaudampfschiff" * 8, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), sample=5)
+    assert model.languages == ["de", "en", "long"]
+    assert next(model.predict(["donaudampfschiff" * 8]))[0] == "long" and next(model.predict(["the very same"]))[0] == "en"
+
+
+def test_langid_query_by_brute_force(spark):
+    """Fit and prediction of a small table against sums over all segmentations, written out."""
+    pieces = ["▁a", "▁b", "a", "b", "ab", "▁ab", "ba"]
+    texts = [("x", "ab ab aab"), ("y", "ba bba b"), ("x", "aab"), ("y", "bab ba")]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    words = docs.select("lang", F.explode(F.split("text", " ")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    model = langid.fit_words(words, ["x", "y"], pieces)
+
+    def total(w, k):
+        def rec(a):
+            if a == len(w):
+                return 1.0
+            out = 0.0
+            for z in range(a + 1, len(w) + 1):
+                if w[a:z] in pieces:
+                    out += model.p[pieces.index(w[a:z]), k] * rec(z)
+                elif z == a + 1 and a or (a, z) == (0, 2):
+                    out += langid.STRAY * rec(z)
+            return out
+        return rec(0)
+
+    asked = ["ab", "ba ba", "abc c", "aabb", "bbbaaab", "ñ"]
+    rows = langid.predict(spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "doc_id long, text string"), model, ["doc_id"]).collect()
+    for r in rows:
+        logs = [sum(np.log(total("▁" + w, k)) for w in asked[r.doc_id].split()) for k in (0, 1)]
+        assert r.lang_pred == "xy"[int(np.argmax(logs))] and abs(r.score - 1 / sum(np.exp(x - max(logs)) for x in logs)) < 1e-9
+
+
 def test_langid_fit_is_expectation_maximisation(spark):
     words = [("x", "the", 3), ("x", "then", 1), ("y", "het", 5), ("y", "the", 1)]
     pieces = ["▁t", "▁th", "he", "h", "e", "▁the", "t", "n", "▁h"]
@@ -404,19 +457,19 @@ def test_containment_by_brute_force(spark):
     rng = random.Random(7)
     words = ["w%d" % k for k in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(k, text(rng.randint(1, 60))) for k in range(30)] + [(90, None), (91, ""), (92, "one two"), (92, "one two")]
+    items = [(k, text(rng.randint(1, 60))) for k in range(30)] + [(90, None), (91, ""), (92, "one two"), (92, "one two"), (93, "Hello brave world"), (94, "w7"), (95, "one, two three four"), (95, "five six")]
     docs = [(k, text(rng.randint(0, 400))) for k in range(60)]
     for k in range(40):
         w = (items[k % 30][1] or "").split()
         cut = rng.randint(0, max(0, len(w) // 3))
         docs.append((100 + k, text(150) + " " + " ".join(w[cut:]).upper() + "! " + text(150)))
-    docs += [(200, "One, two."), (200, "One, two."), (201, None), (202, ""), (203, text(30_000) + " " + items[3][1] + " " + text(30_000))]
+    docs += [(200, "One, two."), (200, "One, two."), (204, "I say hello brave WORLD to you"), (205, "hello brave"), (206, text(40) + " one two three four five " + text(9)), (201, None), (202, ""), (203, text(30_000) + " " + items[3][1] + " " + text(30_000))]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = []
     for d, t in docs:
-        own = decontaminate.exact_shingles(t)
         for i, x in items:
             s = decontaminate.exact_shingles(x)
+            own = decontaminate.exact_shingles(t, min(5, len(next(iter(s))))) if s else set()
             if s and len(s & own) >= 0.8 * len(s) - 1e-9:
                 want.append((d, i, len(s), len(s & own)))
     got = sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contained(*frames).collect())

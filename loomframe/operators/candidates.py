@@ -120,6 +120,8 @@ def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> D
     written below the checkpoint folder after each round."""
     me = F.struct("pos", *COMPARED)
     zero = F.lit(0.0)
+    # what makes the candidates is computed once, and not again in every round
+    candidates = _stored(candidates, "candidates")
     taken = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min_by(me, "pos").alias("c")).select(key, "size", F.array(F.struct("c", zero.alias("score"))).alias("taken"))
     for _ in range(1, n):
         taken = _stored(taken, "taken")

@@ -165,9 +165,10 @@ def chart_brush_legend(spark, d):
     return c.interact(c.interact(t(spark, d, "lineitem"), "brush", {"l_quantity": (5, 20)}), "legend", {"l_returnflag": ["A", "R"]}).agg(F.count("*").alias("n"))
 
 
-@query("chart_agg_alias", "SELECT event_id, CASE event_type WHEN 'x' THEN 'SUM' ELSE 'COUNT' END AS kind FROM events")
+@query("chart_agg_alias", "SELECT event_id, ['SUM', 'AVG', 'AVG', 'AVG', 'COUNT', 'MAX', 'MIN', 'MEDIAN', 'DISTINCT', 'COUNT', 'COUNT'][event_id % 11 + 1] AS kind FROM events")
 def chart_agg_alias(spark, d):
-    return t(spark, d, "events").select("event_id", c.agg_alias(F.col("event_type")).alias("kind"))
+    names = F.array(*(F.lit(n) for n in ("Sum", "avg", "AVERAGE", "mean", "count", "Max", "min", "Median", "distinct", "mode", None)))
+    return t(spark, d, "events").select("event_id", c.agg_alias(F.element_at(names, (F.col("event_id") % 11 + 1).cast("int"))).alias("kind"))
 
 
 @query("chart_candidate_query", "SELECT c_mktsegment, n_name, round(avg(c_acctbal), 6) AS avg_c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

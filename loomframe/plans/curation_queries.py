@@ -213,11 +213,12 @@ def spec_interaction_valid(spark, d):
     return fx(spark, d, "specs").select("spec_id", specs.interaction_valid(F.col("spec")).alias("valid"))
 
 
-@query("spec_inline_data", sql="SELECT o_custkey AS spec_id, len(v[1:5])::INT AS kept, len(v)::INT AS original FROM (SELECT o_custkey, list(o_orderkey) AS v FROM orders GROUP BY 1)")
+@query("spec_inline_data", sql="SELECT o_custkey AS spec_id, array_to_string(list_transform(v[1:5], lambda x: concat('{\"k\":', x, '}')), ',') AS kept, len(v)::INT AS original FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY 1)")
 def spec_inline_data(spark, d):
-    rows = src.read_table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct("o_orderkey")).alias("values")).alias("data"))).alias("spec"))
+    values = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.struct(k.alias("k")))
+    rows = src.read_table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(values.alias("values")).alias("data"))).alias("spec"))
     cut = rows.select(F.col("o_custkey").alias("spec_id"), src.truncate_inline_data(F.col("spec")).alias("c"))
-    return cut.select("spec_id", F.size("c.rows").alias("kept"), F.col("c.original").alias("original"))
+    return cut.select("spec_id", F.array_join("c.rows", ",").alias("kept"), F.col("c.original").alias("original"))
 
 
 # --- candidates
@@ -340,10 +341,22 @@ def ambiguity_plan(spark, d):
     return fx(spark, d, "candidates").select("question_id", "pos", plan["ambiguity_type"].alias("ambiguity_type"), plan["interface"].alias("interface"))
 
 
-@query("ambiguity_issues", "questions", "SELECT question_id, ((contains(lower(question), 'sum'))::INT + contains(lower(question), 'average')::INT + contains(lower(question), 'total')::INT + contains(lower(question), 'count')::INT + (len(list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda w: w <> '')) < 5 AND length(question) < 15)::INT)::INT AS n_issues FROM fx")
+_WEAK = [f"CASE WHEN data AND contains(q, '{term}') AND {word.lower()} THEN 'Ambiguity too weak: ''{term}'' explicitly mentioned' END" for term, word in fixed.EXPLICIT_TERMS] + [f"CASE WHEN NOT data AND contains(q, '{term}') THEN 'Ambiguity too weak: chart type ''{term}'' explicit' END" for term in fixed.CHART_TERMS]
+
+
+@query("ambiguity_issues", "questions", f"""SELECT question_id, array_to_string(list_filter([{', '.join(_WEAK)}, CASE WHEN len(list_filter(regexp_split_to_array(trim(said), '\\s+'), lambda w: w <> '')) < 5 AND length(said) < 15 THEN 'Ambiguity too strong: question too short' END,
+CASE WHEN question_id % 7 = 0 THEN 'Ambiguity too strong: too many ambiguous points' END], lambda x: x IS NOT NULL) || CASE WHEN question_id % 5 = 0 AND NOT contains(q, 'atlantis') AND NOT contains(q, 'city') THEN ['Semantic drift: entity ''atlantis city'' missing'] ELSE [] END, '|') AS issues
+FROM (SELECT *, lower(said) AS q, question_id % 2 = 0 AS data, question_id % 3 < 2 OR question_id % 7 = 0 AS aggregate, question_id % 3 = 2 OR question_id % 7 = 0 AS timeunit, question_id % 7 = 0 AS topk FROM (SELECT *, CASE question_id % 6 WHEN 0 THEN concat('Total by month of ', substr(question, 1, 40)) WHEN 1 THEN concat('A Bar Chart of the city ', substr(question, 1, 40)) WHEN 2 THEN 'sum up' ELSE question END AS said FROM fx))""")
 def ambiguity_issues(spark, d):
-    issues = ambiguity.ambiguity_issues(F.col("question"), F.array(F.lit("data_ambiguity")), F.array(F.lit("encoding.y.aggregate")))
-    return fx(spark, d, "questions").select("question_id", F.size(issues).alias("n_issues"))
+    """Questions that say too much or too little, with one kind of ambiguity each and paths that differ."""
+    k = F.col("question_id")
+    start = F.substring("question", 1, 40)
+    said = F.when(k % 6 == 0, F.concat(F.lit("Total by month of "), start)).when(k % 6 == 1, F.concat(F.lit("A Bar Chart of the city "), start)).when(k % 6 == 2, "sum up").otherwise(F.col("question"))
+    every = F.array(*map(F.lit, ("encoding.y.aggregate", "encoding.x.timeUnit", "topk", "mark")))
+    paths = F.when(k % 7 == 0, every).when(k % 3 < 2, F.array(F.lit("encoding.y.aggregate"))).otherwise(F.array(F.lit("encoding.x.timeUnit")))
+    entities = F.when(k % 5 == 0, F.array(F.lit("Atlantis City"), F.lit("abc"))).otherwise(F.array().cast("array<string>"))
+    issues = ambiguity.ambiguity_issues(F.col("said"), F.array(F.when(k % 2 == 0, "data_ambiguity").otherwise("visualization_ambiguity")), paths, entities)
+    return fx(spark, d, "questions").withColumn("said", said).select("question_id", F.array_join(issues, "|").alias("issues"))
 
 
 @query("ambiguity_relevant_types", "questions", "SELECT question_id, contains(lower(question), 'bar') OR contains(lower(question), 'line') OR contains(lower(question), 'pie') OR contains(lower(question), 'mark') OR contains(lower(question), 'scatter') OR contains(lower(question), 'heatmap') OR contains(lower(question), 'histogram') OR contains(lower(question), 'donut') OR contains(lower(question), 'treemap') OR contains(lower(question), 'chart type') OR contains(lower(question), 'area chart') OR contains(lower(question), 'bubble chart') AS mark FROM fx")
@@ -498,10 +511,26 @@ def balance_lengths(spark, d):
 # --- quality
 
 
-@query("quality_validate", sql="SELECT count(*) AS n_rows, 0.0::DOUBLE AS null_share, 'pie chart has too many categories' AS issues, count(*) > 1000 AS noted, false AS passed FROM part")
+# frames that differ in rows, nulls, categories and signs: a name, its table, a text and a number, as expressions that both know
+_FRAMES = [
+    ("customers", "customer", "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END", "CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END"), ("balances", "customer", "c_mktsegment", "c_acctbal"), ("parts", "part", "p_brand", "p_size"), ("orders", "orders", "o_orderstatus", "o_totalprice"),
+    ("regions", "region", "r_name", "r_regionkey"), ("no regions", "region", "CASE WHEN r_regionkey < 0 THEN r_name END", "CASE WHEN r_regionkey < 0 THEN 1 END"), ("one status", "orders", "'all'", "o_totalprice"), ("nations", "nation", "n_name", "-n_nationkey"),
+]
+_CHART_NAMES = ["pie_chart", "histogram", "Scatter Plot", "donut"]
+
+
+@query("quality_validate", sql="SELECT frame, chart, n_rows, round(nulls / (2 * n_rows), 6) AS null_share, array_to_string(issues, ',') AS issues, n_rows > 1000 AS noted, len(issues) = 0 AS passed FROM (SELECT *, list_filter([CASE WHEN n_rows < 5 THEN 'Too few rows' END, CASE WHEN nulls / (2 * n_rows) > 0.5 THEN 'Too many null values' END, "
+    "CASE WHEN pie AND kinds < 2 THEN 'pie chart has too few categories' END, CASE WHEN pie AND kinds > 8 THEN 'pie chart has too many categories' END, CASE WHEN pie AND low < 0 THEN 'pie chart has negative values in v' END, CASE WHEN chart = 'Scatter Plot' THEN 'scatter plot needs two numeric columns' END], lambda x: x IS NOT NULL) AS issues "
+    "FROM (SELECT *, chart IN ('pie_chart', 'donut') AS pie FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS frame, count(*) AS n_rows, 2 * count(*) - count({k}) - count({v}) AS nulls, count(DISTINCT {k}) AS kinds, min({v})::DOUBLE AS low FROM {table}" for name, table, k, v in _FRAMES) + f"), (SELECT unnest({_CHART_NAMES!r}) AS chart)))")
 def quality_validate(spark, d):
-    one = quality.validate_data(src.read_table(spark, d, "part").select("p_brand", "p_size"), "pie_chart")
-    return one.select("n_rows", "null_share", F.array_join("issues", ",").alias("issues"), (F.size("notes") > 0).alias("noted"), "passed")
+    """Four charts of each of eight frames."""
+    out = None
+    for name, table, k, v in _FRAMES:
+        own = src.read_table(spark, d, table).select(F.expr(k).alias("k"), F.expr(v).alias("v"))
+        for chart in _CHART_NAMES:
+            one = quality.validate_data(own, chart).select(F.lit(name).alias("frame"), F.lit(chart).alias("chart"), "n_rows", F.round("null_share", 6).alias("null_share"), F.array_join("issues", ",").alias("issues"), (F.size("notes") > 0).alias("noted"), "passed")
+            out = one if out is None else out.union(one)
+    return out
 
 
 @query("quality_specs", "specs", f"SELECT spec_id, count(*) FILTER (satisfied) AS satisfied, count(*) FILTER (satisfied) >= 4 AS passed FROM ({_CHECKS}) GROUP BY spec_id")

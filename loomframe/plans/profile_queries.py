@@ -220,14 +220,16 @@ def text_tokens(spark, d):
     return t(spark, d, "pages").select("page_id", F.size(text.tokenize_upper(F.col("url"))).alias("n"))
 
 
-@query("text_entities", """SELECT doc_id, len(list_distinct(list_concat(regexp_extract_all(text, '[''"]([^''"]+)[''"]', 1), list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 2 AND regexp_matches(w, '^\\p{Lu}') AND lower(w) NOT IN ('what', 'which', 'where', 'when', 'who', 'how', 'the', 'show')))))::INT AS n FROM documents""")
+@query("text_entities", r"""SELECT doc_id, len(e)::INT AS n, md5(array_to_string(e, '|')) AS entities FROM (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS e FROM (SELECT doc_id, list_concat(regexp_extract_all(text, '[''"]([^''"]+)[''"]', 1), list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: length(w) > 2 AND regexp_matches(w, '^\p{Lu}') AND lower(w) NOT IN ('what', 'which', 'where', 'when', 'who', 'how', 'the', 'show'))) AS f FROM documents))""")
 def text_entities(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(text.key_entities(F.col("text"))).alias("n"))
+    found = text.key_entities(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("entities"))
 
 
-@query("text_evidence", "SELECT doc_id, len(list_filter(list_transform(string_split(replace(text, chr(10), ';'), ';'), lambda x: trim(x)), lambda x: length(x) > 10))::INT AS n FROM documents")
+@query("text_evidence", "SELECT doc_id, len(e)::INT AS n, md5(array_to_string(e, '|')) AS points FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ';'), ';'), lambda x: trim(x)), lambda x: length(x) > 10) AS e FROM documents)")
 def text_evidence(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(text.evidence_points(F.col("text"))).alias("n"))
+    found = text.evidence_points(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("points"))
 
 
 def _sql_log(spark, d):
@@ -248,15 +250,24 @@ def text_sql_clauses(spark, d):
     return _sql_log(spark, d).select("o_orderkey", *(F.array_join(c[k], ",").alias(k) for k in ("tables", "filters", "groupby")))
 
 
-@query("text_limits", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 1 END AS ok FROM orders")
+@query("text_limits", """SELECT o_orderkey, concat(q, ' LIMIT 20') AS expanded, CASE WHEN o_orderkey % 15 = 0 THEN q WHEN o_orderkey % 3 = 0 THEN concat(q, ' LIMIT ', o_orderkey % 15 + 1) ELSE q END AS dropped
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT status, SUM(price) FROM orders JOIN customer ON a = b WHERE x > 1 AND y < 2 GROUP BY status' ELSE 'SELECT a, b FROM orders' END AS q FROM orders)""")
 def text_limits(spark, d):
-    return _sql_log(spark, d).select("o_orderkey", text.expand_limit(F.col("sql")).endswith(" LIMIT 20").cast("int").alias("ok"))
+    return _sql_log(spark, d).select("o_orderkey", text.expand_limit(F.col("sql")).alias("expanded"), text.drop_limit1(F.col("sql")).alias("dropped"))
 
 
-@query("text_clean_question", "SELECT conv_id, turn, text <> '' AS has_text FROM conversations")
+@query("text_clean_sql", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT status, SUM(price) FROM orders JOIN customer ON a = b WHERE x > 1 AND y < 2 GROUP BY status' ELSE 'SELECT a, b FROM orders' END AS cleaned, CASE WHEN o_orderkey % 2 = 0 THEN 'tables: orders, customer; measures: SUM(price); grouped by: status; filters: x > 1, y < 2' ELSE 'tables: orders' END AS intent FROM orders WHERE o_orderkey % 3 > 0")
+def text_clean_sql(spark, d):
+    log = _sql_log(spark, d).where("o_orderkey % 3 > 0")
+    dressed = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("```sql\n"), "sql", F.lit("\n```"))).when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("Here you are: "), "sql", F.lit("\n"))).otherwise(F.col("sql"))
+    return log.select("o_orderkey", text.clean_sql(dressed).alias("cleaned"), text.intent_text(F.col("sql")).alias("intent"))
+
+
+@query("text_clean_question", """SELECT conv_id, turn, CASE WHEN length(bare) = 0 THEN bare WHEN regexp_matches(bare, '[?.!]$') THEN bare ELSE concat(bare, '?') END AS cleaned FROM (SELECT conv_id, turn, concat(upper(substr(b, 1, 1)), substr(b, 2)) AS bare FROM (SELECT conv_id, turn, trim(text) AS b FROM conversations))""")
 def text_clean_question(spark, d):
-    q = text.clean_question(F.col("text"))
-    return t(spark, d, "conversations").select("conv_id", "turn", ((F.length(q) > 0) & q.rlike(r"[?.!]$")).alias("has_text"))
+    """Questions in quotes, and some without their mark."""
+    quoted = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"'), "text", F.lit("'"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), "text", F.lit(" "))).otherwise(F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", text.clean_question(quoted).alias("cleaned"))
 
 
 @query("text_fenced", "SELECT o_orderkey, o_orderpriority AS code, o_orderstatus AS question FROM orders")
@@ -284,9 +295,9 @@ def text_post_sql_ops(spark, d):
     return text.has_post_sql_ops(t(spark, d, "orders").select("o_orderkey", code.alias("code")), "o_orderkey", "code")
 
 
-@query("text_truncated", "SELECT doc_id, length(text) > 100 AS truncated, length(text)::INT AS length FROM documents")
+@query("text_truncated", "SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '... [truncated]') ELSE text END AS text, length(text) > 100 AS truncated, length(text)::INT AS length FROM documents")
 def text_truncated(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.truncate_text(F.col("text"), 100).alias("x")).select("doc_id", "x.truncated", "x.length")
+    return t(spark, d, "documents").select("doc_id", text.truncate_text(F.col("text"), 100).alias("x")).select("doc_id", "x.text", "x.truncated", "x.length")
 
 
 # --- streams

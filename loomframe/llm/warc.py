@@ -6,7 +6,8 @@ finds the stored members, cuts the index into spans, and tasks read each span's
 
 Cases: a null payload is the empty payload; rows of equal payload of at least ``min_revisit_bytes`` bytes have one
 response, the row of the largest id (of rows with that same id, one), and the others are revisits of it; null ids are
-smaller than any. Repeated rows are records of their own. An empty table gives no archive and an empty result. Only the
+smaller than any. Repeated rows are records of their own. Members that aren't stored are an error; records of other writers
+are read with what they say of themselves. An empty table gives no archive and an empty result. Only the
 named columns are read, so that others can't clash.
 """
 
@@ -21,11 +22,12 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path
@@ -38,7 +40,7 @@ SPAN_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "path string, records long, bytes long"
-RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, record_id string"
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -49,31 +51,45 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha1, revisit and refers_to (null: a response). Who revisits whom is settled on digests and
-    numbers of rows alone; payloads are then dealt by their row's number, so that a common payload is spread like any
-    other. The rows must come in the same order when they are read again, as rows of files do; that order only decides
-    between rows of equal id and payload."""
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload")
-    )
-    light = materialize(rows.select("uid", "page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("n")), "digests")
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "uid")
-    heads = light.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.max(F.struct(order.alias("o"), "page_id")).alias("head"), F.count("*").alias("copies")).where("copies > 1")
-    heads = materialize(heads.select("sha1", "copies", F.col("head.page_id").alias("head_id"), F.col("head.o.uid").alias("head_uid")), "heads")
-    # digests with a thousandth of all rows, fewer than a thousand, go to every task; no other has more rows than that
+    """page_id, url, payload, sha1, revisit and refers_to (null: a response). Who revisits whom is settled on digests and ids
+    alone; payloads meet the marks of their digests, of which those with a thousandth of all rows are sent to every task.
+    Only of rows that repeat the id of a response with its payload one has to be chosen; these rows are numbered and written
+    first, so that the order in which rows come is never relied on."""
+    text = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), text.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    light = materialize(rows.select("page_id", "sha1", F.length("payload").alias("n")), "digests")
+    by_id = light.where(F.col("n") >= min_revisit_bytes).groupBy("sha1", "page_id").agg(F.count("*").alias("rows"))
+    order = F.coalesce("page_id", F.lit(-(1 << 63)))
+    heads = by_id.groupBy("sha1").agg(F.max(F.struct(order.alias("o"), "page_id", "rows")).alias("head"), F.sum("rows").alias("copies")).where("copies > 1")
+    heads = materialize(heads.select("sha1", "copies", F.col("head.page_id").alias("head_id"), (F.col("head.rows") > 1).alias("contested"), F.lit(True).alias("has_head")), "heads")
     hot = F.col("copies") * 1000 > light.count()
-    common = F.broadcast(heads.where(hot).withColumn("common", F.lit(True)))
-    marked = light.join(common, "sha1", "left")
-    names = ["uid", "sha1", "head_id", "head_uid"]
-    marks = marked.where("common").select(names).union(marked.where("common is null").select("uid", "sha1").join(heads.where(~hot), "sha1", "left").select(names))
-    revisit = F.col("head_uid").isNotNull() & (F.col("uid") != F.col("head_uid"))
-    marks = marks.select("uid", "sha1", revisit.alias("revisit"), F.when(revisit, F.col("head_id")).alias("refers_to"))
-    return rows.join(marks, "uid").select("page_id", "url", "payload", "sha1", "revisit", "refers_to")
-
-
-def write_archives(marked: DataFrame, folder: str) -> DataFrame:
+    marked = _by_digest(rows, heads, hot)
+    is_head = F.col("page_id").eqNullSafe(F.col("head_id"))
+    revisit = F.coalesce("has_head", F.lit(False)) & ~is_head
+    names = ["page_id", "url", "payload", "sha1", "revisit", "refers_to"]
+    chosen = F.coalesce("contested", F.lit(False)) & is_head
+    plain = marked.where(~chosen).withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("head_id"))).select(names)
+    if heads.where("contested").isEmpty():
+        return plain
+    again = materialize(marked.where(chosen).select("page_id", "url", "payload", "sha1", F.monotonically_increasing_id().alias("uid")), "contested")
+    first = materialize(again.groupBy("sha1").agg(F.min("uid").alias("first")).join(heads.select("sha1", "copies"), "sha1"), "first-rows")
+    repeats = _by_digest(again, first, hot).withColumn("revisit", F.col("uid") != F.col("first")).withColumn("refers_to", F.when(F.col("revisit"), F.col("page_id")))
+    return plain.union(repeats.select(names))
+
+
+def _by_digest(rows: DataFrame, marks: DataFrame, hot: Column) -> DataFrame:
+    """Rows with the marks of their digest, where there are any. Digests that many rows have, fewer than a thousand of them,
+    go to every task, and the rows of the others are joined by a shuffle in which none has more rows than a thousandth."""
+    mine = rows.join(F.broadcast(marks.where(hot).select(F.col("sha1").alias("hot_sha1"))), F.col("sha1") == F.col("hot_sha1"), "left")
+    common = mine.where("hot_sha1 is not null").drop("hot_sha1").join(F.broadcast(marks.where(hot)), "sha1", "left")
+    return common.union(mine.where("hot_sha1 is null").drop("hot_sha1").join(marks.where(~hot), "sha1", "left"))
+
+
+def write_archives(marked: DataFrame, folder: str, date: datetime | None = None) -> DataFrame:
     """One archive for each task; the manifest of what was written. A repeated task writes another name, and only the
-    names of tasks that ended are in the manifest."""
+    names of tasks that ended are in the manifest. Records have one date, that of the writing unless one is given."""
+    when = (date or datetime.now(timezone.utc)).astimezone(timezone.utc)
+    stamp, compact = when.strftime("%Y-%m-%dT%H:%M:%SZ"), when.strftime("%Y%m%d%H%M%S")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -88,9 +104,10 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
                 at = 0
                 for batch in _chain(first, batches):
                     for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "sha1", "revisit", "refers_to")), strict=True):
-                        block = record(*(x.as_py() for x in row))
+                        block = record(*(x.as_py() for x in row), stamp)
                         out.write(block)
-                        index.append(json.dumps({"offset": at, "length": len(block)}))
+                        key = "".join(c if c.isprintable() and c != " " else "_" for c in (row[1].as_py() or "-")) or "-"
+                        index.append(f"{key} {compact} " + json.dumps({"offset": at, "length": len(block), "filename": DATA.rpartition("/")[2]}))
                         at += len(block)
             with z.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as out:
                 out.write("".join(x + "\n" for x in index).encode())
@@ -119,14 +136,15 @@ def _chain(first, rest):
     yield from rest
 
 
-def record(page_id, url, payload: bytes, sha1: str, revisit: bool, refers_to) -> bytes:
-    """A record as a gzip member."""
+def record(page_id, url, payload: bytes, sha1: str, revisit: bool, refers_to, stamp: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A record as a gzip member; stamp: its date."""
     name = lambda x: f"<{URN}{'null' if x is None else x}>"
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {name(page_id)}",
+        f"WARC-Date: {stamp}",
         f"WARC-Target-URI: {target}" if url is not None else "",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -195,23 +213,34 @@ def spans(f, span_bytes: int = SPAN_BYTES) -> Iterator[tuple[int, int, list[int]
     """(first byte, length, lengths of the records) of runs of whole records in the stored members; a member without an
     index is one run, whose records' lengths are not known beforehand."""
     members = directory(f)
-    for name, (method, start, length) in members.items():
-        if not name.startswith("archive/") or method != 0:
+    for name, (method, _, _) in members.items():
+        if name.startswith(("archive/", "indexes/")) and not name.endswith("/") and method != 0:
+            raise ValueError(f"the member {name} is not stored, so that its records can't be read by range")
+    entries: dict[str, list[tuple[int, int]]] = {}
+    if INDEX in members:
+        _, at, size = members[INDEX]
+        f.seek(at)
+        for line in f.read(size).decode().splitlines():
+            if "{" in line:
+                entry = json.loads(line[line.index("{") :])
+                entries.setdefault(entry.get("filename", DATA.rpartition("/")[2]), []).append((int(entry["offset"]), int(entry["length"])))
+    for name, (_, start, length) in members.items():
+        if not name.startswith("archive/") or name.endswith("/"):
             continue
-        index = members.get(INDEX) if name == DATA else None
-        if index is None or index[0] != 0:
-            yield start, length, []
+        known = sorted(set(entries.get(name.rpartition("/")[2], [])))
+        # an index that leaves out a stretch tells nothing of the records there
+        ends = [0, *(o + n for o, n in known)]
+        if not known or ends[-1] != length or any(o != e for (o, _), e in zip(known, ends, strict=False)):
+            if length:
+                yield start, length, []
             continue
-        f.seek(index[1])
         begin, sizes = 0, []
-        for line in f.read(index[2]).splitlines():
-            entry = json.loads(line)
-            if sizes and entry["offset"] + entry["length"] - begin > span_bytes:
+        for offset, size in known:
+            if sizes and offset + size - begin > span_bytes:
                 yield start + begin, sum(sizes), sizes
-                begin, sizes = entry["offset"], []
-            sizes.append(entry["length"])
-        if sizes:
-            yield start + begin, sum(sizes), sizes
+                begin, sizes = offset, []
+            sizes.append(size)
+        yield start + begin, sum(sizes), sizes
 
 
 def list_spans(manifest: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
@@ -231,8 +260,8 @@ def read_records(ranges: DataFrame) -> DataFrame:
     """The records of byte ranges. The payload of a response is checked against its digest; a revisit's is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload", "record_id"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -286,18 +315,23 @@ def members_of(f, length: int, step: int = 1 << 14) -> Iterator[bytes]:
 
 
 def parsed(block: bytes) -> tuple:
+    """page_id, url, type, payload's length and digest, refers_to, payload and the record's id. Records of other writers have
+    ids of their own, and no page_id; what a header doesn't say is null, or computed from the payload where there is one."""
     head, _, rest = block.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda x: None if x is None or x.endswith(":null>") else int(x[len(URN) + 1 : -1])
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    body = rest[: int(fields["content-length"])]
+    kind, said, own = fields["warc-type"], fields.get("warc-payload-digest", ""), f"<{URN}"
+    digest = said.removeprefix("sha1:") if said.startswith("sha1:") else None
+    number = lambda x: int(x[len(own) : -1]) if x and x.startswith(own) and x[len(own) : -1].lstrip("-").isdigit() else None
     payload = None
-    if kind == "response":
-        payload = body.partition(b"\r\n\r\n")[2]
-        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError(f"a payload of {fields['WARC-Record-ID']} differs from its digest")
-    n = len(payload) if payload is not None else int(fields["WARC-Payload-Length"])
-    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, n, digest, number(fields.get("WARC-Refers-To")), payload
+    if kind in ("response", "resource"):
+        payload = body.partition(b"\r\n\r\n")[2] if kind == "response" and fields.get("content-type", "").startswith("application/http") else body
+        found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if digest is not None and found != digest:
+            raise ValueError(f"a payload of {fields['warc-record-id']} differs from its digest")
+        digest = found
+    n = len(payload) if payload is not None else int(fields["warc-payload-length"]) if "warc-payload-length" in fields else None
+    return number(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, n, digest, number(fields.get("warc-refers-to")), payload, fields.get("warc-record-id")
 
 
 def archive_and_read(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:

@@ -133,6 +133,72 @@ def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> D
     return candidates.join(rows.select(key, F.col("t.c.pos").alias("pos"), "taken", F.when(F.col("size") > n, F.col("t.score")).otherwise(zero).alias("diversity_score")), [key, "pos"])
 
 
+def _tokens() -> Column:
+    """What two candidates may share: a type, a dimension, a measure; none of these is a token of its own."""
+    of = lambda c, kind: F.transform(F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(None).cast("string"))), lambda x: F.concat(F.lit(kind), F.coalesce(F.concat(F.lit("="), x), F.lit(""))))
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(F.array(F.lower("chart_type")), "t"), of(some("dimensions"), "d"), of(some("measures"), "m")))
+
+
+def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id") -> tuple[DataFrame, DataFrame]:
+    """(key, pos, place from 1 on, other and distance of the k nearest candidates of the same question, of equals the first;
+    stage and pairs looked at).
+
+    Candidates that are compared alike are one class, with its first k + 1 members. Classes are looked at in three steps, each
+    only for those that the bounds leave open: classes of the same category; others that share a type, a dimension or a
+    measure by an inverted index; all others. A pair of different categories is at least the category's weight apart, and one
+    that shares no token the weights of type, dimensions and measures more, so that what lies nearer is final.
+
+    Cases: a question of fewer candidates gives fewer; nulls are equal to nulls; an empty table gives empty results."""
+    rows = _stored(candidates.select(key, "pos", *COMPARED), "compared")
+    heads = rows.groupBy(key, *COMPARED).agg(F.min("pos").alias("cid"))
+    own = heads.select(F.col(key).alias("__k"), F.col("cid"), *(F.col(c).alias(f"__{c}") for c in COMPARED))
+    same = F.col(key) == F.col("__k")
+    for c in COMPARED:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    members = _stored(rows.join(own, same).select(key, "pos", "cid"), "members")
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy(key, "cid").orderBy("pos"))).where(F.col("r") <= k + 1)
+    first = first.groupBy(key, "cid").agg(F.array_sort(F.collect_list("pos")).alias("some"))
+    wanted = members.groupBy(key).agg(F.least(F.count("*"), F.lit(k + 1)).alias("wanted"))
+    classes = _stored(heads.join(first, [key, "cid"]).join(wanted, key), "classes")
+    a = lambda df: df.select(key, *(F.col(c).alias(f"a_{c}") for c in ("cid", *COMPARED)))
+    b = lambda df: df.select(F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "some", *COMPARED)))
+    apart = distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    category = F.lower("a_chart_category").eqNullSafe(F.lower("b_chart_category"))
+    in_question = (F.col(key) == F.col("b_key")) & (F.col("a_cid") != F.col("b_cid"))
+    found = lambda pairs: pairs.select(key, F.col("a_cid").alias("cid"), apart.alias("distance"), F.explode("b_some").alias("other"))
+    alone = classes.select(key, "cid", F.lit(0.0).alias("distance"), F.explode("some").alias("other"))
+
+    def best(found_rows: DataFrame, name: str) -> DataFrame:
+        r = F.row_number().over(Window.partitionBy(key, "cid").orderBy("distance", "other"))
+        top = found_rows.withColumn("r", r).where(F.col("r") <= k + 1).groupBy(key, "cid").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("best"))
+        return _stored(top, name)
+
+    def open_classes(top: DataFrame, bound: float) -> DataFrame:
+        far = F.coalesce(F.element_at("best", -1)["distance"], F.lit(0.0)) >= bound - 1e-9
+        return classes.join(top, [key, "cid"]).where((F.size("best") < F.col("wanted")) | far).select(classes.columns)
+
+    def kept(top: DataFrame) -> DataFrame:
+        return top.select(key, "cid", F.inline("best"))
+
+    one = _stored(a(classes).join(b(classes), in_question & category), "pairs-category")
+    top = best(alone.union(found(one)), "best-category")
+    left = _stored(open_classes(top, WEIGHTS["category"]), "open-category")
+    ours = left.select(F.col(key).alias("t_key"), F.col("cid").alias("t_cid"), F.explode(_tokens()).alias("t"))
+    theirs = classes.select(F.col(key).alias("u_key"), F.col("cid").alias("u_cid"), F.explode(_tokens()).alias("u"))
+    met = ours.join(theirs, (F.col("t_key") == F.col("u_key")) & (F.col("t") == F.col("u")) & (F.col("t_cid") != F.col("u_cid"))).select("t_key", "t_cid", "u_cid").distinct()
+    two = a(left).join(met, (F.col(key) == F.col("t_key")) & (F.col("a_cid") == F.col("t_cid"))).join(b(classes), (F.col(key) == F.col("b_key")) & (F.col("u_cid") == F.col("b_cid"))).where(~category)
+    two = _stored(two.drop("t_key", "t_cid", "u_cid"), "pairs-token")
+    top2 = best(kept(top).union(found(two)), "best-token")
+    last = _stored(open_classes(top2, sum(WEIGHTS[w] for w in ("category", "type", "dims", "measures"))), "open-token")
+    rest = a(last).join(b(classes), in_question)
+    three = _stored(rest, "pairs-rest")
+    final = best(kept(top2.join(last.select(key, "cid"), [key, "cid"], "left_anti")).union(alone.join(last.select(key, "cid"), [key, "cid"], "left_semi")).union(found(three)), "best")
+    near = members.join(final, [key, "cid"]).select(key, "pos", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("pos")), 1, k)).alias("place", "n"))
+    looked = [df.agg(F.count("*").alias("pairs")).select(F.lit(stage).alias("stage"), "pairs") for stage, df in (("category", one), ("token", two), ("rest", three))]
+    return near.select(key, "pos", (F.col("place") + 1).alias("place"), F.col("n.other").alias("other"), F.col("n.distance").alias("distance")), looked[0].union(looked[1]).union(looked[2])
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = state_path(df.sparkSession, name)
     df.write.parquet(path)

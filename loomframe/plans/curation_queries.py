@@ -250,6 +250,11 @@ def candidate_select(spark, d):
     return rounded(candidates.select_diverse(_cands(spark, d), 3).select("question_id", "pos", "taken", "diversity_score"), 6, "diversity_score")
 
 
+@query("candidate_nearest", "candidates", f"SELECT question_id, pos, place::INT AS place, other, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pos ORDER BY round(distance, 9), other) AS place FROM (SELECT a.question_id, a.pos, b.pos AS other, {_D} AS distance FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos <> b.pos)) WHERE place <= 2")
+def candidate_nearest(spark, d):
+    return rounded(candidates.nearest_candidates(_cands(spark, d), 2)[0], 6, "distance")
+
+
 @query("candidate_avoid", "candidates", "SELECT question_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY chart_type IN ('NO', 'RF'), pos) AS k FROM fx) WHERE k <= 3")
 def candidate_avoid(spark, d):
     return candidates.drop_avoided(fx(spark, d, "candidates"), ["NO", "RF"], 3).select("question_id", "pos")

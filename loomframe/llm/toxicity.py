@@ -203,9 +203,9 @@ def fit_rows(rows: list[tuple[int, list[str]]], terms: list[str], swapped: list[
     return Model(float(b), {name: float(x) for name, x in zip(terms, w.tolist(), strict=True)}, made, sum(times))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, groups: dict[str, Groups] = IDENTITY_GROUPS, lang: str = "lang") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, groups: dict[str, Groups] = IDENTITY_GROUPS, lang: str = "lang", swap_weight: float = SWAP_WEIGHT) -> Model:
     """Fit on a sample of the labelled rows; labels holds what may be learnt from. groups: identity terms by language,
-    which is read from the column lang where docs has it."""
+    which is read from the column lang where docs has it; swap_weight: how much a change of a score by a swap counts."""
     if odd := sorted(t for of in groups.values() for g in of for t in g if not _WORD.fullmatch(t) or t != t.lower()):
         raise ValueError(f"not a single lower-case word: {odd}")
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
@@ -240,9 +240,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     changed = sorted({n for less, more, _ in swapped for n in (*less, *more)})
     wanted = (F.col("z") >= LEAST_Z) | F.col("name").isin(changed)
     terms = sorted(r["name"] for r in counts.withColumn("z", z).where(wanted).select("name").collect())
-    known = F.array(*map(F.lit, terms)).cast("array<string>")
-    sampled = sorted((r["y"], r["names"]) for r in rows_.select("y", F.array_sort(F.array_intersect("names", known)).alias("names")).collect())
-    return fit_rows(sampled, terms, swapped)
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            own = [sorted(known.intersection(names)) for names in batch.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(own, listed)], ["y", "names"])
+
+    # the sample, in features of the model
+    sampled = sorted((r["y"], r["names"]) for r in rows_.select("y", "names").mapInArrow(among, "y int, names array<string>").collect())
+    sent.destroy()
+    return fit_rows(sampled, terms, swapped, swap_weight)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:

@@ -108,6 +108,32 @@ def test_toxicity_learns_and_swaps():
     assert regular.score("you idiot") > 0.5 > regular.score(" ".join(words[:5]))
 
 
+def test_toxicity_spares_neutral_mentions(spark):
+    """Groups are named mostly in toxic sentences of the labelled part: with the penalty, neutral mentions of documents that
+    were never learnt score lower than without, and toxic ones stay over the cut."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(80)]
+    named, insults = ["muslims", "women", "immigrants"], ["idiot", "scum", "vermin"]
+    rows = []
+    for k in range(1200):
+        y = int(rng.random() < 0.25)
+        own = rng.sample(words, 10) + ([rng.choice(insults)] if y and rng.random() < 0.6 else [])
+        if rng.random() < (0.7 if y else 0.04):
+            own.insert(3, rng.choice(named))
+        rows.append((k, " ".join(own), "en", y))
+    held = [(5000 + k, f"{' '.join(rng.sample(words, 5))} {rng.choice(named)} {' '.join(rng.sample(words, 5))}") for k in range(60)] + [(6000 + k, f"{' '.join(rng.sample(words, 9))} {insults[k % 3]}") for k in range(30)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    asked, means = spark.createDataFrame(held, "doc_id long, text string"), {}
+    for weight in (0.0, toxicity.SWAP_WEIGHT):
+        model = toxicity.fit(docs, labels, swap_weight=weight)
+        assert model.penalised_pairs > 100
+        got = {r.doc_id: r.score for r in toxicity.score(asked, model, ["doc_id"]).collect()}
+        means[weight] = sum(got[5000 + k] for k in range(60)) / 60, sum(got[5000 + k] >= toxicity.CUT for k in range(60)), min(got[6000 + k] for k in range(30))
+    without, with_ = means[0.0], means[toxicity.SWAP_WEIGHT]
+    assert with_[0] < 0.6 * without[0] and with_[1] < without[1] and with_[2] >= toxicity.CUT
+
+
 def test_toxicity_fit_is_the_least_penalised_loss():
     rng = np.random.default_rng(8)
     terms = ["a", "b", "c", "d"]

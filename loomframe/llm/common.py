@@ -25,11 +25,12 @@ _U = np.uint64
 _word_table: np.ndarray | None = None
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it again: it is computed once and its lineage ends here."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a step to the shared folder and read it again: it is computed once and its lineage ends here. by: a column whose
+    values are folders, so that a filter on it reads no other rows."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._loomframe_path = path
     return table

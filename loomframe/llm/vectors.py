@@ -158,14 +158,19 @@ def into_cells(rows: DataFrame, radius: float) -> list[DataFrame]:
         if not total:
             break
         parts, cut, good = -(-total // PIVOTS), [], []
+        dealt = large.withColumn("part", F.pmod(F.xxhash64(*_CELL), F.lit(parts)).cast("int"))
+        if parts > 1:
+            # rows are dealt to the parts once, so that a level reads each of them once, however many parts there are
+            held = materialize(now.join(dealt.select(*_CELL, "part"), _CELL), "vector-parts", by="part")
         for k in range(parts):
-            own = large.where(F.pmod(F.xxhash64(*_CELL), F.lit(parts)) == k)
-            inside, pivots = now.join(own.select(*_CELL), _CELL, "left_semi"), pivots_of(now, own)
+            own = dealt.where(F.col("part") == k).drop("part")
+            inside = held.where(F.col("part") == k).select(*_ROW) if parts > 1 else now.join(own.select(*_CELL), _CELL, "left_semi")
+            pivots = pivots_of(inside, own)
             # comparisons within a cell and within its parts
             work = part_sizes(inside, pivots, radius).groupBy(*_CELL).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
             spared = materialize(own.join(work, _CELL).where(F.col("work") <= SPARED * F.col("size").cast("double") * F.col("size")).select(*_CELL), "cut-cells")
             good.append(spared)
-            cut.append(materialize(assign(now.join(spared, _CELL, "left_semi"), pivots, radius, level), "vector-cells"))
+            cut.append(materialize(assign(inside.join(spared, _CELL, "left_semi"), pivots, radius, level), "vector-cells"))
         ready.append(now.join(reduce(DataFrame.union, good), _CELL, "left_anti").select(*_ROW))
         now = reduce(DataFrame.union, cut)
     return [*ready, now]

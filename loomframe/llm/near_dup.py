@@ -251,7 +251,7 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     runs, n_classes = runs_for(recall, DEPTH), classes.count()
     now, most, links, families = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, [], None
     while True:
-        found, deep, tables = _links_of_runs(now, sketch_of, most, families)
+        found, deep, tables = _links_of_runs(now, sketch_of, n_classes, most, families)
         links += found
         if not deep:
             break
@@ -278,7 +278,7 @@ def _families_so_far(links: DataFrame) -> DataFrame:
     return least.join(further, F.col("b") == F.col("mid"), "left").select(F.col("a").alias("cid"), F.coalesce("end", "b").alias("family"))
 
 
-def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, n_classes: int, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """(candidate links, a table for each level; classes and depths of buckets that were split; the tables that hold
     these) of some runs. Buckets of one family alone are left out."""
     paths, links, deep, tables, depth = materialize(first_paths(classes, most), "paths"), [], [], [], DEPTH
@@ -291,7 +291,8 @@ def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families
         members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
-        most_rows = paths.count()
+        # sketches are fetched from all classes, however few of them have paths
+        most_rows = paths.count() + (0 if "sketch" in paths.columns else n_classes)
         members = materialize(sized(members.select("path", "cid", "n", "pivot", "sketch"), most_rows, ROWS_EACH), "members")
         most_rows = members.count()
         near, large = leaf_links(members.where(F.col("n") <= LEAF), most_rows), members.where(F.col("n") > LEAF)
@@ -406,8 +407,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
 
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
     found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "blocks", "cid", "copies", "text")
-    n_members = families.count()
-    blocks = _in_blocks(_with_shingles(sized(found.dropDuplicates(["cid"]), n_members, BLOCK))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    blocks = _in_blocks(_with_shingles(found.dropDuplicates(["cid"]))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     results = materialize(compared(blocks, threshold), "compared")
     # a family in one block is settled there; the others' blocks are put together
     split = results.where("many and low < cid").select("cid", F.col("low").alias("b"))

@@ -51,6 +51,8 @@ ABSORB = SETTLED + CANDIDATE - TOKENS
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
 #: Rows of a block that are compared at once.
 STRIP = 128
+#: Keys of some 100 bytes that are sent to every task at most.
+FEW_KEYS = 400_000
 #: Rows of a level that one task takes, where a level has few, and links that one writes.
 ROWS_EACH, LINKS_EACH = 20_000, 100_000
 
@@ -389,6 +391,12 @@ def _with_shingles(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "family long, blocks int, cid long, copies long, shingles binary")
 
 
+def few_or_not(keys: DataFrame) -> DataFrame:
+    """Keys of documents, sent to every task if they are counted to be at most FEW_KEYS: then what they are joined with, whole
+    texts, stays where it is. More of them are joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """id, text_md5, uid, group_uid, group_id, n_links, copies and n_shingles of every row.
 
@@ -403,7 +411,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     families = components(candidate_links(classes, recall)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     families = materialize(sized(families.join(classes.select("cid", "n", "copies", "id", "text_md5"), "cid"), n_rows, ROWS_EACH), "families")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    members = families.join(families.groupBy("family").agg(blocks.alias("blocks")), "family")
+    sized_families = families.groupBy("family").agg(blocks.alias("blocks"))
+    members = few_or_not(materialize(families.join(sized_families, "family").select("id", "text_md5", "family", "blocks", "cid", "copies"), "members"))
 
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
     found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "blocks", "cid", "copies", "text")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, near_dup, secrets, toxicity
+from .common import materialize
 from .queries import BPE_RANKS, learnable_labels, table
 
 
@@ -23,12 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near copies link; documents without a word are all kept."""
     rows = near_dup.jaccard_join(docs).groupBy("id", "text_md5").agg(F.count("*").alias("rows"), F.count_if(F.col("uid") == F.col("group_uid")).alias("kept"))
-    keys = rows.where("kept > 0").select(F.col("id").alias("__id"), F.col("text_md5").alias("__text_md5"), (F.col("rows") == F.col("kept")).alias("__all"))
+    # only documents of which rows go are looked up; while these are few, whole texts are not shuffled for it
+    lost = materialize(rows.where("kept < rows").select(F.col("id").alias("__id"), F.col("text_md5").alias("__text_md5"), F.col("kept").alias("__kept")), "lost")
+    keys = near_dup.few_or_not(lost)
     marked = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
-    joined = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5")))
-    whole = joined.where("__all").select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5"))
+    whole = marked.join(keys, same, "left_anti").select(docs.columns)
+    if lost.where("__kept > 0").isEmpty():
+        return whole
     # rows that repeat in id and text are copies of each other, and one of them stays; partial aggregation leaves one a task
-    repeated = joined.where("not __all").groupBy("__id", "__md5").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    repeated = marked.join(keys.where("__kept > 0"), same).groupBy("__id", "__md5").agg(F.first(F.struct(*docs.columns)).alias("__row"))
     return whole.union(repeated.select("__row.*"))
 
 

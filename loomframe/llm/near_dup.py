@@ -253,7 +253,7 @@ def candidate_links(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     runs, n_classes = runs_for(recall, DEPTH), classes.count()
     now, most, links, families = sketch_of.withColumns({"first_run": F.lit(0), "end_run": F.lit(runs), "depth": F.lit(DEPTH)}), runs, [], None
     while True:
-        found, deep, tables = _links_of_runs(now, sketch_of, n_classes, most, families)
+        found, deep, tables = _links_of_runs(now, sketch_of, most, families)
         links += found
         if not deep:
             break
@@ -280,7 +280,7 @@ def _families_so_far(links: DataFrame) -> DataFrame:
     return least.join(further, F.col("b") == F.col("mid"), "left").select(F.col("a").alias("cid"), F.coalesce("end", "b").alias("family"))
 
 
-def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, n_classes: int, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """(candidate links, a table for each level; classes and depths of buckets that were split; the tables that hold
     these) of some runs. Buckets of one family alone are left out."""
     paths, links, deep, tables, depth = materialize(first_paths(classes, most), "paths"), [], [], [], DEPTH
@@ -294,7 +294,7 @@ def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, n_classes: int, mos
         # rows that are alone in their bucket are gone before sketches are fetched
         members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
         # sketches are fetched from all classes, however few of them have paths
-        most_rows = paths.count() + (0 if "sketch" in paths.columns else n_classes)
+        most_rows = paths.count() + (0 if "sketch" in paths.columns else sketch_of.count())
         members = materialize(sized(members.select("path", "cid", "n", "pivot", "sketch"), most_rows, ROWS_EACH), "members")
         most_rows = members.count()
         near, large = leaf_links(members.where(F.col("n") <= LEAF), most_rows), members.where(F.col("n") > LEAF)

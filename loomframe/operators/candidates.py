@@ -156,11 +156,11 @@ def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id")
     same = F.col(key) == F.col("__k")
     for c in COMPARED:
         same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-    members = _stored(rows.join(own, same).select(key, "pos", "cid"), "members")
+    members = _stored(rows.join(_shuffled(own), same).select(key, "pos", "cid"), "members")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy(key, "cid").orderBy("pos"))).where(F.col("r") <= k + 1)
     first = first.groupBy(key, "cid").agg(F.array_sort(F.collect_list("pos")).alias("some"))
     wanted = members.groupBy(key).agg(F.least(F.count("*"), F.lit(k + 1)).alias("wanted"))
-    classes = _stored(heads.join(first, [key, "cid"]).join(wanted, key), "classes")
+    classes = _stored(heads.join(_shuffled(first), [key, "cid"]).join(_shuffled(wanted), key), "classes")
     a = lambda df: df.select(key, *(F.col(c).alias(f"a_{c}") for c in ("cid", *COMPARED)))
     b = lambda df: df.select(F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "some", *COMPARED)))
     apart = distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
@@ -176,29 +176,35 @@ def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id")
 
     def open_classes(top: DataFrame, bound: float) -> DataFrame:
         far = F.coalesce(F.element_at("best", -1)["distance"], F.lit(0.0)) >= bound - 1e-9
-        return classes.join(top, [key, "cid"]).where((F.size("best") < F.col("wanted")) | far).select(classes.columns)
+        return classes.join(_shuffled(top), [key, "cid"]).where((F.size("best") < F.col("wanted")) | far).select(classes.columns)
 
     def kept(top: DataFrame) -> DataFrame:
         return top.select(key, "cid", F.inline("best"))
 
-    one = _stored(a(classes).join(b(classes), in_question & category), "pairs-category")
+    one = _stored(a(classes).join(_shuffled(b(classes)), in_question & category), "pairs-category")
     top = best(alone.union(found(one)), "best-category")
     left = _stored(open_classes(top, WEIGHTS["category"]), "open-category")
     ours = left.select(F.col(key).alias("t_key"), F.col("cid").alias("t_cid"), F.explode(_tokens()).alias("t"))
     theirs = classes.select(F.col(key).alias("u_key"), F.col("cid").alias("u_cid"), F.explode(_tokens()).alias("u"))
-    met = ours.join(theirs, (F.col("t_key") == F.col("u_key")) & (F.col("t") == F.col("u")) & (F.col("t_cid") != F.col("u_cid"))).select("t_key", "t_cid", "u_cid").distinct()
-    two = a(left).join(met, (F.col(key) == F.col("t_key")) & (F.col("a_cid") == F.col("t_cid"))).join(b(classes), (F.col(key) == F.col("b_key")) & (F.col("u_cid") == F.col("b_cid"))).where(~category)
+    met = ours.join(_shuffled(theirs), (F.col("t_key") == F.col("u_key")) & (F.col("t") == F.col("u")) & (F.col("t_cid") != F.col("u_cid"))).select("t_key", "t_cid", "u_cid").distinct()
+    two = a(left).join(_shuffled(met), (F.col(key) == F.col("t_key")) & (F.col("a_cid") == F.col("t_cid"))).join(_shuffled(b(classes)), (F.col(key) == F.col("b_key")) & (F.col("u_cid") == F.col("b_cid"))).where(~category)
     two = _stored(two.drop("t_key", "t_cid", "u_cid"), "pairs-token")
     top2 = best(kept(top).union(found(two)), "best-token")
     last = _stored(open_classes(top2, sum(WEIGHTS[w] for w in ("category", "type", "dims", "measures"))), "open-token")
-    rest = a(last).join(b(classes), in_question)
+    rest = a(last).join(_shuffled(b(classes)), in_question)
     three = _stored(rest, "pairs-rest")
-    final = best(kept(top2.join(last.select(key, "cid"), [key, "cid"], "left_anti")).union(alone.join(last.select(key, "cid"), [key, "cid"], "left_semi")).union(found(three)), "best")
-    near = members.join(final, [key, "cid"]).select(key, "pos", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("pos")), 1, k)).alias("place", "n"))
+    final = best(kept(top2.join(_shuffled(last.select(key, "cid")), [key, "cid"], "left_anti")).union(alone.join(_shuffled(last.select(key, "cid")), [key, "cid"], "left_semi")).union(found(three)), "best")
+    near = members.join(_shuffled(final), [key, "cid"]).select(key, "pos", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("pos")), 1, k)).alias("place", "n"))
     looked = [df.agg(F.count("*").alias("pairs")).select(F.lit(stage).alias("stage"), "pairs") for stage, df in (("category", one), ("token", two), ("rest", three))]
     return near.select(key, "pos", (F.col("place") + 1).alias("place"), F.col("n.other").alias("other"), F.col("n.distance").alias("distance")), looked[0].union(looked[1]).union(looked[2])
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that isn't sent to all tasks: written tables of candidates look small to the optimizer, but unpacked
+    they grow with the candidates, and a broadcast passes them whole through the driver."""
+    return df.hint("merge")
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = state_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -271,7 +277,7 @@ def parse_candidates(df: DataFrame, key: str, json: str) -> DataFrame:
     """Candidates of a JSON answer; rows that can't be read are left out."""
     rows = df.select(key, F.posexplode(F.from_json(F.get_json_object(json, "$.candidates"), "array<map<string,string>>")).alias("pos", "c")).where("c is not null")
     g = lambda k: F.try_element_at("c", F.lit(k))
-    tables = F.when(F.substring(g("tables_needed"), 1, 1) == "[", F.from_json(g("tables_needed"), "array<string>")).otherwise(F.transform(F.split(F.coalesce(g("tables_needed"), F.lit("")), ","), F.trim))
+    tables = F.when(F.substring(g("tables_needed"), 1, 1) == "[", F.from_json(g("tables_needed"), "array<string>")).otherwise(F.transform(F.split(F.coalesce(g("tables_needed"), F.lit("")), ","), lambda x: F.trim(x)))
     mapping = g("data_mapping")
     return rows.select(
         key, "pos", F.coalesce(g("chart_type"), F.lit("simple_bar_chart")).alias("chart_type"), F.coalesce(g("chart_category"), F.lit("Simple Charts")).alias("chart_category"),

@@ -32,3 +32,17 @@ def test_nearest_by_brute_force(spark, k):
     assert pairs.keys() == {"category", "token", "rest"} and sum(pairs.values()) < sum(map(len, both.values()))
     none = candidates.nearest_candidates(df.where("false"), k)
     assert none[0].isEmpty() and sum(r.pairs for r in none[1].collect()) == 0
+
+
+def test_no_candidates_are_broadcast(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _executions(store)}
+    df = spark.createDataFrame([(q, p, f"C{p % 2}", f"t{p % 3}", ["a"], ["m"], ["t"], "SUM", "trend", ["x"], float(p % 4)) for q in range(3) for p in range(9)], SCHEMA)
+    assert candidates.nearest_candidates(df, 2)[0].count() == 54
+    plans = [e.physicalPlanDescription() for e in _executions(store) if e.executionId() not in before]
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
+def _executions(store):
+    every = store.executionsList()
+    return [every.apply(k) for k in range(every.size())]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Capitalised words that are no entities.
 STOP_WORDS = ["what", "which", "where", "when", "who", "how", "the", "show"]
 
+#: Unicode's space separators (Zs), which SQL's trim cuts off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def tokenize_upper(c: Column) -> Column:
     """Words of letters, digits and underscores, upper-cased, of two or more characters."""
@@ -22,8 +25,9 @@ def key_entities(question: Column) -> Column:
 
 
 def evidence_points(c: Column, least: int = 10) -> Column:
-    """Points of an evidence text, by semicolons and lines, longer than ten characters."""
-    parts = F.transform(F.split(F.regexp_replace(c, r"\n", ";"), ";"), F.trim)
+    """Points of an evidence text, by semicolons and lines, without spaces at their ends, longer than ten characters."""
+    # a lambda of one argument: given both, transform passes the position too, which trim takes for the characters to cut
+    parts = F.transform(F.split(F.regexp_replace(c, r"\n", ";"), ";"), lambda p: F.trim(p, F.lit(SPACES)))
     return F.filter(parts, lambda p: F.length(p) > least)
 
 
@@ -32,11 +36,11 @@ def sql_clauses(sql: Column) -> dict[str, Column]:
     select. Nested scopes are not told apart, and text in quotes is taken as it stands."""
     s = F.regexp_replace(sql, r"\s+", " ")
     all_of = lambda p, g=1: F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(g))
-    items = lambda p: F.filter(F.transform(F.split(F.regexp_extract(s, "(?i)" + p, 1), r",(?![^(]*\))"), F.trim), lambda x: x != "")
+    items = lambda p: F.filter(F.transform(F.split(F.regexp_extract(s, "(?i)" + p, 1), r",(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != "")
     return {
         "tables": F.array_distinct(all_of(r"\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_.]*)")),
         "joins": all_of(r"((?:LEFT |RIGHT |FULL |INNER |CROSS )?(?:OUTER )?JOIN\s+[A-Za-z_][A-Za-z0-9_.]*)"),
-        "filters": F.filter(F.transform(F.split(F.regexp_extract(s, r"(?i)\bWHERE\s+(.*?)(?:\s+GROUP BY|\s+ORDER BY|\s+HAVING|\s+LIMIT|;|$)", 1), r"(?i)\s+AND\s+"), F.trim), lambda x: x != ""),
+        "filters": F.filter(F.transform(F.split(F.regexp_extract(s, r"(?i)\bWHERE\s+(.*?)(?:\s+GROUP BY|\s+ORDER BY|\s+HAVING|\s+LIMIT|;|$)", 1), r"(?i)\s+AND\s+"), lambda x: F.trim(x)), lambda x: x != ""),
         "groupby": items(r"\bGROUP BY\s+(.*?)(?:\s+HAVING|\s+ORDER BY|\s+LIMIT|;|\)|$)"),
         "measures": all_of(r"\b((?:SUM|COUNT|AVG|MIN|MAX|TOTAL|GROUP_CONCAT)\s*\([^)]*\))"),
         "order": items(r"\bORDER BY\s+(.*?)(?:\s+LIMIT|;|\)|$)"),

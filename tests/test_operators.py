@@ -376,3 +376,14 @@ def test_seeded_picks_by_brute_force(spark):
             alike.add(group)
             want.append(x)
     assert values(candidates.sample_chart_types(catalog, preferred, categories, 5, seed=7), "category", "chart_type") == want[:5]
+
+
+def test_points_lose_spaces_and_no_digits(spark):
+    df = spark.createDataFrame([("  a point of evidence \n1219538112535716 1; 2 third point 2　",)], "t string")
+    assert df.select(text.evidence_points(F.col("t"))).first()[0] == ["a point of evidence", "1219538112535716 1", "2 third point 2"]
+
+
+def test_conditions_keep_their_digits(spark):
+    df = spark.createDataFrame([("SELECT a FROM t WHERE 0 = x AND y > 11 AND z = 2", '{"candidates":[{"tables_needed":"0t, 1t1"}]}')], "s string, j string")
+    assert df.select(text.sql_clauses(F.col("s"))["filters"]).first()[0] == ["0 = x", "y > 11", "z = 2"]
+    assert candidates.parse_candidates(df, "s", "j").first().tables_needed == ["0t", "1t1"]

@@ -97,7 +97,11 @@ def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, l
     Each specification is parsed once, as a variant; a feature meets it by the key and reads its value by its path, at any
     depth. Cases: a specification that is missing or isn't JSON has no values; a value that isn't JSON is a text."""
     docs = specs.select(F.col(key).alias("__key"), F.try_parse_json(spec).alias("__doc"))
-    joined = features.join(docs, F.col(key) == F.col("__key"), "left")
+    return _checked(features.join(docs, F.col(key) == F.col("__key"), "left"), [*(c for c in features.columns if c != "value"), "value"], lenient, texts)
+
+
+def _checked(joined: DataFrame, columns: list[str], lenient: bool = False, texts: bool = False) -> DataFrame:
+    """The columns with satisfied, of demands (path, op, value) that have met their document, a variant (__doc)."""
     text = F.col("value")
     parsed = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text) if texts else text)
     plain = F.try_parse_json(F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")))
@@ -122,7 +126,7 @@ def check_features(specs: DataFrame, features: DataFrame, key: str, spec: str, l
     answer = F.coalesce(strict, F.lit(False))
     if lenient:
         answer = F.when(~present, op != "exists").otherwise(answer)
-    return joined.select(*[features[c] for c in features.columns if c != "value"], features["value"], answer.alias("satisfied"))
+    return joined.select(*columns, answer.alias("satisfied"))
 
 
 def _feature(path, op: str, value=None) -> Column:
@@ -214,8 +218,8 @@ def data_requirements(df: DataFrame, category: str) -> DataFrame:
 
 def contract_violations(specs: DataFrame, contracts: DataFrame, key: str, chart_type: str, spec: str) -> DataFrame:
     """Demands of a specification's chart type that it doesn't meet."""
-    demanded = specs.select(key, F.col(chart_type).alias("chart_type")).join(contracts, "chart_type").select(key, "path", "op", "value")
-    return check_features(specs, demanded, key, spec, texts=True).where("not satisfied").drop("satisfied")
+    docs = specs.select(key, F.col(chart_type).alias("chart_type"), F.try_parse_json(spec).alias("__doc"))
+    return _checked(docs.join(contracts, "chart_type"), [key, "path", "op", "value"], texts=True).where("not satisfied").drop("satisfied")
 
 
 def missing_features(specs: DataFrame, features: DataFrame, key: str, spec: str) -> DataFrame:
@@ -232,18 +236,23 @@ def feature_violations(specs: DataFrame, features: DataFrame, key: str, spec: st
 def compress_features(features: DataFrame, key: str, cap: int = 15) -> DataFrame:
     """The first feature of each priority path, then other defining ones while there are fewer than the cap."""
     priority = F.coalesce(*(F.when(F.col("path").startswith(p), F.lit(i)) for i, p in enumerate(fixed.PRIORITY_PATHS)), F.lit(99))
-    unique = features.withColumn("__k", F.row_number().over(Window.partitionBy(key, "path").orderBy("pos"))).where("__k = 1").drop("__k").withColumn("__p", priority)
+    defining = F.col("path").rlike("|".join(fixed.DEFINING_WORDS))
+    # a path's features have its priority, so that what can't be kept goes before anything is sorted
+    some = features.withColumn("__p", priority).where((F.col("__p") < 99) | defining)
+    unique = some.withColumn("__k", F.row_number().over(Window.partitionBy(key, "__p", "path").orderBy("pos"))).where("__k = 1").drop("__k")
     first = F.row_number().over(Window.partitionBy(key, "__p").orderBy("pos"))
     ranked = unique.withColumn("__first", (first == 1) & (F.col("__p") < 99))
-    defining = F.col("path").rlike("|".join(fixed.DEFINING_WORDS))
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__first"), F.when(F.col("__first"), F.col("__p")), "pos"))
     return ranked.where(F.col("__first") | defining).withColumn("rank", order).where(F.col("__first") | (F.col("rank") <= cap)).drop("__p", "__first")
 
 
 def encoding_pattern(features: DataFrame, key: str) -> DataFrame:
     """Letters of the types of x, y, color and size, in this order, joined by dashes."""
-    letter = lambda ch: F.max(F.when((F.col("path") == f"encoding.{ch}.type") & (F.col("op") == "eq"), F.upper(F.substring("value", 1, 1))))
-    return features.groupBy(key).agg(F.concat_ws("-", *(letter(ch) for ch in CHANNELS)).alias("pattern"))
+    typed = F.col("path").isin(*(f"encoding.{ch}.type" for ch in CHANNELS)) & (F.col("op") == "eq")
+    # other features are left out but for the first, which keeps the key
+    few = features.where(typed | (F.col("pos") == 0)).select(key, F.when(typed, F.col("path")).alias("path"), F.when(typed, F.upper(F.substring("value", 1, 1))).alias("letter"))
+    letter = lambda ch: F.max(F.when(F.col("path") == f"encoding.{ch}.type", F.col("letter")))
+    return few.groupBy(key).agg(F.concat_ws("-", *(letter(ch) for ch in CHANNELS)).alias("pattern"))
 
 
 def composition_type(spec: Column) -> Column:

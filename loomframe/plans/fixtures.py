@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import tables as src
+
 SAMPLES = """SELECT concat('q', o_custkey, '_c', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS sample_id,
  o_custkey AS source_question_id, concat(lower(c_mktsegment), CASE o_custkey % 6 WHEN 0 THEN '_sales' WHEN 1 THEN '_hospital' WHEN 2 THEN '_user_log' WHEN 3 THEN '_geo' WHEN 4 THEN '' ELSE '_sensor' END) AS db_id, o_orderpriority AS chart_type, o_orderstatus AS chart_category, o_totalprice > 20000 AS validation_passed, o_orderkey AS seq
  FROM orders JOIN customer ON o_custkey = c_custkey"""
@@ -26,6 +28,8 @@ CANDIDATES = """SELECT l_orderkey AS question_id, row_number() OVER (PARTITION B
  CASE WHEN l_quantity > 25 THEN 'SUM' ELSE 'AVG' END AS aggregation, CASE WHEN l_discount > 0.05 THEN 'trend' ELSE 'ranking' END AS vis_intent_type FROM lineitem"""
 QUESTIONS = "SELECT doc_id AS question_id, text AS question, lang AS db_id, source AS difficulty FROM documents"
 
+#: Tables of short rows from which long ones are made, and their keys.
+_SPREAD = {"specs": "p_partkey"}
 _TABLES = {
     "samples": (SAMPLES, "orders", "customer"), "specs": (SPECS, "part"), "judgments": (JUDGMENTS, "lineitem"), "runs": (RUNS, "orders"),
     "trace": (TRACE, "conversations"), "candidates": (CANDIDATES, "lineitem"), "questions": (QUESTIONS, "documents"),
@@ -36,7 +40,8 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived collection of a folder's tables."""
     sql, *tables = _TABLES[name]
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        rows = src.read_table(spark, sf_dir, t)
+        (src.spread(rows, _SPREAD[name]) if name in _SPREAD else rows).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

@@ -17,6 +17,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """The rows dealt over all cores by a key, at most about so many a task. A small file is read by few tasks; where each of
+    its rows makes much work, these are few tasks for all of it. Steps by the same key need no further shuffle.
+
+    The rows are counted first, which for Parquet reads footers alone."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts, key)
+
+
 def load_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
     """Every table of a folder as a frame and a temporary view."""
     frames = {n: read_table(spark, folder, n) for n in names}

@@ -871,7 +871,10 @@ def candidate_mapping(spark, d):
     more = [some(2, 0, F.struct(F.col("dim2").alias("field"))).alias("facet"), some(5, 0, F.struct(F.col("measure").alias("y"))).alias("secondary_encodings"), some(4, 1, F.array(F.lit("bar"), F.lit("rule"))).alias("layers")]
     m = F.to_json(F.struct(inner.alias("primary_encodings"), *more))
     none = F.array().cast("array<string>")
-    return fx(spark, d, "candidates").select("question_id", "pos", F.array_join(candidates.mapping_dimensions(m), ",").alias("dimensions"), F.array_join(candidates.mapping_measures(m), ",").alias("measures"), candidates.mapping_complexity(m).alias("complexity"), candidates.has_advanced_effects(none, m).alias("advanced"))
+    # the JSON is a column of its own: what looks into it in many places would else write it anew for each of them
+    rows = fx(spark, d, "candidates").select("question_id", "pos", m.alias("mapping"))
+    m = F.col("mapping")
+    return rows.select("question_id", "pos", F.array_join(candidates.mapping_dimensions(m), ",").alias("dimensions"), F.array_join(candidates.mapping_measures(m), ",").alias("measures"), candidates.mapping_complexity(m).alias("complexity"), candidates.has_advanced_effects(none, m).alias("advanced"))
 
 
 @query("candidate_required", "candidates", "SELECT question_id, pos, CASE WHEN pos % 4 = 1 THEN 'own' ELSE concat('kf_', pos) END AS id, CASE pos % 3 WHEN 0 THEN 'filter' ELSE 'mark' END AS type, chart_type AS text, pos % 2 = 0 AS must FROM fx WHERE pos % 5 <> 4")

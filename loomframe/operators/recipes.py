@@ -181,8 +181,25 @@ def r_ecdf(df: DataFrame, v: str, keys: list[str]) -> DataFrame:
 def r_qq(df: DataFrame, a: str, b: str, steps: int = 20) -> DataFrame:
     """Pairs of quantiles of two columns at the same probabilities."""
     probs = [k / steps for k in range(steps + 1)]
-    q = df.agg(F.percentile(a, probs).alias("a"), F.percentile(b, probs).alias("b"))
-    return q.select(F.posexplode(F.arrays_zip("a", "b")).alias("k", "q")).select((F.col("k") / F.lit(steps)).alias("p"), F.col("q.a").alias("qa"), F.col("q.b").alias("qb"))
+    qa, qb = _quantiles(df, a, probs, "qa"), _quantiles(df, b, probs, "qb")
+    return qa.join(qb, "k").select((F.col("k") / F.lit(steps)).alias("p"), "qa", "qb")
+
+
+def _quantiles(df: DataFrame, v: str, probs: list[float], name: str) -> DataFrame:
+    """k and the exact quantile at the k-th probability, between two neighbours by their distance; null without values.
+
+    Different values are counted and summed up in range parts, so that no task sees them all; a probability meets the values
+    that hold the two rows about it."""
+    counts = df.where(F.col(v).isNotNull()).groupBy(F.col(v).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    summed = running(counts, [], ["__v"], {"__upto": F.col("__n")})
+    wanted = df.agg(F.count(v).alias("__all")).select("__all", F.posexplode(F.array(*map(F.lit, probs))).alias("k", "__p")).withColumn("__at", (F.col("__all") - 1) * F.col("__p"))
+    at = F.col("__at")
+    reach = (F.col("__upto") > F.floor(at)) & (F.col("__upto") - F.col("__n") <= F.ceil(at))
+    # one row for each probability
+    met = summed.join(F.broadcast(wanted), reach).groupBy("k", "__at").agg(F.min("__v").alias("low"), F.max("__v").alias("high"))
+    up = at - F.floor(at)
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - up) * F.col("low") + up * F.col("high"))
+    return wanted.select("k").join(met.select("k", value.alias(name)), "k", "left")
 
 
 def r_density(df: DataFrame, v: str, keys: list[str], bandwidth: float, steps: int = 20) -> DataFrame:

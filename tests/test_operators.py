@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 import xxhash
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import fixed, text
 from loomframe.operators import ambiguity, balance, candidates, chartops, collection, evaluation, profiling, quality, recipes, shaping, specs, traces
+from loomframe.plans import fixtures, registry
 from loomframe.sources import tables as src
 from loomframe.streaming import streams
 
@@ -387,3 +389,35 @@ def test_conditions_keep_their_digits(spark):
     df = spark.createDataFrame([("SELECT a FROM t WHERE 0 = x AND y > 11 AND z = 2", '{"candidates":[{"tables_needed":"0t, 1t1"}]}')], "s string, j string")
     assert df.select(text.sql_clauses(F.col("s"))["filters"]).first()[0] == ["0 = x", "y > 11", "z = 2"]
     assert candidates.parse_candidates(df, "s", "j").first().tables_needed == ["0t", "1t1"]
+
+
+def test_quantiles_in_range_parts(spark):
+    rng = random.Random(3)
+    a, b = [float(rng.randrange(40)) for _ in range(57)], [rng.random() for _ in range(57)]
+    df = spark.createDataFrame([*zip(a, b), (None, 0.5)], "a double, b double").repartition(5)
+    got = recipes.r_qq(df, "a", "b").orderBy("p")
+    assert "percentile(" not in got._jdf.queryExecution().toString()
+    probs = [k / 20 for k in range(21)]
+    want = df.agg(F.percentile("a", probs), F.percentile("b", probs)).first()
+    assert [r.qa for r in got.collect()] == pytest.approx(want[0]) and [r.qb for r in got.collect()] == pytest.approx(want[1])
+    assert [tuple(r)[1:] for r in recipes.r_qq(df.where("false"), "a", "b", 2).collect()] == [(None, None)] * 3
+
+
+def test_specs_are_dealt_over_all_cores(spark, sf):
+    rows = spark.range(0, 1000, 1, 1).toDF("k")
+    assert src.spread(rows, "k").rdd.getNumPartitions() == 4 and src.spread(rows, "k", 100).rdd.getNumPartitions() == 10
+    assert src.spread(rows, "k").distinct().count() == 1000
+    assert fixtures.fx(spark, sf, "specs").rdd.getNumPartitions() >= 4
+
+
+def test_mapping_is_written_once_a_row(spark, sf):
+    plan = registry.QUERIES["candidate_mapping"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json(") <= 1
+
+
+def test_violations_parse_a_specification_before_its_demands(spark):
+    docs = spark.createDataFrame([(1, "t", '{"mark":"bar"}'), (2, "t", '{"mark":{"type":"arc"}}'), (3, "u", "no JSON")], "id int, kind string, spec string")
+    wanted = spark.createDataFrame([("t", "mark.type", "eq", "arc"), ("t", "mark", "exists", None), ("u", "mark", "exists", None)], "chart_type string, path string, op string, value string")
+    found = specs.contract_violations(docs, wanted, "id", "kind", "spec")
+    assert sorted(values(found, "id", "path")) == [(1, "mark.type"), (3, "mark")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -42,6 +42,12 @@ def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and isn't sent to all tasks, however small it looks: a broadcast passes it
+    whole through the driver, and what a small input broadcasts a larger one shuffles, so that its disk can't be foreseen."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize wrote, once what was read from them is written itself."""
     for table in tables:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, chunks, discard, materialize, mix64, seeds, shingle_hashes, sized
+from .common import by_group, chunks, discard, materialize, mix64, seeds, shingle_hashes, shuffled, sized
 from .graph import components
 
 THRESHOLD = 0.8
@@ -287,25 +287,31 @@ def _links_of_runs(classes: DataFrame, sketch_of: DataFrame, most: int, families
         # the pivot is drawn by a hash of the class alone: buckets of a family tend to have the same, and so the same links
         known = paths.select("path", "cid") if families is None else paths.select("path", "cid").join(families, "cid", "left")
         own = F.lit(None).cast("long") if families is None else F.coalesce("family", "cid")
-        buckets = known.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p"), (F.min(own) == F.max(own)).alias("one")).where("n > 1 and one is not true")
-        members = paths.join(buckets.select("path", "n", F.col("p.cid").alias("pivot")), "path")
+        found = known.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("p"), (F.min(own) == F.max(own)).alias("one")).where("n > 1 and one is not true")
+        buckets = materialize(found.select("path", "n", F.col("p.cid").alias("pivot")), "buckets")
+        large = buckets.where(F.col("n") > LEAF)
+        deepens = not large.isEmpty()
+        # a large bucket brings its pivot's sketch along, so that its rows are joined once
+        pivot_sketch = sketch_of.select(F.col("cid").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        given = buckets.where(F.col("n") <= LEAF).withColumn("pivot_sketch", F.lit(None).cast("binary"))
+        if deepens:
+            given = given.union(large.join(pivot_sketch, "pivot").select(given.columns))
+        members = paths.join(shuffled(given), "path")
         # rows that are alone in their bucket are gone before sketches are fetched
-        members = members if "sketch" in paths.columns else members.join(sketch_of, "cid")
+        members = members if "sketch" in paths.columns else members.join(shuffled(sketch_of), "cid")
         # sketches are fetched from all classes, however few of them have paths
         most_rows = paths.count() + (0 if "sketch" in paths.columns else sketch_of.count())
-        members = materialize(sized(members.select("path", "cid", "n", "pivot", "sketch"), most_rows, ROWS_EACH), "members")
+        members = materialize(sized(members.select("path", "cid", "n", "pivot", "sketch", "pivot_sketch"), most_rows, ROWS_EACH), "members")
         most_rows = members.count()
-        near, large = leaf_links(members.where(F.col("n") <= LEAF), most_rows), members.where(F.col("n") > LEAF)
-        split = None
-        if not large.isEmpty():
-            pivots = large.where("cid = pivot").select("path", F.col("sketch").alias("pivot_sketch")).dropDuplicates(["path"])
-            met = large.join(pivots, "path").select("path", "cid", "sketch", "pivot", "pivot_sketch")
+        near, split = leaf_links(members.where(F.col("n") <= LEAF), most_rows), None
+        if deepens:
+            met = members.where(F.col("n") > LEAF).select("path", "cid", "sketch", "pivot", "pivot_sketch")
             split = materialize(_split(sized(met, most_rows, ROWS_EACH)), "split")
             tables.append(split)
             absorbed = split.where((F.col("likeness") >= ABSORB) & (F.col("cid") != F.col("pivot")))
             near = near.union(absorbed.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct())
         links.append(materialize(sized(near, most_rows, LINKS_EACH) if split is not None else near, "links"))
-        discard(members)
+        discard(members, buckets)
         if split is None:
             break
         depth += 1
@@ -401,13 +407,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     classes = materialize(sized(sets.select("one", "two", "copies", "n", F.col("first.uid").alias("cid"), "first.id", "first.text_md5", "first.sketch"), n_rows, ROWS_EACH), "classes")
 
     families = components(candidate_links(classes, recall)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    families = materialize(sized(families.join(classes.select("cid", "n", "copies", "id", "text_md5"), "cid"), n_rows, ROWS_EACH), "families")
+    families = materialize(sized(families.join(shuffled(classes.select("cid", "n", "copies", "id", "text_md5")), "cid"), n_rows, ROWS_EACH), "families")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     members = families.join(families.groupBy("family").agg(blocks.alias("blocks")), "family")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text).alias("text")).withColumn("t_md5", F.md5(F.coalesce("text", F.lit(""))))
-    found = texts.join(members, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_md5") == F.col("text_md5"))).select("family", "blocks", "cid", "copies", "text")
-    blocks = _in_blocks(_with_shingles(found.dropDuplicates(["cid"]))).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    # the class of a text is that of its id and digest, which find it again: dealt by these, copies need no further shuffle
+    key = [F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("z"), "text_md5"]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_md5")).select(*key, "text")
+    wanted = members.select(*key, "family", "blocks", "cid", "copies")
+    found = texts.join(shuffled(wanted), ["k", "z", "text_md5"]).dropDuplicates(["k", "z", "text_md5"]).select("family", "blocks", "cid", "copies", "text")
+    blocks = _in_blocks(_with_shingles(found)).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     results = materialize(compared(blocks, threshold), "compared")
     # a family in one block is settled there; the others' blocks are put together
     split = results.where("many and low < cid").select("cid", F.col("low").alias("b"))
@@ -417,9 +426,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
         joined = joined.join(together, F.col("cid") == F.col("node"), "left").select("cid", "n_links", F.coalesce(together.component, joined.component).alias("component"))
     per_class = classes.select("one", "two", "copies", "n", "cid").join(joined, "cid", "left")
     per_class = per_class.select("one", "two", "copies", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component"), (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(per_class, ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies", "n_shingles")
+    base = rows.where("n > 0").select("uid", "id", "text_md5", "one", "two").join(shuffled(per_class), ["one", "two"]).select("uid", "id", "text_md5", "component", "n_links", "copies", "n_shingles")
     alone = rows.where("n = 0").select("uid", "id", "text_md5", F.col("uid").alias("component"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.lit(0).alias("n_shingles"))
     every = materialize(sized(base.union(alone), n_rows, ROWS_EACH), "grouped")
-    least = every.groupBy("component").agg(F.min("id").alias("group_id"), F.min("uid").alias("group_uid"))
-    return every.join(least, "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies", "n_shingles")
+    # written first, so that a large component's rows can be split over tasks where they meet it
+    least = materialize(sized(every.groupBy("component").agg(F.min("id").alias("group_id"), F.min("uid").alias("group_uid")), n_rows, LINKS_EACH), "least")
+    return every.join(shuffled(least), "component").select("id", "text_md5", "uid", "group_uid", "group_id", "n_links", "copies", "n_shingles")
 

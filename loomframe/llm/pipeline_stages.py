@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, near_dup, secrets, toxicity
+from .common import shuffled
 from .queries import BPE_RANKS, learnable_labels, table
 
 
@@ -25,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = near_dup.jaccard_join(docs).groupBy("id", "text_md5").agg(F.count("*").alias("rows"), F.count_if(F.col("uid") == F.col("group_uid")).alias("kept"))
     keys = rows.where("kept > 0").select(F.col("id").alias("__id"), F.col("text_md5").alias("__text_md5"), (F.col("rows") == F.col("kept")).alias("__all"))
     marked = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
-    joined = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5")))
+    joined = marked.join(shuffled(keys), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text_md5")))
     whole = joined.where("__all").select(docs.columns)
     # rows that repeat in id and text are copies of each other, and one of them stays; partial aggregation leaves one a task
     repeated = joined.where("not __all").groupBy("__id", "__md5").agg(F.first(F.struct(*docs.columns)).alias("__row"))

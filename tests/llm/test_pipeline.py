@@ -78,6 +78,24 @@ def test_near_copies_stage_with_repeated_rows(spark, sf):
     assert got == sorted([(False, 1, text), (False, 3, rows[34][1]), (False, 4, ""), (False, 4, ""), (False, 5, "?!"), (True, 0, "alone in this")])
 
 
+def test_near_copies_join_alike_at_every_size(spark, sf, monkeypatch):
+    """Texts meet keys by a shuffle however few there are, and rows of large buckets are joined once, with their pivot's sketch."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words, f"more{k}"])) for k in range(40)] + [(100 + k, f"other words {k} of this row {k * k}") for k in range(20)] + [(None, " ".join(words)), (0, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, split, compared = {}, near_dup._split, near_dup.compared
+    monkeypatch.setattr(near_dup, "LEAF", 8)
+    monkeypatch.setattr(near_dup, "_split", lambda met: split(plans.setdefault("split", met)))
+    monkeypatch.setattr(near_dup, "compared", lambda blocks, t: compared(plans.setdefault("blocks", blocks), t))
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, sf)
+    assert len({r.doc_id for r in kept.collect()}) == 21
+    assert "Join" not in plan(plans["split"])
+    texts = plan(plans["blocks"])
+    assert "SortMergeJoin [k#" in texts and "BroadcastHashJoin [k#" not in texts
+    assert "SortMergeJoin [coalesce(doc_id#" in plan(kept) and "BroadcastHashJoin" not in plan(kept)
+
+
 def test_benchmark_stage(stages, spark, sf):
     items = [decontaminate.exact_shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = set()

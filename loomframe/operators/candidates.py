@@ -82,24 +82,36 @@ def valid_candidates(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     return candidates.join(catalog.select("chart_type").distinct(), "chart_type", "left_semi")
 
 
+def _set(c: Column) -> Column:
+    return F.when(F.size(c) == 1, F.array(F.lower(c[0]))).otherwise(F.array_distinct(F.transform(c, F.lower)))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
-    low = lambda c: F.transform(c, F.lower)
-    a, b = low(a), low(b)
-    n = F.size(F.array_union(a, b))
-    return F.when(n == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / n)
+    """Of two arrays without repeated elements; equal ones, and two of one element each, need no sets."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a == b, 0.0).when((F.size(a) == 1) & (F.size(b) == 1), 1.0).otherwise(1 - both / (F.size(a) + F.size(b) - both))
 
 
-def distance(a, b) -> Column:
-    """The distance of two candidates, given as functions from a column's name to the column."""
-    differs = lambda c: (~F.lower(a(c)).eqNullSafe(F.lower(b(c)))).cast("double")
+def distance(a, b, lowered: bool = False) -> Column:
+    """The distance of two candidates, given as functions from a column's name to the column; lowered: both are as
+    lowered_columns makes them."""
+    low, sets = (F.lower, _set) if not lowered else (lambda c: c, lambda c: c)
+    differs = lambda c: (~low(a(c)).eqNullSafe(low(b(c)))).cast("double")
+    apart = lambda c: _jaccard(sets(a(c)), sets(b(c)))
     w = WEIGHTS
     return (
-        w["category"] * differs("chart_category") + w["type"] * differs("chart_type") + w["dims"] * _jaccard(a("dimensions"), b("dimensions")) + w["measures"] * _jaccard(a("measures"), b("measures"))
-        + w["tables"] * _jaccard(a("tables_needed"), b("tables_needed")) + w["aggregation"] * differs("aggregation") + w["intent"] * differs("vis_intent_type")
-        + w["features"] * _jaccard(a("feature_types"), b("feature_types")) + w["complexity"] * F.abs(a("complexity") - b("complexity"))
+        w["category"] * differs("chart_category") + w["type"] * differs("chart_type") + w["dims"] * apart("dimensions") + w["measures"] * apart("measures")
+        + w["tables"] * apart("tables_needed") + w["aggregation"] * differs("aggregation") + w["intent"] * differs("vis_intent_type")
+        + w["features"] * apart("feature_types") + w["complexity"] * F.abs(a("complexity") - b("complexity"))
     )
 
 
+def lowered_columns() -> list[Column]:
+    """What the distance looks at, in lower case and without repeated elements, for candidates that are compared many times."""
+    sets = ("dimensions", "measures", "tables_needed", "feature_types")
+    return [(_set(F.col(c)) if c in sets else F.col(c) if c == "complexity" else F.lower(c)).alias(c) for c in COMPARED]
+
+
 def candidate_distance(candidates: DataFrame, key: str = "question_id") -> DataFrame:
     """key, pos_a < pos_b and distance of the candidates of a question."""
     a, b = candidates.alias("a"), candidates.alias("b")
@@ -111,26 +123,33 @@ def candidate_distance(candidates: DataFrame, key: str = "question_id") -> DataF
 COMPARED = ["chart_category", "chart_type", "dimensions", "measures", "tables_needed", "aggregation", "vis_intent_type", "feature_types", "complexity"]
 
 
-def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> DataFrame:
-    """Up to n candidates of each question: the first, then again and again the one farthest from those taken; ties go to
-    the earliest. diversity_score is the distance at which one was taken (0 for the first, and where all are kept).
+def diverse_picks(candidates: DataFrame, n: int, key: str = "question_id") -> DataFrame:
+    """key, pos, taken and diversity_score of up to n candidates of each question: the first, then again and again the one
+    farthest from those taken; ties go to the earliest. diversity_score is the distance at which one was taken (0 for the
+    first, and where all are kept).
 
     Each round holds the few that a question has taken against all its candidates, so that it costs n distances a
     candidate and no pairs; the farthest is found by an aggregate that starts before the shuffle. What has been taken is
     written below the checkpoint folder after each round."""
     me = F.struct("pos", *COMPARED)
     zero = F.lit(0.0)
-    # what makes the candidates is computed once, and not again in every round
-    candidates = _stored(candidates, "candidates")
+    # what makes the candidates is computed once, and not again in every round, nor are their letters lowered again
+    candidates = _stored(candidates.select(key, "pos", *lowered_columns()), "candidates")
     taken = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min_by(me, "pos").alias("c")).select(key, "size", F.array(F.struct("c", zero.alias("score"))).alias("taken"))
     for _ in range(1, n):
         taken = _stored(taken, "taken")
-        near = F.array_min(F.transform("taken", lambda t: distance(lambda c: t["c"][c], F.col)))
+        near = F.array_min(F.transform("taken", lambda t: distance(lambda c: t["c"][c], F.col, lowered=True)))
         rest = candidates.join(taken, key).where(~F.exists("taken", lambda t: t["c"]["pos"] == F.col("pos")))
         best = rest.select(key, near.alias("near"), me.alias("c")).groupBy(key).agg(F.max_by(F.struct("c", F.col("near").alias("score")), F.struct("near", -F.col("c.pos"))).alias("next"))
         taken = taken.join(best, key, "left").select(key, "size", F.when(F.col("next").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("next"))).alias("taken"))
     rows = taken.select(key, "size", F.posexplode("taken").alias("taken", "t"))
-    return candidates.join(rows.select(key, F.col("t.c.pos").alias("pos"), "taken", F.when(F.col("size") > n, F.col("t.score")).otherwise(zero).alias("diversity_score")), [key, "pos"])
+    return rows.select(key, F.col("t.c.pos").alias("pos"), "taken", F.when(F.col("size") > n, F.col("t.score")).otherwise(zero).alias("diversity_score"))
+
+
+def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> DataFrame:
+    """The candidates that diverse_picks takes, with taken and diversity_score."""
+    candidates = _stored(candidates, "candidates")
+    return candidates.join(diverse_picks(candidates, n, key), [key, "pos"])
 
 
 def _tokens() -> Column:

@@ -247,7 +247,7 @@ three AS (SELECT question_id, pos, distance FROM (SELECT x.question_id, x.pos, l
 FROM d x JOIN one ON x.question_id = one.question_id AND x.other = one.pos JOIN two ON two.question_id = x.question_id AND two.pos <> x.pos JOIN d y ON y.question_id = x.question_id AND y.pos = x.pos AND y.other = two.pos) WHERE k = 1)
 SELECT question_id, pos, taken, round(CASE WHEN size > 3 THEN distance ELSE 0 END, 6) AS diversity_score FROM (SELECT *, 0 AS distance, 0 AS taken FROM one UNION ALL SELECT *, 1 FROM two UNION ALL SELECT *, 2 FROM three) JOIN size USING (question_id)""")
 def candidate_select(spark, d):
-    return rounded(candidates.select_diverse(_cands(spark, d), 3).select("question_id", "pos", "taken", "diversity_score"), 6, "diversity_score")
+    return rounded(candidates.diverse_picks(_cands(spark, d), 3), 6, "diversity_score")
 
 
 @query("candidate_nearest", "candidates", f"SELECT question_id, pos, place::INT AS place, other, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pos ORDER BY round(distance, 9), other) AS place FROM (SELECT a.question_id, a.pos, b.pos AS other, {_D} AS distance FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos <> b.pos)) WHERE place <= 2")

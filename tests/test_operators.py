@@ -421,3 +421,20 @@ def test_violations_parse_a_specification_before_its_demands(spark):
     found = specs.contract_violations(docs, wanted, "id", "kind", "spec")
     assert sorted(values(found, "id", "path")) == [(1, "mark.type"), (3, "mark")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_picks_lower_once(spark, monkeypatch):
+    """Letter case and repeated elements count for nothing, by hand; what is compared is lowered before the rounds."""
+    row = lambda pos, kind, dims, measures=("m",): (1, pos, "C", kind, list(dims), list(measures), ["t"], None, "trend", [], 1.0)
+    rows = [row(0, "Bar", ["A", "b", "a"]), row(1, "bar", ["B", "A"]), row(2, "line", ["b"]), row(3, "LINE", ["B", "b"]), row(4, "area", ["x"], ("n", "M"))]
+    names = "question_id long, pos long, chart_category string, chart_type string, dimensions array<string>, measures array<string>, tables_needed array<string>, aggregation string, vis_intent_type string, feature_types array<string>, complexity double"
+    frame = spark.createDataFrame(rows, names)
+    picks = candidates.diverse_picks(frame, 3)
+    assert sorted(values(picks, "pos", "taken", "diversity_score")) == [(0, 0, 0.0), (2, 2, 1.75), (4, 1, 3.0)]
+    plans, stored = [], candidates._stored
+    monkeypatch.setattr(candidates, "_stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
+    assert len(candidates.select_diverse(frame, 3).columns) == len(frame.columns) + 2
+    rounds = [p for p in plans if "max_by" in p]
+    assert rounds and not any("lower(" in p or "array_union" in p for p in rounds)
+    pairs = {(r.pos_a, r.pos_b): r.distance for r in candidates.candidate_distance(frame).collect()}
+    assert pairs[0, 1] == pairs[2, 3] == 0.0 and pairs[0, 4] == 3.0 and pairs[0, 2] == 1.75

@@ -29,14 +29,24 @@ def _field(c: Column) -> Column:
     return F.nullif(F.trim(F.element_at(F.split(c, r"\("), 1)), F.lit(""))
 
 
-def mapping_dimensions(mapping: Column) -> Column:
+def _text_at(mapping: Column, path: str, read: Column | None) -> Column:
+    """What get_json_object gives; read: the mapping as a variant in a column of its own, so that it is read once for all
+    paths. A value that may be no string in the JSON (it begins like a number, an object or an array) is read again as it
+    is written, and so is a mapping that isn't read whole."""
+    if read is None:
+        return F.get_json_object(mapping, path)
+    value = F.try_variant_get(read, path, "string")
+    return F.when(read.isNull() | value.rlike(r"^[-0-9\[{]"), F.get_json_object(mapping, path)).otherwise(value)
+
+
+def mapping_dimensions(mapping: Column, read: Column | None = None) -> Column:
     """Fields on x, color, row, column and facet of the primary encodings, then the facet's field."""
-    get = lambda k: _field(F.get_json_object(mapping, k))
+    get = lambda k: _field(_text_at(mapping, k, read))
     return F.array_distinct(F.array_compact(F.array(*(get(f"$.primary_encodings.{k}") for k in ("x", "color", "row", "column", "facet")), get("$.facet.field"))))
 
 
-def mapping_measures(mapping: Column) -> Column:
-    get = lambda k: _field(F.get_json_object(mapping, k))
+def mapping_measures(mapping: Column, read: Column | None = None) -> Column:
+    get = lambda k: _field(_text_at(mapping, k, read))
     return F.array_distinct(F.array_compact(F.array(get("$.primary_encodings.y"), get("$.secondary_encodings.y"), get("$.primary_encodings.size"))))
 
 
@@ -297,11 +307,11 @@ def parse_candidates(df: DataFrame, key: str, json: str) -> DataFrame:
     rows = df.select(key, F.posexplode(F.from_json(F.get_json_object(json, "$.candidates"), "array<map<string,string>>")).alias("pos", "c")).where("c is not null")
     g = lambda k: F.try_element_at("c", F.lit(k))
     tables = F.when(F.substring(g("tables_needed"), 1, 1) == "[", F.from_json(g("tables_needed"), "array<string>")).otherwise(F.transform(F.split(F.coalesce(g("tables_needed"), F.lit("")), ","), lambda x: F.trim(x)))
-    mapping = g("data_mapping")
-    return rows.select(
+    mapping, read = g("data_mapping"), F.col("read")
+    return rows.withColumn("read", F.try_parse_json(mapping)).select(
         key, "pos", F.coalesce(g("chart_type"), F.lit("simple_bar_chart")).alias("chart_type"), F.coalesce(g("chart_category"), F.lit("Simple Charts")).alias("chart_category"),
         F.when(g("vis_intent_type").isin(*INTENTS), g("vis_intent_type")).otherwise("comparison").alias("vis_intent_type"), F.filter(tables, lambda x: x != "").alias("tables_needed"),
-        agg_alias(F.coalesce(g("aggregation"), F.lit(""))).alias("aggregation"), mapping_dimensions(mapping).alias("dimensions"), mapping_measures(mapping).alias("measures"), mapping.alias("data_mapping"),
+        agg_alias(F.coalesce(g("aggregation"), F.lit(""))).alias("aggregation"), mapping_dimensions(mapping, read).alias("dimensions"), mapping_measures(mapping, read).alias("measures"), mapping.alias("data_mapping"),
     )
 
 

@@ -438,3 +438,24 @@ def test_picks_lower_once(spark, monkeypatch):
     assert rounds and not any("lower(" in p or "array_union" in p for p in rounds)
     pairs = {(r.pos_a, r.pos_b): r.distance for r in candidates.candidate_distance(frame).collect()}
     assert pairs[0, 1] == pairs[2, 3] == 0.0 and pairs[0, 4] == 3.0 and pairs[0, 2] == 1.75
+
+
+def test_mapping_is_read_once_for_all_paths(spark):
+    """The same texts as by get_json_object, path by path, on odd mappings; each mapping is read as JSON once."""
+    rows = [
+        '{"primary_encodings":{"x":"a (n)","y":"b","color":"a"},"facet":{"field":" f "}}', '{"primary_encodings":{"x":1.50,"y":1e3,"color":-2,"row":true,"column":null,"facet":""}}', '{"primary_encodings":{"x":{"field": "a"},"y":["b", 1]}}',
+        '{"primary_encodings":{"x":"first","x":"second"}}', '{"primary_encodings":{"x":"cut"', '{"primary_encodings":{"x":"a"},', '{"primary_encodings":"x","facet":"y"}', "{'primary_encodings':{'x':'a'}}", "{}", "", "null", None, "[1]", '"x"',
+        '{"primary_encodings":{"x":"a"}} more', '{"primary_encodings":{"x":NaN,"y":"\\u00e9\\n(z"}}', '{"primary_encodings":{"x":"1.50","color":"{z","row":"[q","column":"-"}}', '{"primary_encodings":{"x":"tab\there"}}', '{"primary_encodings":{"x":"  ","color":"(n)"}}',
+    ]
+    df = spark.createDataFrame([(k, m) for k, m in enumerate(rows)], "k int, m string").withColumn("r", F.try_parse_json("m"))
+    got = df.select("k", candidates.mapping_dimensions(F.col("m"), F.col("r")).alias("d"), candidates.mapping_measures(F.col("m"), F.col("r")).alias("v"))
+    plain = lambda path: candidates._field(F.get_json_object("m", path))
+    want = df.select(
+        "k", F.array_distinct(F.array_compact(F.array(*(plain(f"$.primary_encodings.{c}") for c in ("x", "color", "row", "column", "facet")), plain("$.facet.field")))).alias("d"),
+        F.array_distinct(F.array_compact(F.array(plain("$.primary_encodings.y"), plain("$.secondary_encodings.y"), plain("$.primary_encodings.size")))).alias("v"),
+    )
+    assert sorted(values(got, "k", "d", "v")) == sorted(values(want, "k", "d", "v"))
+    answer = json.dumps({"candidates": [{"chart_type": "bar", "data_mapping": rows[0]}]})
+    parsed = candidates.parse_candidates(spark.createDataFrame([(1, answer)], "q long, a string"), "q", "a")
+    assert parsed.first().dimensions == ["a", "f"]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + parsed._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..sources.scratch import state_path
-from .ordered import number_rows
+from .ordered import placed
 from .shaping import aggregate_of, group_agg
 
 #: The spellings of aggregations.
@@ -152,6 +156,8 @@ def t_regression(df: DataFrame, x: str, y: str, keys: list[str], order: int = 1)
 
 #: Different x in one bucket of a local regression.
 LOESS_BUCKET = 4096
+#: Buckets that are sent to all tasks which read points.
+FEW_BUCKETS = 20_000
 #: Powers of x that a tricube weight of a linear fit needs.
 _POWERS = 12
 
@@ -159,8 +165,8 @@ _POWERS = 12
 def t_loess(df: DataFrame, x: str, y: str, keys: list[str], bandwidth: float = 0.3, steps: int = 10, bucket: int = LOESS_BUCKET) -> DataFrame:
     """Local linear fits on a grid: tricube weights of the nearest share of points.
 
-    Points of equal x are summed first and dealt in the order of x into buckets of so many, each with its moments about its
-    middle. A grid point reads the buckets' ends to find those that surely are, or may be, among its nearest share, and
+    Points of equal x are summed first and dealt in the order of x into buckets of at most so many, each with its moments
+    about its middle. A grid point reads the buckets' ends to find those that surely are, or may be, among its nearest share, and
     settles how far it reaches by the points of the few at the edge. A tricube weight is a polynomial of the distance on
     either side, so that buckets inside the reach count by their moments, moved to the grid point; only buckets that the reach
     or the grid point cuts count by their points. Moments are moved from the bucket's own middle, and not taken as differences
@@ -168,19 +174,10 @@ def t_loess(df: DataFrame, x: str, y: str, keys: list[str], bandwidth: float = 0
 
     Cases: rows without x or y are left out; a group of one x has its mean; equal distances are inside together."""
     sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("double")).alias("__y"))
-    placed = number_rows(sums, keys, ["__x"], "__k")
-    points = _kept(placed.select(*keys, "__x", "__n", "__y", F.floor((F.col("__k") - 1) / bucket).cast("long").alias("__b")))
-    u = F.col("__x") - F.col("__c")
-    ends = points.groupBy(*keys, "__b").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__n"))
-    ends = ends.withColumn("__c", (F.col("__lo") + F.col("__hi")) / 2)
-    middles = ends.select(*(F.col(k).alias(f"__m_{i}") for i, k in enumerate(keys)), F.col("__b").alias("__m_b"), "__c")
-    test = points["__b"] == middles["__m_b"]
-    for i, k in enumerate(keys):
-        test &= points[k].eqNullSafe(middles[f"__m_{i}"])
-    power = lambda k: F.pow(u, F.lit(float(k)))
-    moments = points.join(middles, test).groupBy(*keys, "__b").agg(
-        F.array(*(F.sum(F.col("__n") * power(k)) for k in range(_POWERS))).alias("__ms"), F.array(*(F.sum(F.col("__y") * power(k)) for k in range(_POWERS))).alias("__ys")
-    )
+    # a bucket is a run of rows of a range part, so that no row needs its number among all
+    points = placed(sums, keys, ["__x"]).select(*keys, "__x", "__n", "__y", F.expr(f"__place div {bucket}").alias("__b"))
+    moments = _kept(_moments(points, keys))
+    ends = moments.groupBy(*keys, "__b").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("__n"))
     same = lambda a, b, more=(): reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[f"__r_{k}"]) for k in [*keys, *more]], F.lit(True))
     named = lambda t, more=(): t.withColumnsRenamed({k: f"__r_{k}" for k in [*keys, *more]})
     bare = lambda t: t.drop(*(c for c in t.columns if c.startswith("__r_")))
@@ -195,29 +192,25 @@ def t_loess(df: DataFrame, x: str, y: str, keys: list[str], bandwidth: float = 0
     # all points are within the reach at the least far end with enough points; none of too few buckets reaches it
     most = F.min(F.when(F.col("__sure") >= F.col("__wanted"), F.col("__far"))).over(upto)
     least = F.min(F.when(F.col("__may") >= F.col("__wanted"), F.col("__inner"))).over(upto)
-    near = _kept(near.withColumns({"__most": most, "__least": least}).where("__inner <= __most").select(*by, "x", "__b", "__lo", "__hi", "__c", "__n", "__far", "__inner", "__wanted", "__least"))
+    near = _kept(near.withColumns({"__most": most, "__least": least}).where("__inner <= __most").select(*by, "x", "__b", "__lo", "__hi", "__n", "__far", "__inner", "__wanted", "__least"))
     inside = near.where("__far < __least").groupBy(*by).agg(F.sum("__n").alias("__inside"))
-    edge = named(near.where("__far >= __least").select(*by, "x", "__b", "__wanted"), ["__b"])
+    edge = _if_few(named(near.where("__far >= __least").select(*by, "x", "__b", "__wanted"), ["__b"]))
     at_edge = bare(points.join(edge, same(points, edge, ["__b"]))).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
     inside = named(inside, ["step"])
     at_edge = bare(at_edge.join(inside, same(at_edge, inside, ["step"]), "left"))
     nearer = Window.partitionBy(*by).orderBy("__d")
     reached = at_edge.withColumn("__before", F.coalesce("__inside", F.lit(0)) + F.sum("__n").over(nearer)).where("__before >= __wanted").groupBy(*by).agg(F.min("__d").alias("__reach"))
     reached = named(reached.withColumn("__h", F.when(F.col("__reach") > 0, F.col("__reach")).otherwise(1.0) * 1.000001), ["step"])
-    held = bare(near.join(reached, same(near, reached, ["step"]))).where("__inner <= __reach").withColumn("__whole", (F.col("__far") <= F.col("__reach")) & ((F.col("__lo") >= F.col("x")) | (F.col("__hi") <= F.col("x"))))
+    held = _kept(bare(near.join(reached, same(near, reached, ["step"]))).where("__inner <= __reach").withColumn("__whole", (F.col("__far") <= F.col("__reach")) & ((F.col("__lo") >= F.col("x")) | (F.col("__hi") <= F.col("x")))))
 
-    cut = named(held.where("not __whole").select(*by, "x", "__b", "__h", "__reach"), ["__b"])
+    cut = _if_few(named(held.where("not __whole").select(*by, "x", "__b", "__h", "__reach"), ["__b"]))
     single = bare(points.join(cut, same(points, cut, ["__b"]))).withColumn("__u", (F.col("__x") - F.col("x")) / F.col("__h")).where(F.abs(F.col("__x") - F.col("x")) <= F.col("__reach"))
     w = F.pow(1 - F.pow(F.abs("__u"), F.lit(3.0)), F.lit(3.0))
     v, n, yy = F.col("__u"), F.col("__n"), F.col("__y")
     parts = single.select(*by, "x", "__h", (w * n).alias("s0"), (w * n * v).alias("s1"), (w * n * v * v).alias("s2"), (w * yy).alias("t0"), (w * yy * v).alias("t1"))
-    whole = named(held.where("__whole").select(*by, "x", "__b", "__c", "__h"), ["__b"])
-    moved = bare(moments.join(whole, same(moments, whole, ["__b"])))
-    m, q = (_moved_moments(F.col(c), (F.col("__c") - F.col("x")) / F.col("__h"), F.col("__h")) for c in ("__ms", "__ys"))
-    side = F.when(F.col("__c") >= F.col("x"), 1.0).otherwise(-1.0)
-    moved = moved.withColumns({"__mu": m, "__yu": q})
-    fold = lambda c, j: F.col(c)[j] - 3 * side * F.col(c)[j + 3] + 3 * F.col(c)[j + 6] - side * F.col(c)[j + 9]
-    both = parts.union(moved.select(*by, "x", "__h", *(fold("__mu", j) for j in range(3)), *(fold("__yu", j) for j in range(2))))
+    whole = named(held.where("__whole").select(*by, "x", "__b", "__h"), ["__b"])
+    moved = bare(moments.join(whole, same(moments, whole, ["__b"]))).select(*by, "x", "__h", "__c", "__ms", "__ys")
+    both = parts.union(_tricube_sums(moved, by))
     s = both.groupBy(*by, "x").agg(*(F.sum(c).alias(c) for c in ("s0", "s1", "s2", "t0", "t1")))
     # in units of the reach, so that a determinant of nothing shows at any scale of x
     d = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
@@ -232,12 +225,58 @@ def _grid_of(ends: DataFrame, keys: list[str], steps: int) -> DataFrame:
     return span.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select(*keys, "step", (lo + (hi - lo) * F.col("step") / steps).alias("x"))
 
 
-def _moved_moments(moments: Column, by: Column, scale: Column) -> Column:
-    """Sums of powers of (u / scale + by), from sums of powers of u."""
-    table = F.lit([[float(comb(k, i)) for i in range(_POWERS)] for k in range(_POWERS)])
-    unit = F.transform(moments, lambda m, i: m / F.pow(scale, i.cast("double")))
-    one = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + table[k][i] * unit[i] * F.pow(by, (k - i).cast("double")))
-    return F.transform(F.sequence(F.lit(0), F.lit(_POWERS - 1)), one)
+def _moments(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, __b, ends, number of points and sums of powers about the middle, of each bucket's rows in a batch: rows of a
+    bucket that two batches hold are two pieces, each about its own middle."""
+    names = [*keys, "__b"]
+    rows = points.select(*names, "__x", F.col("__n").cast("long").alias("__n"), "__y", (F.xxhash64(*keys) if keys else F.lit(0).cast("long")).alias("__h"))
+    array = ArrayType(DoubleType())
+    out = StructType([*(points.schema[k] for k in names), StructField("__lo", DoubleType()), StructField("__hi", DoubleType()), StructField("__n", LongType()), StructField("__c", DoubleType()), StructField("__ms", array), StructField("__ys", array)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, h, x, n, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__b", "__h", "__x", "__n", "__y"))
+            at = np.concatenate([[0], np.flatnonzero((b[1:] != b[:-1]) | (h[1:] != h[:-1])) + 1])
+            lo, hi = np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)
+            middle = (lo + hi) / 2
+            u, p, q, ms, ys = x - np.repeat(middle, np.diff(np.append(at, len(x)))), n.astype(float), y.astype(float), [], []
+            for _ in range(_POWERS):
+                ms.append(np.add.reduceat(p, at))
+                ys.append(np.add.reduceat(q, at))
+                p, q = p * u, q * u
+            ends = pa.array(np.arange(0, _POWERS * len(at) + 1, _POWERS, dtype=np.int32))
+            sums = [pa.ListArray.from_arrays(ends, pa.array(np.stack(m, 1).ravel())) for m in (ms, ys)]
+            first = batch.select(names).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*first.columns, pa.array(lo), pa.array(hi), pa.array(np.add.reduceat(n, at)), pa.array(middle), *sums], out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def _tricube_sums(moved: DataFrame, by: list[str]) -> DataFrame:
+    """by, x, __h and the weighted sums of a linear fit at x, of pieces that lie on one side of x within its reach __h."""
+    names = [*by, "x", "__h"]
+    out = StructType([*(moved.schema[k] for k in names), *(StructField(c, DoubleType()) for c in ("s0", "s1", "s2", "t0", "t1"))])
+    binomials = np.array([[float(comb(k, i)) for i in range(_POWERS)] for k in range(_POWERS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, h, c = (batch.column(k).to_numpy(zero_copy_only=False)[:, None] for k in ("x", "__h", "__c"))
+            far, side, powers, sums = (c - x) / h, np.where(c >= x, 1.0, -1.0)[:, 0], np.arange(_POWERS), []
+            by_far = far**powers
+            for name, n in (("__ms", 3), ("__ys", 2)):
+                unit = batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, _POWERS) / h**powers
+                m = [(unit[:, : k + 1] * binomials[k, : k + 1] * by_far[:, k::-1]).sum(1) for k in range(_POWERS)]
+                sums += [m[j] - 3 * side * m[j + 3] + 3 * m[j + 6] - side * m[j + 9] for j in range(n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *(pa.array(v) for v in sums)], out.names)
+
+    return moved.mapInArrow(run, out)
+
+
+def _if_few(buckets: DataFrame) -> DataFrame:
+    """Buckets to look points up in: sent to all tasks once they are counted to be few, so that points stay where they are."""
+    return F.broadcast(buckets) if buckets.count() <= FEW_BUCKETS else buckets
 
 
 def _kept(df: DataFrame) -> DataFrame:

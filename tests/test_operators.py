@@ -459,3 +459,29 @@ def test_mapping_is_read_once_for_all_paths(spark):
     parsed = candidates.parse_candidates(spark.createDataFrame([(1, answer)], "q long, a string"), "q", "a")
     assert parsed.first().dimensions == ["a", "f"]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + parsed._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+
+
+@pytest.mark.parametrize("few,bucket", [(20_000, 16), (0, 7)])
+def test_loess_buckets_points_without_a_join(spark, monkeypatch, few, bucket):
+    """Against a plain fit, null keys and ties included; all points get their buckets and moments with no join."""
+    monkeypatch.setattr(chartops, "FEW_BUCKETS", few)
+    rng, rows = random.Random(4), []
+    for g in (None, "a", "b"):
+        rows += [(g, x := round(rng.uniform(100, 110), 1 if g == "a" else 4), math.sin(x) + rng.random()) for _ in range(400)]
+    frame = spark.createDataFrame([*rows, ("c", 5.0, 1.0), ("c", 5.0, 2.0), ("c", None, 2.0)], "k string, x double, y double")
+    plans, kept = [], chartops._kept
+    monkeypatch.setattr(chartops, "_kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    got = {(r.k, r.step): (r.x, r.y) for r in chartops.t_loess(frame, "x", "y", ["k"], steps=4, bucket=bucket).collect()}
+    assert "Join" not in plans[0]
+    assert len(got) == 20 and all(abs(got["c", j][1] - 1.5) < 1e-9 for j in range(5))
+    for g in (None, "a", "b"):
+        own = [(x, y) for k, x, y in rows if k == g]
+        for j in range(5):
+            at, y = got[g, j]
+            reach = sorted(abs(x - at) for x, _ in own)[math.ceil(0.3 * len(own)) - 1]
+            w = [(max(0.0, 1 - (abs(x - at) / (reach * 1.000001)) ** 3) ** 3, x - at, v) for x, v in own if abs(x - at) <= reach]
+            s0, s1, s2, t0, t1 = (sum(a * u**p * (v if q else 1) for a, u, v in w) for p, q in ((0, 0), (1, 0), (2, 0), (0, 1), (1, 1)))
+            assert abs(y - (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1)) < 1e-6
+    bare = frame.where("k = 'b'").drop("k")
+    assert sorted(r.step for r in chartops.t_loess(bare, "x", "y", [], steps=4, bucket=bucket).collect()) == [0, 1, 2, 3, 4]
+    assert chartops.t_loess(frame.limit(0), "x", "y", ["k"]).count() == 0

@@ -163,23 +163,57 @@ def select_diverse(candidates: DataFrame, n: int, key: str = "question_id") -> D
 
 
 def _tokens() -> Column:
-    """What two candidates may share: a type, a dimension, a measure; none of these is a token of its own."""
+    """What two candidates with lowered columns may share: a type, a dimension, a measure; none of these is a token of its own."""
     of = lambda c, kind: F.transform(F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(None).cast("string"))), lambda x: F.concat(F.lit(kind), F.coalesce(F.concat(F.lit("="), x), F.lit(""))))
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(F.array(F.lower("chart_type")), "t"), of(some("dimensions"), "d"), of(some("measures"), "m")))
+    return F.array_distinct(F.concat(of(F.array("chart_type"), "t"), of(some("dimensions"), "d"), of(some("measures"), "m")))
 
 
-def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id") -> tuple[DataFrame, DataFrame]:
+#: Questions of at most so many candidates are compared whole, each candidate with all others.
+FEW = 32
+
+
+def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id", few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(key, pos, place from 1 on, other and distance of the k nearest candidates of the same question, of equals the first;
     stage and pairs looked at).
 
+    In a question of at most few candidates each is held against all others, where the question's rows meet: one shuffle,
+    nothing written, at most few distances a candidate. Larger questions go by classes and bounds (_nearest_by_bounds). Sizes are
+    counted first, from the key alone. All pairs of small questions are looked at; they count as stage rest.
+
+    Cases: a question of fewer candidates gives fewer; nulls are equal to nulls; an empty table gives empty results."""
+    rows = candidates.where(F.col(key).isNotNull()).select(key, "pos", *lowered_columns())
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    pairs = sizes.where(F.col("n") <= few).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("pairs"))
+    looked = pairs.select(F.inline(F.array(*(F.struct(F.lit(s).alias("stage"), (F.col("pairs") if s == "rest" else F.lit(0)).cast("long").alias("pairs")) for s in ("category", "token", "rest")))))
+    large = _stored(sizes.where(F.col("n") > few).select(key), "large")
+    if large.isEmpty():
+        return _nearest_of_few(rows, k, key), looked
+    near, more = _nearest_by_bounds(rows.join(_shuffled(large), key, "left_semi"), k, key)
+    near = _nearest_of_few(rows.join(_shuffled(large), key, "left_anti"), k, key).union(near)
+    return near, looked.union(more).groupBy("stage").agg(F.sum("pairs").alias("pairs"))
+
+
+def _nearest_of_few(rows: DataFrame, k: int, key: str) -> DataFrame:
+    """nearest_candidates for questions that fit in a row; rows have the lowered columns. A window by the key alone needs no
+    shuffle or order besides those of rows that are dealt by the key already."""
+    me, x = F.col("me"), F.col("x")
+    met = rows.select(key, F.struct("pos", F.struct(*COMPARED).alias("c")).alias("me")).withColumn("all", F.collect_list("me").over(Window.partitionBy(key)))
+    pairs = met.select(key, "me", F.explode("all").alias("x")).where(me["pos"] != x["pos"])
+    apart = F.when(me["c"].eqNullSafe(x["c"]), 0.0).otherwise(distance(lambda c: me["c"][c], lambda c: x["c"][c], lowered=True))
+    found = pairs.select(key, me["pos"].alias("pos"), apart.alias("distance"), x["pos"].alias("other"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(key, "pos").orderBy("distance", "other"))).where(F.col("place") <= k).select(key, "pos", "place", "other", "distance")
+
+
+def _nearest_by_bounds(rows: DataFrame, k: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """nearest_candidates for questions of any size; rows have the lowered columns.
+
     Candidates that are compared alike are one class, with its first k + 1 members. Classes are looked at in three steps, each
     only for those that the bounds leave open: classes of the same category; others that share a type, a dimension or a
     measure by an inverted index; all others. A pair of different categories is at least the category's weight apart, and one
-    that shares no token the weights of type, dimensions and measures more, so that what lies nearer is final.
-
-    Cases: a question of fewer candidates gives fewer; nulls are equal to nulls; an empty table gives empty results."""
-    rows = _stored(candidates.select(key, "pos", *COMPARED), "compared")
+    that shares no token the weights of type, dimensions and measures more, so that what lies nearer is final. Pairs are
+    not written: the best of a step are taken from its join, and counting the pairs looked at runs the join again."""
+    rows = _stored(rows, "compared")
     heads = rows.groupBy(key, *COMPARED).agg(F.min("pos").alias("cid"))
     own = heads.select(F.col(key).alias("__k"), F.col("cid"), *(F.col(c).alias(f"__{c}") for c in COMPARED))
     same = F.col(key) == F.col("__k")
@@ -190,10 +224,10 @@ def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id")
     first = first.groupBy(key, "cid").agg(F.array_sort(F.collect_list("pos")).alias("some"))
     wanted = members.groupBy(key).agg(F.least(F.count("*"), F.lit(k + 1)).alias("wanted"))
     classes = _stored(heads.join(_shuffled(first), [key, "cid"]).join(_shuffled(wanted), key), "classes")
-    a = lambda df: df.select(key, *(F.col(c).alias(f"a_{c}") for c in ("cid", *COMPARED)))
-    b = lambda df: df.select(F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "some", *COMPARED)))
-    apart = distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    category = F.lower("a_chart_category").eqNullSafe(F.lower("b_chart_category"))
+    a = lambda df, *more: df.select(key, *(F.col(c).alias(f"a_{c}") for c in ("cid", *COMPARED)), *more)
+    b = lambda df, *more: df.select(F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in ("cid", "some", *COMPARED)), *more)
+    apart = distance(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), lowered=True)
+    category = F.col("a_chart_category").eqNullSafe(F.col("b_chart_category"))
     in_question = (F.col(key) == F.col("b_key")) & (F.col("a_cid") != F.col("b_cid"))
     found = lambda pairs: pairs.select(key, F.col("a_cid").alias("cid"), apart.alias("distance"), F.explode("b_some").alias("other"))
     alone = classes.select(key, "cid", F.lit(0.0).alias("distance"), F.explode("some").alias("other"))
@@ -210,18 +244,16 @@ def nearest_candidates(candidates: DataFrame, k: int, key: str = "question_id")
     def kept(top: DataFrame) -> DataFrame:
         return top.select(key, "cid", F.inline("best"))
 
-    one = _stored(a(classes).join(_shuffled(b(classes)), in_question & category), "pairs-category")
+    one = a(classes).join(_shuffled(b(classes)), in_question & category)
     top = best(alone.union(found(one)), "best-category")
     left = _stored(open_classes(top, WEIGHTS["category"]), "open-category")
-    ours = left.select(F.col(key).alias("t_key"), F.col("cid").alias("t_cid"), F.explode(_tokens()).alias("t"))
-    theirs = classes.select(F.col(key).alias("u_key"), F.col("cid").alias("u_cid"), F.explode(_tokens()).alias("u"))
-    met = ours.join(_shuffled(theirs), (F.col("t_key") == F.col("u_key")) & (F.col("t") == F.col("u")) & (F.col("t_cid") != F.col("u_cid"))).select("t_key", "t_cid", "u_cid").distinct()
-    two = a(left).join(_shuffled(met), (F.col(key) == F.col("t_key")) & (F.col("a_cid") == F.col("t_cid"))).join(_shuffled(b(classes)), (F.col(key) == F.col("b_key")) & (F.col("u_cid") == F.col("b_cid"))).where(~category)
-    two = _stored(two.drop("t_key", "t_cid", "u_cid"), "pairs-token")
+    # rows of classes meet at each token; a pair that shares several is looked at where the first of them is, and isn't dealt again
+    by_token = lambda df, side, name: side(df, _tokens().alias(f"{name}_tokens")).withColumn(f"{name}_token", F.explode(f"{name}_tokens"))
+    first_shared = F.get(F.array_intersect("a_tokens", "b_tokens"), F.lit(0)) == F.col("a_token")
+    two = by_token(left, a, "a").join(_shuffled(by_token(classes, b, "b")), in_question & (F.col("a_token") == F.col("b_token")) & ~category & first_shared)
     top2 = best(kept(top).union(found(two)), "best-token")
     last = _stored(open_classes(top2, sum(WEIGHTS[w] for w in ("category", "type", "dims", "measures"))), "open-token")
-    rest = a(last).join(_shuffled(b(classes)), in_question)
-    three = _stored(rest, "pairs-rest")
+    three = a(last).join(_shuffled(b(classes)), in_question)
     final = best(kept(top2.join(_shuffled(last.select(key, "cid")), [key, "cid"], "left_anti")).union(alone.join(_shuffled(last.select(key, "cid")), [key, "cid"], "left_semi")).union(found(three)), "best")
     near = members.join(_shuffled(final), [key, "cid"]).select(key, "pos", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("pos")), 1, k)).alias("place", "n"))
     looked = [df.agg(F.count("*").alias("pairs")).select(F.lit(stage).alias("stage"), "pairs") for stage, df in (("category", one), ("token", two), ("rest", three))]

@@ -224,8 +224,8 @@ def spec_inline_data(spark, d):
 # --- candidates
 
 
-def _cands(spark, d):
-    base = fx(spark, d, "candidates")
+def _cands(spark, d, by=None):
+    base = fx(spark, d, "candidates", by)
     return base.withColumns({
         "dimensions": F.array("dim1", "dim2"), "measures": F.array("measure"), "tables_needed": F.array(F.lit("lineitem")), "feature_types": F.array("chart_category"), "complexity": (F.col("pos") % 3).cast("double"),
     })
@@ -252,7 +252,7 @@ def candidate_select(spark, d):
 
 @query("candidate_nearest", "candidates", f"SELECT question_id, pos, place::INT AS place, other, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pos ORDER BY round(distance, 9), other) AS place FROM (SELECT a.question_id, a.pos, b.pos AS other, {_D} AS distance FROM fx a JOIN fx b ON a.question_id = b.question_id AND a.pos <> b.pos)) WHERE place <= 2")
 def candidate_nearest(spark, d):
-    return rounded(candidates.nearest_candidates(_cands(spark, d), 2)[0], 6, "distance")
+    return rounded(candidates.nearest_candidates(_cands(spark, d, by="l_orderkey"), 2)[0], 6, "distance")
 
 
 @query("candidate_avoid", "candidates", "SELECT question_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY chart_type IN ('NO', 'RF'), pos) AS k FROM fx) WHERE k <= 3")

@@ -36,12 +36,14 @@ _TABLES = {
 }
 
 
-def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived collection of a folder's tables."""
+def fx(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """A derived collection of a folder's tables; by: the column by which its table's rows are dealt before anything is made
+    of them, so that steps by that column, under its own name or the collection's, share one shuffle."""
     sql, *tables = _TABLES[name]
+    by = by or _SPREAD.get(name)
     for t in tables:
         rows = src.read_table(spark, sf_dir, t)
-        (src.spread(rows, _SPREAD[name]) if name in _SPREAD else rows).createOrReplaceTempView(t)
+        (src.spread(rows, by) if by else rows).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

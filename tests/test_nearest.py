@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import __spark_entry__
 from loomframe.operators import candidates
 
 SCHEMA = "question_id long, pos int, chart_category string, chart_type string, dimensions array<string>, measures array<string>, tables_needed array<string>, aggregation string, vis_intent_type string, feature_types array<string>, complexity double"
@@ -43,6 +44,44 @@ def test_no_candidates_are_broadcast(spark):
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
 
+@pytest.mark.parametrize("few", [0, 32, 100])
+def test_nearest_of_few_and_by_bounds(spark, few):
+    """Questions on either side of the limit, letters in either case, rows without a question."""
+    rng = random.Random(few)
+    some = lambda names, most: [rng.choice([n, n.upper()]) for n in rng.sample(names, rng.randint(0, most))]
+    rows = []
+    for q, n in ((1, 60), (2, 32), (3, 33), (4, 1), (5, 2), (None, 5)):
+        for p in range(n):
+            rows.append((q, p, f"C{p}", f"t{p}", some(["a", "b", "c", "d"], 2), some(["m", "n", "o"], 1), [f"t{p}"], rng.choice(["SUM", "sum"]), "trend", ["x"], 0.0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    both = {}
+    for r in candidates.candidate_distance(df).collect():
+        both.setdefault((r.question_id, r.pos_a), []).append((round(r.distance, 9), r.pos_b))
+        both.setdefault((r.question_id, r.pos_b), []).append((round(r.distance, 9), r.pos_a))
+    near, looked = candidates.nearest_candidates(df, 3, few=few)
+    got = {}
+    for r in near.collect():
+        got.setdefault((r.question_id, r.pos), []).append((r.place, round(r.distance, 9), r.other))
+    assert {x: [(d, o) for _, d, o in sorted(v)] for x, v in got.items()} == {x: sorted(v)[:3] for x, v in both.items()}
+    pairs = {r.stage: r.pairs for r in looked.collect()}
+    assert pairs.keys() == {"category", "token", "rest"} and 0 < sum(pairs.values()) <= sum(map(len, both.values()))
+
+
+def test_pairs_are_not_written(spark, monkeypatch):
+    names, stored = [], candidates._stored
+    monkeypatch.setattr(candidates, "_stored", lambda df, name: names.append(name) or stored(df, name))
+    df = spark.createDataFrame([(q, p, f"C{p % 2}", f"t{p % 3}", ["a"], ["m"], ["t"], "SUM", "trend", ["x"], float(p % 4)) for q, n in ((1, 9), (2, 40)) for p in range(n)], SCHEMA)
+    assert candidates.nearest_candidates(df.where("question_id = 1"), 2)[0].count() == 18
+    assert names == ["large"]
+    assert candidates.nearest_candidates(df, 2)[0].count() == 98
+    assert len(names) > 2 and not any("pairs" in n for n in names)
+
+
+def test_query_deals_its_rows_once(spark):
+    plan = __spark_entry__.queries()["candidate_nearest"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def _executions(store):
     every = store.executionsList()
     return [every.apply(k) for k in range(every.size())]
